@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, leakage, mixing, mojibake
+from threadloom.llm import conversations, leakage, mixing, mojibake, secrets
 from threadloom.tables import table
 
 
+def _secret_tables(spark: SparkSession, sf_dir: str) -> list:
+    outputs = table(spark, sf_dir, "rollout_lines").where("contains(raw_line, '\"output\"')").select("line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.payload.output', 'string')").alias("output")).where("output is not null")
+    return [(table(spark, sf_dir, "messages"), "messages", "id", {"content": "content", "raw_json": "raw_json"}), (outputs, "rollout_lines", "line_id", {"payload.output": "output"})]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_secret_tables(spark, sf_dir), with_text=False).select("src", "row_id", "field")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that hold credentials, redacted, with the number of values cut."""
+    return secrets.scan(_secret_tables(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.to_drop(table(spark, sf_dir, "messages"), table(spark, sf_dir, "sessions"))
 
@@ -41,5 +55,5 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p6_found, p6_conversations, p8_found, p9_mix, p9_shares, p10_found, p10_restored)
+    own = (p2_found, p2_redacted, p6_found, p6_conversations, p8_found, p9_mix, p9_shares, p10_found, p10_restored)
     return {f.__name__: f for f in own}
