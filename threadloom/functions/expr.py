@@ -168,12 +168,15 @@ def strip_context(c: Column) -> Column:
 
 
 def is_wrapper(c: Column) -> Column:
-    return F.trim(c).rlike("^<environment_context|^<[a-z_]*_instructions>")
+    """A block that the harness put into a user's message."""
+    return F.trim(c).rlike("^<environment_context|^<[^>]+_instructions>")
 
 
 def title(c: Column, most: int = 100) -> Column:
-    """A message's first words as a title: command wrappers opened, leading boilerplate removed."""
-    command = F.regexp_extract(c, r"(?s)<command-name>\s*(.*?)\s*</command-name>", 1)
-    bare = F.regexp_replace(c, r"(?s)^\s*(?:<(local-command-caveat|task-notification|system-reminder)>.*?</\1>\s*|\[Request interrupted by user[^\]]*\]\s*)+", "")
-    chosen = F.trim(F.regexp_replace(F.when(command != "", command).otherwise(bare), r"\s+", " "))
-    return F.substring(chosen, 1, most)
+    """A user text as a session title: a command's name, or the text behind harness boilerplate; '' if that is all."""
+    t = F.trim(c)
+    command = F.trim(F.regexp_extract(t, r"(?s)^<command-.*?<command-name>(.*?)</command-name>", 1))
+    is_command = t.rlike(r"(?s)^<command-.*?<command-name>.*?</command-name>")
+    wrapped = t.rlike(r"^(<local-command-caveat|<task-notification|\[Request interrupted)")
+    behind = F.trim(F.regexp_extract(t, r"(?s)^(?:<(local-command-caveat|task-notification).*?</\1>|\[Request interrupted[^\]]*\])(.*)$", 2))
+    return F.when(is_command, command).otherwise(F.substring(F.when(wrapped, behind).otherwise(t), 1, most))

@@ -156,3 +156,37 @@ def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (p1_found, p1_delivered_once, p3_found, p3_unified, p4_found, p5_found, p5_bridge, p5_nodes, p7_found, p7_normalised)
     return {f.__name__: f for f in own}
+
+
+ORACLES = {
+    "p1_found": """
+WITH c AS (
+  SELECT line_id, batch_no, 'e' AS src, j->>'$.type' AS type, j->>'$.uuid' AS ident FROM (SELECT line_id, batch_no, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM event_lines)
+  UNION ALL SELECT line_id, batch_no, 'r', j->>'$.type', j->>'$.payload.id' FROM (SELECT line_id, batch_no, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM rollout_lines)),
+k AS (SELECT line_id, row_number() OVER (PARTITION BY src, type, lower(trim(ident)) ORDER BY batch_no DESC, line_id DESC) AS rn FROM c WHERE trim(ident) <> '')
+SELECT line_id FROM k WHERE rn > 1""",
+    "p5_found": """
+WITH e AS (SELECT line_id, j->'$.message.content' AS c FROM (SELECT line_id, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM event_lines)),
+ea AS (SELECT line_id, CASE WHEN json_type(c) = 'ARRAY' THEN c WHEN json_type(c) = 'OBJECT' OR (json_type(c) = 'VARCHAR' AND c->>'$' <> '') THEN json_array(c) END AS c FROM e),
+b AS (SELECT line_id, k AS ord, json_extract(c, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS k FROM ea WHERE c IS NOT NULL)),
+r AS (SELECT line_id, ord AS parent_ord, x->'$.content' AS c FROM b WHERE json_type(x) = 'OBJECT' AND x->>'$.type' = 'tool_result'),
+ra AS (SELECT line_id, parent_ord, CASE WHEN json_type(c) = 'ARRAY' THEN c WHEN json_type(c) = 'OBJECT' OR (json_type(c) = 'VARCHAR' AND c->>'$' <> '') THEN json_array(c) END AS c FROM r),
+rb AS (SELECT line_id, parent_ord, k AS ord, json_extract(c, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS k FROM ra WHERE c IS NOT NULL)),
+p AS (SELECT line_id, j->'$.payload.content' AS c FROM (SELECT line_id, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM rollout_lines) WHERE j->>'$.payload.type' = 'message'),
+pa AS (SELECT line_id, CASE WHEN json_type(c) = 'ARRAY' THEN c WHEN json_type(c) = 'OBJECT' OR (json_type(c) = 'VARCHAR' AND c->>'$' <> '') THEN json_array(c) END AS c FROM p),
+pb AS (SELECT line_id, k AS ord, json_extract(c, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS k FROM pa WHERE c IS NOT NULL)),
+h AS (SELECT line_id, j FROM (SELECT line_id, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM chat_lines) WHERE j IS NOT NULL),
+m AS (SELECT line_id, -1 AS idx, j AS m FROM h WHERE json_type(j, '$."$set"') IS NULL
+  UNION ALL SELECT line_id, k, json_extract(l, '$[' || k || ']') FROM (SELECT line_id, j->'$."$set".messages' AS l, unnest(range(json_array_length(j->'$."$set".messages')::BIGINT)) AS k FROM h WHERE json_type(j, '$."$set".messages') = 'ARRAY')),
+t AS (SELECT line_id, idx, 'tool_call' AS child, m->'$.toolCalls' AS c FROM m UNION ALL SELECT line_id, idx, 'thought', m->'$.thoughts' FROM m),
+ta AS (SELECT line_id, idx, child, CASE WHEN json_type(c) = 'ARRAY' THEN c WHEN json_type(c) = 'OBJECT' THEN json_array(c) END AS c FROM t),
+tb AS (SELECT line_id, idx, child, k AS ord, json_extract(c, '$[' || k || ']') AS x FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS k FROM ta WHERE c IS NOT NULL))
+SELECT line_id, 'message_block' AS child, -1::BIGINT AS parent_ord, ord::BIGINT AS ord FROM b WHERE json_type(x) IN ('OBJECT', 'VARCHAR')
+UNION ALL SELECT line_id, 'result_block', parent_ord, ord FROM rb WHERE json_type(x) IN ('OBJECT', 'VARCHAR')
+UNION ALL SELECT line_id, 'content_block', -1, ord FROM pb WHERE json_type(x) IN ('OBJECT', 'VARCHAR')
+UNION ALL SELECT line_id, child, idx, ord FROM tb WHERE json_type(x) = 'OBJECT'""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -42,7 +42,7 @@ def by_session(data: Dataset, since: int = 0, project: str = "", source: str = "
     return _top(rows, "session_uuid", limit)
 
 
-def _counts(key: list[Column]) -> list[Column]:
+def _counts() -> list[Column]:
     return [F.countDistinct("session_uuid").alias("sessions"), F.sum("total_tokens").cast("bigint").alias("total_tokens"), F.countDistinct(F.when(F.col("stale"), F.col("session_uuid"))).alias("stale_sessions")]
 
 
@@ -51,13 +51,13 @@ def grouped(data: Dataset, by: str, since: int = 0, project: str = "", source: s
     if by not in ("project", "model"):
         raise ValueError(f"no such grouping: {by}")
     key = F.coalesce("project_path", F.lit("")) if by == "project" else F.col("model")
-    rows = _scope(data, since, project, source).groupBy("source", key.alias("key")).agg(*_counts([]))
+    rows = _scope(data, since, project, source).groupBy("source", key.alias("key")).agg(*_counts())
     return _top(rows, "key", limit)
 
 
 def source_totals(data: Dataset, since: int = 0, project: str = "", source: str = "", model: str = "") -> DataFrame:
     """Totals of each source over all its sessions; sources are never added up."""
-    return _scope(data, since, project, source, model).groupBy("source").agg(*_counts([]))
+    return _scope(data, since, project, source, model).groupBy("source").agg(*_counts())
 
 
 def session_totals(data: Dataset, uuids: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def session_totals(data: Dataset, uuids: DataFrame) -> DataFrame:
     return rows.groupBy("session_uuid", "stale").agg(F.sum("total_tokens").cast("bigint").alias("total_tokens"))
 
 
-def with_quota_age(quota: DataFrame, as_of: int, most_seconds: int = 3_600) -> DataFrame:
-    """Snapshots with whether they are old or their window has been reset since."""
-    old = (F.lit(as_of) - F.col("observed_at") > most_seconds) | ((F.col("resets_at") > 0) & (F.col("resets_at") <= as_of))
-    return quota.withColumn("stale", F.coalesce(old, F.lit(False)))
+def with_quota_age(quota: DataFrame, as_of: int) -> DataFrame:
+    """Snapshots with whether they are older than their own window or that has been reset since."""
+    old = (F.col("window_minutes") > 0) & (F.lit(as_of) - F.col("observed_at") > F.col("window_minutes") * 60)
+    reset = (F.col("resets_at") > 0) & (F.col("resets_at") < as_of)
+    return quota.withColumn("stale", F.coalesce(old, F.lit(False)) | F.coalesce(reset, F.lit(False)))
