@@ -57,3 +57,19 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (p2_found, p2_redacted, p6_found, p6_conversations, p8_found, p9_mix, p9_shares, p10_found, p10_restored)
     return {f.__name__: f for f in own}
+
+
+ORACLES = {
+    "p6_found": r"""
+WITH f AS (SELECT session_uuid, seq, arg_min({'role': role, 'content': content}, id) AS v FROM messages WHERE session_uuid IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT session_uuid, seq, CASE lower(trim(v.role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'model' THEN 'assistant' WHEN 'gemini' THEN 'assistant'
+  WHEN 'system' THEN 'system' WHEN 'thinking' THEN 'thinking' WHEN 'tool_use' THEN 'tool_use' WHEN 'tool_result' THEN 'tool_result' END AS role, regexp_replace(coalesce(v.content, ''), '[\s\x{00A0}\x{200B}\x{3000}]', '', 'g') <> '' AS said FROM f),
+d AS (SELECT *, lead(role) OVER (PARTITION BY session_uuid ORDER BY seq) AS next, row_number() OVER (PARTITION BY session_uuid ORDER BY seq) AS rn FROM r WHERE said AND role IN ('user', 'assistant')),
+b AS (SELECT session_uuid FROM r GROUP BY 1 HAVING min(seq) <> 0 OR max(seq) <> count(*) - 1 OR count(*) FILTER (WHERE seq IS NULL OR role IS NULL) > 0
+  UNION SELECT session_uuid FROM d WHERE (rn = 1 AND role = 'assistant') OR (role = 'user' AND next IS DISTINCT FROM 'assistant'))
+SELECT u AS session_uuid FROM (SELECT uuid AS u FROM sessions WHERE uuid IS NOT NULL UNION SELECT session_uuid FROM messages WHERE session_uuid IS NOT NULL) WHERE u IN (SELECT session_uuid FROM b) OR u NOT IN (SELECT session_uuid FROM d)""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
