@@ -153,6 +153,6 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats) of a mix; sources that are missing have zeros."""
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.sum("n_tokens").alias("tokens"))
     got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("times").alias("most_repeats"))
-    return targets.join(got, "source", "left").select(
+    return targets.select("source", "target_share").join(got, "source", "left").select(
         "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1))).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats")
     )
