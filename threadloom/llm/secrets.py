@@ -34,15 +34,17 @@ CANDIDATE = re.compile(
     r"(?P<pem>-----BEGIN [A-Z0-9 ]{3,40}-----(?:\s*[A-Za-z-]+: [^\n]{1,80})*+(?:\s*[A-Za-z0-9+/=]{8,})*+(?:\s*-----END [A-Z0-9 ]{3,40}-----)?)"
     r"|(?P<data>data:[a-z]+/[\w.+-]+;base64,[A-Za-z0-9+/=]+)"
     r"|(?P<uuid>[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})"
+    r"|(?<=:)(?P<user>(?<=[\w.-]:)[^\s\"'`\\<>(){}\[\],;|:/@$]{6,}(?=@[\w.-]+))"
     rf"|(?<![^{_OWN}])(?P<token>[^{_OWN}\d]*+\d[^{_OWN}]*+)"
-    r"|(?<![A-Za-z0-9+/_-])(?P<mixed>[A-Za-z+/_-]*[a-z][A-Z][A-Za-z+/_-]*[a-z][A-Z][A-Za-z+/_-]*|[A-Z]{16,}(?![A-Za-z0-9_]))"
+    r"|(?<![A-Za-z0-9+/_.~-])(?P<mixed>[A-Za-z+/_.~-]*[a-z][A-Z][A-Za-z+/_.~-]*[a-z][A-Z][A-Za-z+/_.~-]*|[A-Z]{16,}(?![A-Za-z0-9_]))"
 )
 #: A value that is put together from literals.
 JOINED = re.compile(r"([\w+/.~-]{3,})\s?[\"']\s*\+\s*[\"']([\w+/.~=-]{3,})")
 USERINFO = re.compile(r"://[^\s/@:]*:$")
 ESCAPE = re.compile(r"\\+[nrtbf\"/']")
 UNESCAPED = {"n": "\n", '"': '"', "'": "'", "/": "/"}
-PLAIN_TOKEN = re.compile(r"[\d.,:/%+T_-]*|\d{4}-\d\d-\d\d.*|[./~]*(?:[a-z0-9._*-]+/)+[a-z0-9._*-]*|[a-z_]+\.?\d{0,4}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+")
+#: Plain tokens: numbers, times, paths, words, names in camel case, identifiers with the prefix of their kind.
+PLAIN_TOKEN = re.compile(r"(?:call|toolu|srvtoolu|msg|req|resp|fc|rs|run|item|chatcmpl)_[A-Za-z0-9]+|[\d.,:/%+T_-]*|\d{4}-\d\d-\d\d.*|[./~]*(?:[a-z0-9._*-]+/)+[a-z0-9._*-]*|[a-z_]+\.?\d{0,4}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[一-鿿]{2}|--?[a-z](?![a-z])")
 #: Names that announce a secret, and names of values that are none.
 SECRET_WORDS = frozenset("password passwd pwd pass passphrase pgpassword sshpass secret token apikey key bearer basic authorization auth cookie sid credential credentials creds 密碼 密码".split())
@@ -117,6 +119,8 @@ def candidates(text: str) -> list[Found]:
             while end < len(seen) and seen[end] == "=" and end - start - len(token) < 2:
                 end += 1
         right = seen[end : end + 1]
+        if kind == "user" and (not USERINFO.search(seen, max(0, start - 72), start) or "REDACTED" in token or token.isupper()):
+            continue
         out.append(Found(start, end, kind, token, _words(seen, start), right, right == "@" and USERINFO.search(seen, max(0, start - 72), start) is not None))
     return sorted(out, key=lambda c: c.start)
 
@@ -134,9 +138,15 @@ def strong_shape(token: str) -> bool:
     """Looks made up: digits with mixed case or signs, or long hexadecimal or mixed-case text."""
     digit = any(c.isdigit() for c in token)
     upper, lower = any("A" <= c <= "Z" for c in token), any("a" <= c <= "z" for c in token)
-    if digit and (SPECIAL & set(token) or upper and lower or (len(token) >= 16 and (upper or lower) and token.isalnum())):
+    if digit and (SPECIAL & set(token) or upper and lower or (len(token) >= 12 and (upper or lower) and token.isalnum())):
         return True
-    return len(token) >= 12 and len(re.findall("[a-z][A-Z]", token)) >= 2 and "_" not in token
+    turns = len(re.findall("[a-z][A-Z]", token))
+    return len(token) >= 12 and turns >= (3 if "_" in token or "." in token else 2)
+
+
+def login_secret(c: Found) -> bool:
+    """The second part of ``user:value@host`` that isn't a plain word."""
+    return c.userinfo and (strong_shape(c.token) or not (c.token.islower() or c.token.isupper()))
 
 
 def weak_label(c: Found) -> int:
@@ -150,10 +160,10 @@ def weak_label(c: Found) -> int:
     if FORMATS.fullmatch(c.token):
         return int(re.search(r"[xX*]{8}|EXAMPLE", c.token) is None)
     near, wider = c.words[-3:], c.words
+    if c.userinfo:
+        return int(login_secret(c))
     if not strong_shape(c.token):
         return 0
-    if c.userinfo:
-        return 1
     if (near and near[-1] in OTHER_WORDS) or (set(near) & {"sha", "integrity", "checksum", "commit", "ssh", "public", "png"}):
         return 0
     if set(near) & SECRET_WORDS:
@@ -181,7 +191,7 @@ def _indicators(c: Found) -> list[float]:
     client = ("redis" in c.words and c.words[-1:] == ["-a"]) or ("mysql" in c.words and "-u" in c.words)
     return [
         1.0, min(n, 64) / 32, digits / n, uppers / n, float(signs > 0), float(strong), float(near), float(far), float(other), float(strong and near), float(strong and not near and not form), float(strong and other),
-        float(form), 0.0, 0.0, 0.0, float(c.kind == "mixed"), float(c.right == "@"), float(c.userinfo and strong), float("/" in t), float("." in t),
+        float(form), 0.0, 0.0, 0.0, float(c.kind == "mixed"), float(c.right == "@"), float(login_secret(c)), float("/" in t), float("." in t),
         float(re.fullmatch("[0-9a-f]+", t) is not None), float(re.fullmatch("[a-z]+[-_.]?[0-9]+", t) is not None), float(client and strong), float(c.words[-1:] != [] and c.words[-1] in OTHER_WORDS),
     ]
 
