@@ -98,7 +98,7 @@ def rebuild(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     ends = copies.groupBy("session_uuid", "block").agg(F.max_by("at", "seq").alias("end")).withColumn("carried", F.lag("end").over(outer)).drop("end")
     timed = copies.join(ends, ["session_uuid", "block"]).withColumn("gap", F.col("at") - F.coalesce(F.lag("at").over(inner), F.when(F.row_number().over(inner) == 1, F.col("carried"))))
     limit = timed.where("gap > 0").agg(F.coalesce(F.percentile_approx("gap", GAP_QUANTILE) * GAP_FACTOR, F.lit(2**62)).alias("limit"))
-    cut = timed.crossJoin(F.broadcast(limit)).withColumn("cut", F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0)))  # one row: the limit
+    cut = timed.withColumn("cut", F.coalesce((F.col("gap") > limit.scalar()).cast("int"), F.lit(0)))
     before = cut.groupBy("session_uuid", "block").agg(F.sum("cut").alias("cuts")).withColumn("before", F.sum("cuts").over(outer) - F.col("cuts")).drop("cuts")
     placed = cut.join(before, ["session_uuid", "block"]).select("id", "session_uuid", "seq", "role", (F.col("before") + F.sum("cut").over(inner)).alias("segment"))
     return placed.join(messages.select("id", "content"), "id").select("session_uuid", "seq", "segment", "role", "content")

@@ -33,7 +33,8 @@ EDGE = 3
 KEPT = 0.4
 #: What a word that isn't found costs against one that is.
 MISS = 1.5
-ITEMS_PER_INDEX = 20_000
+#: Bounds of one index, which is sent to the executors: items and their characters.
+ITEMS_PER_INDEX, CHARS_PER_INDEX = 20_000, 40_000_000
 
 TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]|[^\W_぀-ヿ㐀-䶿一-鿿가-힣]+")
 WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣]")
@@ -225,15 +226,15 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id): documents that repeat a passage of a test item.
 
     ``docs``: doc_id, text; ``items``: item_id, text; other columns are not read.  Items are
-    indexed in blocks of ``ITEMS_PER_INDEX``, each its own pass, so what is sent to the executors is
+    indexed in blocks of ``ITEMS_PER_INDEX`` and ``CHARS_PER_INDEX``, each its own pass, so what is sent to the executors is
     bounded.  Null and empty texts match nothing; repeated documents give a row each, repeated items
     one per item id.  Without items there are no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    n = items.count()
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     out = spark.createDataFrame([], "item_id bigint, doc_id bigint")
-    blocks = math.ceil(n / ITEMS_PER_INDEX)
+    blocks = max(math.ceil(n / ITEMS_PER_INDEX), math.ceil(chars / CHARS_PER_INDEX))
     for k in range(blocks):
         part = items.select(F.col("item_id").cast("bigint"), "text").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(sorted((i, t) for i, t in part.collect() if t))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_TOKENS = 20_000
+#: Most blocks of a source: with more tokens its blocks grow, so that ordering them stays bounded.
+MOST_BLOCKS = 1_000_000
 MOST_SOURCES, MOST_SHARDS = 10_000, 65_536
 
 
@@ -122,7 +124,7 @@ def mix(docs: DataFrame, targets: DataFrame, shard_tokens: int = 1_000_000, seed
     if not plans:
         return spark.createDataFrame([], "shard bigint, pos int, source string, doc_id bigint, turn int, n_tokens bigint")
     names = sorted(plans)
-    facts = spark.createDataFrame([(s, k, plans[s][1], plans[s][2], max(1, -(-totals[s] // block_tokens))) for k, s in enumerate(names)], "source string, number int, passes int, rest double, blocks bigint")
+    facts = spark.createDataFrame([(s, k, plans[s][1], plans[s][2], min(MOST_BLOCKS, max(1, -(-totals[s] // block_tokens)))) for k, s in enumerate(names)], "source string, number int, passes int, rest double, blocks bigint")
     # sources are bounded by MOST_SOURCES
     placed = counted.join(F.broadcast(facts), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
     blocks = materialise(placed.groupBy("source", "number", "passes", "rest", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")

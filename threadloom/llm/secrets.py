@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: rows read and candidates used.
-SAMPLE_ROWS, SAMPLE_CANDIDATES = 30_000, 20_000
+#: Bounds of the training sample: rows read, characters of a text in it, and candidates used.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 30_000, 20_000, 20_000
 THRESHOLD = 0.5
 BUCKETS = 256
 MARK = "[REDACTED:credential]"
@@ -336,10 +336,11 @@ def _scan(model: Model, src: str, names: list[str], with_text: bool):
 
 
 def sample_of(table: DataFrame, row_id: str, fields: dict[str, str], most: int) -> list[tuple[str, str]]:
-    """At most ``most`` rows, spread evenly by the hash of their id: (field, text)."""
+    """About ``most`` rows at most, spread evenly by the hash of their id, without overlong texts: (field, text)."""
     n = table.count()
     kept = table if n <= most else table.where(F.pmod(F.xxhash64(row_id), F.lit(1 << 20)) < int((1 << 20) * most / n))
-    rows = kept.select(*[F.col(c).alias(f) for f, c in ((f"f{k}", c) for k, c in enumerate(fields.values()))]).limit(most + most // 8).collect()
+    texts = [F.when(F.length(c) <= SAMPLE_CHARS, F.col(c)).alias(f"f{k}") for k, c in enumerate(fields.values())]
+    rows = kept.select(*texts).limit(most + most // 8).collect()
     return [(f, r[k]) for r in rows for k, f in enumerate(fields) if r[k]]
 
 
