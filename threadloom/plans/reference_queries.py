@@ -474,7 +474,7 @@ def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, d, "event_lines")
     cut = lines.agg(F.floor(F.avg("batch_no")).alias("cut"))
     make = lambda rows: rows.groupBy("source_file").agg(F.max("line_no").alias("last_byte_offset"), F.count("*").alias("unparsed_lines"))
-    rows = lines.crossJoin(F.broadcast(cut))  # one number
+    rows = lines.withColumn("cut", cut.scalar())
     full = lambda df: df.withColumns({"last_size": F.col("last_byte_offset"), "last_mtime": F.lit(0), "head_fingerprint": F.lit(""), "tail_fingerprint": F.lit(""), "last_ingested_at": F.lit(0), "usage_skipped": F.lit(0), "usage_unmapped": F.lit(0), "usage_stale": F.lit(0)})
     return full(make(rows.where("batch_no <= cut"))), full(make(rows.where("batch_no > cut")))
 

@@ -3,7 +3,7 @@
 Long terms (three characters or more) match with Unicode case folding and score by BM25 over
 character trigrams; short terms match with ASCII case folding and only filter.  The corpus
 statistics (rows, average length, document frequency of each term) come from one aggregation
-over all messages, whatever the filters, and are joined as a single row.
+over all messages, whatever the filters, as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -57,10 +57,9 @@ def statistics(messages: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def _scored(rows: DataFrame, messages: DataFrame, terms: list[str]) -> DataFrame:
-    stats = F.broadcast(statistics(messages, terms))  # a single row
-    rows = rows.crossJoin(stats)
-    rows = rows.withColumn("bm25", expr.bm25(F.col("content"), terms, F.col("n"), F.col("average"), [F.col(f"df{k}") for k in range(len(terms))]))
-    return rows.drop("n", "average", *[f"df{k}" for k in range(len(terms))])
+    stats = statistics(messages, terms)
+    rows = rows.withColumn("stats", stats.select(F.struct(*stats.columns)).scalar())  # one row, computed once
+    return rows.withColumn("bm25", expr.bm25(F.col("content"), terms, F.col("stats.n"), F.col("stats.average"), [F.col(f"stats.df{k}") for k in range(len(terms))])).drop("stats")
 
 
 def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter(), limit: int = 20) -> DataFrame:
