@@ -199,6 +199,18 @@ def chat_messages(landed: DataFrame) -> DataFrame:
     return rows.select("source_file", "seq", "line_no", "ts", F.when(F.col("type") == "user", "user").otherwise("assistant").alias("role"), expr.clip_middle(redact.redact_content(F.col("content"))).alias("content"))
 
 
+def chat_sessions(landed: DataFrame) -> DataFrame:
+    """A row per file whose first line names a session; the project is the identifier in its path."""
+    v = parsed(files.current_lines(landed.where("line_no = 1")))
+    heads = v.select("source_file", text_at("v", "$.sessionId").alias("uuid")).where("uuid <> ''")
+    state = chat_state(landed)
+    said = F.when(F.col("type") == "user", expr.title(redact.redact_shapes(expr.strip_context(F.col("content")))))
+    spans = state.groupBy("source_file").agg(*_span(F.col("ts")), _first(said, F.col("pos")).alias("title"))
+    none = F.lit(None).cast("string")
+    out = heads.join(spans, "source_file", "left")
+    return out.select("uuid", files.chat_project_id(F.col("source_file")).alias("project_path"), "source_file", "started_at", "ended_at", "title", none.alias("parent_session"), none.alias("agent_type"), F.lit("gemini").alias("source"))
+
+
 # --- usage --------------------------------------------------------------------------------------
 
 
@@ -265,14 +277,14 @@ class Source:
 
     name: str
     messages: Callable[[DataFrame], DataFrame]
-    sessions: Callable[[DataFrame], DataFrame] | None
+    sessions: Callable[[DataFrame], DataFrame]
     usage: Callable[[DataFrame], DataFrame]
     whole_file: bool = False
 
 
 REGISTRY: dict[str, Source] = {
     "codex": Source("codex", rollout_messages, rollout_sessions, rollout_usage),
-    "gemini": Source("gemini", chat_messages, None, chat_usage, whole_file=True),
+    "gemini": Source("gemini", chat_messages, chat_sessions, chat_usage, whole_file=True),
     "claude-code": Source("claude-code", event_messages, event_sessions, event_usage),
 }
 
