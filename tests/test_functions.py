@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom import schema
-from threadloom.functions import expr, redact, text
+from threadloom.functions import display, expr, redact, text
 
 
 def values(spark, rows, *columns):
@@ -122,3 +122,14 @@ def test_structural_redaction(spark):
 def test_secret_names():
     assert all(map(redact.names_secret, ("password", "db_password", "apiKey", "api-key", "Authorization", "set-cookie", "authToken")))
     assert not any(map(redact.names_secret, ("tokenizer", "author", "authorizationURL", "cookieJar", "monkey")))
+
+
+def test_short_forms(spark):
+    assert values(spark, ["/a/b", "", None, "plain", "/a/"], display.project_name(F.col("c"))) == ["b", "(unknown)", "(unknown)", "plain", "/a/"]
+    assert values(spark, [" a\nb ", "abcdef"], display.one_line(F.col("c"), 4)) == ["a b", "abcd…"]
+    assert values(spark, ["it's", "plain", ""], display.shell_quoted(F.col("c"))) == ["'it'\\''s'", "plain", "''"]
+    numbers = spark.createDataFrame([(n,) for n in (5, 1500, 12_345, 2_500_000, 3_100_000_000, None)], "n bigint")
+    assert [r[0] for r in numbers.select(display.human_tokens(F.col("n"))).collect()] == ["5", "1.5k", "12k", "2.5M", "3.1B", None]
+    assert [r[0] for r in numbers.select(display.usage_note(F.col("n"), F.lit(True))).collect()][::5] == ["  [5 tok, stale]", ""]
+    ages = spark.createDataFrame([(100_000_000 - a,) for a in (5, 600, 7_200, 200_000)], "n bigint")
+    assert [r[0] for r in ages.select(display.human_age(F.col("n"), 100_000_000)).collect()] == ["just now", "10m ago", "2h ago", "2d ago"]

@@ -66,7 +66,7 @@ def test_ingest_query_change_and_purge(spark, root, tmp_path):
         out.write(event("user", "and now", 9) + "\n" + event("user", "not finished", 10))
     again = ingest_all(store, [str(root)], NOW + 5)
     assert (again.ingested, again.skipped) == (1, 3)
-    assert sorted(r.content for r in store.read("messages").where(F.col("session_uuid") == A).collect()) == ["Read ", "and now", "in the cache", "where is the lockfile"]
+    assert sorted(r.content for r in store.read("messages").where(F.col("session_uuid") == A).collect()) == ["Read src/a.py", "and now", "in the cache", "where is the lockfile"]
     assert store.read("messages").count() == 4 + 1 + 1 + 2 and store.read("sessions").where(F.col("uuid") == A).first().turn_count == 2
 
     os.remove(root / "rollouts" / f"rollout-x-{R}.jsonl")
@@ -84,6 +84,21 @@ def test_a_session_of_another_source_is_refused(spark, root, tmp_path):
     assert store.read("messages").where("content = 'impostor'").count() == 0
 
 
+def test_an_unusable_chat_keeps_what_it_had(spark, root, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    engine = Engine.fresh(store, [str(root)], NOW)
+    assert engine.search("chat", source="gemini").count() == 1
+    path = root / "tmp" / "pid" / "chats" / "session-1.jsonl"
+    path.write_text(path.read_text() + '{"$set": {"messages": null}}\n')
+    for k in (1, 2):
+        ingest_all(store, [str(root)], NOW + k)
+        assert store.read("messages").where(F.col("session_uuid") == B).count() == 2
+        assert store.read("ingest_state").where(F.col("source_file") == str(path)).first().unparsed_lines == k
+    path.write_text(path.read_text() + '{"$set": {"messages": []}}\n')
+    ingest_all(store, [str(root)], NOW + 3)
+    assert store.read("messages").where(F.col("session_uuid") == B).count() == 2
+
+
 def test_scan_of_overlapping_roots_lists_a_file_once(spark, root):
     assert files.scan(spark, [str(root), str(root / "projects")]).count() == 4
     shutil.rmtree(root)

@@ -15,6 +15,7 @@ from threadloom.plans import sessions as session_plan
 from threadloom.plans import usage as usage_plan
 from threadloom.plans.search import SearchFilter
 from threadloom.plans.sessions import SessionFilter
+from threadloom.store import Store, ingest_all, purge_missing
 
 
 class Engine:
@@ -23,6 +24,13 @@ class Engine:
     def __init__(self, data: Dataset, as_of: int, zone: str = "UTC"):
         self.data, self.as_of, self.zone = data, as_of, zone
 
+    @classmethod
+    def fresh(cls, store: Store, roots: list[str], as_of: int, zone: str = "UTC") -> Engine:
+        """Over a store that is brought up to date first."""
+        ingest_all(store, roots, as_of)
+        purge_missing(store, roots)
+        return cls(store.dataset(), as_of, zone)
+
     def _since(self, text: str) -> int:
         return parse_since(text, self.as_of, self.zone)
 

@@ -145,3 +145,10 @@ def live_messages(lines: DataFrame) -> DataFrame:
     live = spark.sql(LIVE, touches=touches, intervals=intervals)
     placed = spark.sql(PLACES, live=live)
     return placed.selectExpr("source_file", "pos", "CASE WHEN id NOT LIKE '\\u0000%' THEN id END AS msg_id", "last.line_no AS line_no", "cast(last.ord AS bigint) AS ord")
+
+
+def unusable_files(lines: DataFrame) -> DataFrame:
+    """Files with a replacement whose messages are no array: nothing of them may be taken."""
+    spark = lines.sparkSession
+    current = spark.sql(CURRENT, ops=spark.sql(OPS, lines=lines))
+    return current.where("kind = 'bad'").select("source_file").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import Dataset
 from threadloom.functions import expr
-from threadloom.operators import ingest
+from threadloom.operators import change_feed, ingest
 from threadloom.shared import drop_path, materialise
 from threadloom.sources import files, transcripts
 from threadloom.streaming.refresh import VersionedTable
@@ -85,7 +85,11 @@ def ingest_all(store: Store, roots: list[str], now: int, full: bool = False, pro
     scanned, changed = listing.select("source_file").count(), todo.select("source_file").count()
     if not changed:
         return Stats(scanned, 0, scanned, 0)
-    lines = materialise(files.lines(todo), "lines")
+    lines = files.lines(todo)
+    # a chat file with an unusable replacement keeps what it had; the pass is counted and tried again
+    broken = materialise(change_feed.unusable_files(_landed(lines.where(files.source_of(F.col("source_file")) == "gemini"))), "broken")
+    todo = todo.join(broken, "source_file", "left_anti")
+    lines = materialise(lines.join(broken, "source_file", "left_anti"), "lines")
     parsed = [_parse(lines, name, projects) for name in transcripts.REGISTRY]
     columns = ["source_file", "session_uuid", "seq", "ts", "role", "content", "raw_line", "tool_name", "acted_kind", "acted_value"]
     every = lambda k: _union([p[k] for p in parsed])
@@ -115,13 +119,21 @@ def ingest_all(store: Store, roots: list[str], now: int, full: bool = False, pro
             "tool_targets": rest("tool_targets").unionByName(tool.unionByName(acted)),
             "session_usage": rest("session_usage").unionByName(usage),
             "quota_snapshots": ingest.merge_quota(store.read("quota_snapshots"), quota),
-            "ingest_state": ingest.merge_state(state, pass_state, monotonic=False),
+            "ingest_state": _count_aborts(ingest.merge_state(state, pass_state, monotonic=False), broken),
             "source_conflicts": ingest.merge_conflicts(store.read("source_conflicts"), clash, taken.select("source_file"), now),
         }
     )
     return Stats(scanned, changed, scanned - changed, sessions.count())
 
 
+def _count_aborts(state: DataFrame, broken: DataFrame) -> DataFrame:
+    """One more unparsed line for each broken file; its offset stays where it was."""
+    new = broken.join(state, "source_file", "left_anti").select("source_file", *[F.lit("" if c.endswith("fingerprint") else 0).alias(c) for c in ingest.STATE[1:]])
+    hit = broken.withColumn("aborted", F.lit(1))
+    rows = state.unionByName(new).join(hit, "source_file", "left")
+    return rows.withColumn("unparsed_lines", F.col("unparsed_lines") + F.coalesce("aborted", F.lit(0))).drop("aborted")
+
+
 def purge_missing(store: Store, roots: list[str]) -> int:
     """Remove the sessions of files that are gone from available roots; returns how many files."""
     spark = store.spark
