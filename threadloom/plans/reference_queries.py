@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import catalog, schema
-from threadloom.functions import expr, redact, text
+from threadloom.functions import display, expr, redact, text
 from threadloom.operators import ingest
 from threadloom.operators.sequence import drop_repeats, number_rows
 from threadloom.plans import ask, doctor, search, sessions, usage
@@ -413,9 +413,17 @@ def rollout_messages(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.rollout_messages(_rollouts(spark, d)).drop("raw_line")
 
 
-@query("event_targets")
+_FIELD = "CASE n " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, (k, f) in schema.TOOL_FIELDS.items() if k != "command") + " END"
+_TARGET = "CASE n " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, (k, _) in schema.TOOL_FIELDS.items()) + " END"
+
+
+@query("event_targets", f"""
+WITH e AS (SELECT j->'$.message.content' AS c FROM {_EV} WHERE j->>'$.type' IN ('user', 'assistant')), b AS (SELECT json_extract(c, '$[' || k || ']') AS b FROM (SELECT c, unnest(range(json_array_length(c)::BIGINT)) AS k FROM e WHERE json_type(c) = 'ARRAY')),
+t AS (SELECT b->>'$.name' AS n, b FROM b WHERE b->>'$.type' = 'tool_use'), v AS (SELECT {_TARGET} AS kind, json_extract_string(b, '$.input.' || {_FIELD}) AS value, json_type(b, '$.input.' || {_FIELD}) AS kt FROM t WHERE {_FIELD} IS NOT NULL)
+SELECT kind, value, count(*) AS n FROM v WHERE kt = 'VARCHAR' AND trim(value) <> '' AND strlen(value) <= 512 GROUP BY 1, 2""")
 def event_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = transcripts.event_messages(_events(spark, d)).where("acted_kind is not null")
+    """Files, patterns and urls that events acted on; commands may be redacted, which SQL cannot repeat."""
+    rows = transcripts.event_messages(_events(spark, d)).where("acted_kind <> 'command' and octet_length(acted_value) <= 512")
     return rows.groupBy(F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -536,6 +544,45 @@ def backfill_targets(spark: SparkSession, d: str) -> DataFrame:
     return ingest.backfill_targets(data.messages, data.tool_targets.where("kind = 'file'"))
 
 
+@query("reset_subagents", "SELECT DISTINCT source_file FROM event_lines WHERE NOT contains(source_file, '/subagents/')")
+def reset_subagents(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.reset_subagents(table(spark, d, "event_lines").select("source_file").distinct())
+
+
+@query("subagent_paths", r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([^/]+)\.jsonl$', 1) AS stem, regexp_matches(source_file, '(^|/)subagents/agent-[^/]*\.jsonl$') AS child, regexp_extract(source_file, '([^/]+)/subagents/[^/]+$', 1) AS parent FROM event_lines""")
+def subagent_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("source_file")
+    return table(spark, d, "event_lines").select(p, files.file_stem(p).alias("stem"), files.is_subagent(p).alias("child"), files.subagent_parent(p).alias("parent")).distinct()
+
+
+@query("rollout_ids", r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\.jsonl$', 1) AS id FROM rollout_lines""")
+def rollout_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rollout_lines").select("source_file", files.last_uuid(F.col("source_file")).alias("id")).distinct()
+
+
+@query("current_lines", "SELECT source_file, line_no, max_by(line_id, (batch_no, line_id)) AS line_id FROM rollout_lines GROUP BY 1, 2")
+def current_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _rollouts(spark, d).select("source_file", "line_no", "line_id")
+
+
+@query("merge_quota", "SELECT source, limit_id, max(observed_at) AS observed_at FROM (SELECT coalesce(nullif(source, ''), 'claude-code') AS source, coalesce(project_path, '') AS limit_id, coalesce(ended_at, 0) AS observed_at FROM sessions) GROUP BY 1, 2")
+def merge_quota(spark: SparkSession, d: str) -> DataFrame:
+    rows = ingest.default_source(table(spark, d, "sessions")).select("source", F.coalesce("project_path", F.lit("")).alias("limit_id"), F.coalesce("ended_at", F.lit(0)).alias("observed_at"))
+    return ingest.merge_quota(rows.where("observed_at % 2 = 0"), rows.where("observed_at % 2 = 1"))
+
+
+@query("drill_down_sessions", f"WITH {TARGETS} SELECT DISTINCT s.uuid, s.title FROM sessions s WHERE {DEFAULT} AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'tool' AND value = 'WebFetch')")
+def drill_down_sessions(spark: SparkSession, d: str) -> DataFrame:
+    data = _data(spark, d)
+    acted = sessions.acted_sessions(data.tool_targets, tool="WebFetch")[0]
+    return data.sessions.where(expr.of_source(F.col("source"), "")).join(acted, F.col("uuid") == F.col("acted"), "left_semi").select("uuid", "title").distinct()
+
+
+@query("tool_targets_all", f"WITH {TARGETS} SELECT message_id, session_uuid, kind, value FROM tt WHERE strlen(value) <= 512")
+def tool_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    return _data(spark, d).tool_targets.where("octet_length(value) <= 512").select("message_id", "session_uuid", "kind", "value")
+
+
 # --- functions ----------------------------------------------------------------------------------
 
 
@@ -555,6 +602,19 @@ def title_from(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", expr.title(F.col("content")).alias("title"))
 
 
+@query("first_line", "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200")
+def first_line(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").where("octet_length(substring_index(content, '\n', 1)) <= 200")
+    return m.select("id", expr.first_line(F.col("content")).alias("line"))
+
+
+@query("display_forms", """SELECT uuid, substr(uuid, 1, 8) AS short, CASE WHEN coalesce(project_path, '') = '' THEN '(unknown)' ELSE regexp_extract(project_path, '([^/]+)$', 1) END AS project,
+CASE WHEN coalesce(ended_at, 0) = 0 THEN '' ELSE strftime(to_timestamp(ended_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS ended FROM sessions WHERE NOT coalesce(project_path, '') LIKE '%/'""")
+def display_forms(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sessions").where("not coalesce(project_path, '') like '%/'")
+    return s.select("uuid", display.short_id(F.col("uuid")).alias("short"), display.project_name(F.col("project_path")).alias("project"), display.minute_of(F.col("ended_at")).alias("ended"))
+
+
 @query("recency_bonus", f"SELECT id, round({_RECENCY}, 9) AS bonus FROM messages")
 def recency_bonus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", F.round(expr.recency(F.col("ts"), AS_OF), 9).alias("bonus"))
@@ -595,6 +655,19 @@ def doctor_usage_coverage(spark: SparkSession, d: str) -> DataFrame:
     return doctor.usage_coverage(_data(spark, d))
 
 
+@query("doctor_stale", f"WITH {STATE} SELECT 'usage diagnostics' AS name, sum(usage_stale) = 0 AS ok, sum(usage_stale)::BIGINT AS n FROM st")
+def doctor_stale(spark: SparkSession, d: str) -> DataFrame:
+    return doctor.stale_usage(_data(spark, d))
+
+
+@query("doctor_reconcile", """
+WITH c AS (SELECT floor(avg(batch_no)) AS cut FROM event_lines), o AS (SELECT source_file, max(line_no) AS off FROM event_lines, c WHERE batch_no <= cut GROUP BY 1), n AS (SELECT source_file, max(line_no) AS size FROM event_lines, c WHERE batch_no > cut GROUP BY 1)
+SELECT CASE WHEN size IS NULL THEN 'missing' WHEN size < off THEN 'truncated' WHEN size > off THEN 'lagging' ELSE 'current' END AS status, count(*) AS n FROM o LEFT JOIN n ON o.source_file = n.source_file GROUP BY 1""")
+def doctor_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _states(spark, d)
+    return doctor.reconcile(new.select("source_file", F.col("last_size").alias("size")), old, ["/var"])
+
+
 @query("doctor_unparsed", "SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM event_lines WHERE NOT json_valid(raw_line)")
 def doctor_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return doctor.unparsed_lines(table(spark, d, "event_lines"))
