@@ -158,7 +158,85 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_VALID = "(SELECT *, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM {})"
+_NUMBERS = r"nullif(regexp_extract({}, '(\d+(?:\.\d+)+)', 1), '')"
+
+_MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+_ISO = r"'^(\d{4})-(\d{2})-(\d{2})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([Zz]|UTC|[+-]\d{2}:?\d{2})?(?:\[([A-Za-z_/]+)\])?$'"
+_BASIC = r"'^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z$'"
+_SLASH = r"'^(\d{2})/(\d{2})/(\d{4}) (\d{1,2}):(\d{2}):(\d{2}) ([AP]M)$'"
+_DOT = r"'^(\d{2})\.(\d{2})\.(\d{4}) (\d{2}):(\d{2}):(\d{2})$'"
+_MAIL = r"'^[A-Za-z]{3}, (\d{2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) ([+-]\d{4})$'"
+_CLOCK = r"'^[A-Za-z]{3} ([A-Za-z]{3}) (\d{2}) (\d{4}) (\d{2}:\d{2}:\d{2}) GMT([+-]\d{4}) \(.*\)$'"
+_G = "regexp_extract(v, {}, {})"
+
+
+def _month(pattern: str, k: int) -> str:
+    return f"lpad(cast(list_position({_MONTHS}, lower({_G.format(pattern, k)})) AS VARCHAR), 2, '0')"
+
+
+def _p7_sql() -> str:
+    g = lambda p, k: _G.format(p, k)
+    wall = f"""CASE WHEN regexp_matches(v, {_ISO}) THEN {g(_ISO, 1)} || '-' || {g(_ISO, 2)} || '-' || {g(_ISO, 3)} || ' ' || {g(_ISO, 4)} || ':' || {g(_ISO, 5)} || ':' || CASE {g(_ISO, 6)} WHEN '' THEN '00' ELSE {g(_ISO, 6)} END
+      WHEN regexp_matches(v, {_BASIC}) THEN {g(_BASIC, 1)} || '-' || {g(_BASIC, 2)} || '-' || {g(_BASIC, 3)} || ' ' || {g(_BASIC, 4)} || ':' || {g(_BASIC, 5)} || ':' || {g(_BASIC, 6)}
+      WHEN regexp_matches(v, {_SLASH}) THEN {g(_SLASH, 3)} || '-' || {g(_SLASH, 1)} || '-' || {g(_SLASH, 2)} || ' ' || lpad(cast(cast({g(_SLASH, 4)} AS INT) % 12 + CASE {g(_SLASH, 7)} WHEN 'PM' THEN 12 ELSE 0 END AS VARCHAR), 2, '0') || ':' || {g(_SLASH, 5)} || ':' || {g(_SLASH, 6)}
+      WHEN regexp_matches(v, {_DOT}) THEN {g(_DOT, 3)} || '-' || {g(_DOT, 2)} || '-' || {g(_DOT, 1)} || ' ' || {g(_DOT, 4)} || ':' || {g(_DOT, 5)} || ':' || {g(_DOT, 6)}
+      WHEN regexp_matches(v, {_MAIL}) THEN {g(_MAIL, 3)} || '-' || {_month(_MAIL, 2)} || '-' || {g(_MAIL, 1)} || ' ' || {g(_MAIL, 4)}
+      WHEN regexp_matches(v, {_CLOCK}) THEN {g(_CLOCK, 3)} || '-' || {_month(_CLOCK, 1)} || '-' || {g(_CLOCK, 2)} || ' ' || {g(_CLOCK, 4)} END"""
+    zone = f"CASE WHEN regexp_matches(v, {_ISO}) THEN {g(_ISO, 8)} WHEN regexp_matches(v, {_BASIC}) THEN 'Z' WHEN regexp_matches(v, {_MAIL}) THEN {g(_MAIL, 5)} WHEN regexp_matches(v, {_CLOCK}) THEN {g(_CLOCK, 5)} ELSE '' END"
+    line = lambda t, f, w: f"SELECT '{t}' AS src, line_id AS row_id, machine, trim(j->>'$.{f}') AS v, j->>'$.{f}' AS raw FROM {_VALID.format(t)} WHERE json_type(j, '$.{f}') IN ('VARCHAR', 'UBIGINT', 'BIGINT') AND {w}"
+    return f"""
+WITH l AS ({line('event_lines', 'timestamp', 'true')} UNION ALL {line('rollout_lines', 'timestamp', 'true')} UNION ALL {line('chat_lines', 'startTime', 'line_no = 1')}),
+w AS (SELECT src, row_id, v, {zone} AS off, try_strptime({wall}, '%Y-%m-%d %H:%M:%S') AS wall, CASE WHEN regexp_matches(v, {_ISO}) THEN rpad(left({g(_ISO, 7)}, 6), 6, '0')::BIGINT ELSE 0 END AS frac, m.time_zone AS tz
+  FROM l LEFT JOIN machines m ON m.machine = l.machine WHERE NOT regexp_matches(raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z$')),
+n AS (SELECT src, row_id, v FROM w UNION ALL SELECT 'messages', id, cast(ts AS VARCHAR) FROM messages WHERE ts > 0 AND ts NOT BETWEEN 315532800 AND 7258118399),
+k AS (SELECT src, row_id, split_part(v, '.', 1) AS a, rpad(left(split_part(v, '.', 2), 6), 6, '0')::BIGINT AS b FROM n WHERE regexp_matches(v, '^[1-9][0-9]*([.][0-9]+)?$')),
+x AS (SELECT *, epoch_us(timezone(tz, wall)) AS c FROM w WHERE wall IS NOT NULL AND year(wall) > 0)
+SELECT src, row_id, CASE length(a) WHEN 10 THEN a::BIGINT * 1000000 + b WHEN 13 THEN a::BIGINT * 1000 WHEN 16 THEN a::BIGINT WHEN 19 THEN a::BIGINT // 1000 END AS utc_us FROM k WHERE length(a) IN (10, 13, 16, 19)
+UNION ALL SELECT src, row_id, frac + CASE WHEN upper(off) IN ('Z', 'UTC') THEN epoch_us(wall)
+  WHEN off <> '' THEN epoch_us(wall) - (CASE left(off, 1) WHEN '-' THEN -1 ELSE 1 END) * (left(right(off, length(off) - 1), 2)::BIGINT * 3600 + right(off, 2)::BIGINT * 60) * 1000000
+  WHEN timezone(tz, make_timestamptz(c - 3600000000)) = wall THEN c - 3600000000 ELSE c END FROM x"""
+
+
 ORACLES = {
+    "p3_found": f"""
+WITH e AS (SELECT 'claude-code' AS src, j->>'$.type' AS record, {_NUMBERS.format("j->>'$.version'")} AS version, j AS body FROM {_VALID.format('event_lines')} WHERE json_type(j) = 'OBJECT'),
+m AS (SELECT 'codex' AS src, 'session_meta' AS record, {_NUMBERS.format("coalesce(j->>'$.payload.cli_version.semver', j->>'$.payload.cli_version')")} AS version, j->'$.payload' AS body FROM {_VALID.format('rollout_lines')} WHERE j->>'$.type' = 'session_meta'),
+c AS (SELECT source_file, arg_max({_NUMBERS.format("j->>'$.cliVersion'")}, (batch_no, line_id)) FILTER (WHERE {_NUMBERS.format("j->>'$.cliVersion'")} IS NOT NULL) AS version FROM {_VALID.format('chat_lines')} WHERE line_no = 1 GROUP BY 1),
+t AS (SELECT source_file, j->'$.tokens' AS body FROM {_VALID.format('chat_lines')} WHERE line_no > 1 AND json_type(j, '$."$set"') IS NULL
+  UNION ALL SELECT source_file, json_extract(l, '$[' || k || '].tokens') FROM (SELECT source_file, j->'$."$set".messages' AS l, unnest(range(json_array_length(j->'$."$set".messages')::BIGINT)) AS k FROM {_VALID.format('chat_lines')} WHERE line_no > 1 AND json_type(j, '$."$set".messages') = 'ARRAY')),
+r AS (SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT 'gemini', 'tokens', version, body FROM t JOIN c USING (source_file) WHERE json_type(body) = 'OBJECT'),
+n AS (SELECT src, version, row_number() OVER (PARTITION BY src ORDER BY string_split(version, '.')::INT[]) AS i FROM (SELECT DISTINCT src, version FROM r WHERE version IS NOT NULL)),
+x AS (SELECT DISTINCT src, record, i, field, CASE json_type(body, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
+  FROM (SELECT *, unnest(json_keys(body)) AS field FROM r) JOIN n USING (src, version)),
+f AS (SELECT src, record, i, field, string_agg(kind, ',' ORDER BY kind) AS kinds FROM x WHERE kind IS NOT NULL AND field <> 'timestamp' GROUP BY 1, 2, 3, 4),
+p AS (SELECT DISTINCT r.src, r.record, n.i FROM r JOIN n ON r.src = n.src AND r.version = n.version WHERE record IS NOT NULL),
+gone AS (SELECT a.src, a.record, a.i + 1 AS i, a.field, a.kinds FROM f a JOIN p ON p.src = a.src AND p.record = a.record AND p.i = a.i + 1 LEFT JOIN f b ON b.src = a.src AND b.record = a.record AND b.field = a.field AND b.i = a.i + 1 WHERE b.field IS NULL),
+fresh AS (SELECT a.src, a.record, a.i, a.field, a.kinds FROM f a JOIN p ON p.src = a.src AND p.record = a.record AND p.i = a.i - 1 LEFT JOIN f b ON b.src = a.src AND b.record = a.record AND b.field = a.field AND b.i = a.i - 1 WHERE b.field IS NULL),
+pairs AS (SELECT g.src, g.record, g.i, min(g.field) AS field, min(h.field) AS new_field FROM gone g JOIN fresh h ON g.src = h.src AND g.record = h.record AND g.i = h.i AND g.kinds = h.kinds GROUP BY 1, 2, 3 HAVING count(*) = 1),
+d AS (SELECT src, record, field, new_field, 'renamed' AS change, i FROM pairs
+  UNION ALL SELECT g.src, g.record, g.field, '', 'removed', g.i FROM gone g LEFT JOIN pairs q ON q.src = g.src AND q.record = g.record AND q.i = g.i AND q.field = g.field WHERE q.field IS NULL
+  UNION ALL SELECT h.src, h.record, h.field, '', 'added', h.i FROM fresh h LEFT JOIN pairs q ON q.src = h.src AND q.record = h.record AND q.i = h.i AND q.new_field = h.field WHERE q.field IS NULL
+  UNION ALL SELECT a.src, a.record, a.field, '', 'retyped', a.i FROM f a JOIN f b ON b.src = a.src AND b.record = a.record AND b.field = a.field AND b.i = a.i - 1 WHERE a.kinds <> b.kinds
+  UNION ALL SELECT a.src, a.record, '*', '', 'removed', a.i + 1 FROM p a LEFT JOIN p b ON b.src = a.src AND b.record = a.record AND b.i = a.i + 1 WHERE b.i IS NULL AND a.i < (SELECT max(i) FROM n WHERE n.src = a.src)
+  UNION ALL SELECT a.src, a.record, '*', '', 'added', a.i FROM p a LEFT JOIN p b ON b.src = a.src AND b.record = a.record AND b.i = a.i - 1 WHERE b.i IS NULL AND a.i > 1)
+SELECT d.src, d.record, d.field, d.new_field, d.change, n.version FROM d JOIN n ON n.src = d.src AND n.i = d.i""",
+    "p4_found": """
+WITH RECURSIVE c AS (SELECT source_file, line_no, arg_max(raw_line, (batch_no, line_id)) AS raw FROM chat_lines WHERE line_no >= 2 GROUP BY 1, 2),
+j AS (SELECT source_file, line_no, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM c),
+o AS (SELECT source_file, line_no, row_number() OVER (PARTITION BY source_file ORDER BY line_no) AS n,
+  CASE WHEN json_type(j, '$."$set"') IS NOT NULL THEN CASE coalesce(json_type(j, '$."$set".messages'), '') WHEN '' THEN 'none' WHEN 'ARRAY' THEN 'set' ELSE 'bad' END WHEN json_type(j, '$."$rewindTo"') = 'VARCHAR' THEN 'rewind' WHEN j->>'$.id' <> '' THEN 'put' ELSE 'none' END AS kind,
+  CASE WHEN json_type(j, '$."$rewindTo"') = 'VARCHAR' THEN j->>'$."$rewindTo"' ELSE j->>'$.id' END AS id, json_extract_string(j, '$."$set".messages[*].id') AS ids FROM j WHERE j IS NOT NULL),
+r(source_file, n, live) AS (
+  SELECT DISTINCT source_file, 0::BIGINT, []::STRUCT(id VARCHAR, line BIGINT)[] FROM o
+  UNION ALL SELECT r.source_file, o.n, CASE o.kind
+    WHEN 'set' THEN list_transform(o.ids, lambda x: {'id': x, 'line': o.line_no})
+    WHEN 'put' THEN CASE WHEN list_contains(list_transform(live, lambda x: x.id), o.id) THEN list_transform(live, lambda x: CASE WHEN x.id = o.id THEN {'id': x.id, 'line': o.line_no} ELSE x END) ELSE list_append(live, {'id': o.id, 'line': o.line_no}) END
+    WHEN 'rewind' THEN CASE WHEN list_contains(list_transform(live, lambda x: x.id), o.id) THEN live[1:list_position(list_transform(live, lambda x: x.id), o.id) - 1] ELSE live END
+    ELSE live END
+  FROM r JOIN o ON o.source_file = r.source_file AND o.n = r.n + 1),
+z AS (SELECT source_file, arg_max(live, n) AS live FROM r WHERE source_file NOT IN (SELECT source_file FROM o WHERE kind = 'bad') GROUP BY 1)
+SELECT source_file, (k - 1)::BIGINT AS pos, live[k].id AS msg_id, live[k].line::BIGINT AS line_no FROM (SELECT source_file, live, unnest(range(1, len(live) + 1)) AS k FROM z)""",
     "p1_found": """
 WITH c AS (
   SELECT line_id, batch_no, 'e' AS src, j->>'$.type' AS type, j->>'$.uuid' AS ident FROM (SELECT line_id, batch_no, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM event_lines)
@@ -189,4 +267,4 @@ UNION ALL SELECT line_id, child, idx, ord FROM tb WHERE json_type(x) = 'OBJECT'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"p7_found": _p7_sql()}
