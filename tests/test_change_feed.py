@@ -91,6 +91,11 @@ def test_unusable_replacement_and_empty(spark):
     assert run(spark, []) == set()
 
 
+def test_nulls_in_every_column(spark):
+    lines = [(None, 2, 1, 0, '{"id":"x"}', None, None, None), ("a", None, 2, 0, '{"id":"x"}', None, None, None), ("a", 2, None, None, '{"id":"old"}', None, None, None), ("a", 2, 3, 0, '{"id":"y"}', None, None, None), ("a", 3, 4, None, '{"id":"z"}', None, None, None)]
+    assert run(spark, lines) == {("a", 0, "y", 2), ("a", 1, "z", 3)}
+
+
 def test_columns_of_last_writers(spark):
     rows = [
         (1, 1, "insert", "a", "x", None), (1, 2, "update", None, "y", None), (1, 2, "update", None, "y", None), (2, 1, "insert", "b", "z", 1), (2, 3, "delete", None, None, None), (2, 2, "update", "late", None, None),

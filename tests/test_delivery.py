@@ -63,3 +63,17 @@ def test_index_survives_merges(spark):
     assert len(index.runs) <= 2
     kept = sorted(r.row_id for r in index.kept().collect())
     assert kept == sorted([h for h in range(10)] + [100 * k + k + 9 for k in range(1, 5)])
+
+
+def test_intermediate_tables_can_be_dropped(spark, tmp_path):
+    from threadloom import shared
+
+    df = shared.materialise(spark.range(3), "numbers")
+    assert df.count() == 3 and spark.sparkContext.applicationId in df.inputFiles()[0]
+    path = shared.new_path(spark, "gone")
+    spark.range(2).write.parquet(path)
+    shared.drop_path(spark, path)
+    import pytest
+
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -134,7 +134,8 @@ def live_messages(lines: DataFrame) -> DataFrame:
     nothing; a message without an id inside a replacement keeps its place and has a null id; an id
     repeated inside one replacement keeps its first place and its last content.  ``ord`` is the
     index of the message in the replacement that gave it its content, 0 for a single message.
-    Files with no live message have no rows.
+    Files with no live message have no rows; lines
+    without a file or line number are ignored, a null batch counts as the oldest.
     """
     spark = lines.sparkSession
     ops = spark.sql(OPS, lines=lines)

@@ -10,6 +10,7 @@ from threadloom.catalog import Dataset
 from threadloom.functions import expr, text
 from threadloom.plans.search import SearchFilter, retrieve
 from threadloom.plans.sessions import windows
+from threadloom.shared import materialise
 
 
 def _groups(candidates: DataFrame, sessions: int) -> DataFrame:
@@ -42,7 +43,8 @@ def ask(data: Dataset, question: str, as_of: int, since: int = 0, project: str =
     """
     window = window if window > 0 else 2
     tokens = max(schema.LEAST_ASK_TOKENS, min(tokens if tokens > 0 else 2000, schema.LIMITS["ask_tokens"][1]))
-    top = groups(data, question, as_of, since, project, source, sessions)
+    # a row for each of a few sessions, used twice below: written once, so that the messages are searched once
+    top = materialise(groups(data, question, as_of, since, project, source, sessions), "groups")
     hits = top.select("session_uuid", F.explode("hits").alias("hit_seq"))  # at most three for each group
     rows = windows(data.messages, hits, window, window)
     merged = rows.groupBy("session_uuid", "seq").agg(F.max(F.col("seq") == F.col("hit_seq")).alias("is_hit"), F.min_by(F.struct("role", F.coalesce("ts", F.lit(0)).cast("bigint").alias("ts"), "content"), "id").alias("m"))
