@@ -85,7 +85,8 @@ FROM (SELECT c.source_file, c.line_no, posexplode(c.ids) AS (pos, id)
 """
 
 #: A rewind that finds its message live at birth b removes everything born in [b, rewind).  Only rewinds
-#: and the changes of messages that some rewind names are folded, each a few numbers.
+#: and the changes of messages that some rewind names are folded, each a few numbers.  An interval takes in
+#: the earlier ones that began behind its start; those that began before ended before, so all are disjoint.
 INTERVALS = """
 SELECT source_file, aggregate(
     array_sort(collect_list(struct(line_no, ord, kind, id))),
@@ -96,7 +97,7 @@ SELECT source_file, aggregate(
       WHEN NOT exists(a.live, x -> x.id = o.id) THEN a
       ELSE named_struct(
         'live', slice(a.live, 1, cast(array_position(transform(a.live, x -> x.id), o.id) AS int) - 1),
-        'gone', array_append(a.gone, named_struct(
+        'gone', array_append(filter(a.gone, g -> g.line_no < element_at(filter(a.live, x -> x.id = o.id), 1).line_no OR (g.line_no = element_at(filter(a.live, x -> x.id = o.id), 1).line_no AND g.ord < element_at(filter(a.live, x -> x.id = o.id), 1).ord)), named_struct(
             'line_no', element_at(filter(a.live, x -> x.id = o.id), 1).line_no,
             'ord', element_at(filter(a.live, x -> x.id = o.id), 1).ord,
             'until', o.line_no)))
@@ -107,13 +108,21 @@ FROM (
 GROUP BY source_file
 """
 
+#: The intervals of each stretch of 1,024 lines: as they are disjoint, no more than its lines.
+COVER = """
+SELECT source_file, stretch, collect_list(g) AS gone
+FROM (SELECT source_file, g, explode(sequence(g.line_no DIV 1024, (g.until - 1) DIV 1024)) AS stretch
+      FROM (SELECT source_file, explode(gone) AS g FROM {intervals}))
+GROUP BY source_file, stretch
+"""
+
 #: The birth of a live message is its first change that no rewind removed, its content that of its last change.
 LIVE = """
 SELECT source_file, id, min(CASE WHEN NOT lost THEN struct(line_no, ord) END) AS birth, max(struct(line_no, ord)) AS last
 FROM (
   SELECT t.source_file, t.id, t.line_no, t.ord,
-    coalesce(exists(i.gone, g -> (g.line_no < t.line_no OR (g.line_no = t.line_no AND g.ord <= t.ord)) AND t.line_no < g.until), false) AS lost
-  FROM {touches} t LEFT JOIN {intervals} i ON t.source_file = i.source_file WHERE t.kind = 'put')
+    coalesce(exists(c.gone, g -> (g.line_no < t.line_no OR (g.line_no = t.line_no AND g.ord <= t.ord)) AND t.line_no < g.until), false) AS lost
+  FROM {touches} t LEFT JOIN {cover} c ON t.source_file = c.source_file AND t.line_no DIV 1024 = c.stretch WHERE t.kind = 'put')
 GROUP BY source_file, id HAVING birth IS NOT NULL
 """
 
@@ -143,7 +152,8 @@ def live_messages(lines: DataFrame) -> DataFrame:
     since = spark.sql(SINCE, current=current)
     touches = spark.sql(TOUCHES, current=current, since=since)
     intervals = spark.sql(INTERVALS, touches=touches)
-    live = spark.sql(LIVE, touches=touches, intervals=intervals)
+    cover = spark.sql(COVER, intervals=intervals)
+    live = spark.sql(LIVE, touches=touches, cover=cover)
     placed = spark.sql(PLACES, live=live)
     return placed.selectExpr("source_file", "pos", "CASE WHEN id NOT LIKE '\\u0000%' THEN id END AS msg_id", "last.line_no AS line_no", "cast(last.ord AS bigint) AS ord")
 
