@@ -125,6 +125,20 @@ def test_pages_and_windows(data):
     assert sessions.get_window(data, "s2", 1, 1, 1).count() == 0
 
 
+def test_windows_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "STRETCH", 4)
+    rows = [(k, f"s{k % 2}", k // 2, 1, "user" if k // 2 % 11 in (0, 1, 7) else "tool_use", f"t{k}", None) for k in range(400)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    hits = spark.createDataFrame([("s0", 0), ("s0", 50), ("s1", 103), ("s1", 199), ("s1", 500), ("zz", 1)], "session_uuid string, hit_seq int")
+    got = {}
+    for r in sessions.windows(df, hits, 2, 3).collect():
+        got.setdefault((r.session_uuid, r.hit_seq), []).append(r.seq)
+    for u, q in (("s0", 0), ("s0", 50), ("s1", 103), ("s1", 199), ("s1", 500)):
+        shown = [r[2] for r in rows if r[1] == u and r[4] == "user"]
+        assert sorted(got[u, q]) == [s for s in shown if s <= q][-3:] + [s for s in shown if s > q][:3]
+    assert ("zz", 1) not in got
+
+
 def test_activity(data):
     assert [tuple(r) for r in sessions.activity_by_kind(data, "command", source="all").collect()] == [("Go Test ./...", 1), ("ls", 1)]
     assert [tuple(r) for r in sessions.activity_by_kind(data, "file", since=6).collect()] == [("src/a.py", 1)]

@@ -110,20 +110,30 @@ def read_messages(data: Dataset, uuid: str, offset: int = 0, limit: int = 50, to
     return numbered.where(F.col("rn") <= limit).select("seq", "id", "ts", "role", "content", "raw_json", (F.col("n") > limit).alias("has_more"))
 
 
+STRETCH = 1024
+
+
 def windows(messages: DataFrame, hits: DataFrame, before: int, after: int, tool_output: bool = False) -> DataFrame:
     """For each hit (session_uuid, hit_seq) the rows around it, counted among the rows shown.
 
     Up to ``before`` rows before the hit and the hit itself (or, if it isn't shown, ``before`` + 1
-    rows up to it) and up to ``after`` rows behind.  All hits are answered by one join; the
-    ranks are taken within the few sessions that were hit.
+    rows up to it) and up to ``after`` rows behind.  All hits are answered by one join.  Sessions are
+    counted by stretches of sequence numbers first, and only the stretches near a hit that are
+    needed are ranked: a session of any length costs a few of them.
     """
     shown = messages if tool_output else messages.where(F.col("role").isin(*schema.DIALOGUE))
-    rows = shown.join(F.broadcast(hits.select("session_uuid").distinct()), "session_uuid", "left_semi")
-    rows = rows.join(F.broadcast(hits), "session_uuid")
+    hits = hits.select("session_uuid", "hit_seq").distinct()
+    rows = shown.join(F.broadcast(hits.select("session_uuid").distinct()), "session_uuid", "left_semi").withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    counts = rows.groupBy("session_uuid", "stretch").agg(F.count("*").alias("n")).join(F.broadcast(hits), "session_uuid")
+    side = F.signum(F.col("stretch") - F.floor(F.col("hit_seq") / STRETCH))
+    nearest = Window.partitionBy("session_uuid", "hit_seq", "side").orderBy(F.abs(F.col("stretch") - F.floor(F.col("hit_seq") / STRETCH)))
+    reached = counts.withColumn("side", side).withColumn("closer", F.sum("n").over(nearest) - F.col("n"))
+    needed = reached.where((F.col("side") == 0) | ((F.col("side") < 0) & (F.col("closer") <= before)) | ((F.col("side") > 0) & (F.col("closer") < after)))
+    rows = rows.join(F.broadcast(needed.select("session_uuid", "stretch", "hit_seq")), ["session_uuid", "stretch"])  # a few stretches for each hit
     up, down = Window.partitionBy("session_uuid", "hit_seq", "upto").orderBy(F.desc("seq"), F.desc("id")), Window.partitionBy("session_uuid", "hit_seq", "upto").orderBy("seq", "id")
     rows = rows.withColumn("upto", F.col("seq") <= F.col("hit_seq"))
     rows = rows.withColumn("above", F.row_number().over(up)).withColumn("below", F.row_number().over(down))
-    return rows.where(F.when(F.col("upto"), F.col("above") <= before + 1).otherwise(F.col("below") <= after)).drop("above", "below", "upto")
+    return rows.where(F.when(F.col("upto"), F.col("above") <= before + 1).otherwise(F.col("below") <= after)).drop("above", "below", "upto", "stretch")
 
 
 def get_window(data: Dataset, uuid: str, hit_seq: int, before: int = 2, after: int = 2, tool_output: bool = False) -> DataFrame:
