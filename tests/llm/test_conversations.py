@@ -43,7 +43,9 @@ def test_random_sessions_against_brute_force(spark, monkeypatch):
                 continue
             for _ in range(rng.choice([1, 1, 1, 1, 2])):
                 i += 1
-                role = rng.choice(["user", "assistant"]) if rng.random() < 0.1 else [" User", "Model ", "human", "gemini"][q % 2 + rng.choice([0, 2]) * (q % 2 == 0)] if rng.random() < 0.95 else rng.choice(["thinking", "tool_use", None, "n/a", "system"])
+                role = rng.choice(["user", "assistant"]) if rng.random() < 0.1 else [" User", "Model ", "human", "gemini"][q % 2 + rng.choice([0, 2]) * (q % 2 == 0)] if rng.random() < 0.95 else rng.choice(
+                    ["thinking", "tool_use", None, "n/a", "system"]
+                )
                 text = rng.choice(["hi"] * 12 + [None, "", " ​ ", "\n"])
                 messages.append((i, f"s{s}", q if rng.random() > 0.01 else None, None, role, text, None, None))
     rng.shuffle(messages)
@@ -74,7 +76,9 @@ def test_rebuilt_rows_and_gaps(spark):
 
 
 def test_units_of_time(spark):
-    df = spark.createDataFrame([(None,), (0,), (1756720800,), (1756720800123,), (1756720800123456,), (1756720800123456789,)], "ts bigint")
+    df = spark.createDataFrame(
+        [(None,), (0,), (1756720800,), (1756720800123,), (1756720800123456,), (1756720800123456789,)], "ts bigint"
+    )
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(cv.epoch_seconds(F.col("ts"))).collect()] == [None, None, *[1756720800] * 4]

@@ -84,8 +84,14 @@ def test_texts_without_spaces(items):
 
 def test_rows(spark, items):
     passage = items[0][1]
-    docs = spark.createDataFrame([(1, passage, 0), (1, passage, 1), (2, None, 0), (3, "", 0), (4, "short", 0), (5, "x " * 200_000 + passage, 0)], "doc_id bigint, text string, item_id int")
-    held = spark.createDataFrame([(k, t, "x") for k, t in items] + [(0 + 50, passage, "x"), (60, None, "x"), (61, "", "x")], "item_id bigint, text string, doc_id string")
+    docs = spark.createDataFrame(
+        [(1, passage, 0), (1, passage, 1), (2, None, 0), (3, "", 0), (4, "short", 0), (5, "x " * 200_000 + passage, 0)],
+        "doc_id bigint, text string, item_id int",
+    )
+    held = spark.createDataFrame(
+        [(k, t, "x") for k, t in items] + [(0 + 50, passage, "x"), (60, None, "x"), (61, "", "x")],
+        "item_id bigint, text string, doc_id string",
+    )
     got = sorted(tuple(r) for r in lk.find_leaks(docs, held).collect())
     assert got == sorted([(0, 1), (0, 1), (50, 1), (50, 1), (0, 5), (50, 5)])
     assert lk.find_leaks(docs, held.limit(0)).count() == 0 and lk.find_leaks(docs.limit(0), held).count() == 0

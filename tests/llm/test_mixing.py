@@ -76,6 +76,9 @@ def test_empty(spark, docs):
 
 
 def test_tokens_of_whole_texts(spark):
-    df = spark.createDataFrame([(1, "a", "hello world <|endoftext|>"), (2, "a", None), (3, "a", "x y " * 100_000)], "doc_id bigint, source string, text string")
+    df = spark.createDataFrame(
+        [(1, "a", "hello world <|endoftext|>"), (2, "a", None), (3, "a", "x y " * 100_000)],
+        "doc_id bigint, source string, text string",
+    )
     got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df).collect()}
     assert got[1] > 5 and got[2] == 0 and got[3] >= 200_000

@@ -37,7 +37,10 @@ def test_single_lines_and_double_decoding(stats):
     assert out.split("\n")[0] == "fine: été" and out.split("\n")[1] == CLEAN[0] and found
 
 
-@pytest.mark.parametrize(("read", "written", "k"), [("cp850", "latin-1", 1), ("cp1251", "latin-1", 2), ("cp1251", "koi8_r", 4), ("koi8_r", "cp1251", 4)])
+@pytest.mark.parametrize(
+    ("read", "written", "k"),
+    [("cp850", "latin-1", 1), ("cp1251", "latin-1", 2), ("cp1251", "koi8_r", 4), ("koi8_r", "cp1251", 4)],
+)
 def test_one_page_read_as_another(stats, read, written, k):
     broken = CLEAN[k].replace("’", "'").encode(written).decode(read)
     out, found = mb.restore(broken, *stats)
@@ -64,7 +67,13 @@ def test_automaton_takes_maximal_spans_only():
 
 
 def test_repair_rows(spark):
-    rows = [(1, "été".encode().decode("cp1252"), "clash", 0), (2, None, None, None), (3, "", "x", 1), (1, "été".encode().decode("cp1252"), "again", 2), (4, "clean é", "", 3)]
+    rows = [
+        (1, "été".encode().decode("cp1252"), "clash", 0),
+        (2, None, None, None),
+        (3, "", "x", 1),
+        (1, "été".encode().decode("cp1252"), "again", 2),
+        (4, "clean é", "", 3),
+    ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, how string, row_id int")
     assert sorted(tuple(r) for r in mb.repair(df).collect()) == [(1, "été", "utf-8 as cp1252")] * 2
     assert mb.repair(df.limit(0)).count() == 0

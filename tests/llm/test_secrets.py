@@ -37,14 +37,20 @@ HARMLESS = [
     lambda: "API_KEY=YOUR_API_KEY_HERE", lambda: "password: ********", lambda: 'secret = "xxxxxxxxxxxxxxxxxxxx"', lambda: "password: ${DB_PASSWORD}", lambda: 'token = os.environ["APP_TOKEN"]', lambda: "Authorization: Bearer [REDACTED:token]", lambda: "max_token_count: 6687",
     lambda: f"request_id: {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", lambda: 'x = "kago-506"', lambda: "The password field must have 14 characters, and the token expires.", lambda: "sk-learn pipeline step, see cookie: enabled", lambda: "postgres://user:$DB_PASS@host:5432/x", lambda: "const x = load('abc', 6713);",
 ]
-PROSE = ["After 8 runs the prompt in src/tokenizer_mo.ts was stale.", "def tora(x):\n    return x + 2526", "We traced it to mock_x() at 2025-09-01T10:00:00Z."]
+PROSE = [
+    "After 8 runs the prompt in src/tokenizer_mo.ts was stale.",
+    "def tora(x):\n    return x + 2526",
+    "We traced it to mock_x() at 2025-09-01T10:00:00Z.",
+]
 
 
 def texts(makers, n):
     out = []
     for k in range(n):
         body = "\n".join([RNG.choice(PROSE), makers[k % len(makers)](), RNG.choice(PROSE)])
-        out.append(("content", body) if k % 2 else ("raw_json", json.dumps({"uuid": f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", "message": {"content": body}})))
+        out.append(
+            ("content", body) if k % 2 else ("raw_json", json.dumps({"uuid": f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", "message": {"content": body}})),
+        )
     return out
 
 
@@ -79,7 +85,14 @@ def test_blanked_copies_keep_their_length():
 def test_null_empty_long_and_repeated(spark, model, monkeypatch):
     monkeypatch.setattr(sc, "train", lambda sample: model)
     secret = f"KEY=\"sk-{alnum(40)}\""
-    rows = [(1, secret, None), (1, secret, None), (2, None, ""), (3, "", None), (4, "w " * 200_000 + secret, "harmless text"), (5, "nothing", secret)]
+    rows = [
+        (1, secret, None),
+        (1, secret, None),
+        (2, None, ""),
+        (3, "", None),
+        (4, "w " * 200_000 + secret, "harmless text"),
+        (5, "nothing", secret),
+    ]
     df = spark.createDataFrame(rows, "id bigint, content string, redacted string")
     got = sorted((r.row_id, r.field, r.n) for r in sc.scan([(df, "t", "id", {"content": "content", "raw_json": "redacted"})]).collect())
     assert got == [(1, "content", 1), (1, "content", 1), (4, "content", 1), (5, "raw_json", 1)]

@@ -15,7 +15,17 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 #: Known roles and the spellings that mean them.
-ROLES = {"user": "user", "human": "user", "assistant": "assistant", "model": "assistant", "gemini": "assistant", "system": "system", "thinking": "thinking", "tool_use": "tool_use", "tool_result": "tool_result"}
+ROLES = {
+    "user": "user",
+    "human": "user",
+    "assistant": "assistant",
+    "model": "assistant",
+    "gemini": "assistant",
+    "system": "system",
+    "thinking": "thinking",
+    "tool_use": "tool_use",
+    "tool_result": "tool_result",
+}
 #: A gap longer than this quantile of all gaps, times GAP_FACTOR, starts a new segment.
 GAP_QUANTILE, GAP_FACTOR = 0.99, 4
 
@@ -32,13 +42,24 @@ def is_blank(content: Column) -> Column:
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a time in seconds, milli-, micro- or nanoseconds; null without one."""
-    return F.when(ts <= 0, None).when(ts < 100_000_000_000, ts).when(ts < 100_000_000_000_000, F.floor(ts / 1000)).when(ts < 100_000_000_000_000_000, F.floor(ts / 1_000_000)).otherwise(F.floor(ts / 1_000_000_000))
+    return F.when(ts <= 0, None).when(ts < 100_000_000_000, ts).when(ts < 100_000_000_000_000, F.floor(ts / 1000)).when(
+        ts < 100_000_000_000_000_000, F.floor(ts / 1_000_000)
+    ).otherwise(F.floor(ts / 1_000_000_000))
 
 
 def first_copies(messages: DataFrame) -> DataFrame:
     """One row per (session_uuid, seq), that with the smallest id: (session_uuid, seq, id, role, dialogue, at)."""
     role = known_role(F.col("role"))
-    rows = messages.where("session_uuid is not null").select("session_uuid", "seq", "id", F.struct(role.alias("role"), (role.isin("user", "assistant") & ~is_blank(F.col("content"))).alias("dialogue"), epoch_seconds(F.col("ts")).alias("at")).alias("v"))
+    rows = messages.where("session_uuid is not null").select(
+        "session_uuid",
+        "seq",
+        "id",
+        F.struct(
+            role.alias("role"),
+            (role.isin("user", "assistant") & ~is_blank(F.col("content"))).alias("dialogue"),
+            epoch_seconds(F.col("ts")).alias("at"),
+        ).alias("v"),
+    )
     kept = rows.groupBy("session_uuid", "seq").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
     return kept.select("session_uuid", "seq", "id", "v.role", F.coalesce("v.dialogue", F.lit(False)).alias("dialogue"), "v.at")
 
@@ -50,7 +71,9 @@ def _blocks(copies: DataFrame) -> DataFrame:
     got = rows.groupBy("session_uuid", "block").agg(
         F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.col("seq").isNull()).alias("unplaced"), F.max(F.col("role").isNull()).alias("stranger"), F.array_sort(F.collect_list(turn)).alias("turns")
     )
-    unanswered = F.exists(F.sequence(F.lit(2), F.size("turns")), lambda k: F.element_at("turns", k - 1)["user"] & F.element_at("turns", k)["user"])
+    unanswered = F.exists(
+        F.sequence(F.lit(2), F.size("turns")), lambda k: F.element_at("turns", k - 1)["user"] & F.element_at("turns", k)["user"]
+    )
     some = F.size("turns") > 0
     return got.select(
         "session_uuid", "block", "n", "low", "high", "unplaced", "stranger",
@@ -71,16 +94,34 @@ def judge(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     blocks = _blocks(first_copies(messages))
     # across blocks without turns: the next block that has some
     order = Window.partitionBy("session_uuid").orderBy("block")
-    spoken = blocks.where("first is not null").select("session_uuid", "block", "first", "last", F.lead("first").over(order).alias("next"), F.lag("last").over(order).alias("before"))
+    spoken = blocks.where("first is not null").select(
+        "session_uuid",
+        "block",
+        "first",
+        "last",
+        F.lead("first").over(order).alias("next"),
+        F.lag("last").over(order).alias("before"),
+    )
     cross = spoken.groupBy("session_uuid").agg(
-        F.max(F.col("last") & F.coalesce("next", F.lit(True))).alias("open"), F.max(F.col("before").isNull() & ~F.col("first")).alias("late")
+        F.max(
+            F.col("last") & F.coalesce("next", F.lit(True))
+        ).alias("open"), F.max(F.col("before").isNull() & ~F.col("first")).alias("late")
     )
     whole = blocks.groupBy("session_uuid").agg(
         ((F.max("unplaced")) | (F.min("low") != 0) | (F.max("high") != F.sum("n") - 1) | F.max("stranger")).alias("broken"), F.max("unanswered").alias("inner")
     )
-    found = whole.join(cross, "session_uuid", "left").select("session_uuid", F.coalesce("broken", F.lit(True)).alias("broken"), F.col("open").isNull().alias("empty"), (F.col("inner") | F.coalesce(F.col("open") | F.col("late"), F.lit(False))).alias("unanswered"))
-    silent = sessions.select(F.col("uuid").alias("session_uuid")).where("session_uuid is not null").distinct().join(found.select("session_uuid"), "session_uuid", "left_anti")
-    return found.unionByName(silent.select("session_uuid", F.lit(False).alias("broken"), F.lit(True).alias("empty"), F.lit(False).alias("unanswered")))
+    found = whole.join(cross, "session_uuid", "left").select(
+        "session_uuid",
+        F.coalesce("broken", F.lit(True)).alias("broken"),
+        F.col("open").isNull().alias("empty"),
+        (F.col("inner") | F.coalesce(F.col("open") | F.col("late"), F.lit(False))).alias("unanswered"),
+    )
+    silent = sessions.select(F.col("uuid").alias("session_uuid")).where("session_uuid is not null").distinct().join(
+        found.select("session_uuid"), "session_uuid", "left_anti"
+    )
+    return found.unionByName(
+        silent.select("session_uuid", F.lit(False).alias("broken"), F.lit(True).alias("empty"), F.lit(False).alias("unanswered"))
+    )
 
 
 def to_drop(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -93,12 +134,22 @@ def rebuild(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     ``segment`` counts from 0 and grows where the time since the previous row exceeds the
     calibrated gap; rows without a time never start a segment.
     """
-    copies = first_copies(messages).join(to_drop(messages, sessions), "session_uuid", "left_anti").withColumn("block", F.floor(F.col("seq") / BLOCK))
+    copies = first_copies(messages).join(
+        to_drop(messages, sessions), "session_uuid", "left_anti"
+    ).withColumn("block", F.floor(F.col("seq") / BLOCK))
     inner, outer = Window.partitionBy("session_uuid", "block").orderBy("seq"), Window.partitionBy("session_uuid").orderBy("block")
     ends = copies.groupBy("session_uuid", "block").agg(F.max_by("at", "seq").alias("end")).withColumn("carried", F.lag("end").over(outer)).drop("end")
-    timed = copies.join(ends, ["session_uuid", "block"]).withColumn("gap", F.col("at") - F.coalesce(F.lag("at").over(inner), F.when(F.row_number().over(inner) == 1, F.col("carried"))))
-    limit = timed.where("gap > 0").agg(F.coalesce(F.percentile_approx("gap", GAP_QUANTILE) * GAP_FACTOR, F.lit(2**62)).alias("limit"))
+    timed = copies.join(ends, ["session_uuid", "block"]).withColumn(
+        "gap", F.col("at") - F.coalesce(F.lag("at").over(inner), F.when(F.row_number().over(inner) == 1, F.col("carried")))
+    )
+    limit = timed.where("gap > 0").agg(
+        F.coalesce(F.percentile_approx("gap", GAP_QUANTILE) * GAP_FACTOR, F.lit(2**62)).alias("limit")
+    )
     cut = timed.withColumn("cut", F.coalesce((F.col("gap") > limit.scalar()).cast("int"), F.lit(0)))
-    before = cut.groupBy("session_uuid", "block").agg(F.sum("cut").alias("cuts")).withColumn("before", F.sum("cuts").over(outer) - F.col("cuts")).drop("cuts")
-    placed = cut.join(before, ["session_uuid", "block"]).select("id", "session_uuid", "seq", "role", (F.col("before") + F.sum("cut").over(inner)).alias("segment"))
+    before = cut.groupBy("session_uuid", "block").agg(F.sum("cut").alias("cuts")).withColumn(
+        "before", F.sum("cuts").over(outer) - F.col("cuts")
+    ).drop("cuts")
+    placed = cut.join(before, ["session_uuid", "block"]).select(
+        "id", "session_uuid", "seq", "role", (F.col("before") + F.sum("cut").over(inner)).alias("segment")
+    )
     return placed.join(messages.select("id", "content"), "id").select("session_uuid", "seq", "segment", "role", "content")

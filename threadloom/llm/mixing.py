@@ -40,14 +40,18 @@ def _count(path: str):
             n: list[int] = []
             for k in range(0, len(texts), 256):
                 n += [len(e.ids) for e in tokenizer.encode_batch(texts[k : k + 256], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"]
+            )
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) with the tokens of the whole text by a public tokenizer; null texts have none."""
-    return docs.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(_count(tokenizer), "doc_id bigint, source string, n_tokens bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(
+        _count(tokenizer), "doc_id bigint, source string, n_tokens bigint"
+    )
 
 
 def plan(totals: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int, float]]:
@@ -98,12 +102,22 @@ def _place(levels: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard = shard_of(levels, batch.column("number").to_numpy(), batch.column("place").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("block"), batch.column("turn"), pa.array(shard)], ["source", "block", "turn", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source"), batch.column("block"), batch.column("turn"), pa.array(shard)],
+                ["source", "block", "turn", "shard"],
+            )
 
     return run
 
 
-def mix(docs: DataFrame, targets: DataFrame, shard_tokens: int = 1_000_000, seed: int = 7, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    targets: DataFrame,
+    shard_tokens: int = 1_000_000,
+    seed: int = 7,
+    tokenizer: str = TOKENIZER,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
     """(shard, pos, source, doc_id, turn, n_tokens): the chosen documents, one row per repeat.
 
     ``docs``: doc_id, source, text; ``targets``: source, target_share, max_repeats.  ``turn`` counts
@@ -118,29 +132,62 @@ def mix(docs: DataFrame, targets: DataFrame, shard_tokens: int = 1_000_000, seed
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in rows if r.source is not None}
-    counted = materialise(count_tokens(docs.where(F.col("source").isin(list(wanted)) if wanted else F.lit(False)), tokenizer), "tokens").where("n_tokens > 0")
+    counted = materialise(
+        count_tokens(docs.where(F.col("source").isin(list(wanted)) if wanted else F.lit(False)), tokenizer), "tokens"
+    ).where("n_tokens > 0")
     totals = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     plans = plan(totals, wanted)
     if not plans:
         return spark.createDataFrame([], "shard bigint, pos int, source string, doc_id bigint, turn int, n_tokens bigint")
     names = sorted(plans)
-    facts = spark.createDataFrame([(s, k, plans[s][1], plans[s][2], min(MOST_BLOCKS, max(1, -(-totals[s] // block_tokens)))) for k, s in enumerate(names)], "source string, number int, passes int, rest double, blocks bigint")
+    facts = spark.createDataFrame(
+        [(s, k, plans[s][1], plans[s][2], min(MOST_BLOCKS, max(1, -(-totals[s] // block_tokens)))) for k, s in enumerate(names)],
+        "source string, number int, passes int, rest double, blocks bigint",
+    )
     # sources are bounded by MOST_SOURCES
-    placed = counted.join(F.broadcast(facts), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks")))
-    blocks = materialise(placed.groupBy("source", "number", "passes", "rest", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    placed = counted.join(F.broadcast(facts), "source").withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks"))
+    )
+    blocks = materialise(
+        placed.groupBy("source", "number", "passes", "rest", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks"
+    )
     # the last pass takes whole blocks in a permuted order while they fit
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block")
     last = blocks.withColumn("upto", F.sum("tokens").over(order))
-    full = last.where("upto <= rest").select("source", "number", "block", F.col("passes").alias("turn"), F.lit(None).cast("double").alias("room"))
-    edge = last.where("upto > rest and upto - tokens < rest").select("source", "number", "block", F.col("passes").alias("turn"), (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"))
-    passes = blocks.where("passes > 0").select("source", "number", "block", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("turn"), F.lit(None).cast("double").alias("room"))
+    full = last.where("upto <= rest").select(
+        "source", "number", "block", F.col("passes").alias("turn"), F.lit(None).cast("double").alias("room")
+    )
+    edge = last.where("upto > rest and upto - tokens < rest").select(
+        "source",
+        "number",
+        "block",
+        F.col("passes").alias("turn"),
+        (F.col("rest") - (F.col("upto") - F.col("tokens"))).alias("room"),
+    )
+    passes = blocks.where("passes > 0").select(
+        "source",
+        "number",
+        "block",
+        F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("turn"),
+        F.lit(None).cast("double").alias("room"),
+    )
     units = passes.unionByName(full).unionByName(edge)
-    units = materialise(units.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block", "turn"), "block", "turn")) - 1), "units")
+    units = materialise(
+        units.withColumn(
+            "place",
+            F.row_number().over(
+                Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block", "turn"), "block", "turn")
+            ) - 1,
+        ),
+        "units",
+    )
     drawn = {r.number: r.n for r in units.groupBy("number").agg(F.count("*").alias("n")).collect()}
     size = sum(p[1] * totals[s] + p[2] for s, p in plans.items())
     depth = min(int(np.log2(MOST_SHARDS)), max(0, int(np.ceil(np.log2(max(1.0, size / shard_tokens))))))
     levels = split_tree([drawn.get(k, 0) for k in range(len(names))], depth, seed)
-    shards = units.select("source", "number", "block", "turn", "place").mapInArrow(_place(levels), "source string, block bigint, turn int, shard bigint")
+    shards = units.select("source", "number", "block", "turn", "place").mapInArrow(
+        _place(levels), "source string, block bigint, turn int, shard bigint"
+    )
     shards = shards.join(units.select("source", "block", "turn", "room"), ["source", "block", "turn"])
     own = placed.select("source", "block", "doc_id", "n_tokens").join(shards, ["source", "block"])
     within = Window.partitionBy("source", "block", "turn").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id")
@@ -154,7 +201,9 @@ def mix(docs: DataFrame, targets: DataFrame, shard_tokens: int = 1_000_000, seed
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, most_repeats) of a mix; sources that are missing have zeros."""
     per_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.sum("n_tokens").alias("tokens"))
-    got = per_doc.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("times").alias("most_repeats"))
+    got = per_doc.groupBy("source").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("times").alias("most_repeats")
+    )
     return targets.select("source", "target_share").join(got, "source", "left").select(
         "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1))).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats")
     )

@@ -313,7 +313,10 @@ def _judge(known: dict[str, int], odds: dict[str, int], with_text: bool):
                     ids.append(row_id)
                     outs.append(out if with_text else "")
                     hows.append(",".join(dict.fromkeys(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(outs, pa.string()), pa.array(hows, pa.string())], ["row_id", "restored", "how"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(outs, pa.string()), pa.array(hows, pa.string())],
+                ["row_id", "restored", "how"],
+            )
 
     return run
 

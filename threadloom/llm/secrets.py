@@ -44,11 +44,17 @@ USERINFO = re.compile(r"://[^\s/@:]*:$")
 ESCAPE = re.compile(r"\\+[nrtbf\"/']")
 UNESCAPED = {"n": "\n", '"': '"', "'": "'", "/": "/"}
 #: Plain tokens: numbers, times, paths, words, names in camel case, identifiers with the prefix of their kind.
-PLAIN_TOKEN = re.compile(r"(?:call|toolu|srvtoolu|msg|req|resp|fc|rs|run|item|chatcmpl)_[A-Za-z0-9]+|[\d.,:/%+T_-]*|\d{4}-\d\d-\d\d.*|[./~]*(?:[a-z0-9._*-]+/)+[a-z0-9._*-]*|[a-z_]+\.?\d{0,4}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+")
+PLAIN_TOKEN = re.compile(
+    r"(?:call|toolu|srvtoolu|msg|req|resp|fc|rs|run|item|chatcmpl)_[A-Za-z0-9]+|[\d.,:/%+T_-]*|\d{4}-\d\d-\d\d.*|[./~]*(?:[a-z0-9._*-]+/)+[a-z0-9._*-]*|[a-z_]+\.?\d{0,4}|[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+",
+)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[一-鿿]{2}|--?[a-z](?![a-z])")
 #: Names that announce a secret, and names of values that are none.
-SECRET_WORDS = frozenset("password passwd pwd pass passphrase pgpassword sshpass secret token apikey key bearer basic authorization auth cookie sid credential credentials creds 密碼 密码".split())
-OTHER_WORDS = frozenset("sha integrity checksum commit digest uuid request public certificate image png ssh parent session id fingerprint etag hash md version limit count timestamp date".split())
+SECRET_WORDS = frozenset(
+    "password passwd pwd pass passphrase pgpassword sshpass secret token apikey key bearer basic authorization auth cookie sid credential credentials creds 密碼 密码".split(),
+)
+OTHER_WORDS = frozenset(
+    "sha integrity checksum commit digest uuid request public certificate image png ssh parent session id fingerprint etag hash md version limit count timestamp date".split(),
+)
 #: issuers' formats.
 FORMATS = re.compile(
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{6,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeoprs]-[\w-]{10,}|sk-(?=[a-z-]*[A-Z0-9])[A-Za-z0-9_-]{5,}|[rs]k_(?:live|test)_[A-Za-z0-9]{12,}"
@@ -121,7 +127,17 @@ def candidates(text: str) -> list[Found]:
         right = seen[end : end + 1]
         if kind == "user" and (not USERINFO.search(seen, max(0, start - 72), start) or "REDACTED" in token or token.isupper()):
             continue
-        out.append(Found(start, end, kind, token, _words(seen, start), right, right == "@" and USERINFO.search(seen, max(0, start - 72), start) is not None))
+        out.append(
+            Found(
+                start,
+                end,
+                kind,
+                token,
+                _words(seen, start),
+                right,
+                right == "@" and USERINFO.search(seen, max(0, start - 72), start) is not None,
+            ),
+        )
     return sorted(out, key=lambda c: c.start)
 
 
@@ -192,7 +208,9 @@ def _indicators(c: Found) -> list[float]:
     return [
         1.0, min(n, 64) / 32, digits / n, uppers / n, float(signs > 0), float(strong), float(near), float(far), float(other), float(strong and near), float(strong and not near and not form), float(strong and other),
         float(form), 0.0, 0.0, 0.0, float(c.kind == "mixed"), float(c.right == "@"), float(login_secret(c)), float("/" in t), float("." in t),
-        float(re.fullmatch("[0-9a-f]+", t) is not None), float(re.fullmatch("[a-z]+[-_.]?[0-9]+", t) is not None), float(client and strong), float(c.words[-1:] != [] and c.words[-1] in OTHER_WORDS),
+        float(re.fullmatch("[0-9a-f]+", t) is not None), float(
+            re.fullmatch("[a-z]+[-_.]?[0-9]+", t) is not None
+        ), float(client and strong), float(c.words[-1:] != [] and c.words[-1] in OTHER_WORDS),
     ]
 
 
@@ -330,7 +348,16 @@ def _scan(model: Model, src: str, names: list[str], with_text: bool):
                     if spans:
                         rows.append((row_id, field, cut(text, spans) if with_text else "", len(spans)))
             columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array([src] * len(rows), pa.string()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["src", "row_id", "field", "redacted", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([src] * len(rows), pa.string()),
+                    pa.array(columns[0], pa.int64()),
+                    pa.array(columns[1], pa.string()),
+                    pa.array(columns[2], pa.string()),
+                    pa.array(columns[3], pa.int64()),
+                ],
+                ["src", "row_id", "field", "redacted", "n"],
+            )
 
     return run
 
@@ -357,8 +384,14 @@ def scan(tables: list[tuple[DataFrame, str, str, dict[str, str]]], with_text: bo
     model = train(sorted(sample))
     parts = []
     for rows, src, row_id, fields in tables:
-        own = rows.select(F.col(row_id).cast("bigint").alias("row_id"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(fields.values())])
-        parts.append(own.mapInArrow(_scan(model, src, list(fields), with_text), "src string, row_id bigint, field string, redacted string, n bigint"))
+        own = rows.select(
+            F.col(row_id).cast("bigint").alias("row_id"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(fields.values())]
+        )
+        parts.append(
+            own.mapInArrow(
+                _scan(model, src, list(fields), with_text), "src string, row_id bigint, field string, redacted string, n bigint"
+            ),
+        )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
