@@ -81,18 +81,32 @@ def test_random_logs_against_a_replay(spark):
 
 def test_long_file_crosses_position_blocks(spark):
     lines = [("big", n, n, 0, json.dumps({"id": f"m{n}"}), None, None, None) for n in range(2, 9000)]
-    lines += [("big", 9000, 9000, 0, json.dumps({"$rewindTo": "m8500"}), None, None, None), ("big", 9001, 9001, 0, json.dumps({"id": "m8600"}), None, None, None)]
+    lines += [
+        ("big", 9000, 9000, 0, json.dumps({"$rewindTo": "m8500"}), None, None, None),
+        ("big", 9001, 9001, 0, json.dumps({"id": "m8600"}), None, None, None),
+    ]
     assert run(spark, lines) == brute(lines)
 
 
 def test_unusable_replacement_and_empty(spark):
-    lines = [("a", 2, 1, 0, '{"id":"x"}', None, None, None), ("a", 3, 2, 0, '{"$set":{"messages":null}}', None, None, None), ("b", 1, 3, 0, '{"sessionId":"s"}', None, None, None), ("c", 2, 4, 0, None, None, None, None)]
+    lines = [
+        ("a", 2, 1, 0, '{"id":"x"}', None, None, None),
+        ("a", 3, 2, 0, '{"$set":{"messages":null}}', None, None, None),
+        ("b", 1, 3, 0, '{"sessionId":"s"}', None, None, None),
+        ("c", 2, 4, 0, None, None, None, None),
+    ]
     assert run(spark, lines) == set()
     assert run(spark, []) == set()
 
 
 def test_nulls_in_every_column(spark):
-    lines = [(None, 2, 1, 0, '{"id":"x"}', None, None, None), ("a", None, 2, 0, '{"id":"x"}', None, None, None), ("a", 2, None, None, '{"id":"old"}', None, None, None), ("a", 2, 3, 0, '{"id":"y"}', None, None, None), ("a", 3, 4, None, '{"id":"z"}', None, None, None)]
+    lines = [
+        (None, 2, 1, 0, '{"id":"x"}', None, None, None),
+        ("a", None, 2, 0, '{"id":"x"}', None, None, None),
+        ("a", 2, None, None, '{"id":"old"}', None, None, None),
+        ("a", 2, 3, 0, '{"id":"y"}', None, None, None),
+        ("a", 3, 4, None, '{"id":"z"}', None, None, None),
+    ]
     assert run(spark, lines) == {("a", 0, "y", 2), ("a", 1, "z", 3)}
 
 

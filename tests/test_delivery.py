@@ -46,7 +46,11 @@ def test_empty_and_unidentified(spark):
 
 def test_very_long_identifiers(spark):
     long = "k" * 200_000
-    assert found(spark.createDataFrame([("a", long, 1, 1, "", ""), ("a", long + " ", 2, 2, "", ""), ("a", long + "z", 2, 3, "", "")], SCHEMA)) == {1}
+    assert found(
+        spark.createDataFrame(
+            [("a", long, 1, 1, "", ""), ("a", long + " ", 2, 2, "", ""), ("a", long + "z", 2, 3, "", "")], SCHEMA
+        ),
+    ) == {1}
 
 
 def test_find_sorted_with_equal_halves():

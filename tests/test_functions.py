@@ -24,7 +24,9 @@ def test_question_terms():
     assert text.question_terms("what is the") == ["what", "the", "is"]
     assert text.question_terms("我們怎麼修索引") == ["修索引", "修索", "索引"]
     assert text.question_terms("用cache做") == ["cache"]
-    many = text.question_terms(" ".join(f"word{k}" for k in range(80)) + " " + " ".join(f"a{k}" for k in range(10)) + "  b1 b2 b3 b4 b5 b6 b7 b8")
+    many = text.question_terms(
+        " ".join(f"word{k}" for k in range(80)) + " " + " ".join(f"a{k}" for k in range(10)) + "  b1 b2 b3 b4 b5 b6 b7 b8"
+    )
     assert len([t for t in many if len(t) >= 3]) == 48 and len([t for t in many if len(t) < 3]) == 16
 
 
@@ -78,7 +80,14 @@ def test_clip_middle(spark):
 
 
 def test_titles(spark):
-    rows = ["<command-message>x</command-message><command-name> /init </command-name>", "[Request interrupted by user] go on", "<task-notification>a</task-notification>  real", "<local-command-caveat>only", "plain " + "t" * 200, "  spaced "]
+    rows = [
+        "<command-message>x</command-message><command-name> /init </command-name>",
+        "[Request interrupted by user] go on",
+        "<task-notification>a</task-notification>  real",
+        "<local-command-caveat>only",
+        "plain " + "t" * 200,
+        "  spaced ",
+    ]
     assert values(spark, rows, expr.title(F.col("c"))) == ["/init", "go on", "real", "", ("plain " + "t" * 200)[:100], "spaced"]
 
 
@@ -99,7 +108,21 @@ def test_recency_and_roles(spark):
     assert values(spark, ["user", "tool_result", "system", None], expr.role_weight(F.col("c"))) == [1.0, 0.4, 0.7, 0.7]
 
 
-SECRETS = ["AKIA" + "Z" * 16, "éAKIA" + "Z" * 16, "x AIza" + "b" * 35 + " y", "ghp_" + "c" * 24, "Bearer abcdefghijkl123", "Authorization: Basic YTpi", "Set-Cookie: sid=1; Path=/\nnext", 'DB_PASSWORD = "hunter22"', "postgres://u:p@host/db, then", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "sk_live_" + "d" * 12, "cookie: enabled", "tokenizer: bpe"]
+SECRETS = [
+    "AKIA" + "Z" * 16,
+    "éAKIA" + "Z" * 16,
+    "x AIza" + "b" * 35 + " y",
+    "ghp_" + "c" * 24,
+    "Bearer abcdefghijkl123",
+    "Authorization: Basic YTpi",
+    "Set-Cookie: sid=1; Path=/\nnext",
+    'DB_PASSWORD = "hunter22"',
+    "postgres://u:p@host/db, then",
+    "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----",
+    "sk_live_" + "d" * 12,
+    "cookie: enabled",
+    "tokenizer: bpe",
+]
 
 
 def test_shapes_in_the_engine_and_in_python_agree(spark):
@@ -120,16 +143,24 @@ def test_structural_redaction(spark):
 
 
 def test_secret_names():
-    assert all(map(redact.names_secret, ("password", "db_password", "apiKey", "api-key", "Authorization", "set-cookie", "authToken")))
+    assert all(
+        map(redact.names_secret, ("password", "db_password", "apiKey", "api-key", "Authorization", "set-cookie", "authToken"))
+    )
     assert not any(map(redact.names_secret, ("tokenizer", "author", "authorizationURL", "cookieJar", "monkey")))
 
 
 def test_short_forms(spark):
-    assert values(spark, ["/a/b", "", None, "plain", "/a/"], display.project_name(F.col("c"))) == ["b", "(unknown)", "(unknown)", "plain", "/a/"]
+    assert values(
+        spark, ["/a/b", "", None, "plain", "/a/"], display.project_name(F.col("c"))
+    ) == ["b", "(unknown)", "(unknown)", "plain", "/a/"]
     assert values(spark, [" a\nb ", "abcdef"], display.one_line(F.col("c"), 4)) == ["a b", "abcd…"]
     assert values(spark, ["it's", "plain", ""], display.shell_quoted(F.col("c"))) == ["'it'\\''s'", "plain", "''"]
     numbers = spark.createDataFrame([(n,) for n in (5, 1500, 12_345, 2_500_000, 3_100_000_000, None)], "n bigint")
-    assert [r[0] for r in numbers.select(display.human_tokens(F.col("n"))).collect()] == ["5", "1.5k", "12k", "2.5M", "3.1B", None]
+    assert [r[0] for r in numbers.select(display.human_tokens(F.col("n"))).collect()] == [
+        "5", "1.5k", "12k", "2.5M", "3.1B", None
+    ]
     assert [r[0] for r in numbers.select(display.usage_note(F.col("n"), F.lit(True))).collect()][::5] == ["  [5 tok, stale]", ""]
     ages = spark.createDataFrame([(100_000_000 - a,) for a in (5, 600, 7_200, 200_000)], "n bigint")
-    assert [r[0] for r in ages.select(display.human_age(F.col("n"), 100_000_000)).collect()] == ["just now", "10m ago", "2h ago", "2d ago"]
+    assert [r[0] for r in ages.select(display.human_age(F.col("n"), 100_000_000)).collect()] == [
+        "just now", "10m ago", "2h ago", "2d ago"
+    ]

@@ -21,8 +21,30 @@ SESSIONS = [
     ("old_cache", "Cache again", [("user", "cache cache cache"), ("assistant", "noted")], 700),
     ("ops", "Disk full", [("user", "the runner reports no space left on device"), ("assistant", "Old artifacts fill the disk; prune them nightly")], 7),
 ]
-SEARCHES = [("cookie redirect", "auth", 1), ("lockfile", "cache", 1), ('"cache key"', "cache", 1), ("位移值", "zh_index", 1), ("webhook 退避", "mixed", 1), ("parse_header", "code", 2), ("index orders", "sql", 1), ("SAMESITE", "auth", 1), ("no space left", "ops", 1), ("環境", "zh_deploy", 2), ("cache", "cache", 3)]
-QUESTIONS = [("why did the login redirect loop?", "auth", 1), ("how did we fix the cache misses", "cache", 2), ("索引為什麼會重建", "zh_index", 1), ("webhook 重試怎麼處理", "mixed", 1), ("what caused the panic in parse_header", "code", 1), ("which index made the orders query fast", "sql", 1), ("disk space on the runner", "ops", 1), ("部署為什麼失敗", "zh_deploy", 1), ('what was foo("bar in parse_header', "code", 1)]
+SEARCHES = [
+    ("cookie redirect", "auth", 1),
+    ("lockfile", "cache", 1),
+    ('"cache key"', "cache", 1),
+    ("位移值", "zh_index", 1),
+    ("webhook 退避", "mixed", 1),
+    ("parse_header", "code", 2),
+    ("index orders", "sql", 1),
+    ("SAMESITE", "auth", 1),
+    ("no space left", "ops", 1),
+    ("環境", "zh_deploy", 2),
+    ("cache", "cache", 3),
+]
+QUESTIONS = [
+    ("why did the login redirect loop?", "auth", 1),
+    ("how did we fix the cache misses", "cache", 2),
+    ("索引為什麼會重建", "zh_index", 1),
+    ("webhook 重試怎麼處理", "mixed", 1),
+    ("what caused the panic in parse_header", "code", 1),
+    ("which index made the orders query fast", "sql", 1),
+    ("disk space on the runner", "ops", 1),
+    ("部署為什麼失敗", "zh_deploy", 1),
+    ('what was foo("bar in parse_header', "code", 1),
+]
 
 
 @pytest.fixture(scope="module")
@@ -51,12 +73,16 @@ def test_the_same_on_one_and_many_partitions(spark, engine):
     from dataclasses import replace
 
     for n in (1, 7):
-        other = Engine(replace(engine.data, messages=engine.data.messages.repartition(n), sessions=engine.data.sessions.repartition(n)), NOW)
+        other = Engine(
+            replace(engine.data, messages=engine.data.messages.repartition(n), sessions=engine.data.sessions.repartition(n)), NOW
+        )
         assert [tuple(r) for r in other.search("cache").collect()] == [tuple(r) for r in engine.search("cache").collect()]
 
 
 def test_corpus_file(spark, tmp_path):
     path = tmp_path / "corpus.jsonl"
-    path.write_text('{"session":"a","project":"/p","title":"t","messages":[{"seq":0,"role":"user","content":"hello there","offset_days":1}]}\n')
+    path.write_text(
+        '{"session":"a","project":"/p","title":"t","messages":[{"seq":0,"role":"user","content":"hello there","offset_days":1}]}\n',
+    )
     data = corpus.read(spark, str(path), NOW)
     assert data.messages.first().ts == NOW - 86_400 and data.sessions.first().turn_count == 1

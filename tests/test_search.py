@@ -21,11 +21,30 @@ SESSIONS = "uuid string, project_path string, source_file string, started_at big
 def data(spark):
     rows = [(k, f"s{k % 3}", k // 3, AS_OF - k * 1000, ["user", "assistant", "tool_use"][k % 3] if k != 8 else None, t, None) for k, t in enumerate(TEXTS)]
     rows += [(100, "orphan", 0, None, "user", "permission of nobody", None), (101, None, None, None, None, None, None)]
-    own = [("s0", "/A_b/x", "f0", 1, 30, 2, "t0", None, None, None), ("s1", "/a%b/y", "f1", 1, 20, 1, None, "s0", "tester", ""), ("s2", None, "f2", 1, None, 0, "t2", "gone", None, "codex"), ("s3", "/a_b/z", "f3", 1, 30, 5, "t3", "s1", None, "claude-code")]
-    targets = [(0, "s0", 5, "file", "src/A.py"), (1, "s1", 6, "file", "src/a.py"), (2, "s2", 7, "command", "Go Test ./..."), (9, "zz", 9, "command", "ls")]
-    usage = spark.createDataFrame([], "session_uuid string, model string, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_creation bigint, reasoning bigint, tool bigint, total_tokens bigint, source string, categories_json string")
+    own = [
+        ("s0", "/A_b/x", "f0", 1, 30, 2, "t0", None, None, None),
+        ("s1", "/a%b/y", "f1", 1, 20, 1, None, "s0", "tester", ""),
+        ("s2", None, "f2", 1, None, 0, "t2", "gone", None, "codex"),
+        ("s3", "/a_b/z", "f3", 1, 30, 5, "t3", "s1", None, "claude-code"),
+    ]
+    targets = [
+        (0, "s0", 5, "file", "src/A.py"),
+        (1, "s1", 6, "file", "src/a.py"),
+        (2, "s2", 7, "command", "Go Test ./..."),
+        (9, "zz", 9, "command", "ls"),
+    ]
+    usage = spark.createDataFrame(
+        [],
+        "session_uuid string, model string, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_creation bigint, reasoning bigint, tool bigint, total_tokens bigint, source string, categories_json string",
+    )
     facts = spark.createDataFrame(targets, "message_id bigint, session_uuid string, ts bigint, kind string, value string")
-    return Dataset(spark.createDataFrame(own, SESSIONS), spark.createDataFrame(rows, MESSAGES), facts, usage, spark.createDataFrame([], "source_file string, usage_stale int"))
+    return Dataset(
+        spark.createDataFrame(own, SESSIONS),
+        spark.createDataFrame(rows, MESSAGES),
+        facts,
+        usage,
+        spark.createDataFrame([], "source_file string, usage_stale int"),
+    )
 
 
 def fts(query):
@@ -38,7 +57,9 @@ def fts(query):
     return dict(db.execute("select rowid, bm25(f) from f where f match ?", (query,)).fetchall())
 
 
-@pytest.mark.parametrize("terms", [["permission"], ["permission", "deploy"], ["été"], ["aaa"], ["位移值"], ["cache", "index", "the"]])
+@pytest.mark.parametrize(
+    "terms", [["permission"], ["permission", "deploy"], ["été"], ["aaa"], ["位移值"], ["cache", "index", "the"]]
+)
 def test_bm25_equals_an_independent_index(data, terms):
     want = fts(" OR ".join(f'"{t}"' for t in terms))
     rows = data.messages.where(F.col("id").isin(list(want)))
@@ -129,7 +150,9 @@ def test_windows_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(sessions, "STRETCH", 4)
     rows = [(k, f"s{k % 2}", k // 2, 1, "user" if k // 2 % 11 in (0, 1, 7) else "tool_use", f"t{k}", None) for k in range(400)]
     df = spark.createDataFrame(rows, MESSAGES)
-    hits = spark.createDataFrame([("s0", 0), ("s0", 50), ("s1", 103), ("s1", 199), ("s1", 500), ("zz", 1)], "session_uuid string, hit_seq int")
+    hits = spark.createDataFrame(
+        [("s0", 0), ("s0", 50), ("s1", 103), ("s1", 199), ("s1", 500), ("zz", 1)], "session_uuid string, hit_seq int"
+    )
     got = {}
     for r in sessions.windows(df, hits, 2, 3).collect():
         got.setdefault((r.session_uuid, r.hit_seq), []).append(r.seq)

@@ -14,7 +14,15 @@ NOW = 1_756_730_000
 
 
 def event(kind, content, at=0, **more):
-    return json.dumps({"type": kind, "timestamp": f"2025-09-01T10:00:{at:02d}Z", "cwd": "/home/p", "uuid": f"u{at}", "message": {"role": kind, "content": content, **more}})
+    return json.dumps(
+        {
+            "type": kind,
+            "timestamp": f"2025-09-01T10:00:{at:02d}Z",
+            "cwd": "/home/p",
+            "uuid": f"u{at}",
+            "message": {"role": kind, "content": content, **more},
+        },
+    )
 
 
 def write(path, lines, end="\n"):
@@ -25,12 +33,44 @@ def write(path, lines, end="\n"):
 @pytest.fixture
 def root(tmp_path):
     base = tmp_path / "root"
-    write(base / "projects" / "-home-p" / f"{A}.jsonl", [event("user", "where is the lockfile"), event("assistant", [{"type": "text", "text": "in the cache"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "src/a.py"}}], 1, model="m", usage={"input_tokens": 5, "output_tokens": 2}), "{broken"])
+    write(
+        base / "projects" / "-home-p" / f"{A}.jsonl",
+        [
+            event("user", "where is the lockfile"),
+            event(
+                "assistant",
+                [
+                    {"type": "text", "text": "in the cache"},
+                    {"type": "tool_use", "name": "Read", "input": {"file_path": "src/a.py"}},
+                ],
+                1,
+                model="m",
+                usage={"input_tokens": 5, "output_tokens": 2},
+            ),
+            "{broken",
+        ],
+    )
     write(base / "projects" / "-home-p" / A / "subagents" / "agent-1.jsonl", [event("user", "child lockfile", 2)])
-    item = {"timestamp": "2025-09-01T10:00:03Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"text": "rollout lockfile"}]}}
-    count = {"timestamp": "2025-09-01T10:00:04Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": 3, "total_tokens": 9}}, "rate_limits": {"limit_id": "plan", "primary": {"used_percent": 5}}}}
+    item = {
+        "timestamp": "2025-09-01T10:00:03Z",
+        "type": "response_item",
+        "payload": {"type": "message", "role": "user", "content": [{"text": "rollout lockfile"}]},
+    }
+    count = {
+        "timestamp": "2025-09-01T10:00:04Z",
+        "type": "event_msg",
+        "payload": {
+            "type": "token_count",
+            "info": {"total_token_usage": {"input_tokens": 3, "total_tokens": 9}},
+            "rate_limits": {"limit_id": "plan", "primary": {"used_percent": 5}},
+        },
+    }
     write(base / "rollouts" / f"rollout-x-{R}.jsonl", [json.dumps(item), json.dumps(count)])
-    chat = [{"sessionId": B, "kind": "main"}, {"id": "1", "type": "user", "timestamp": "2025-09-01T10:00:05Z", "content": "chat lockfile"}, {"id": "2", "type": "gemini", "content": [{"text": "answer"}], "model": "g", "tokens": {"total": 4}}]
+    chat = [
+        {"sessionId": B, "kind": "main"},
+        {"id": "1", "type": "user", "timestamp": "2025-09-01T10:00:05Z", "content": "chat lockfile"},
+        {"id": "2", "type": "gemini", "content": [{"text": "answer"}], "model": "g", "tokens": {"total": 4}},
+    ]
     write(base / "tmp" / "pid" / "chats" / "session-1.jsonl", [json.dumps(c) for c in chat])
     return base
 
@@ -66,7 +106,9 @@ def test_ingest_query_change_and_purge(spark, root, tmp_path):
         out.write(event("user", "and now", 9) + "\n" + event("user", "not finished", 10))
     again = ingest_all(store, [str(root)], NOW + 5)
     assert (again.ingested, again.skipped) == (1, 3)
-    assert sorted(r.content for r in store.read("messages").where(F.col("session_uuid") == A).collect()) == ["Read src/a.py", "and now", "in the cache", "where is the lockfile"]
+    assert sorted(r.content for r in store.read("messages").where(F.col("session_uuid") == A).collect()) == [
+        "Read src/a.py", "and now", "in the cache", "where is the lockfile"
+    ]
     assert store.read("messages").count() == 4 + 1 + 1 + 2 and store.read("sessions").where(F.col("uuid") == A).first().turn_count == 2
 
     os.remove(root / "rollouts" / f"rollout-x-{R}.jsonl")

@@ -27,7 +27,22 @@ def test_forms(value, us):
     assert one(value) == us
 
 
-@pytest.mark.parametrize("value", [None, "", "  ", "0", "N/A", "Invalid Date", "0000-00-00T00:00:00Z", "2025-13-40T00:00:00Z", "31/31/2025 1:00:00 AM", "13/01/2025 1:00:00 AM", "x" * 100_000])
+@pytest.mark.parametrize(
+    "value",
+    [
+        None,
+        "",
+        "  ",
+        "0",
+        "N/A",
+        "Invalid Date",
+        "0000-00-00T00:00:00Z",
+        "2025-13-40T00:00:00Z",
+        "31/31/2025 1:00:00 AM",
+        "13/01/2025 1:00:00 AM",
+        "x" * 100_000,
+    ],
+)
 def test_no_times(value):
     assert one(value) is None
 
@@ -92,6 +107,15 @@ def test_order_of_days_is_inferred_from_the_source(spark):
 
 
 def test_plain_null_and_repeated_rows(spark):
-    rows = [(1, None, None, "2025-09-01T10:00:00.000Z", None, 1756720800000000, ""), (2, None, 2, None, "UTC", None, ""), (3, "a", 1, "nonsense", "UTC", None, ""), (4, "a", 1, "1756720800", None, None, ""), (5, "a", 1, "1756720800", None, None, ""), (6, "a", 2, "2025-09-01 10:00", "No/Where", None, "")]
-    assert resolve(spark, rows, STATED) == {1: (1756720800000000, "plain"), 4: (1756720800000000, "epoch_s"), 5: (1756720800000000, "epoch_s")}
+    rows = [
+        (1, None, None, "2025-09-01T10:00:00.000Z", None, 1756720800000000, ""),
+        (2, None, 2, None, "UTC", None, ""),
+        (3, "a", 1, "nonsense", "UTC", None, ""),
+        (4, "a", 1, "1756720800", None, None, ""),
+        (5, "a", 1, "1756720800", None, None, ""),
+        (6, "a", 2, "2025-09-01 10:00", "No/Where", None, ""),
+    ]
+    assert resolve(spark, rows, STATED) == {
+        1: (1756720800000000, "plain"), 4: (1756720800000000, "epoch_s"), 5: (1756720800000000, "epoch_s")
+    }
     assert resolve(spark, [], STATED) == {}

@@ -40,26 +40,84 @@ class Engine:
             raise ValueError(f"no such source: {source}")
         return source
 
-    def search(self, query: str, since: str = "", project: str = "", role: str = "", limit: int = 0, tool_output: bool = False, touched: str = "", tool: str = "", ran: str = "", source: str = "") -> DataFrame:
+    def search(
+        self,
+        query: str,
+        since: str = "",
+        project: str = "",
+        role: str = "",
+        limit: int = 0,
+        tool_output: bool = False,
+        touched: str = "",
+        tool: str = "",
+        ran: str = "",
+        source: str = "",
+    ) -> DataFrame:
         f = SearchFilter(self._since(since), project, role, tool_output, touched, tool, ran, self._source(source))
         return search_plan.search(self.data, query, self.as_of, f, schema.clamp(limit, *schema.LIMITS["search"]))
 
-    def ask(self, question: str, since: str = "", project: str = "", sessions: int = 0, window: int = 2, tokens: int = 0, source: str = "") -> DataFrame:
-        return ask_plan.ask(self.data, question, self.as_of, self._since(since), project, self._source(source), schema.clamp(sessions, *schema.LIMITS["ask_sessions"]), window, schema.clamp(tokens, *schema.LIMITS["ask_tokens"], schema.LEAST_ASK_TOKENS))
-
-    def list(self, since: str = "", project: str = "", min_turns: int = 0, limit: int = 0, touched: str = "", tool: str = "", ran: str = "", include_subagents: bool = False, source: str = "") -> DataFrame:
+    def ask(
+        self,
+        question: str,
+        since: str = "",
+        project: str = "",
+        sessions: int = 0,
+        window: int = 2,
+        tokens: int = 0,
+        source: str = "",
+    ) -> DataFrame:
+        return ask_plan.ask(
+            self.data,
+            question,
+            self.as_of,
+            self._since(since),
+            project,
+            self._source(source),
+            schema.clamp(sessions, *schema.LIMITS["ask_sessions"]),
+            window,
+            schema.clamp(tokens, *schema.LIMITS["ask_tokens"], schema.LEAST_ASK_TOKENS),
+        )
+
+    def list(
+        self,
+        since: str = "",
+        project: str = "",
+        min_turns: int = 0,
+        limit: int = 0,
+        touched: str = "",
+        tool: str = "",
+        ran: str = "",
+        include_subagents: bool = False,
+        source: str = "",
+    ) -> DataFrame:
         """Sessions with their tokens; a session without usage has none, not zero."""
-        f = SessionFilter(self._since(since), project, min_turns, touched, tool, ran, None, "", include_subagents, self._source(source), schema.clamp(limit, *schema.LIMITS["list"]))
+        f = SessionFilter(
+            self._since(since),
+            project,
+            min_turns,
+            touched,
+            tool,
+            ran,
+            None,
+            "",
+            include_subagents,
+            self._source(source),
+            schema.clamp(limit, *schema.LIMITS["list"]),
+        )
         rows = session_plan.list_sessions(self.data, f)
         tokens = usage_plan.session_totals(self.data, rows).select(F.col("session_uuid").alias("uuid"), "total_tokens", "stale")
         return rows.join(tokens, "uuid", "left").orderBy(F.desc("ended_at"), F.desc("uuid"))
 
-    def show(self, prefix: str, offset: int = 0, limit: int = 0, tool_output: bool = False, raw: bool = False, source: str = "") -> DataFrame:
+    def show(
+        self, prefix: str, offset: int = 0, limit: int = 0, tool_output: bool = False, raw: bool = False, source: str = ""
+    ) -> DataFrame:
         """A page of the session that the prefix names; LookupError if none or several do."""
         found = session_plan.resolve(self.data, prefix, self._source(source)).select("uuid").collect()  # two rows at most
         if len(found) != 1:
             raise LookupError("ambiguous session id prefix" if found else "no session matches that id")
-        return session_plan.read_messages(self.data, found[0].uuid, max(offset, 0), schema.clamp(limit, *schema.LIMITS["read"]), tool_output, raw)
+        return session_plan.read_messages(
+            self.data, found[0].uuid, max(offset, 0), schema.clamp(limit, *schema.LIMITS["read"]), tool_output, raw
+        )
 
     def children(self, uuid: str, source: str = "all") -> DataFrame:
         return session_plan.list_sessions(self.data, SessionFilter(parent=uuid, source=self._source(source), limit=1000))
@@ -70,11 +128,15 @@ class Engine:
     def activity(self, by: str = "file", since: str = "", project: str = "", limit: int = 0, source: str = "") -> DataFrame:
         if by not in schema.KINDS:
             raise ValueError(f"no such kind: {by}")
-        return session_plan.activity_by_kind(self.data, by, self._since(since), project, self._source(source), schema.clamp(limit, *schema.LIMITS["activity"]))
+        return session_plan.activity_by_kind(
+            self.data, by, self._since(since), project, self._source(source), schema.clamp(limit, *schema.LIMITS["activity"])
+        )
 
     def drill_down(self, kind: str, value: str, limit: int = 50, source: str = "") -> DataFrame:
         """The sessions behind an activity value."""
-        return session_plan.list_sessions(self.data, SessionFilter(target=(kind, value), include_subagents=True, source=self._source(source), limit=limit))
+        return session_plan.list_sessions(
+            self.data, SessionFilter(target=(kind, value), include_subagents=True, source=self._source(source), limit=limit)
+        )
 
     def activity_summary(self, group_by: str = "day", since: str = "7d", project: str = "", source: str = "") -> DataFrame:
         if group_by in schema.KINDS:
@@ -83,7 +145,15 @@ class Engine:
             return usage_plan.source_totals(self.data, self._since(since), project, source or schema.DEFAULT_SOURCE)
         return session_plan.activity_summary(self.data, group_by, self._since(since), project, self._source(source))
 
-    def usage(self, by: str = "session", since: str = "", project: str = "", model: str = "", limit: int = 0, source: str = schema.DEFAULT_SOURCE) -> DataFrame:
+    def usage(
+        self,
+        by: str = "session",
+        since: str = "",
+        project: str = "",
+        model: str = "",
+        limit: int = 0,
+        source: str = schema.DEFAULT_SOURCE,
+    ) -> DataFrame:
         limit = schema.clamp(limit, 20, 1000)
         if by == "session":
             return usage_plan.by_session(self.data, self._since(since), project, self._source(source), model, limit)

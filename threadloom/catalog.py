@@ -28,8 +28,16 @@ def tool_targets(tool_calls: DataFrame, messages: DataFrame) -> DataFrame:
     """
     kinds = F.create_map(*[F.lit(x) for tool, (kind, _) in schema.TOOL_FIELDS.items() for x in (tool, kind)])
     calls = tool_calls.where((F.col("tool_name") != "") & ~F.col("tool_name").startswith(schema.OWN_TOOLS))
-    acted = F.when(F.trim("params_summary") != "", F.struct(F.try_element_at(kinds, "tool_name").alias("kind"), expr.cap_bytes(F.col("params_summary"), schema.TARGET_BYTES).alias("value")))
-    facts = F.filter(F.array(F.struct(F.lit("tool").alias("kind"), F.col("tool_name").alias("value")), acted), lambda x: x["kind"].isNotNull())
+    acted = F.when(
+        F.trim("params_summary") != "",
+        F.struct(
+            F.try_element_at(kinds, "tool_name").alias("kind"),
+            expr.cap_bytes(F.col("params_summary"), schema.TARGET_BYTES).alias("value"),
+        ),
+    )
+    facts = F.filter(
+        F.array(F.struct(F.lit("tool").alias("kind"), F.col("tool_name").alias("value")), acted), lambda x: x["kind"].isNotNull()
+    )
     facts = calls.select("message_id", F.inline(facts))
     own = messages.select(F.col("id").alias("message_id"), "session_uuid", "ts")
     return facts.join(own, "message_id").select("message_id", "session_uuid", "ts", "kind", "value")
@@ -39,5 +47,7 @@ def load(spark: SparkSession, sf_dir: str) -> Dataset:
     sessions, messages = table(spark, sf_dir, "sessions"), table(spark, sf_dir, "messages")
     usage = table(spark, sf_dir, "session_usage")
     # the landed tables have no record of stale scans: every eleventh start second counts as one
-    state = sessions.select("source_file", F.when(F.pmod("started_at", F.lit(11)) == 0, 1).otherwise(0).alias("usage_stale")).groupBy("source_file").agg(F.max("usage_stale").alias("usage_stale"))
+    state = sessions.select(
+        "source_file", F.when(F.pmod("started_at", F.lit(11)) == 0, 1).otherwise(0).alias("usage_stale")
+    ).groupBy("source_file").agg(F.max("usage_stale").alias("usage_stale"))
     return Dataset(sessions, messages, tool_targets(table(spark, sf_dir, "tool_calls"), messages), usage, state)

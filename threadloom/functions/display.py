@@ -41,8 +41,13 @@ def human_age(ts: Column, as_of: int) -> Column:
 
 def usage_note(total: Column, stale: Column) -> Column:
     """Nothing for a session without usage: that is not zero tokens."""
-    return F.when(total.isNotNull(), F.concat(F.lit("  ["), human_tokens(total), F.lit(" tok"), F.when(stale, ", stale").otherwise(""), F.lit("]"))).otherwise("")
+    return F.when(
+        total.isNotNull(),
+        F.concat(F.lit("  ["), human_tokens(total), F.lit(" tok"), F.when(stale, ", stale").otherwise(""), F.lit("]")),
+    ).otherwise("")
 
 
 def shell_quoted(c: Column) -> Column:
-    return F.when(c.rlike(r"^[A-Za-z0-9_./:=@%+,-]+$"), c).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    return F.when(c.rlike(r"^[A-Za-z0-9_./:=@%+,-]+$"), c).otherwise(
+        F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    )

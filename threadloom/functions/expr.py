@@ -114,7 +114,11 @@ def window_snippet(c: Column, terms: list[str], width: int = 160, before: int =
     size, place = F.length(c), first_position(c, terms)
     start = F.when(place >= 2**31 - 1, 0).otherwise(F.greatest(place - 1 - before, F.lit(0)))
     start = F.when(start + width > size, F.greatest(size - width, F.lit(0))).otherwise(start)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(c, start + 1, F.lit(width)), F.when(start + width < size, "…").otherwise(""))
+    cut = F.concat(
+        F.when(start > 0, "…").otherwise(""),
+        F.substring(c, start + 1, F.lit(width)),
+        F.when(start + width < size, "…").otherwise(""),
+    )
     return F.when(size <= width, c).otherwise(cut)
 
 
@@ -126,8 +130,18 @@ def marked_snippet(c: Column, terms: list[str], width: int = 66) -> Column:
         hit = F.when(F.lower(F.substring(c, place, F.lit(len(t)))) == t.lower(), len(t)).otherwise(hit)
     start = F.greatest(F.when(place >= 2**31 - 1, 1).otherwise(place) - width // 3, F.lit(1))
     end = F.least(start + width, size + 1)
-    body = F.concat(F.substring(c, start, place - start), F.lit("["), F.substring(c, place, hit), F.lit("]"), F.substring(c, place + hit, F.greatest(end - place - hit, F.lit(0))))
-    return F.concat(F.when(start > 1, "…").otherwise(""), F.when(place >= 2**31 - 1, F.substring(c, start, F.lit(width))).otherwise(body), F.when(end <= size, "…").otherwise(""))
+    body = F.concat(
+        F.substring(c, start, place - start),
+        F.lit("["),
+        F.substring(c, place, hit),
+        F.lit("]"),
+        F.substring(c, place + hit, F.greatest(end - place - hit, F.lit(0))),
+    )
+    return F.concat(
+        F.when(start > 1, "…").otherwise(""),
+        F.when(place >= 2**31 - 1, F.substring(c, start, F.lit(width))).otherwise(body),
+        F.when(end <= size, "…").otherwise(""),
+    )
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -178,5 +192,7 @@ def title(c: Column, most: int = 100) -> Column:
     command = F.trim(F.regexp_extract(t, r"(?s)^<command-.*?<command-name>(.*?)</command-name>", 1))
     is_command = t.rlike(r"(?s)^<command-.*?<command-name>.*?</command-name>")
     wrapped = t.rlike(r"^(<local-command-caveat|<task-notification|\[Request interrupted)")
-    behind = F.trim(F.regexp_extract(t, r"(?s)^(?:<(local-command-caveat|task-notification).*?</\1>|\[Request interrupted[^\]]*\])(.*)$", 2))
+    behind = F.trim(
+        F.regexp_extract(t, r"(?s)^(?:<(local-command-caveat|task-notification).*?</\1>|\[Request interrupted[^\]]*\])(.*)$", 2)
+    )
     return F.when(is_command, command).otherwise(F.substring(F.when(wrapped, behind).otherwise(t), 1, most))

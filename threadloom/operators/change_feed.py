@@ -10,7 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def apply_changes(changes: DataFrame, keys: list[str], seq: list[str], op: str, fields: list[str], deletes: tuple[str, ...] = ("delete",), replaces: tuple[str, ...] = ("replace",)) -> DataFrame:
+def apply_changes(
+    changes: DataFrame,
+    keys: list[str],
+    seq: list[str],
+    op: str,
+    fields: list[str],
+    deletes: tuple[str, ...] = ("delete",),
+    replaces: tuple[str, ...] = ("replace",),
+) -> DataFrame:
     """Current rows of a table from its change feed, column-wise last writer wins.
 
     ``seq``: the columns that order changes; changes may come repeated and in any order.  A null
@@ -155,7 +163,13 @@ def live_messages(lines: DataFrame) -> DataFrame:
     cover = spark.sql(COVER, intervals=intervals)
     live = spark.sql(LIVE, touches=touches, cover=cover)
     placed = spark.sql(PLACES, live=live)
-    return placed.selectExpr("source_file", "pos", "CASE WHEN id NOT LIKE '\\u0000%' THEN id END AS msg_id", "last.line_no AS line_no", "cast(last.ord AS bigint) AS ord")
+    return placed.selectExpr(
+        "source_file",
+        "pos",
+        "CASE WHEN id NOT LIKE '\\u0000%' THEN id END AS msg_id",
+        "last.line_no AS line_no",
+        "cast(last.ord AS bigint) AS ord",
+    )
 
 
 def unusable_files(lines: DataFrame) -> DataFrame:

@@ -113,7 +113,9 @@ def _merge(runs: pd.DataFrame) -> pd.DataFrame:
     return _row(int(runs.prefix.iloc[0]), *_ordered(*parts))
 
 
-def surplus_copies(rows: DataFrame, key: Iterable[Column], batch: Column, row_id: Column, ingest_batches: int = 4, merge_every: int = 3) -> DataFrame:
+def surplus_copies(
+    rows: DataFrame, key: Iterable[Column], batch: Column, row_id: Column, ingest_batches: int = 4, merge_every: int = 3
+) -> DataFrame:
     """Rows (``row_id``) that are surplus copies.
 
     Rows are copies if all ``key`` columns are equal; the last key column is the identifier.
@@ -126,10 +128,17 @@ def surplus_copies(rows: DataFrame, key: Iterable[Column], batch: Column, row_id
     *scope, ident = list(key)
     ident = F.lower(F.regexp_replace(ident, r"^\s+|\s+$", ""))
     scope = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in scope]
-    ids = rows.select(*[c.alias(f"s{k}") for k, c in enumerate(scope)], ident.alias("ident"), F.coalesce(batch.cast("bigint"), F.lit(-(2**62))).alias("rank"), row_id.cast("bigint").alias("row_id"))
+    ids = rows.select(
+        *[c.alias(f"s{k}") for k, c in enumerate(scope)],
+        ident.alias("ident"),
+        F.coalesce(batch.cast("bigint"), F.lit(-(2**62))).alias("rank"),
+        row_id.cast("bigint").alias("row_id"),
+    )
     ids = ids.where(F.length("ident") > 0)
     parts = [F.col(f"s{k}") for k in range(len(scope))]
-    ids = ids.select(F.xxhash64(*parts, "ident").alias("hi"), F.xxhash64(F.lit("low half"), "ident", *parts).alias("lo"), "rank", "row_id")
+    ids = ids.select(
+        F.xxhash64(*parts, "ident").alias("hi"), F.xxhash64(F.lit("low half"), "ident", *parts).alias("lo"), "rank", "row_id"
+    )
     ids = materialise(ids, "delivery-ids")
     n, low, high = ids.agg(F.count("*"), F.min("rank"), F.max("rank")).first()
     if not n:

@@ -30,7 +30,9 @@ def classify(listing: DataFrame, state: DataFrame) -> DataFrame:
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows, and the new ones whose key is not there; of new rows with one key any is taken."""
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return existing.unionByName(
+        new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"), allowMissingColumns=True
+    )
 
 
 def replace_sessions(existing: DataFrame, new: DataFrame, key: str = "session_uuid") -> DataFrame:
@@ -46,10 +48,17 @@ def merge_sessions(existing: DataFrame, new: DataFrame, full: bool) -> DataFrame
     """Sessions after a pass.  A full pass replaces; an incremental one raises the end, takes the recounted turns and fills what was empty."""
     both = existing.alias("o").join(new.alias("n"), F.col("o.uuid") == F.col("n.uuid"), "full_outer")
     old, added = F.col("o.uuid").isNotNull(), F.col("n.uuid").isNotNull()
-    names = ["project_path", "source_file", "started_at", "ended_at", "turn_count", "title", "parent_session", "agent_type", "source"]
+    names = [
+        "project_path", "source_file", "started_at", "ended_at", "turn_count", "title", "parent_session", "agent_type", "source"
+    ]
     if full:
-        return both.select(F.coalesce("n.uuid", "o.uuid").alias("uuid"), *[F.when(added, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names])
-    end = F.when(old & added, F.greatest(F.coalesce("o.ended_at", F.lit(0)), F.col("n.ended_at"))).otherwise(F.coalesce("n.ended_at", "o.ended_at"))
+        return both.select(
+            F.coalesce("n.uuid", "o.uuid").alias("uuid"),
+            *[F.when(added, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names],
+        )
+    end = F.when(
+        old & added, F.greatest(F.coalesce("o.ended_at", F.lit(0)), F.col("n.ended_at"))
+    ).otherwise(F.coalesce("n.ended_at", "o.ended_at"))
     own = {"ended_at": end.alias("ended_at"), "turn_count": F.coalesce("n.turn_count", "o.turn_count").alias("turn_count")}
     own |= {c: F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in ("source_file",)}
     own["started_at"] = F.when(old, F.col("o.started_at")).otherwise(F.col("n.started_at")).alias("started_at")
@@ -73,7 +82,10 @@ def merge_state(existing: DataFrame, new: DataFrame, monotonic: bool, counters:
     elif counters == "preserve":
         own |= {c: F.when(old, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")) for c in ("usage_skipped", "usage_unmapped")}
         own["usage_stale"] = F.when(old, F.greatest("o.usage_stale", "n.usage_stale")).otherwise(F.col("n.usage_stale"))
-    return both.select(F.coalesce("n.source_file", "o.source_file").alias("source_file"), *[F.when(taken, own.get(c, F.col(f"n.{c}"))).otherwise(F.col(f"o.{c}")).alias(c) for c in STATE[1:]])
+    return both.select(
+        F.coalesce("n.source_file", "o.source_file").alias("source_file"),
+        *[F.when(taken, own.get(c, F.col(f"n.{c}"))).otherwise(F.col(f"o.{c}")).alias(c) for c in STATE[1:]],
+    )
 
 
 def split_conflicts(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,15 +93,26 @@ def split_conflicts(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, Dat
     owner = existing.select("uuid", expr.source_or_default(F.col("source")).alias("owner"))
     rows = new.join(owner, "uuid", "left")
     clash = F.col("owner").isNotNull() & (F.col("owner") != expr.source_or_default(F.col("source")))
-    return rows.where(~clash).drop("owner"), rows.where(clash).select("source_file", "uuid", F.col("owner").alias("seen_source"), expr.source_or_default(F.col("source")).alias("conflicting_source"))
+    return rows.where(~clash).drop("owner"), rows.where(clash).select(
+        "source_file",
+        "uuid",
+        F.col("owner").alias("seen_source"),
+        expr.source_or_default(F.col("source")).alias("conflicting_source"),
+    )
 
 
 def merge_conflicts(existing: DataFrame, clashes: DataFrame, clean_files: DataFrame, now: int) -> DataFrame:
     """Conflicts with their first and last time; those of files that were taken since are cleared."""
-    both = existing.select("source_file", "uuid", "seen_source", "conflicting_source", "first_seen_at", "last_seen_at").unionByName(clashes.withColumns({"first_seen_at": F.lit(now), "last_seen_at": F.lit(now)}))
+    both = existing.select(
+        "source_file", "uuid", "seen_source", "conflicting_source", "first_seen_at", "last_seen_at"
+    ).unionByName(clashes.withColumns({"first_seen_at": F.lit(now), "last_seen_at": F.lit(now)}))
     newest = F.max_by(F.struct("uuid", "seen_source", "conflicting_source"), "last_seen_at").alias("c")
-    rows = both.groupBy("source_file").agg(newest, F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
-    return rows.select("source_file", "c.*", "first_seen_at", "last_seen_at").join(clean_files.select("source_file"), "source_file", "left_anti")
+    rows = both.groupBy("source_file").agg(
+        newest, F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at")
+    )
+    return rows.select("source_file", "c.*", "first_seen_at", "last_seen_at").join(
+        clean_files.select("source_file"), "source_file", "left_anti"
+    )
 
 
 def merge_quota(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -157,15 +180,26 @@ def backfill_targets(messages: DataFrame, targets: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    calls = messages.where((F.col("role") == "tool_use") & F.col("raw_json").isNotNull()).select("id", "session_uuid", "seq", "ts", "raw_json")
+    calls = messages.where(
+        (F.col("role") == "tool_use") & F.col("raw_json").isNotNull()
+    ).select("id", "session_uuid", "seq", "ts", "raw_json")
     # a raw line has a few calls: the groups stay small in sessions of any length
     at = F.row_number().over(Window.partitionBy("session_uuid", F.md5("raw_json")).orderBy("seq", "id")) - 1
-    blocks = F.expr("filter(try_variant_get(try_parse_json(raw_json), '$.message.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_use')")
-    rows = calls.withColumns({"at": at, "blocks": blocks}).where("size(blocks) > 0").join(targets.select(F.col("message_id").alias("id")).distinct(), "id", "left_anti")
+    blocks = F.expr(
+        "filter(try_variant_get(try_parse_json(raw_json), '$.message.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_use')",
+    )
+    rows = calls.withColumns({"at": at, "blocks": blocks}).where("size(blocks) > 0").join(
+        targets.select(F.col("message_id").alias("id")).distinct(), "id", "left_anti"
+    )
     rows = rows.withColumn("b", F.get("blocks", F.pmod("at", F.size("blocks"))))
     name = F.expr("try_variant_get(b, '$.name', 'string')")
     from threadloom.sources.transcripts import _acted
 
-    facts = F.filter(F.array(F.struct(F.lit("tool").alias("kind"), name.alias("value")), _acted("variant_get(b, '$.input', 'variant')", name)), lambda x: x["kind"].isNotNull() & (x["value"] != ""))
+    facts = F.filter(
+        F.array(F.struct(F.lit("tool").alias("kind"), name.alias("value")), _acted("variant_get(b, '$.input', 'variant')", name)),
+        lambda x: x["kind"].isNotNull() & (x["value"] != ""),
+    )
     rows = rows.where((name != "") & ~name.startswith(schema.OWN_TOOLS))
-    return rows.select(F.col("id").alias("message_id"), "session_uuid", "ts", F.inline(facts)).withColumn("value", expr.cap_bytes(F.col("value"), schema.TARGET_BYTES))
+    return rows.select(
+        F.col("id").alias("message_id"), "session_uuid", "ts", F.inline(facts)
+    ).withColumn("value", expr.cap_bytes(F.col("value"), schema.TARGET_BYTES))

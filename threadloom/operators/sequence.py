@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, group: list[str], pos: str, within: list[str | Column], name: str = "seq", block: int = 4096) -> DataFrame:
+def number_rows(
+    df: DataFrame, group: list[str], pos: str, within: list[str | Column], name: str = "seq", block: int = 4096
+) -> DataFrame:
     """``name`` counts the rows of each group from 0 by ``pos`` and ``within``.
 
     Rows are ranked within blocks of ``pos``; the counts of earlier blocks, a row per block, are
@@ -14,9 +16,13 @@ def number_rows(df: DataFrame, group: list[str], pos: str, within: list[str | Co
     """
     placed = df.withColumn("__block", F.floor(F.coalesce(F.col(pos), F.lit(-1)) / block))
     counts = placed.groupBy(*group, "__block").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*group).orderBy("__block")) - F.col("__n")).drop("__n")
+    before = counts.withColumn(
+        "__before", F.sum("__n").over(Window.partitionBy(*group).orderBy("__block")) - F.col("__n")
+    ).drop("__n")
     rank = F.row_number().over(Window.partitionBy(*group, "__block").orderBy(pos, *within)) - 1
-    return placed.withColumn("__rank", rank).join(before, [*group, "__block"]).withColumn(name, (F.col("__before") + F.col("__rank")).cast("bigint")).drop("__block", "__rank", "__before")
+    return placed.withColumn("__rank", rank).join(before, [*group, "__block"]).withColumn(
+        name, (F.col("__before") + F.col("__rank")).cast("bigint")
+    ).drop("__block", "__rank", "__before")
 
 
 def drop_repeats(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:

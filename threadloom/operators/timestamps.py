@@ -40,13 +40,27 @@ _ISO = re.compile(
 )
 _BASIC = re.compile(r"(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})(?:[.,](\d+))?(Z|z|[+-]\d{2}:?\d{2})?")
 _DAYS = re.compile(r"(\d{1,2})([./])(\d{1,2})\2(\d{4}),?(?:\s+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?\s*([AaPp][Mm])?")
-_MAIL = re.compile(r"(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?")
-_CLOCK = re.compile(r"[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+(\d{4})\s+(\d{2}):(\d{2}):(\d{2})\s*(?:GMT|UTC)?([+-]\d{4})?(?:\s*\(.*\))?")
+_MAIL = re.compile(
+    r"(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?",
+)
+_CLOCK = re.compile(
+    r"[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+(\d{4})\s+(\d{2}):(\d{2}):(\d{2})\s*(?:GMT|UTC)?([+-]\d{4})?(?:\s*\(.*\))?"
+)
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
 
-CANDIDATES = T.ArrayType(T.StructType([T.StructField("us", T.LongType()), T.StructField("fmt", T.StringType()), T.StructField("cost", T.DoubleType())]))
+CANDIDATES = T.ArrayType(
+    T.StructType([T.StructField("us", T.LongType()), T.StructField("fmt", T.StringType()), T.StructField("cost", T.DoubleType())])
+)
 
-SUMMARY = T.StructType([T.StructField("chain", T.StringType()), T.StructField("block", T.LongType()), T.StructField("first", CANDIDATES), T.StructField("last", CANDIDATES), T.StructField("costs", T.ArrayType(T.DoubleType()))])
+SUMMARY = T.StructType(
+    [
+        T.StructField("chain", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("first", CANDIDATES),
+        T.StructField("last", CANDIDATES),
+        T.StructField("costs", T.ArrayType(T.DoubleType())),
+    ],
+)
 
 
 def micros(digits: str | None) -> int:
@@ -69,7 +83,9 @@ def _instants(parts: tuple[int, ...], us: int, offset: str | None, zone: str | N
     except ValueError:
         return []
     if offset is not None:
-        return [(round((wall.replace(tzinfo=timezone.utc) - EPOCH) / timedelta(microseconds=1)) - _offset(offset) * 1_000_000, False)]
+        return [
+            (round((wall.replace(tzinfo=timezone.utc) - EPOCH) / timedelta(microseconds=1)) - _offset(offset) * 1_000_000, False)
+        ]
     if zone is None:
         return []
     tz = _zone(zone)
@@ -125,7 +141,13 @@ def interpretations(value: str | None, zone: str | None, conventions: dict[str,
     if m := _ISO.fullmatch(s):
         y, mo, d, h, mi, sec, frac, off, name = m.groups()
         if int(y):
-            add((int(y), int(mo), int(d), int(h or 0), int(mi or 0), int(sec or 0)), micros(frac), off, name or zone, "iso" + "_zoned" * (off is not None))
+            add(
+                (int(y), int(mo), int(d), int(h or 0), int(mi or 0), int(sec or 0)),
+                micros(frac),
+                off,
+                name or zone,
+                "iso" + "_zoned" * (off is not None),
+            )
     elif m := _BASIC.fullmatch(s):
         *p, frac, off = m.groups()
         if int(p[0]):
@@ -140,7 +162,14 @@ def interpretations(value: str | None, zone: str | None, conventions: dict[str,
         if int(y):
             meant = conventions.get("slash" if mark == "/" else "dot")
             for order, (mo, d) in (("mdy", (int(a), int(b))), ("dmy", (int(b), int(a)))):
-                add((int(y), mo, d, hour, int(mi or 0), int(sec or 0)), micros(frac), None, zone, order + mark, AGAINST * (meant is not None and meant != order))
+                add(
+                    (int(y), mo, d, hour, int(mi or 0), int(sec or 0)),
+                    micros(frac),
+                    None,
+                    zone,
+                    order + mark,
+                    AGAINST * (meant is not None and meant != order),
+                )
     elif m := _MAIL.fullmatch(s):
         d, name, y, h, mi, sec, off = m.groups()
         if name.lower() in MONTHS and int(y):
@@ -220,7 +249,15 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start = np.full(len(cands[0]), np.inf)
             start[i] = 0.0
             rows.append(_forward(cands, start)[0])
-        yield pd.DataFrame({"chain": [pdf.chain.iloc[0]], "block": [pdf.block.iloc[0]], "first": [cands[0]], "last": [cands[-1]], "costs": [np.concatenate(rows)]})
+        yield pd.DataFrame(
+            {
+                "chain": [pdf.chain.iloc[0]],
+                "block": [pdf.block.iloc[0]],
+                "first": [cands[0]],
+                "last": [cands[-1]],
+                "costs": [np.concatenate(rows)],
+            },
+        )
 
 
 def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +270,9 @@ def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, mat in enumerate(mats):
             if k:
                 a, b = lasts[k - 1], firsts[k]
-                step = _step(np.array([x["us"] for x in a]), [x["fmt"] for x in a], np.array([x["us"] for x in b]), [x["fmt"] for x in b])
+                step = _step(
+                    np.array([x["us"] for x in a]), [x["fmt"] for x in a], np.array([x["us"] for x in b]), [x["fmt"] for x in b]
+                )
                 total = cost[:, None] + step + np.array([x["cost"] for x in b])[None, :]
                 back.append(total.argmin(axis=0))
                 cost = total.min(axis=0)
@@ -248,7 +287,14 @@ def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if k:
                 state = int(back[2 * k - 1][first])
         ends.reverse()
-        yield pd.DataFrame({"chain": pdf.chain.to_numpy(), "block": pdf.block.to_numpy(), "start": [a for a, _ in ends], "end": [b for _, b in ends]})
+        yield pd.DataFrame(
+            {
+                "chain": pdf.chain.to_numpy(),
+                "block": pdf.block.to_numpy(),
+                "start": [a for a, _ in ends],
+                "end": [b for _, b in ends],
+            },
+        )
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,13 +315,28 @@ def resolve(rows: DataFrame, conventions: dict[str, str] | None = None, block: i
     without a known zone neither.  Records with equal ``pos`` are taken by ``row_id``; rows with a
     null chain form one source.
     """
-    base = rows.select("row_id", F.coalesce(F.col("chain").cast("string"), F.lit("")).alias("chain"), F.coalesce(F.col("pos"), F.lit(0)).cast("bigint").alias("pos"), "value", "zone", "plain_us")
-    plain = base.where("plain_us is not null").select("row_id", "chain", "pos", F.col("plain_us").alias("us"), F.lit("plain").alias("fmt"))
+    base = rows.select(
+        "row_id",
+        F.coalesce(F.col("chain").cast("string"), F.lit("")).alias("chain"),
+        F.coalesce(F.col("pos"), F.lit(0)).cast("bigint").alias("pos"),
+        "value",
+        "zone",
+        "plain_us",
+    )
+    plain = base.where("plain_us is not null").select(
+        "row_id", "chain", "pos", F.col("plain_us").alias("us"), F.lit("plain").alias("fmt")
+    )
     other = base.where("plain_us is null and length(trim(value)) > 0")
-    other = other.withColumn("cands", _reader(conventions or {})("value", "zone")).select("row_id", "chain", "pos", "cands").where("size(cands) > 0")
+    other = other.withColumn(
+        "cands", _reader(conventions or {})("value", "zone")
+    ).select("row_id", "chain", "pos", "cands").where("size(cands) > 0")
     other = materialise(other, "readings")
-    single = other.where("size(cands) = 1").select("row_id", "chain", "pos", F.col("cands")[0]["us"].alias("us"), F.col("cands")[0]["fmt"].alias("fmt"))
-    known = plain.withColumn("plain", F.lit(True)).unionByName(single.withColumn("plain", F.lit(False))).select("row_id", "us", "fmt", "plain")
+    single = other.where("size(cands) = 1").select(
+        "row_id", "chain", "pos", F.col("cands")[0]["us"].alias("us"), F.col("cands")[0]["fmt"].alias("fmt")
+    )
+    known = plain.withColumn("plain", F.lit(True)).unionByName(
+        single.withColumn("plain", F.lit(False))
+    ).select("row_id", "us", "fmt", "plain")
     unclear = other.where("size(cands) > 1").select("chain").distinct()
     if unclear.isEmpty():
         return known
@@ -286,8 +347,12 @@ def resolve(rows: DataFrame, conventions: dict[str, str] | None = None, block: i
         ends = None
     else:
         summed = _sorted(chained.join(several, "chain", "left_semi")).mapInPandas(_summaries, SUMMARY)
-        ends = summed.repartition("chain").sortWithinPartitions("chain", "block").mapInPandas(_join_blocks, "chain string, block long, start int, end int")
-    chained = chained.join(ends, ["chain", "block"], "left") if ends is not None else chained.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
+        ends = summed.repartition("chain").sortWithinPartitions("chain", "block").mapInPandas(
+            _join_blocks, "chain string, block long, start int, end int"
+        )
+    chained = chained.join(ends, ["chain", "block"], "left") if ends is not None else chained.withColumns(
+        {"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}
+    )
     decided = _sorted(chained).mapInPandas(_decide, "row_id bigint, us bigint, fmt string")
     return known.unionByName(decided.withColumn("plain", F.lit(False)))
 

@@ -16,8 +16,14 @@ CONVENTIONS = {"slash": "mdy", "dot": "dmy", "overlap": "earlier"}
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, schema, ident in (("event_lines", "type STRING, uuid STRING, _bad STRING", "j.uuid"), ("rollout_lines", "type STRING, payload STRUCT<id: STRING>, _bad STRING", "j.payload.id")):
-        rows = table(spark, sf_dir, name).select("line_id", "batch_no", F.from_json("raw_line", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
-        parts.append(rows.where("j._bad is null").select(F.lit(name).alias("src"), F.col("j.type").alias("type"), F.expr(ident).alias("ident"), "batch_no", "line_id"))
+        rows = table(spark, sf_dir, name).select(
+            "line_id", "batch_no", F.from_json("raw_line", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("j")
+        )
+        parts.append(
+            rows.where("j._bad is null").select(
+                F.lit(name).alias("src"), F.col("j.type").alias("type"), F.expr(ident).alias("ident"), "batch_no", "line_id"
+            ),
+        )
     return parts[0].unionByName(parts[1])
 
 
@@ -42,25 +48,58 @@ def _variant(v: str, path: str) -> Column:
 
 def _chat_messages(lines: DataFrame) -> DataFrame:
     """(line_id, source_file, tokens): the tokens of every message of every physical line."""
-    v = lines.where("line_no > 1").select("line_id", "source_file", F.expr("try_parse_json(raw_line)").alias("v")).where("v is not null")
-    many = F.expr("""transform(try_variant_get(v, '$["$set"].messages', 'array<variant>'), m -> try_variant_get(m, '$.tokens', 'variant'))""")
+    v = lines.where("line_no > 1").select(
+        "line_id", "source_file", F.expr("try_parse_json(raw_line)").alias("v")
+    ).where("v is not null")
+    many = F.expr(
+        """transform(try_variant_get(v, '$["$set"].messages', 'array<variant>'), m -> try_variant_get(m, '$.tokens', 'variant'))""",
+    )
     one = F.when(_variant("v", '$["$set"]').isNull(), F.array(_variant("v", "$.tokens")))
-    return v.select("line_id", "source_file", F.posexplode(F.coalesce(one, many)).alias("at", "tokens")).where("schema_of_variant(tokens) like 'OBJECT%'")
+    return v.select(
+        "line_id", "source_file", F.posexplode(F.coalesce(one, many)).alias("at", "tokens")
+    ).where("schema_of_variant(tokens) like 'OBJECT%'")
 
 
 def _chat_versions(lines: DataFrame) -> DataFrame:
     """The version of each chat file; of several copies of its first line the last delivered that has one counts."""
-    first = lines.where("line_no = 1").select("source_file", "batch_no", "line_id", schema_drift.version_text(F.expr("try_variant_get(try_parse_json(raw_line), '$.cliVersion', 'string')")).alias("version"))
-    return first.where("version is not null").groupBy("source_file").agg(F.max_by("version", F.struct("batch_no", "line_id")).alias("version"))
+    first = lines.where("line_no = 1").select(
+        "source_file",
+        "batch_no",
+        "line_id",
+        schema_drift.version_text(F.expr("try_variant_get(try_parse_json(raw_line), '$.cliVersion', 'string')")).alias("version"),
+    )
+    return first.where("version is not null").groupBy("source_file").agg(
+        F.max_by("version", F.struct("batch_no", "line_id")).alias("version")
+    )
 
 
 def _records(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """(src, record, row_id, version, body) of the two sources that carry their version in the record."""
     events = table(spark, sf_dir, "event_lines").select("line_id", F.expr("try_parse_json(raw_line)").alias("v"))
-    events = events.select(F.lit("claude-code").alias("src"), F.expr("try_variant_get(v, '$.type', 'string')").alias("record"), F.col("line_id").alias("row_id"), schema_drift.version_text(F.expr("try_variant_get(v, '$.version', 'string')")).alias("version"), F.col("v").alias("body"))
-    metas = table(spark, sf_dir, "rollout_lines").where("raw_line like '%session_meta%'").select("line_id", F.expr("try_parse_json(raw_line)").alias("v"))
-    metas = metas.where("try_variant_get(v, '$.type', 'string') = 'session_meta'").select("line_id", _variant("v", "$.payload").alias("body"))
-    metas = metas.select(F.lit("codex").alias("src"), F.lit("session_meta").alias("record"), F.col("line_id").alias("row_id"), schema_drift.version_text(F.expr("coalesce(try_variant_get(body, '$.cli_version.semver', 'string'), try_variant_get(body, '$.cli_version', 'string'))")).alias("version"), "body")
+    events = events.select(
+        F.lit("claude-code").alias("src"),
+        F.expr("try_variant_get(v, '$.type', 'string')").alias("record"),
+        F.col("line_id").alias("row_id"),
+        schema_drift.version_text(F.expr("try_variant_get(v, '$.version', 'string')")).alias("version"),
+        F.col("v").alias("body"),
+    )
+    metas = table(spark, sf_dir, "rollout_lines").where("raw_line like '%session_meta%'").select(
+        "line_id", F.expr("try_parse_json(raw_line)").alias("v")
+    )
+    metas = metas.where(
+        "try_variant_get(v, '$.type', 'string') = 'session_meta'"
+    ).select("line_id", _variant("v", "$.payload").alias("body"))
+    metas = metas.select(
+        F.lit("codex").alias("src"),
+        F.lit("session_meta").alias("record"),
+        F.col("line_id").alias("row_id"),
+        schema_drift.version_text(
+            F.expr(
+                "coalesce(try_variant_get(body, '$.cli_version.semver', 'string'), try_variant_get(body, '$.cli_version', 'string'))",
+            ),
+        ).alias("version"),
+        "body",
+    )
     return [events, metas]
 
 
@@ -68,7 +107,9 @@ def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [r.where("version is not null").select("src", "record", "version", F.expr("schema_of_variant(body)").alias("schema")).where("schema like 'OBJECT%'").distinct() for r in _records(spark, sf_dir)]
     chats = table(spark, sf_dir, "chat_lines")
     tokens = _chat_messages(chats).select("source_file", F.expr("schema_of_variant(tokens)").alias("schema")).distinct()
-    tokens = tokens.join(_chat_versions(chats), "source_file").select(F.lit("gemini").alias("src"), F.lit("tokens").alias("record"), "version", "schema").distinct()
+    tokens = tokens.join(_chat_versions(chats), "source_file").select(
+        F.lit("gemini").alias("src"), F.lit("tokens").alias("record"), "version", "schema"
+    ).distinct()
     return own[0].unionByName(own[1]).unionByName(tokens)
 
 
@@ -82,10 +123,20 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chats = table(spark, sf_dir, "chat_lines")
     tokens = _chat_messages(chats).join(_chat_versions(chats), "source_file", "left")
-    tokens = tokens.select(F.lit("gemini").alias("src"), F.lit("tokens").alias("record"), F.col("line_id").alias("row_id"), "version", F.col("tokens").alias("body"))
+    tokens = tokens.select(
+        F.lit("gemini").alias("src"),
+        F.lit("tokens").alias("record"),
+        F.col("line_id").alias("row_id"),
+        "version",
+        F.col("tokens").alias("body"),
+    )
     events, metas = _records(spark, sf_dir)
-    records = events.unionByName(metas).unionByName(tokens).select("src", "record", "row_id", "version", F.expr("try_variant_get(body, '$', 'map<string,variant>')").alias("fields"))
-    return schema_drift.unify(records.where("fields is not null"), materialise(_schemas(spark, sf_dir), "schemas"), ignore=("timestamp",))
+    records = events.unionByName(metas).unionByName(tokens).select(
+        "src", "record", "row_id", "version", F.expr("try_variant_get(body, '$', 'map<string,variant>')").alias("fields")
+    )
+    return schema_drift.unify(
+        records.where("fields is not null"), materialise(_schemas(spark, sf_dir), "schemas"), ignore=("timestamp",)
+    )
 
 
 # --- 4: change feed -----------------------------------------------------------------------------
@@ -99,7 +150,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(*[table(spark, sf_dir, t).select("line_id", "raw_line") for t in ("event_lines", "rollout_lines", "chat_lines")])
+    return nested.shred(
+        *[table(spark, sf_dir, t).select("line_id", "raw_line") for t in ("event_lines", "rollout_lines", "chat_lines")]
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,24 +177,55 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, name)
         if name == "chat_lines":
             rows = rows.where("line_no = 1")
-        rows = rows.select("line_id", "source_file", "line_no", "machine", F.from_json("raw_line", f"{field} STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("j")).where("j._bad is null")
-        parts.append(rows.select(F.lit(name).alias("src"), F.col("line_id").alias("row_id"), "source_file", F.col("line_no").alias("pos"), "machine", F.col(f"j.{field}").alias("value")))
+        rows = rows.select(
+            "line_id",
+            "source_file",
+            "line_no",
+            "machine",
+            F.from_json("raw_line", f"{field} STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("j"),
+        ).where("j._bad is null")
+        parts.append(
+            rows.select(
+                F.lit(name).alias("src"),
+                F.col("line_id").alias("row_id"),
+                "source_file",
+                F.col("line_no").alias("pos"),
+                "machine",
+                F.col(f"j.{field}").alias("value"),
+            ),
+        )
     lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    plain = F.when(F.col("value").rlike(timestamps.PLAIN), F.unix_micros(F.try_to_timestamp("value", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))))
+    plain = F.when(
+        F.col("value").rlike(timestamps.PLAIN), F.unix_micros(F.try_to_timestamp("value", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))
+    )
     plain = F.when(~F.col("value").startswith("0000"), plain)
-    return lines.join(F.broadcast(zones), "machine", "left").select("src", "row_id", F.concat_ws(":", "src", "source_file").alias("chain"), "pos", "value", "zone", plain.alias("plain_us"))
+    return lines.join(F.broadcast(zones), "machine", "left").select(
+        "src", "row_id", F.concat_ws(":", "src", "source_file").alias("chain"), "pos", "value", "zone", plain.alias("plain_us")
+    )
 
 
 def _message_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "messages").select("id", "session_uuid", "seq", "ts")
     whole = F.col("ts").between(315_532_800, 7_258_118_399)
-    return rows.select(F.col("id").alias("row_id"), F.col("session_uuid").alias("chain"), F.col("seq").alias("pos"), F.col("ts").cast("string").alias("value"), F.lit(None).cast("string").alias("zone"), F.when(whole, F.col("ts") * 1_000_000).alias("plain_us"))
+    return rows.select(
+        F.col("id").alias("row_id"),
+        F.col("session_uuid").alias("chain"),
+        F.col("seq").alias("pos"),
+        F.col("ts").cast("string").alias("value"),
+        F.lit(None).cast("string").alias("zone"),
+        F.when(whole, F.col("ts") * 1_000_000).alias("plain_us"),
+    )
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = timestamps.resolve(_times(spark, sf_dir), CONVENTIONS)
-    src = F.element_at(F.array(F.lit("event_lines"), F.lit("rollout_lines"), F.lit("chat_lines")), (F.col("row_id") / 1_000_000_000_000).cast("int"))
-    return lines.withColumn("src", src).unionByName(timestamps.resolve(_message_times(spark, sf_dir), CONVENTIONS).withColumn("src", F.lit("messages")))
+    src = F.element_at(
+        F.array(F.lit("event_lines"), F.lit("rollout_lines"), F.lit("chat_lines")),
+        (F.col("row_id") / 1_000_000_000_000).cast("int"),
+    )
+    return lines.withColumn("src", src).unionByName(
+        timestamps.resolve(_message_times(spark, sf_dir), CONVENTIONS).withColumn("src", F.lit("messages"))
+    )
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ def _row(df: DataFrame, name: str, n: Column, ok: Column) -> DataFrame:
 
 
 def orphan_sessions(data: Dataset) -> DataFrame:
-    lone = data.sessions.join(data.messages.select(F.col("session_uuid").alias("uuid")), "uuid", "left_anti").agg(F.count("*").alias("n"))
+    lone = data.sessions.join(
+        data.messages.select(F.col("session_uuid").alias("uuid")), "uuid", "left_anti"
+    ).agg(F.count("*").alias("n"))
     return _row(lone, "orphan sessions", F.col("n"), F.col("n") == 0)
 
 
@@ -38,16 +40,22 @@ def unparsed_lines(landed: DataFrame) -> DataFrame:
 
 
 def repeated_messages(data: Dataset) -> DataFrame:
-    n = data.messages.groupBy("session_uuid", "seq").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n"))
+    n = data.messages.groupBy("session_uuid", "seq").agg(F.count("*").alias("k")).agg(
+        F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n")
+    )
     return _row(n, "repeated messages", F.col("n"), F.col("n") == 0)
 
 
 def reconcile(listing: DataFrame, state: DataFrame, roots: list[str]) -> DataFrame:
     """Files as missing, preserved (their root is not there), truncated, rewritten, lagging or current: (status, n)."""
-    rows = state.select("source_file", "last_size", "last_byte_offset", F.col("tail_fingerprint").alias("old_tail")).join(listing, "source_file", "left")
+    rows = state.select(
+        "source_file", "last_size", "last_byte_offset", F.col("tail_fingerprint").alias("old_tail")
+    ).join(listing, "source_file", "left")
     inside = reduce(Column.__or__, [F.col("source_file").startswith(r.rstrip("/") + "/") for r in roots], F.lit(False))
     changed = F.col("tail_fingerprint") != F.col("old_tail") if "tail_fingerprint" in listing.columns else F.lit(False)
-    status = F.when(~inside, "preserved").when(F.col("size").isNull(), "missing").when(F.col("size") < F.col("last_byte_offset"), "truncated").when((F.col("size") == F.col("last_size")) & changed, "rewritten").when(F.col("size") > F.col("last_byte_offset"), "lagging").otherwise("current")
+    status = F.when(~inside, "preserved").when(F.col("size").isNull(), "missing").when(F.col("size") < F.col("last_byte_offset"), "truncated").when(
+        (F.col("size") == F.col("last_size")) & changed, "rewritten"
+    ).when(F.col("size") > F.col("last_byte_offset"), "lagging").otherwise("current")
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -55,8 +63,13 @@ def coverage_by_source(listing: DataFrame, state: DataFrame) -> DataFrame:
     """(source, on_disk, tracked, ok) per format, so that none hides a gap in another."""
     from threadloom.sources.files import source_of
 
-    disk = listing.select("source_file").withColumn("tracked", F.lit(0)).unionByName(state.select("source_file").withColumn("tracked", F.lit(1)))
-    per = disk.groupBy(source_of(F.col("source_file")).alias("source")).agg(F.countDistinct(F.when(F.col("tracked") == 0, F.col("source_file"))).alias("on_disk"), F.countDistinct(F.when(F.col("tracked") == 1, F.col("source_file"))).alias("tracked"))
+    disk = listing.select("source_file").withColumn("tracked", F.lit(0)).unionByName(
+        state.select("source_file").withColumn("tracked", F.lit(1))
+    )
+    per = disk.groupBy(source_of(F.col("source_file")).alias("source")).agg(
+        F.countDistinct(F.when(F.col("tracked") == 0, F.col("source_file"))).alias("on_disk"),
+        F.countDistinct(F.when(F.col("tracked") == 1, F.col("source_file"))).alias("tracked"),
+    )
     return per.withColumn("ok", F.col("tracked") >= F.col("on_disk"))
 
 
@@ -71,4 +84,6 @@ def size_ratio(index_bytes: int, source_bytes: int) -> tuple[bool, float]:
 
 
 def checks(data: Dataset) -> DataFrame:
-    return reduce(DataFrame.unionByName, [orphan_sessions(data), usage_coverage(data), stale_usage(data), repeated_messages(data)])
+    return reduce(
+        DataFrame.unionByName, [orphan_sessions(data), usage_coverage(data), stale_usage(data), repeated_messages(data)]
+    )

@@ -110,24 +110,47 @@ _listing("list_sessions_include_subagents", SessionFilter(include_subagents=True
 _listing("list_sessions_all_sources", SessionFilter(source="all", limit=80))
 _listing("list_sessions_min_turns", SessionFilter(min_turns=8))
 _listing("list_sessions_project_since", SessionFilter(project=PROJECT, since=SINCE))
-_listing("list_sessions_touched", SessionFilter(touched="src/"), f" AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'file' AND starts_with({ASCII.format('value')}, 'src/'))")
-_listing("list_sessions_tool", SessionFilter(tool="Grep"), " AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'tool' AND value = 'Grep')")
-_listing("list_sessions_ran", SessionFilter(ran="go test"), f" AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'command' AND contains({ASCII.format('value')}, 'go test'))")
-_listing("list_sessions_exact_target", SessionFilter(target=("pattern", "**/*.py")), " AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'pattern' AND value = '**/*.py')")
-
-
-@query("list_sessions_children", f"SELECT c.uuid, c.parent_session, p.title AS parent_title FROM sessions c JOIN sessions p ON p.uuid = c.parent_session WHERE {DEFAULT.replace('source', 'c.source')}")
+_listing(
+    "list_sessions_touched",
+    SessionFilter(touched="src/"),
+    f" AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'file' AND starts_with({ASCII.format('value')}, 'src/'))",
+)
+_listing(
+    "list_sessions_tool",
+    SessionFilter(tool="Grep"),
+    " AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'tool' AND value = 'Grep')",
+)
+_listing(
+    "list_sessions_ran",
+    SessionFilter(ran="go test"),
+    f" AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'command' AND contains({ASCII.format('value')}, 'go test'))",
+)
+_listing(
+    "list_sessions_exact_target",
+    SessionFilter(target=("pattern", "**/*.py")),
+    " AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'pattern' AND value = '**/*.py')",
+)
+
+
+@query(
+    "list_sessions_children",
+    f"SELECT c.uuid, c.parent_session, p.title AS parent_title FROM sessions c JOIN sessions p ON p.uuid = c.parent_session WHERE {DEFAULT.replace('source', 'c.source')}",
+)
 def list_children(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sessions")
     parents = s.select(F.col("uuid").alias("parent_session"), F.col("title").alias("parent_title"))
-    return s.where(expr.of_source(F.col("source"), "")).select("uuid", "parent_session").join(parents, "parent_session").select("uuid", "parent_session", "parent_title")
+    return s.where(expr.of_source(F.col("source"), "")).select("uuid", "parent_session").join(parents, "parent_session").select(
+        "uuid", "parent_session", "parent_title"
+    )
 
 
 _LONGEST = "(SELECT session_uuid FROM messages WHERE session_uuid IN (SELECT uuid FROM sessions) GROUP BY 1 ORDER BY count(*) DESC, session_uuid LIMIT 1)"
 
 
 def _longest(spark: SparkSession, d: str) -> str:
-    counts = table(spark, d, "messages").join(table(spark, d, "sessions").select(F.col("uuid").alias("session_uuid")), "session_uuid", "left_semi").groupBy("session_uuid").count()
+    counts = table(spark, d, "messages").join(
+        table(spark, d, "sessions").select(F.col("uuid").alias("session_uuid")), "session_uuid", "left_semi"
+    ).groupBy("session_uuid").count()
     return counts.orderBy(F.desc("count"), "session_uuid").first()[0]
 
 
@@ -141,12 +164,18 @@ def resolve_exact(spark: SparkSession, d: str) -> DataFrame:
     return sessions.resolve(_data(spark, d), _longest(spark, d)).select("uuid", "project_path")
 
 
-@query("get_messages_page", f"SELECT seq, id, coalesce(ts, 0) AS ts, role, content, '' AS raw_json, true AS has_more FROM messages WHERE session_uuid = {_LONGEST} AND role IN ('user', 'assistant') ORDER BY seq, id LIMIT 50 OFFSET 20")
+@query(
+    "get_messages_page",
+    f"SELECT seq, id, coalesce(ts, 0) AS ts, role, content, '' AS raw_json, true AS has_more FROM messages WHERE session_uuid = {_LONGEST} AND role IN ('user', 'assistant') ORDER BY seq, id LIMIT 50 OFFSET 20",
+)
 def get_messages_page(spark: SparkSession, d: str) -> DataFrame:
     return sessions.read_messages(_data(spark, d), _longest(spark, d), 20, 50)
 
 
-@query("get_messages_with_tools", f"SELECT seq, id, coalesce(ts, 0) AS ts, role, content, raw_json, true AS has_more FROM messages WHERE session_uuid = {_LONGEST} ORDER BY seq, id LIMIT 50")
+@query(
+    "get_messages_with_tools",
+    f"SELECT seq, id, coalesce(ts, 0) AS ts, role, content, raw_json, true AS has_more FROM messages WHERE session_uuid = {_LONGEST} ORDER BY seq, id LIMIT 50",
+)
 def get_messages_with_tools(spark: SparkSession, d: str) -> DataFrame:
     return sessions.read_messages(_data(spark, d), _longest(spark, d), 0, 50, True, True)
 
@@ -193,7 +222,10 @@ def usage_source_totals(spark: SparkSession, d: str) -> DataFrame:
     return usage.source_totals(_data(spark, d))
 
 
-@query("session_total_tokens", f"WITH {STATE} SELECT u.session_uuid, coalesce(st.usage_stale, 0) <> 0 AS stale, cast(sum(u.total_tokens) AS BIGINT) AS total_tokens {_SCOPE} WHERE s.source = 'codex' GROUP BY 1, 2")
+@query(
+    "session_total_tokens",
+    f"WITH {STATE} SELECT u.session_uuid, coalesce(st.usage_stale, 0) <> 0 AS stale, cast(sum(u.total_tokens) AS BIGINT) AS total_tokens {_SCOPE} WHERE s.source = 'codex' GROUP BY 1, 2",
+)
 def session_total_tokens(spark: SparkSession, d: str) -> DataFrame:
     data = _data(spark, d)
     return usage.session_totals(data, data.sessions.where("source = 'codex'"))
@@ -224,7 +256,13 @@ def quota_latest(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.quota_snapshots(_rollouts(spark, d))
 
 
-@query("quota_stale", _QUOTA.replace("<more>", f", (window_minutes > 0 AND {AS_OF} - observed_at > window_minutes * 60) OR (resets_at > 0 AND resets_at < {AS_OF}) AS stale"))
+@query(
+    "quota_stale",
+    _QUOTA.replace(
+        "<more>",
+        f", (window_minutes > 0 AND {AS_OF} - observed_at > window_minutes * 60) OR (resets_at > 0 AND resets_at < {AS_OF}) AS stale",
+    ),
+)
 def quota_stale(spark: SparkSession, d: str) -> DataFrame:
     return usage.with_quota_age(transcripts.quota_snapshots(_rollouts(spark, d)), AS_OF)
 
@@ -262,7 +300,9 @@ def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = ""
     long, short = text.by_length(text.search_terms(q))
     conds = [f"contains(lower(content), '{t.lower()}')" for t in long] + [f"contains({ASCII.format('content')}, '{t.lower()}')" for t in short]
     conds.append(f"role = '{f.role}'" if f.role else "true" if f.tool_output else "role IN ('user', 'assistant')")
-    conds += [f"ts >= {f.since}"] * (f.since > 0) + [f"starts_with({ASCII.format('project_path')}, '{f.project}')"] * bool(f.project)
+    conds += [f"ts >= {f.since}"] * (f.since > 0) + [
+        f"starts_with({ASCII.format('project_path')}, '{f.project}')"
+    ] * bool(f.project)
     conds.append(DEFAULT if f.source == "" else "true" if f.source == "all" else f"source = '{f.source}'")
     score = _bm25(long) if long else "0.0"
     order = "bm, id" if long else "ts DESC NULLS LAST, id"
@@ -270,7 +310,11 @@ def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = ""
     sql = f"""WITH {TARGETS}, {stats} pool AS (SELECT id, seq, session_uuid, role, coalesce(ts, 0) AS ts0, ts, {score} AS bm FROM {_MS} {', stats' if long else ''} WHERE {' AND '.join(conds)}{where} ORDER BY {order} LIMIT {limit * 12}),
       scored AS (SELECT *, -bm * ({_weight('role')}) + {_RECENCY} AS score FROM pool)
       SELECT id, seq, session_uuid, role, ts0 AS ts, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, bm, id LIMIT {limit}"""
-    query(name, sql)(lambda spark, d: search.search(_data(spark, d), q, AS_OF, f, limit).select("id", "seq", "session_uuid", "role", "ts", F.round("score", 6).alias("score")))
+    query(name, sql)(
+        lambda spark, d: search.search(_data(spark, d), q, AS_OF, f, limit).select(
+            "id", "seq", "session_uuid", "role", "ts", F.round("score", 6).alias("score")
+        ),
+    )
 
 
 _search("search_long_and", f'{WORD} "{PHRASE}"')
@@ -279,11 +323,19 @@ _search("search_hybrid", f"{WORD} {SHORT}")
 _search("search_role", WORD, SearchFilter(role="thinking"))
 _search("search_tool_output", WORD, SearchFilter(tool_output=True, source="all"))
 _search("search_project_since", WORD, SearchFilter(project=PROJECT, since=SINCE))
-_search("search_touched", WORD, SearchFilter(touched="src/"), f" AND session_uuid IN (SELECT session_uuid FROM tt WHERE kind = 'file' AND starts_with({ASCII.format('value')}, 'src/'))")
+_search(
+    "search_touched",
+    WORD,
+    SearchFilter(touched="src/"),
+    f" AND session_uuid IN (SELECT session_uuid FROM tt WHERE kind = 'file' AND starts_with({ASCII.format('value')}, 'src/'))",
+)
 _search("search_wide", WIDE, SearchFilter(source="all"))
 
 
-@query("bm25_scores", f"WITH {_bm25_ctes([WORD, PHRASE])} SELECT id, round({_bm25([WORD, PHRASE])}, 6) AS bm25 FROM messages, stats WHERE contains(lower(content), '{WORD}') OR contains(lower(content), '{PHRASE}')")
+@query(
+    "bm25_scores",
+    f"WITH {_bm25_ctes([WORD, PHRASE])} SELECT id, round({_bm25([WORD, PHRASE])}, 6) AS bm25 FROM messages, stats WHERE contains(lower(content), '{WORD}') OR contains(lower(content), '{PHRASE}')",
+)
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").select("id", "content")
     rows = m.where(expr.contains_long(F.col("content"), WORD) | expr.contains_long(F.col("content"), PHRASE))
@@ -323,7 +375,9 @@ _TERMS = [WORD, PHRASE, "ms", "go"]
 _COLS = 'session_uuid, seq, id, role, ts, c2."full" AS "full", round(score, 6) AS score'
 for _name, _cap in (("retrieve_any_term", 0), ("retrieve_capped", 3)):
     query(_name, f"""WITH {_retrieve_ctes(_TERMS, 60)} SELECT {_COLS} FROM (SELECT * FROM capped {f'WHERE rs <= {_cap}' if _cap else ''} ORDER BY capped."full" DESC, score DESC, session_uuid, seq LIMIT 60) c2""")(
-        lambda spark, d, cap=_cap: search.retrieve(_data(spark, d), _TERMS, AS_OF, SearchFilter(), 60, cap).withColumn("score", F.round("score", 6))
+        lambda spark, d, cap=_cap: search.retrieve(
+            _data(spark, d), _TERMS, AS_OF, SearchFilter(), 60, cap
+        ).withColumn("score", F.round("score", 6))
     )
 
 _ASKED = text.question_terms(QUESTION)
@@ -350,7 +404,10 @@ def dedup_min_id(spark: SparkSession, d: str) -> DataFrame:
     return ingest.drop_repeated_messages(table(spark, d, "messages").select("id", "session_uuid", "seq"))
 
 
-@query("drop_orphan_calls", "SELECT message_id, tool_name, params_summary FROM tool_calls WHERE message_id IN (SELECT id FROM messages WHERE role = 'tool_use')")
+@query(
+    "drop_orphan_calls",
+    "SELECT message_id, tool_name, params_summary FROM tool_calls WHERE message_id IN (SELECT id FROM messages WHERE role = 'tool_use')",
+)
 def drop_orphan_calls(spark: SparkSession, d: str) -> DataFrame:
     return ingest.drop_orphans(table(spark, d, "tool_calls"), table(spark, d, "messages").where("role = 'tool_use'"))
 
@@ -382,7 +439,9 @@ s AS (SELECT source_file, coalesce(nullif(model, ''), '(unknown)') AS model, {_N
   FROM l WHERE rn = 1 AND json_type(u) = 'OBJECT' GROUP BY 1, 2)
 SELECT source_file, model, input_tokens::BIGINT AS input_tokens, output_tokens::BIGINT AS output_tokens, cache_read::BIGINT AS cache_read, cache_creation::BIGINT AS cache_creation, (input_tokens + output_tokens + cache_read + cache_creation)::BIGINT AS total_tokens FROM s WHERE input_tokens + output_tokens + cache_read + cache_creation > 0""")
 def event_usage(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.event_usage(_events(spark, d)).where("total_tokens > 0").select("source_file", "model", "input_tokens", "output_tokens", "cache_read", "cache_creation", "total_tokens")
+    return transcripts.event_usage(_events(spark, d)).where("total_tokens > 0").select(
+        "source_file", "model", "input_tokens", "output_tokens", "cache_read", "cache_creation", "total_tokens"
+    )
 
 
 @query("rollout_usage", f"""
@@ -390,7 +449,9 @@ WITH a AS (SELECT source_file, line_no, j->'$.payload.info.total_token_usage' AS
 l AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_no DESC) AS rn FROM a)
 SELECT source_file, '(mixed)' AS model, cast(coalesce(u->>'$.input_tokens', '0') AS BIGINT) AS input_tokens, cast(coalesce(u->>'$.output_tokens', '0') AS BIGINT) AS output_tokens, cast(coalesce(u->>'$.cached_input_tokens', '0') AS BIGINT) AS cache_read, cast(u->>'$.total_tokens' AS BIGINT) AS total_tokens FROM l WHERE rn = 1""")
 def rollout_usage(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.rollout_usage(_rollouts(spark, d)).select("source_file", "model", "input_tokens", "output_tokens", "cache_read", "total_tokens")
+    return transcripts.rollout_usage(_rollouts(spark, d)).select(
+        "source_file", "model", "input_tokens", "output_tokens", "cache_read", "total_tokens"
+    )
 
 
 @query("chat_usage")
@@ -434,7 +495,9 @@ b AS (SELECT source_file, line_no, 0 AS block_no, type, 'text' AS kind, c->>'$'
   FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS k FROM e WHERE json_type(c) = 'ARRAY'))
 SELECT source_file, line_no, block_no, CASE kind WHEN 'text' THEN type ELSE 'thinking' END AS role, trim(t) AS content FROM b WHERE kind IN ('text', 'thinking') AND trim(t) <> ''""")
 def event_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.event_blocks(_events(spark, d)).where("kind in ('text', 'thinking')").select("source_file", "line_no", "block_no", "role", "content")
+    return transcripts.event_blocks(_events(spark, d)).where("kind in ('text', 'thinking')").select(
+        "source_file", "line_no", "block_no", "role", "content"
+    )
 
 
 _STEM = r"regexp_extract(source_file, '([^/]+)\.jsonl$', 1)"
@@ -447,7 +510,9 @@ SELECT {_STEM} AS uuid, source_file, min(ts) FILTER (WHERE ts > 0) AS started_at
   CASE WHEN regexp_matches(source_file, 'subagents/agent-') THEN arg_min(j->>'$.attributionAgent', line_no) FILTER (WHERE json_type(j, '$.attributionAgent') = 'VARCHAR' AND j->>'$.attributionAgent' <> '') END AS agent_type
 FROM e GROUP BY source_file""")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.event_sessions(_events(spark, d)).select("uuid", "source_file", "started_at", "ended_at", "parent_session", "agent_type")
+    return transcripts.event_sessions(_events(spark, d)).select(
+        "uuid", "source_file", "started_at", "ended_at", "parent_session", "agent_type"
+    )
 
 
 @query("rollout_sessions", f"""
@@ -457,20 +522,33 @@ def rollout_sessions(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.rollout_sessions(_rollouts(spark, d)).select("source_file", "started_at", "ended_at", "project_path")
 
 
-@query("sequence_assignment", "SELECT source_file, line_no, line_id, row_number() OVER (PARTITION BY source_file ORDER BY line_no, line_id) - 1 AS seq FROM event_lines")
+@query(
+    "sequence_assignment",
+    "SELECT source_file, line_no, line_id, row_number() OVER (PARTITION BY source_file ORDER BY line_no, line_id) - 1 AS seq FROM event_lines",
+)
 def sequence_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return number_rows(table(spark, d, "event_lines").select("source_file", "line_no", "line_id"), ["source_file"], "line_no", ["line_id"])
+    return number_rows(
+        table(spark, d, "event_lines").select("source_file", "line_no", "line_id"), ["source_file"], "line_no", ["line_id"]
+    )
 
 
-@query("consecutive_dedupe", f"SELECT seq, id, role FROM (SELECT *, lag(role) OVER (ORDER BY seq, id) AS p, row_number() OVER (ORDER BY seq, id) AS rn FROM messages WHERE session_uuid = {_LONGEST}) WHERE rn = 1 OR role IS DISTINCT FROM p")
+@query(
+    "consecutive_dedupe",
+    f"SELECT seq, id, role FROM (SELECT *, lag(role) OVER (ORDER BY seq, id) AS p, row_number() OVER (ORDER BY seq, id) AS rn FROM messages WHERE session_uuid = {_LONGEST}) WHERE rn = 1 OR role IS DISTINCT FROM p",
+)
 def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "messages").where(F.col("session_uuid") == _longest(spark, d))
     return drop_repeats(one, ["session_uuid"], ["seq", "id"], "role").select("seq", "id", "role")
 
 
-@query("route_sources", r"SELECT source_file, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source, count(*) AS n FROM (SELECT source_file FROM event_lines UNION ALL SELECT source_file FROM rollout_lines UNION ALL SELECT source_file FROM chat_lines) GROUP BY 1, 2")
+@query(
+    "route_sources",
+    r"SELECT source_file, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source, count(*) AS n FROM (SELECT source_file FROM event_lines UNION ALL SELECT source_file FROM rollout_lines UNION ALL SELECT source_file FROM chat_lines) GROUP BY 1, 2",
+)
 def route_sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_lines").select("source_file").unionByName(table(spark, d, "rollout_lines").select("source_file")).unionByName(table(spark, d, "chat_lines").select("source_file"))
+    rows = table(spark, d, "event_lines").select("source_file").unionByName(
+        table(spark, d, "rollout_lines").select("source_file")
+    ).unionByName(table(spark, d, "chat_lines").select("source_file"))
     return rows.groupBy("source_file", files.source_of(F.col("source_file")).alias("source")).agg(F.count("*").alias("n"))
 
 
@@ -505,20 +583,30 @@ def classify_changes(spark: SparkSession, d: str) -> DataFrame:
     return ingest.classify(listing, _states(spark, d)[0])
 
 
-@query("union_tracked_files", "SELECT source_file FROM sessions WHERE source_file <> '' UNION SELECT source_file FROM event_lines")
+@query(
+    "union_tracked_files", "SELECT source_file FROM sessions WHERE source_file <> '' UNION SELECT source_file FROM event_lines"
+)
 def union_tracked_files(spark: SparkSession, d: str) -> DataFrame:
     return ingest.tracked_files(table(spark, d, "event_lines"), table(spark, d, "sessions"))
 
 
-@query("anti_join_purge", "SELECT uuid FROM sessions WHERE source_file IS NULL OR NOT (starts_with(source_file, '/var/sync/done/gemini/'))")
+@query(
+    "anti_join_purge",
+    "SELECT uuid FROM sessions WHERE source_file IS NULL OR NOT (starts_with(source_file, '/var/sync/done/gemini/'))",
+)
 def anti_join_purge(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sessions")
     listing = s.where(~F.col("source_file").startswith("/var/sync/done/gemini/")).select("source_file")
-    missing = ingest.missing_files(ingest.tracked_files(s.select("source_file").where("source_file <> ''"), s), listing, ["/var/sync/done"])
+    missing = ingest.missing_files(
+        ingest.tracked_files(s.select("source_file").where("source_file <> ''"), s), listing, ["/var/sync/done"]
+    )
     return ingest.purge(s, table(spark, d, "messages"), missing, s.count())[0].select("uuid")
 
 
-@query("source_conflicts", "SELECT source_file, uuid, coalesce(nullif(source, ''), 'claude-code') AS seen_source, 'codex' AS conflicting_source FROM sessions WHERE coalesce(nullif(source, ''), 'claude-code') <> 'codex'")
+@query(
+    "source_conflicts",
+    "SELECT source_file, uuid, coalesce(nullif(source, ''), 'claude-code') AS seen_source, 'codex' AS conflicting_source FROM sessions WHERE coalesce(nullif(source, ''), 'claude-code') <> 'codex'",
+)
 def source_conflicts(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sessions")
     return ingest.split_conflicts(s.withColumn("source", F.lit("codex")), s)[1]
@@ -534,7 +622,14 @@ def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
 SELECT uuid, greatest(coalesce(ended_at, 0), coalesce(started_at, 0) + 5000) AS ended_at, turn_count + 1 AS turn_count, coalesce(nullif(title, ''), 'filled') AS title, coalesce(nullif(source, ''), 'filled') AS source FROM sessions""")
 def merge_sessions_incremental(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sessions")
-    new = s.withColumns({"ended_at": F.coalesce("started_at", F.lit(0)) + 5000, "turn_count": F.col("turn_count") + 1, "title": F.lit("filled"), "source": F.lit("filled")})
+    new = s.withColumns(
+        {
+            "ended_at": F.coalesce("started_at", F.lit(0)) + 5000,
+            "turn_count": F.col("turn_count") + 1,
+            "title": F.lit("filled"),
+            "source": F.lit("filled"),
+        },
+    )
     return ingest.merge_sessions(s, new, full=False).select("uuid", "ended_at", "turn_count", "title", "source")
 
 
@@ -549,33 +644,54 @@ def reset_subagents(spark: SparkSession, d: str) -> DataFrame:
     return ingest.reset_subagents(table(spark, d, "event_lines").select("source_file").distinct())
 
 
-@query("subagent_paths", r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([^/]+)\.jsonl$', 1) AS stem, regexp_matches(source_file, '(^|/)subagents/agent-[^/]*\.jsonl$') AS child, regexp_extract(source_file, '([^/]+)/subagents/[^/]+$', 1) AS parent FROM event_lines""")
+@query(
+    "subagent_paths",
+    r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([^/]+)\.jsonl$', 1) AS stem, regexp_matches(source_file, '(^|/)subagents/agent-[^/]*\.jsonl$') AS child, regexp_extract(source_file, '([^/]+)/subagents/[^/]+$', 1) AS parent FROM event_lines""",
+)
 def subagent_paths(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("source_file")
-    return table(spark, d, "event_lines").select(p, files.file_stem(p).alias("stem"), files.is_subagent(p).alias("child"), files.subagent_parent(p).alias("parent")).distinct()
+    return table(spark, d, "event_lines").select(
+        p, files.file_stem(p).alias("stem"), files.is_subagent(p).alias("child"), files.subagent_parent(p).alias("parent")
+    ).distinct()
 
 
-@query("rollout_ids", r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\.jsonl$', 1) AS id FROM rollout_lines""")
+@query(
+    "rollout_ids",
+    r"""SELECT DISTINCT source_file, regexp_extract(source_file, '([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\.jsonl$', 1) AS id FROM rollout_lines""",
+)
 def rollout_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rollout_lines").select("source_file", files.last_uuid(F.col("source_file")).alias("id")).distinct()
 
 
-@query("current_lines", "SELECT source_file, line_no, max_by(line_id, (batch_no, line_id)) AS line_id FROM rollout_lines GROUP BY 1, 2")
+@query(
+    "current_lines",
+    "SELECT source_file, line_no, max_by(line_id, (batch_no, line_id)) AS line_id FROM rollout_lines GROUP BY 1, 2",
+)
 def current_lines(spark: SparkSession, d: str) -> DataFrame:
     return _rollouts(spark, d).select("source_file", "line_no", "line_id")
 
 
-@query("merge_quota", "SELECT source, limit_id, max(observed_at) AS observed_at FROM (SELECT coalesce(nullif(source, ''), 'claude-code') AS source, coalesce(project_path, '') AS limit_id, coalesce(ended_at, 0) AS observed_at FROM sessions) GROUP BY 1, 2")
+@query(
+    "merge_quota",
+    "SELECT source, limit_id, max(observed_at) AS observed_at FROM (SELECT coalesce(nullif(source, ''), 'claude-code') AS source, coalesce(project_path, '') AS limit_id, coalesce(ended_at, 0) AS observed_at FROM sessions) GROUP BY 1, 2",
+)
 def merge_quota(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.default_source(table(spark, d, "sessions")).select("source", F.coalesce("project_path", F.lit("")).alias("limit_id"), F.coalesce("ended_at", F.lit(0)).alias("observed_at"))
+    rows = ingest.default_source(table(spark, d, "sessions")).select(
+        "source", F.coalesce("project_path", F.lit("")).alias("limit_id"), F.coalesce("ended_at", F.lit(0)).alias("observed_at")
+    )
     return ingest.merge_quota(rows.where("observed_at % 2 = 0"), rows.where("observed_at % 2 = 1"))
 
 
-@query("drill_down_sessions", f"WITH {TARGETS} SELECT DISTINCT s.uuid, s.title FROM sessions s WHERE {DEFAULT} AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'tool' AND value = 'WebFetch')")
+@query(
+    "drill_down_sessions",
+    f"WITH {TARGETS} SELECT DISTINCT s.uuid, s.title FROM sessions s WHERE {DEFAULT} AND uuid IN (SELECT session_uuid FROM tt WHERE kind = 'tool' AND value = 'WebFetch')",
+)
 def drill_down_sessions(spark: SparkSession, d: str) -> DataFrame:
     data = _data(spark, d)
     acted = sessions.acted_sessions(data.tool_targets, tool="WebFetch")[0]
-    return data.sessions.where(expr.of_source(F.col("source"), "")).join(acted, F.col("uuid") == F.col("acted"), "left_semi").select("uuid", "title").distinct()
+    return data.sessions.where(expr.of_source(F.col("source"), "")).join(
+        acted, F.col("uuid") == F.col("acted"), "left_semi"
+    ).select("uuid", "title").distinct()
 
 
 @query("tool_targets_all", f"WITH {TARGETS} SELECT message_id, session_uuid, kind, value FROM tt WHERE strlen(value) <= 512")
@@ -586,23 +702,37 @@ def tool_targets_all(spark: SparkSession, d: str) -> DataFrame:
 # --- functions ----------------------------------------------------------------------------------
 
 
-@query("estimate_tokens", f"WITH m AS (SELECT id, coalesce(content, '') AS c FROM messages), k AS (SELECT id, c, length(regexp_replace(c, '[^㐀-䶿一-鿿]', '', 'g')) AS w FROM m) SELECT id, w + cast(ceil((length(c) - w) / 4.0) AS BIGINT) AS tokens FROM k")
+@query(
+    "estimate_tokens",
+    f"WITH m AS (SELECT id, coalesce(content, '') AS c FROM messages), k AS (SELECT id, c, length(regexp_replace(c, '[^㐀-䶿一-鿿]', '', 'g')) AS w FROM m) SELECT id, w + cast(ceil((length(c) - w) / 4.0) AS BIGINT) AS tokens FROM k",
+)
 def estimate_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", expr.estimate_tokens(F.coalesce("content", F.lit(""))).alias("tokens"))
 
 
-@query("truncate_excerpt", "SELECT id, CASE WHEN length(content) > 600 THEN substr(content, 1, 600) || '…' ELSE content END AS excerpt FROM messages")
+@query(
+    "truncate_excerpt",
+    "SELECT id, CASE WHEN length(content) > 600 THEN substr(content, 1, 600) || '…' ELSE content END AS excerpt FROM messages",
+)
 def truncate_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", expr.truncate(F.col("content"), schema.EXCERPT_CHARS).alias("excerpt"))
 
 
-@query("title_from", "SELECT id, substr(trim(content), 1, 100) AS title FROM messages WHERE role = 'user' AND content IS NOT NULL AND NOT starts_with(trim(content), '<') AND NOT starts_with(trim(content), '[') AND NOT regexp_matches(content, '^[\\s\\x{00A0}\\x{200B}\\x{3000}]|[\\s\\x{00A0}\\x{200B}\\x{3000}]$')")
+@query(
+    "title_from",
+    "SELECT id, substr(trim(content), 1, 100) AS title FROM messages WHERE role = 'user' AND content IS NOT NULL AND NOT starts_with(trim(content), '<') AND NOT starts_with(trim(content), '[') AND NOT regexp_matches(content, '^[\\s\\x{00A0}\\x{200B}\\x{3000}]|[\\s\\x{00A0}\\x{200B}\\x{3000}]$')",
+)
 def title_from(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages").where("role = 'user' and content is not null and not startswith(trim(content), '<') and not startswith(trim(content), '[')").where(~F.col("content").rlike("^[\\s\u00a0\u200b\u3000]|[\\s\u00a0\u200b\u3000]$"))
+    m = table(spark, d, "messages").where(
+        "role = 'user' and content is not null and not startswith(trim(content), '<') and not startswith(trim(content), '[')"
+    ).where(~F.col("content").rlike("^[\\s\u00a0\u200b\u3000]|[\\s\u00a0\u200b\u3000]$"))
     return m.select("id", expr.title(F.col("content")).alias("title"))
 
 
-@query("first_line", "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200")
+@query(
+    "first_line",
+    "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200",
+)
 def first_line(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").where("octet_length(substring_index(content, '\n', 1)) <= 200")
     return m.select("id", expr.first_line(F.col("content")).alias("line"))
@@ -612,7 +742,12 @@ def first_line(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN coalesce(ended_at, 0) = 0 THEN '' ELSE strftime(to_timestamp(ended_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS ended FROM sessions WHERE NOT coalesce(project_path, '') LIKE '%/'""")
 def display_forms(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sessions").where("not coalesce(project_path, '') like '%/'")
-    return s.select("uuid", display.short_id(F.col("uuid")).alias("short"), display.project_name(F.col("project_path")).alias("project"), display.minute_of(F.col("ended_at")).alias("ended"))
+    return s.select(
+        "uuid",
+        display.short_id(F.col("uuid")).alias("short"),
+        display.project_name(F.col("project_path")).alias("project"),
+        display.minute_of(F.col("ended_at")).alias("ended"),
+    )
 
 
 @query("recency_bonus", f"SELECT id, round({_RECENCY}, 9) AS bonus FROM messages")
@@ -633,29 +768,46 @@ def redact_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("redact_json_structural")
 def redact_json_structural(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").where("raw_json is not null").select("id", redact.redact_line(F.col("raw_json")).alias("redacted"))
+    return table(spark, d, "messages").where("raw_json is not null").select(
+        "id", redact.redact_line(F.col("raw_json")).alias("redacted")
+    )
 
 
-@query("canonical_categories", "SELECT session_uuid, model, categories_json FROM session_usage WHERE categories_json IS NOT NULL AND json_valid(categories_json) AND length(json_keys(categories_json)) = 1")
+@query(
+    "canonical_categories",
+    "SELECT session_uuid, model, categories_json FROM session_usage WHERE categories_json IS NOT NULL AND json_valid(categories_json) AND length(json_keys(categories_json)) = 1",
+)
 def canonical_categories(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "session_usage").where("categories_json is not null").withColumn("m", F.from_json("categories_json", "map<string,bigint>")).where("size(m) = 1")
-    return u.select("session_uuid", "model", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("m")))).alias("categories_json"))
+    u = table(spark, d, "session_usage").where("categories_json is not null").withColumn(
+        "m", F.from_json("categories_json", "map<string,bigint>")
+    ).where("size(m) = 1")
+    return u.select(
+        "session_uuid", "model", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("m")))).alias("categories_json")
+    )
 
 
 # --- checks -------------------------------------------------------------------------------------
 
 
-@query("doctor_orphans", "SELECT 'orphan sessions' AS name, count(*) = 0 AS ok, count(*) AS n FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.session_uuid = s.uuid)")
+@query(
+    "doctor_orphans",
+    "SELECT 'orphan sessions' AS name, count(*) = 0 AS ok, count(*) AS n FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.session_uuid = s.uuid)",
+)
 def doctor_orphans(spark: SparkSession, d: str) -> DataFrame:
     return doctor.orphan_sessions(_data(spark, d))
 
 
-@query("doctor_usage_coverage", "SELECT 'usage coverage' AS name, true AS ok, count(DISTINCT session_uuid) AS n FROM session_usage")
+@query(
+    "doctor_usage_coverage", "SELECT 'usage coverage' AS name, true AS ok, count(DISTINCT session_uuid) AS n FROM session_usage"
+)
 def doctor_usage_coverage(spark: SparkSession, d: str) -> DataFrame:
     return doctor.usage_coverage(_data(spark, d))
 
 
-@query("doctor_stale", f"WITH {STATE} SELECT 'usage diagnostics' AS name, sum(usage_stale) = 0 AS ok, sum(usage_stale)::BIGINT AS n FROM st")
+@query(
+    "doctor_stale",
+    f"WITH {STATE} SELECT 'usage diagnostics' AS name, sum(usage_stale) = 0 AS ok, sum(usage_stale)::BIGINT AS n FROM st",
+)
 def doctor_stale(spark: SparkSession, d: str) -> DataFrame:
     return doctor.stale_usage(_data(spark, d))
 
@@ -668,12 +820,18 @@ def doctor_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return doctor.reconcile(new.select("source_file", F.col("last_size").alias("size")), old, ["/var"])
 
 
-@query("doctor_unparsed", "SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM event_lines WHERE NOT json_valid(raw_line)")
+@query(
+    "doctor_unparsed",
+    "SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM event_lines WHERE NOT json_valid(raw_line)",
+)
 def doctor_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return doctor.unparsed_lines(table(spark, d, "event_lines"))
 
 
-@query("doctor_repeated", "SELECT 'repeated messages' AS name, sum(k - 1) = 0 AS ok, sum(k - 1)::BIGINT AS n FROM (SELECT count(*) AS k FROM messages GROUP BY session_uuid, seq)")
+@query(
+    "doctor_repeated",
+    "SELECT 'repeated messages' AS name, sum(k - 1) = 0 AS ok, sum(k - 1)::BIGINT AS n FROM (SELECT count(*) AS k FROM messages GROUP BY session_uuid, seq)",
+)
 def doctor_repeated(spark: SparkSession, d: str) -> DataFrame:
     return doctor.repeated_messages(_data(spark, d))
 

@@ -59,7 +59,12 @@ def statistics(messages: DataFrame, terms: list[str]) -> DataFrame:
 def _scored(rows: DataFrame, messages: DataFrame, terms: list[str]) -> DataFrame:
     stats = statistics(messages, terms)
     rows = rows.withColumn("stats", stats.select(F.struct(*stats.columns)).scalar())  # one row, computed once
-    return rows.withColumn("bm25", expr.bm25(F.col("content"), terms, F.col("stats.n"), F.col("stats.average"), [F.col(f"stats.df{k}") for k in range(len(terms))])).drop("stats")
+    return rows.withColumn(
+        "bm25",
+        expr.bm25(
+            F.col("content"), terms, F.col("stats.n"), F.col("stats.average"), [F.col(f"stats.df{k}") for k in range(len(terms))]
+        ),
+    ).drop("stats")
 
 
 def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter(), limit: int = 20) -> DataFrame:
@@ -76,19 +81,35 @@ def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter
         return data.messages.sparkSession.createDataFrame([], RESULT)
     long, short = text.by_length(terms)
     c = F.col("content")
-    rows = _scoped(data, f).where(expr.all_of([expr.contains_long(c, t) for t in long] + [expr.contains_short(c, t) for t in short]))
+    rows = _scoped(data, f).where(
+        expr.all_of([expr.contains_long(c, t) for t in long] + [expr.contains_short(c, t) for t in short])
+    )
     if long:
         pool = _scored(rows, data.messages, long).orderBy("bm25", "id").limit(limit * schema.OVERSCAN)
         snippet = expr.marked_snippet(c, long)
     else:
         pool = rows.withColumn("bm25", F.lit(0.0)).orderBy(F.desc("ts"), "id").limit(limit * schema.OVERSCAN)
         snippet = expr.window_snippet(c, terms)
-    pool = pool.withColumn("score", expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of)).orderBy(F.desc("score"), "bm25", "id").limit(limit)
+    pool = pool.withColumn(
+        "score", expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of)
+    ).orderBy(F.desc("score"), "bm25", "id").limit(limit)
     texts = [F.coalesce(k, F.lit("")).alias(k) for k in ("project_path", "parent_session", "agent_type")]
-    return pool.select("id", "seq", "session_uuid", *texts, F.coalesce("source", F.lit(schema.DEFAULT_SOURCE)).alias("source"), "role", F.coalesce("ts", F.lit(0)).cast("bigint").alias("ts"), snippet.alias("snippet"), "score")
-
-
-def retrieve(data: Dataset, terms: list[str], as_of: int, f: SearchFilter = SearchFilter(), limit: int = 60, per_session: int = 0) -> DataFrame:
+    return pool.select(
+        "id",
+        "seq",
+        "session_uuid",
+        *texts,
+        F.coalesce("source", F.lit(schema.DEFAULT_SOURCE)).alias("source"),
+        "role",
+        F.coalesce("ts", F.lit(0)).cast("bigint").alias("ts"),
+        snippet.alias("snippet"),
+        "score",
+    )
+
+
+def retrieve(
+    data: Dataset, terms: list[str], as_of: int, f: SearchFilter = SearchFilter(), limit: int = 60, per_session: int = 0
+) -> DataFrame:
     """Candidates that contain any term: (session_uuid, seq, id, role, ts, full, score).
 
     Rows with a long term (``full``) stand before those with short ones alone and score by BM25, the
@@ -103,18 +124,36 @@ def retrieve(data: Dataset, terms: list[str], as_of: int, f: SearchFilter = Sear
     pools = []
     if long:
         hits = _scored(scoped.where(expr.any_of([expr.contains_long(c, t) for t in long])), data.messages, long)
-        pools.append(hits.orderBy("bm25", "id").limit(limit * schema.OVERSCAN).select(*keep, F.lit(True).alias("full"), expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of).alias("score")))
+        pools.append(
+            hits.orderBy("bm25", "id").limit(limit * schema.OVERSCAN).select(
+                *keep, F.lit(True).alias("full"), expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of).alias("score")
+            ),
+        )
     if short:
         count = sum((expr.contains_short(c, t).cast("int") for t in short), F.lit(0))
         hits = scoped.withColumn("mc", count).where("mc > 0")
-        pools.append(hits.orderBy(F.desc("mc"), F.desc("ts"), "id").limit(limit * schema.OVERSCAN).select(*keep, F.lit(False).alias("full"), expr.relevance(-F.col("mc").cast("double"), F.col("role"), F.col("ts"), as_of).alias("score")))
+        pools.append(
+            hits.orderBy(F.desc("mc"), F.desc("ts"), "id").limit(limit * schema.OVERSCAN).select(
+                *keep,
+                F.lit(False).alias("full"),
+                expr.relevance(-F.col("mc").cast("double"), F.col("role"), F.col("ts"), as_of).alias("score"),
+            ),
+        )
     if not pools:
-        return data.messages.sparkSession.createDataFrame([], "session_uuid string, seq int, id bigint, role string, ts bigint, full boolean, score double")
+        return data.messages.sparkSession.createDataFrame(
+            [], "session_uuid string, seq int, id bigint, role string, ts bigint, full boolean, score double"
+        )
     both = pools[0] if len(pools) == 1 else pools[0].unionByName(pools[1])
     key = Window.partitionBy("session_uuid", "seq")
-    ranked = both.withColumn("rn", F.row_number().over(key.orderBy(F.desc("full"), F.desc("score"), "id"))).withColumn("kinds", F.size(F.collect_set("full").over(key)))
-    best = ranked.where("rn = 1").withColumn("score", F.col("score") + F.when(F.col("full") & (F.col("kinds") == 2), 0.5).otherwise(0.0)).drop("rn", "kinds")
+    ranked = both.withColumn(
+        "rn", F.row_number().over(key.orderBy(F.desc("full"), F.desc("score"), "id"))
+    ).withColumn("kinds", F.size(F.collect_set("full").over(key)))
+    best = ranked.where("rn = 1").withColumn(
+        "score", F.col("score") + F.when(F.col("full") & (F.col("kinds") == 2), 0.5).otherwise(0.0)
+    ).drop("rn", "kinds")
     order = [F.desc("full"), F.desc("score"), "session_uuid", "seq"]
     if per_session > 0:
-        best = best.withColumn("rn", F.row_number().over(Window.partitionBy("session_uuid").orderBy(*order))).where(F.col("rn") <= per_session).drop("rn")
+        best = best.withColumn(
+            "rn", F.row_number().over(Window.partitionBy("session_uuid").orderBy(*order))
+        ).where(F.col("rn") <= per_session).drop("rn")
     return best.orderBy(*order).limit(limit).withColumn("ts", F.coalesce("ts", F.lit(0)).cast("bigint"))

@@ -27,7 +27,9 @@ class SessionFilter:
     limit: int = 50
 
 
-def acted_sessions(targets: DataFrame, touched: str = "", tool: str = "", ran: str = "", exact: tuple[str, str] | None = None) -> list[DataFrame]:
+def acted_sessions(
+    targets: DataFrame, touched: str = "", tool: str = "", ran: str = "", exact: tuple[str, str] | None = None
+) -> list[DataFrame]:
     """For each given condition the sessions with a fact that meets it."""
     kind, value = F.col("kind"), F.col("value")
     wanted: list[Column] = []
@@ -92,22 +94,32 @@ def resolve(data: Dataset, prefix: str, source: str = "") -> DataFrame:
     One row is the answer, none means not found, two mean that the prefix is ambiguous.
     """
     exact = data.sessions.where(F.col("uuid") == prefix).limit(1)
-    alike = data.sessions.where(expr.starts_with(F.col("uuid"), prefix) & expr.of_source(F.col("source"), source)).orderBy("uuid").limit(2)
+    alike = data.sessions.where(
+        expr.starts_with(F.col("uuid"), prefix) & expr.of_source(F.col("source"), source)
+    ).orderBy("uuid").limit(2)
     both = exact.withColumn("exact", F.lit(1)).unionByName(alike.withColumn("exact", F.lit(0)))  # three rows at most
     best = Window.partitionBy(F.lit(1))
     return both.withColumn("best", F.max("exact").over(best)).where("exact = best").drop("exact", "best")
 
 
-def read_messages(data: Dataset, uuid: str, offset: int = 0, limit: int = 50, tool_output: bool = False, raw: bool = False) -> DataFrame:
+def read_messages(
+    data: Dataset, uuid: str, offset: int = 0, limit: int = 50, tool_output: bool = False, raw: bool = False
+) -> DataFrame:
     """A page of a session by sequence number; ``has_more`` tells whether rows follow it."""
     limit = limit if limit > 0 else 50
     rows = data.messages.where(F.col("session_uuid") == uuid)
     if not tool_output:
         rows = rows.where(F.col("role").isin(*schema.DIALOGUE))
-    rows = rows.select("seq", "id", _or_zero("ts"), "role", "content", (F.col("raw_json") if raw else F.lit("")).alias("raw_json"))
+    rows = rows.select(
+        "seq", "id", _or_zero("ts"), "role", "content", (F.col("raw_json") if raw else F.lit("")).alias("raw_json")
+    )
     page = rows.orderBy("seq", "id").offset(offset).limit(limit + 1)  # bounded by the page
-    numbered = page.withColumn("rn", F.row_number().over(Window.orderBy("seq", "id"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return numbered.where(F.col("rn") <= limit).select("seq", "id", "ts", "role", "content", "raw_json", (F.col("n") > limit).alias("has_more"))
+    numbered = page.withColumn(
+        "rn", F.row_number().over(Window.orderBy("seq", "id"))
+    ).withColumn("n", F.count("*").over(Window.partitionBy()))
+    return numbered.where(F.col("rn") <= limit).select(
+        "seq", "id", "ts", "role", "content", "raw_json", (F.col("n") > limit).alias("has_more")
+    )
 
 
 STRETCH = 1024
@@ -123,17 +135,27 @@ def windows(messages: DataFrame, hits: DataFrame, before: int, after: int, tool_
     """
     shown = messages if tool_output else messages.where(F.col("role").isin(*schema.DIALOGUE))
     hits = hits.select("session_uuid", "hit_seq").distinct()
-    rows = shown.join(F.broadcast(hits.select("session_uuid").distinct()), "session_uuid", "left_semi").withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    rows = shown.join(
+        F.broadcast(hits.select("session_uuid").distinct()), "session_uuid", "left_semi"
+    ).withColumn("stretch", F.floor(F.col("seq") / STRETCH))
     counts = rows.groupBy("session_uuid", "stretch").agg(F.count("*").alias("n")).join(F.broadcast(hits), "session_uuid")
     side = F.signum(F.col("stretch") - F.floor(F.col("hit_seq") / STRETCH))
-    nearest = Window.partitionBy("session_uuid", "hit_seq", "side").orderBy(F.abs(F.col("stretch") - F.floor(F.col("hit_seq") / STRETCH)))
+    nearest = Window.partitionBy("session_uuid", "hit_seq", "side").orderBy(
+        F.abs(F.col("stretch") - F.floor(F.col("hit_seq") / STRETCH))
+    )
     reached = counts.withColumn("side", side).withColumn("closer", F.sum("n").over(nearest) - F.col("n"))
-    needed = reached.where((F.col("side") == 0) | ((F.col("side") < 0) & (F.col("closer") <= before)) | ((F.col("side") > 0) & (F.col("closer") < after)))
-    rows = rows.join(F.broadcast(needed.select("session_uuid", "stretch", "hit_seq")), ["session_uuid", "stretch"])  # a few stretches for each hit
+    needed = reached.where(
+        (F.col("side") == 0) | ((F.col("side") < 0) & (F.col("closer") <= before)) | ((F.col("side") > 0) & (F.col("closer") < after)),
+    )
+    rows = rows.join(
+        F.broadcast(needed.select("session_uuid", "stretch", "hit_seq")), ["session_uuid", "stretch"]
+    )  # a few stretches for each hit
     up, down = Window.partitionBy("session_uuid", "hit_seq", "upto").orderBy(F.desc("seq"), F.desc("id")), Window.partitionBy("session_uuid", "hit_seq", "upto").orderBy("seq", "id")
     rows = rows.withColumn("upto", F.col("seq") <= F.col("hit_seq"))
     rows = rows.withColumn("above", F.row_number().over(up)).withColumn("below", F.row_number().over(down))
-    return rows.where(F.when(F.col("upto"), F.col("above") <= before + 1).otherwise(F.col("below") <= after)).drop("above", "below", "upto", "stretch")
+    return rows.where(
+        F.when(F.col("upto"), F.col("above") <= before + 1).otherwise(F.col("below") <= after)
+    ).drop("above", "below", "upto", "stretch")
 
 
 def get_window(data: Dataset, uuid: str, hit_seq: int, before: int = 2, after: int = 2, tool_output: bool = False) -> DataFrame:
@@ -166,9 +188,14 @@ def activity_summary(data: Dataset, group_by: str = "day", since: int = 0, proje
     # messages are counted before the join: sessions, not messages, are what fans out
     counts = data.messages.groupBy(F.col("session_uuid").alias("uuid")).agg(F.count("*").alias("messages"))
     parents = data.sessions.select(F.col("uuid").alias("parent_session"), F.col("uuid").alias("parent"))
-    key = F.date_format(F.timestamp_seconds("ended_at"), "yyyy-MM-dd") if group_by == "day" else F.coalesce("project_path", F.lit("(unknown)"))
+    key = F.date_format(
+        F.timestamp_seconds("ended_at"), "yyyy-MM-dd"
+    ) if group_by == "day" else F.coalesce("project_path", F.lit("(unknown)"))
     rows = s.join(counts, "uuid", "left").join(parents, "parent_session", "left")
-    return rows.groupBy(key.alias("key")).agg(F.countDistinct(F.coalesce("parent", "uuid")).alias("sessions"), F.coalesce(F.sum("messages"), F.lit(0)).cast("bigint").alias("messages")).orderBy(F.desc("key"))
+    return rows.groupBy(key.alias("key")).agg(
+        F.countDistinct(F.coalesce("parent", "uuid")).alias("sessions"),
+        F.coalesce(F.sum("messages"), F.lit(0)).cast("bigint").alias("messages"),
+    ).orderBy(F.desc("key"))
 
 
 def recall(data: Dataset, project: str, since: int, sessions: int = 5, activity: int = 5) -> dict[str, DataFrame]:

@@ -14,7 +14,16 @@ TOKENS = ("input_tokens", "output_tokens", "cache_read", "cache_creation", "reas
 
 def _scope(data: Dataset, since: int = 0, project: str = "", source: str = "", model: str = "") -> DataFrame:
     """Usage rows with their session; no source means every source here.  The model is filtered before any sum."""
-    s = data.sessions.select("uuid", F.coalesce("source", F.lit(schema.DEFAULT_SOURCE)).alias("source"), "project_path", "title", "agent_type", "source_file", "started_at", "ended_at")
+    s = data.sessions.select(
+        "uuid",
+        F.coalesce("source", F.lit(schema.DEFAULT_SOURCE)).alias("source"),
+        "project_path",
+        "title",
+        "agent_type",
+        "source_file",
+        "started_at",
+        "ended_at",
+    )
     if since > 0:
         s = s.where(F.coalesce("ended_at", "started_at", F.lit(0)) >= since)
     if project:
@@ -36,14 +45,27 @@ def _top(rows: DataFrame, key: str, limit: int) -> DataFrame:
 
 def by_session(data: Dataset, since: int = 0, project: str = "", source: str = "", model: str = "", limit: int = 20) -> DataFrame:
     """The sessions with most tokens, at most ``limit`` of each source."""
-    own = ["session_uuid", "source", F.coalesce("project_path", F.lit("")).alias("project_path"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("agent_type", F.lit("")).alias("agent_type"), "stale"]
+    own = [
+        "session_uuid",
+        "source",
+        F.coalesce("project_path", F.lit("")).alias("project_path"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("agent_type", F.lit("")).alias("agent_type"),
+        "stale",
+    ]
     sums = [F.sum(c).cast("bigint").alias(c) for c in TOKENS]
-    rows = _scope(data, since, project, source, model).groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), *sums)
+    rows = _scope(data, since, project, source, model).groupBy(*own).agg(
+        F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), *sums
+    )
     return _top(rows, "session_uuid", limit)
 
 
 def _counts() -> list[Column]:
-    return [F.countDistinct("session_uuid").alias("sessions"), F.sum("total_tokens").cast("bigint").alias("total_tokens"), F.countDistinct(F.when(F.col("stale"), F.col("session_uuid"))).alias("stale_sessions")]
+    return [
+        F.countDistinct("session_uuid").alias("sessions"),
+        F.sum("total_tokens").cast("bigint").alias("total_tokens"),
+        F.countDistinct(F.when(F.col("stale"), F.col("session_uuid"))).alias("stale_sessions"),
+    ]
 
 
 def grouped(data: Dataset, by: str, since: int = 0, project: str = "", source: str = "", limit: int = 20) -> DataFrame:
@@ -62,7 +84,9 @@ def source_totals(data: Dataset, since: int = 0, project: str = "", source: str
 
 def session_totals(data: Dataset, uuids: DataFrame) -> DataFrame:
     """Total tokens of the sessions in ``uuids`` (column uuid); sessions without usage have no row."""
-    rows = _scope(data).join(uuids.select(F.col("uuid").alias("wanted")).distinct(), F.col("session_uuid") == F.col("wanted"), "left_semi")
+    rows = _scope(data).join(
+        uuids.select(F.col("uuid").alias("wanted")).distinct(), F.col("session_uuid") == F.col("wanted"), "left_semi"
+    )
     return rows.groupBy("session_uuid", "stale").agg(F.sum("total_tokens").cast("bigint").alias("total_tokens"))
 
 

@@ -9,7 +9,15 @@ UNKNOWN_MODEL, MIXED_MODEL = "(unknown)", "(mixed)"
 KINDS = ("file", "command", "pattern", "url", "tool")
 
 #: Default and largest row counts by surface.
-LIMITS = {"search": (20, 50), "list": (50, 50), "read": (50, 200), "activity": (30, 50), "ask_sessions": (6, 10), "ask_tokens": (2000, 8000), "retrieve": (60, 10_000)}
+LIMITS = {
+    "search": (20, 50),
+    "list": (50, 50),
+    "read": (50, 200),
+    "activity": (30, 50),
+    "ask_sessions": (6, 10),
+    "ask_tokens": (2000, 8000),
+    "retrieve": (60, 10_000),
+}
 LEAST_ASK_TOKENS = 200
 OVERSCAN = 12
 HITS_PER_SESSION = 3

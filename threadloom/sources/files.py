@@ -11,7 +11,9 @@ EDGE_BYTES = 512
 
 def source_of(path: Column) -> Column:
     """The format of a file by its path; any other file is of the default format."""
-    return F.when(path.rlike(r"(^|/)rollout-[^/]*\.jsonl$"), "codex").when(path.rlike(r"/chats/session-[^/]*\.jsonl$"), "gemini").otherwise("claude-code")
+    return F.when(path.rlike(r"(^|/)rollout-[^/]*\.jsonl$"), "codex").when(
+        path.rlike(r"/chats/session-[^/]*\.jsonl$"), "gemini"
+    ).otherwise("claude-code")
 
 
 def under_root(path: Column, root: str) -> Column:
@@ -23,7 +25,9 @@ def file_stem(path: Column) -> Column:
 
 
 def last_uuid(path: Column) -> Column:
-    found = F.regexp_extract_all(F.element_at(F.split(path, "/"), -1), F.lit("([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"))
+    found = F.regexp_extract_all(
+        F.element_at(F.split(path, "/"), -1), F.lit("([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
+    )
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
@@ -37,7 +41,9 @@ def subagent_parent(path: Column) -> Column:
 
 def project_of_path(path: Column) -> Column:
     """The project directory's name with its dashes as slashes; that cannot be told apart from real dashes."""
-    name = F.when(is_subagent(path), F.regexp_extract(path, r"([^/]+)/[^/]+/subagents/[^/]+$", 1)).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+    name = F.when(
+        is_subagent(path), F.regexp_extract(path, r"([^/]+)/[^/]+/subagents/[^/]+$", 1)
+    ).otherwise(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
     return F.replace(name, F.lit("-"), F.lit("/"))
 
 
@@ -47,7 +53,9 @@ def chat_project_id(path: Column) -> Column:
 
 def chat_projects(projects: DataFrame) -> DataFrame:
     """(project_id, project_path) of a table with one JSON text ``json`` that maps paths to ids; the map is inverted."""
-    paths = projects.select(F.explode(F.map_entries(F.from_json(F.get_json_object("json", "$.projects"), "map<string,string>"))).alias("e"))
+    paths = projects.select(
+        F.explode(F.map_entries(F.from_json(F.get_json_object("json", "$.projects"), "map<string,string>"))).alias("e")
+    )
     return paths.select(F.col("e.value").alias("project_id"), F.col("e.key").alias("project_path"))
 
 
@@ -55,7 +63,12 @@ def scan(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(source_file, size, modified_ns, content) of all transcript files below the roots, each once; unreadable ones are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", True).load(roots)
     path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(path.alias("source_file"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), "content").dropDuplicates(["source_file"])
+    return files.select(
+        path.alias("source_file"),
+        F.col("length").alias("size"),
+        (F.unix_micros("modificationTime") * 1000).alias("modified_ns"),
+        "content",
+    ).dropDuplicates(["source_file"])
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -63,13 +76,20 @@ def lines(files: DataFrame) -> DataFrame:
     parts = F.split(F.decode("content", "UTF-8"), "\n", -1)
     rows = files.select("source_file", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("at", "raw_line"))
     long = F.octet_length("raw_line") > LONGEST_LINE
-    return rows.select("source_file", (F.col("at") + 1).cast("bigint").alias("line_no"), F.when(~long, F.col("raw_line")).alias("raw_line"), long.alias("too_long")).where("too_long or raw_line <> ''")
+    return rows.select(
+        "source_file",
+        (F.col("at") + 1).cast("bigint").alias("line_no"),
+        F.when(~long, F.col("raw_line")).alias("raw_line"),
+        long.alias("too_long"),
+    ).where("too_long or raw_line <> ''")
 
 
 def current_lines(landed: DataFrame) -> DataFrame:
     """Of each line of a landed file the copy that was delivered last."""
     newest = F.max_by(F.struct("line_id", "raw_line"), F.struct("batch_no", "line_id"))
-    return landed.groupBy("source_file", "line_no").agg(newest.alias("l")).select("source_file", "line_no", "l.line_id", "l.raw_line")
+    return landed.groupBy("source_file", "line_no").agg(newest.alias("l")).select(
+        "source_file", "line_no", "l.line_id", "l.raw_line"
+    )
 
 
 def fingerprints(files: DataFrame, offset: str = "size") -> DataFrame:
@@ -77,7 +97,12 @@ def fingerprints(files: DataFrame, offset: str = "size") -> DataFrame:
     end = F.col(offset).cast("int")
     head = F.substring("content", 1, EDGE_BYTES)
     tail = F.substring(F.col("content"), F.greatest(end - EDGE_BYTES, F.lit(0)) + 1, F.least(end, F.lit(EDGE_BYTES)))
-    return files.withColumns({"head_fingerprint": F.when(F.col("size") > 0, F.sha2(head, 256)).otherwise(""), "tail_fingerprint": F.when(end > 0, F.sha2(tail, 256)).otherwise("")})
+    return files.withColumns(
+        {
+            "head_fingerprint": F.when(F.col("size") > 0, F.sha2(head, 256)).otherwise(""),
+            "tail_fingerprint": F.when(end > 0, F.sha2(tail, 256)).otherwise(""),
+        },
+    )
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -87,5 +112,9 @@ def as_json(df: DataFrame) -> DataFrame:
 
 def as_markdown(messages: DataFrame) -> DataFrame:
     """A session's rows (seq, role, ts, content) as sections of Markdown."""
-    at = F.when(F.col("ts") > 0, F.concat(F.lit(" · "), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm"))).otherwise("")
-    return messages.select("seq", F.concat(F.lit("### "), "role", at, F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n")).alias("markdown"))
+    at = F.when(
+        F.col("ts") > 0, F.concat(F.lit(" · "), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm"))
+    ).otherwise("")
+    return messages.select(
+        "seq", F.concat(F.lit("### "), "role", at, F.lit("\n\n"), F.coalesce("content", F.lit("")), F.lit("\n")).alias("markdown")
+    )

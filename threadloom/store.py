@@ -44,7 +44,13 @@ class Store:
         return self.tables[name].read()
 
     def dataset(self) -> Dataset:
-        return Dataset(self.read("sessions"), self.read("messages"), self.read("tool_targets"), self.read("session_usage"), self.read("ingest_state"))
+        return Dataset(
+            self.read("sessions"),
+            self.read("messages"),
+            self.read("tool_targets"),
+            self.read("session_usage"),
+            self.read("ingest_state"),
+        )
 
     def write(self, rows: dict[str, DataFrame]) -> None:
         version = 1 + max([0, *(v[-1] for t in self.tables.values() if (v := t.versions()))])
@@ -65,7 +71,9 @@ def _parse(lines: DataFrame, source: str, projects: DataFrame | None) -> tuple[D
     sessions = adapter.sessions(rows)
     if projects is not None and source == "gemini":
         by_id = projects.select(F.col("project_id").alias("project_path"), F.col("project_path").alias("named"))
-        sessions = sessions.join(by_id, "project_path", "left").withColumn("project_path", F.coalesce("named", "project_path")).drop("named")
+        sessions = sessions.join(by_id, "project_path", "left").withColumn(
+            "project_path", F.coalesce("named", "project_path")
+        ).drop("named")
     return adapter.messages(rows), sessions, adapter.usage(rows)
 
 
@@ -87,26 +95,49 @@ def ingest_all(store: Store, roots: list[str], now: int, full: bool = False, pro
         return Stats(scanned, 0, scanned, 0)
     lines = files.lines(todo)
     # a chat file with an unusable replacement keeps what it had; the pass is counted and tried again
-    broken = materialise(change_feed.unusable_files(_landed(lines.where(files.source_of(F.col("source_file")) == "gemini"))), "broken")
+    broken = materialise(
+        change_feed.unusable_files(_landed(lines.where(files.source_of(F.col("source_file")) == "gemini"))), "broken"
+    )
     todo = todo.join(broken, "source_file", "left_anti")
     lines = materialise(lines.join(broken, "source_file", "left_anti"), "lines")
     parsed = [_parse(lines, name, projects) for name in transcripts.REGISTRY]
-    columns = ["source_file", "session_uuid", "seq", "ts", "role", "content", "raw_line", "tool_name", "acted_kind", "acted_value"]
+    columns = [
+        "source_file", "session_uuid", "seq", "ts", "role", "content", "raw_line", "tool_name", "acted_kind", "acted_value"
+    ]
     every = lambda k: _union([p[k] for p in parsed])
     old_sessions = store.read("sessions")
     fresh = materialise(every(1), "sessions")
     # a file's former session must not count as another owner of its uuid
     taken, clash = ingest.split_conflicts(fresh, old_sessions)
-    messages = materialise(every(0).drop("session_uuid").join(taken.select("source_file", F.col("uuid").alias("session_uuid")), "source_file").select(*columns), "messages")
+    messages = materialise(
+        every(0).drop("session_uuid").join(
+            taken.select("source_file", F.col("uuid").alias("session_uuid")), "source_file"
+        ).select(*columns),
+        "messages",
+    )
     messages = messages.withColumn("id", F.xxhash64("session_uuid", "seq"))
     turns = ingest.turn_counts(messages)
-    sessions = taken.join(turns, F.col("uuid") == F.col("session_uuid"), "left").drop("session_uuid").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)).cast("int"))
-    tool = messages.where("tool_name is not null").select(F.col("id").alias("message_id"), "session_uuid", "ts", F.lit("tool").alias("kind"), F.col("tool_name").alias("value"))
-    acted = messages.where("acted_kind is not null").select(F.col("id").alias("message_id"), "session_uuid", "ts", F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value"))
-    usage = every(2).join(taken.select("source_file", F.col("uuid").alias("session_uuid"), "source"), "source_file").drop("source_file")
+    sessions = taken.join(turns, F.col("uuid") == F.col("session_uuid"), "left").drop("session_uuid").withColumn(
+        "turn_count", F.coalesce("turn_count", F.lit(0)).cast("int")
+    )
+    tool = messages.where("tool_name is not null").select(
+        F.col("id").alias("message_id"), "session_uuid", "ts", F.lit("tool").alias("kind"), F.col("tool_name").alias("value")
+    )
+    acted = messages.where("acted_kind is not null").select(
+        F.col("id").alias("message_id"),
+        "session_uuid",
+        "ts",
+        F.col("acted_kind").alias("kind"),
+        F.col("acted_value").alias("value"),
+    )
+    usage = every(2).join(
+        taken.select("source_file", F.col("uuid").alias("session_uuid"), "source"), "source_file"
+    ).drop("source_file")
     uuids = sessions.select(F.col("uuid").alias("session_uuid"))
     rest = lambda name: store.read(name).join(uuids, "session_uuid", "left_anti")
-    bad = lines.groupBy("source_file").agg(F.count(F.when(F.col("too_long") | F.expr("try_parse_json(raw_line) is null"), 1)).alias("unparsed_lines"))
+    bad = lines.groupBy("source_file").agg(
+        F.count(F.when(F.col("too_long") | F.expr("try_parse_json(raw_line) is null"), 1)).alias("unparsed_lines")
+    )
     pass_state = todo.join(bad, "source_file", "left").select(
         "source_file", F.col("size").alias("last_size"), F.col("modified_ns").alias("last_mtime"), F.col("size").alias("last_byte_offset"), "head_fingerprint", "tail_fingerprint", F.lit(now).alias("last_ingested_at"),
         F.coalesce("unparsed_lines", F.lit(0)).alias("unparsed_lines"), F.lit(0).alias("usage_skipped"), F.lit(0).alias("usage_unmapped"), F.lit(0).alias("usage_stale")
@@ -115,7 +146,9 @@ def ingest_all(store: Store, roots: list[str], now: int, full: bool = False, pro
     store.write(
         {
             "sessions": ingest.merge_sessions(old_sessions, sessions, full=True),
-            "messages": rest("messages").unionByName(messages.select("id", "session_uuid", "seq", "ts", "role", "content", F.col("raw_line").alias("raw_json"))),
+            "messages": rest("messages").unionByName(
+                messages.select("id", "session_uuid", "seq", "ts", "role", "content", F.col("raw_line").alias("raw_json"))
+            ),
             "tool_targets": rest("tool_targets").unionByName(tool.unionByName(acted)),
             "session_usage": rest("session_usage").unionByName(usage),
             "quota_snapshots": ingest.merge_quota(store.read("quota_snapshots"), quota),
@@ -128,7 +161,9 @@ def ingest_all(store: Store, roots: list[str], now: int, full: bool = False, pro
 
 def _count_aborts(state: DataFrame, broken: DataFrame) -> DataFrame:
     """One more unparsed line for each broken file; its offset stays where it was."""
-    new = broken.join(state, "source_file", "left_anti").select("source_file", *[F.lit("" if c.endswith("fingerprint") else 0).alias(c) for c in ingest.STATE[1:]])
+    new = broken.join(state, "source_file", "left_anti").select(
+        "source_file", *[F.lit("" if c.endswith("fingerprint") else 0).alias(c) for c in ingest.STATE[1:]]
+    )
     hit = broken.withColumn("aborted", F.lit(1))
     rows = state.unionByName(new).join(hit, "source_file", "left")
     return rows.withColumn("unparsed_lines", F.col("unparsed_lines") + F.coalesce("aborted", F.lit(0))).drop("aborted")
@@ -148,7 +183,16 @@ def purge_missing(store: Store, roots: list[str]) -> int:
     kept, messages = ingest.purge(sessions, store.read("messages"), missing, tracked.where(inside).count())
     uuids = kept.select(F.col("uuid").alias("session_uuid"))
     own = lambda name: store.read(name).join(uuids, "session_uuid", "left_semi")
-    store.write({"sessions": kept, "messages": messages, "tool_targets": own("tool_targets"), "session_usage": own("session_usage"), "ingest_state": state.join(missing, "source_file", "left_anti"), "source_conflicts": store.read("source_conflicts").join(missing, "source_file", "left_anti")})
+    store.write(
+        {
+            "sessions": kept,
+            "messages": messages,
+            "tool_targets": own("tool_targets"),
+            "session_usage": own("session_usage"),
+            "ingest_state": state.join(missing, "source_file", "left_anti"),
+            "source_conflicts": store.read("source_conflicts").join(missing, "source_file", "left_anti"),
+        },
+    )
     return n
 
 

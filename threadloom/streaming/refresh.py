@@ -50,7 +50,9 @@ class VersionedTable:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={old}"), True)
 
 
-def merge_batch(landed: Callable[[], DataFrame], adapt: Callable[[DataFrame], DataFrame], target: VersionedTable) -> Callable[[DataFrame, int], None]:
+def merge_batch(
+    landed: Callable[[], DataFrame], adapt: Callable[[DataFrame], DataFrame], target: VersionedTable
+) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: recompute the files of a batch from ``landed()`` and replace their sessions."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -63,7 +65,15 @@ def merge_batch(landed: Callable[[], DataFrame], adapt: Callable[[DataFrame], Da
     return run
 
 
-def follow(spark: SparkSession, landing: str, schema: str, checkpoint: str, merge: Callable[[DataFrame, int], None], files_per_trigger: int = 100, once: bool = False) -> StreamingQuery:
+def follow(
+    spark: SparkSession,
+    landing: str,
+    schema: str,
+    checkpoint: str,
+    merge: Callable[[DataFrame, int], None],
+    files_per_trigger: int = 100,
+    once: bool = False,
+) -> StreamingQuery:
     """Start the stream over a folder of landed Parquet files; ``once`` takes what is there and ends."""
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
     writer = lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -73,4 +83,6 @@ def follow(spark: SparkSession, landing: str, schema: str, checkpoint: str, merg
 def activity_windows(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events per window of event time and type, for streams and tables: late rows count until the watermark."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), "event_type", "n"
+    )
