@@ -351,4 +351,5 @@ UNION ALL SELECT line_id, child, idx, ord FROM tb WHERE json_type(x) = 'OBJECT'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | {"p7_found": _p7_sql()}
+    once = f"SELECT src, line_id FROM (SELECT 'event_lines' AS src, line_id FROM event_lines UNION ALL SELECT 'rollout_lines', line_id FROM rollout_lines) WHERE line_id NOT IN ({ORACLES['p1_found']})"
+    return ORACLES | {"p7_found": _p7_sql(), "p1_delivered_once": once}
