@@ -111,3 +111,57 @@ def test_identity_beyond_depth_and_long_texts(spark):
     )
     ids = [r[0] for r in df.select(nested.identity(F.expr("parse_json(j)"))).collect()]
     assert ids[0] == ids[1] != ids[2]
+
+
+def below(v, path=""):
+    """Paths of all objects in a value, by brute force."""
+    found = [path] if isinstance(v, dict) else []
+    for k, e in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+        found += below(e, f"{path}/{k}")
+    return found
+
+
+def test_objects_of_every_depth_are_linked_and_stored_once(spark):
+    deep = {"z": 1}
+    for k in range(40):
+        deep = {"in": [[deep]], "k": k}
+    use = {"type": "tool_use", "input": {"edits": [{"a": 1.50}, {"a": 1.5}, {"b": {"c": None}}], "deep": deep}}
+    result = {"type": "tool_result", "content": ["s", {"x": {"c": None}}, [{"y": 1}], None], "more": {"c": None}}
+    events = frame(spark, {"message": {"content": [use, result, "s"]}})
+    chats = frame(spark, {"toolCalls": [{"args": {"c": None}, "result": [{"r": {"c": None}}]}]})
+    occurrences = nested.shred(events, frame(spark), chats)
+    got = nested.descend(occurrences, bodies=True).collect()
+    paths = lambda root, at: sorted(r.path for r in got if (r.root, r.parent_ord, r["ord"]) == (root, *at))
+    assert paths("message_block", (-1, 0)) == sorted(below(use))
+    assert paths("message_block", (-1, 1)) == ["", "/content/2/0", "/more"]
+    assert paths("result_block", (1, 0)) == [""] and paths("result_block", (1, 1)) == ["", "/x"]
+    assert paths("tool_call", (-1, 0)) == ["", "/args", "/result/0", "/result/0/r"]
+    node = {(r.root, r.parent_ord, r["ord"], r.path): r.node for r in got}
+    parent = {(r.root, r.parent_ord, r["ord"], r.path): r.parent for r in got}
+    assert parent["message_block", -1, 0, "/input/edits/2/b"] == node["message_block", -1, 0, "/input/edits/2"]
+    assert parent["message_block", -1, 0, "/input/edits/2"] == node["message_block", -1, 0, "/input"]
+    assert parent["result_block", 1, 1, ""] == parent["result_block", 1, 0, ""] == node["message_block", -1, 1, ""]
+    assert parent["tool_call", -1, 0, "/result/0"] == node["tool_call", -1, 0, ""] and parent["tool_call", -1, 0, ""] is None
+    same = {r.node for r in got if r.body == '{"c":null}'}
+    assert len(same) == 1 and {r.n for r in nested.stored(nested.descend(occurrences, bodies=True)).collect() if r.node in same} == {5}
+    assert len({r.node for r in got}) == len({r.body for r in got})
+
+
+def test_deep_bridge_has_the_elements_and_the_objects_of_the_tables(spark, sf):
+    from threadloom.plans import data_queries as q
+
+    kept = q.p5_bridge(spark, sf).where("child <> 'object'").select("line_id", "child", "parent_ord", "ord")
+    flat = q.p5_found(spark, sf)
+    assert kept.exceptAll(flat).isEmpty() and flat.exceptAll(kept).isEmpty()
+    inner = q.p5_bridge(spark, sf).where("child = 'object'")
+    want = 0
+    for r in nested.shred(*[spark.read.parquet(f"{sf}/{t}.parquet") for t in ("event_lines", "rollout_lines", "chat_lines")]).selectExpr("child", "to_json(e) e").collect():
+        if r["child"] == "result_block" or not r["e"].startswith("{"):
+            want += len(below(json.loads(r["e"]))) if r["child"] == "result_block" else 0
+            want -= r["child"] == "result_block" and r["e"].startswith("{")
+            continue
+        v = json.loads(r["e"])
+        c = v.pop("content", None) if r["child"] == "message_block" and v.get("type") == "tool_result" else None
+        want += len(below(v)) - 1
+        want += sum(len(below(e)) for e in c if isinstance(e, list)) if isinstance(c, list) else 0
+    assert inner.count() == want > 0

@@ -5,11 +5,19 @@ and the hashes of their values, so two objects have one identity wherever and wi
 spacing and key order they occur.  Identical objects are stored once (``nodes``); every
 occurrence stays as a row of the bridge with its parent and its ordinals (``bridge``).
 
-The bridge needs no shuffle: it is computed line by line inside the JVM.
+The bridge needs no shuffle: it is computed line by line, the elements inside the JVM and the
+objects below them (``descend``) in Arrow batches, because columns cannot recurse without bound.
 """
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Callable, Iterator
+from hashlib import md5
+from json.encoder import encode_basestring as quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +143,111 @@ def shred(events: DataFrame, rollouts: DataFrame, chats: DataFrame) -> DataFrame
     return shred_events(events).unionByName(shred_rollouts(rollouts)).unionByName(shred_chats(chats))
 
 
+# --- every depth --------------------------------------------------------------------------------
+
+PLACES = "line_id bigint, child string, root string, parent_ord bigint, ord bigint, path string, node string, parent string"
+#: More levels than a variant can have, with two frames for each.
+FRAMES = 10_000
+ROWS_PER_BATCH = 4096
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _hash(text: str) -> str:
+    return md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _seal(v: object, path: str, rows: list[list], loose: list[int]) -> tuple[str, str]:
+    """Canonical text of a value, and the same with its objects as their hashes.
+
+    Objects are added to ``rows`` as [path, node, parent, text], inner ones first; ``loose`` has the
+    numbers of those that no object encloses yet.
+    """
+    if isinstance(v, dict):
+        inside: list[int] = []
+        parts = [(quote(k), *_seal(v[k], f"{path}/{k.replace('~', '~0').replace('/', '~1')}", rows, inside)) for k in sorted(v)]
+        text = "{" + ",".join([f"{k}:{t}" for k, t, _ in parts]) + "}"
+        node = _hash("{" + ",".join([f"{k}:{s}" for k, _, s in parts]) + "}")
+        for k in inside:
+            rows[k][2] = node
+        loose.append(len(rows))
+        rows.append([path, node, None, text])
+        return text, "#" + node
+    if isinstance(v, list):
+        parts = [_seal(e, f"{path}/{k}", rows, loose) for k, e in enumerate(v)]
+        return "[" + ",".join([t for t, _ in parts]) + "]", "[" + ",".join([s for _, s in parts]) + "]"
+    if isinstance(v, str) and not isinstance(v, _Number):
+        text = quote(v)
+    else:
+        text = {None: "null", True: "true", False: "false"}.get(v, v)
+    return text, text
+
+
+def _element(kind: str, at: tuple[int, int], text: str) -> Iterator[tuple]:
+    """(child, root, parent_ord, ord, path, node, parent, body) of an element and of every object in it."""
+    v = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    if isinstance(v, str):
+        yield (kind, kind, *at, "", _hash(quote(v)), None, quote(v))
+        return
+    rows: list[list] = []
+    _seal(v, "", rows, [])
+    content = v.get("content") if kind == "message_block" and v.get("type") == "tool_result" else None
+    one = isinstance(content, dict) or isinstance(content, str) and not isinstance(content, _Number) and content != ""
+    items = content if isinstance(content, list) else [content] if one else []
+    for k, e in enumerate(items):
+        if isinstance(e, str) and not isinstance(e, _Number):
+            yield ("result_block", "result_block", at[1], k, "", _hash(quote(e)), rows[-1][1], quote(e))
+    for path, node, parent, body in rows:
+        root, place, below = kind, at, path
+        if items and path.startswith("/content") and path[8:9] in ("", "/"):
+            number, rest = (0, path[8:]) if one else (int(path[9:].split("/", 1)[0]), path[9:].partition("/")[2])
+            if isinstance(items[number], dict):
+                root, place, below = "result_block", (at[1], number), rest if one or not rest else "/" + rest
+        yield (root if below == "" else "object", root, *place, below, node, parent, body)
+
+
+def _descend(bodies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["line_id", "child", "root", "parent_ord", "ord", "path", "node", "parent", "body"][: 9 if bodies else 8]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4][: len(names)]
+    schema = pa.schema(list(zip(names, kinds)))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
+        rows: list[tuple] = []
+        for b in batches:
+            for line, kind, parent_ord, ord_, text in zip(*[c.to_pylist() for c in b.columns]):
+                rows += [(line, *r) for r in _element(kind, (parent_ord, ord_), text)]
+                if len(rows) >= ROWS_PER_BATCH:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def descend(occurrences: DataFrame, bodies: bool = False) -> DataFrame:
+    """Elements and every object below them at any depth: ``PLACES``, with ``bodies`` also the canonical text.
+
+    ``child`` is the kind of an element or ``object`` for what lies in one; ``root``, ``parent_ord``
+    and ``ord`` name that element, ``path`` (a JSON pointer with names and ordinals, empty for the
+    element itself) the place in it.  ``parent`` is the hash of the nearest object around, null for
+    elements that stand in no other element.  An object has one hash at whatever depth it occurs.
+    """
+    elements_ = occurrences.where("child <> 'result_block'").select("line_id", "child", "parent_ord", "ord", F.to_json("e").alias("text"))
+    return elements_.mapInArrow(_descend(bodies), PLACES + (", body string" if bodies else ""))
+
+
+def stored(objects: DataFrame) -> DataFrame:
+    """Each distinct element or object of ``descend`` once: (node, n, body)."""
+    return objects.groupBy("node").agg(F.count("*").alias("n"), F.min("body").alias("body"))
+
+
 def bridge(occurrences: DataFrame) -> DataFrame:
     """Parent-child rows: where each element stands, the identity of its object and of its parent's."""
     return occurrences.where("node is not null").select("line_id", "child", "parent_ord", "ord", "node", "parent")

@@ -160,11 +160,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.bridge(_occurrences(spark, sf_dir))
+    return nested.descend(_occurrences(spark, sf_dir))
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nodes(_occurrences(spark, sf_dir))
+    return nested.stored(nested.descend(_occurrences(spark, sf_dir), bodies=True))
 
 
 # --- 7: timestamps ------------------------------------------------------------------------------
