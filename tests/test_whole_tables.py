@@ -1,0 +1,19 @@
+"""Queries without SQL that run over whole tables, against brute force."""
+
+import duckdb
+
+import __spark_entry__ as entry
+
+
+def table(sf, name, columns):
+    return duckdb.sql(f"SELECT {columns} FROM '{sf}/{name}.parquet'").fetchall()
+
+
+def test_first_lines_of_all_messages_are_capped(spark, sf):
+    got = {r.id: r["line"] for r in entry.queries()["first_line_all"](spark, sf).collect()}
+    want = {}
+    for k, content in table(sf, "messages", "id, content"):
+        line = content.split("\n", 1)[0].encode() if content is not None else None
+        want[k] = line if line is None else line[:200].decode("utf-8", "ignore")
+    assert got == want
+    assert any(content and len(content.split("\n", 1)[0].encode()) > 200 for _, content in table(sf, "messages", "id, content"))

@@ -734,10 +734,17 @@ def title_from(spark: SparkSession, d: str) -> DataFrame:
     "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200",
 )
 def first_line(spark: SparkSession, d: str) -> DataFrame:
+    """The messages whose first line needs no cap, for the SQL; ``first_line_all`` has every message."""
     m = table(spark, d, "messages").where("octet_length(substring_index(content, '\n', 1)) <= 200")
     return m.select("id", expr.first_line(F.col("content")).alias("line"))
 
 
+@query("first_line_all")
+def first_line_all(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of every message, at most 200 bytes of UTF-8."""
+    return table(spark, d, "messages").select("id", expr.first_line(F.col("content")).alias("line"))
+
+
 @query("display_forms", """SELECT uuid, substr(uuid, 1, 8) AS short, CASE WHEN coalesce(project_path, '') = '' THEN '(unknown)' ELSE regexp_extract(project_path, '([^/]+)$', 1) END AS project,
 CASE WHEN coalesce(ended_at, 0) = 0 THEN '' ELSE strftime(to_timestamp(ended_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS ended FROM sessions WHERE NOT coalesce(project_path, '') LIKE '%/'""")
 def display_forms(spark: SparkSession, d: str) -> DataFrame:
