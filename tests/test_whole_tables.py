@@ -1,8 +1,15 @@
 """Queries without SQL that run over whole tables, against brute force."""
 
+import json
+import re
+from collections import Counter
+
 import duckdb
 
 import __spark_entry__ as entry
+from threadloom import schema
+from threadloom.functions import redact
+from threadloom.plans import reference_queries
 
 
 def table(sf, name, columns):
@@ -17,3 +24,55 @@ def test_first_lines_of_all_messages_are_capped(spark, sf):
         want[k] = line if line is None else line[:200].decode("utf-8", "ignore")
     assert got == want
     assert any(content and len(content.split("\n", 1)[0].encode()) > 200 for _, content in table(sf, "messages", "id, content"))
+
+
+def redacted(text):
+    for pattern, mark in redact.RULES:
+        text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", mark), text, flags=re.ASCII)
+    return text.encode()[: schema.TARGET_BYTES].decode("utf-8", "ignore")
+
+
+def acted(lines):
+    """Brute force over the current copy of each line: (source_file, line_no) -> raw_line."""
+    own, calls = set(), []
+    for (file, _), raw in lines.items():
+        try:
+            line = json.loads(raw)
+        except (TypeError, ValueError):
+            continue
+        message = line.get("message") if isinstance(line, dict) and line.get("type") in ("user", "assistant") else None
+        content = message.get("content") if isinstance(message, dict) else None
+        for b in content if isinstance(content, list) else ():
+            if isinstance(b, dict) and b.get("type") == "tool_use":
+                name = b.get("name") if isinstance(b.get("name"), str) else ""
+                if name.startswith(schema.OWN_TOOLS):
+                    own.add((file, b.get("id")))
+                calls.append((file, b.get("id"), name, b.get("input")))
+    out = Counter()
+    for file, ident, name, args in calls:
+        kind, field = schema.TOOL_FIELDS.get(name, (None, None))
+        value = args.get(field) if kind and isinstance(args, dict) else None
+        if isinstance(value, str) and value.strip(" ") and (file, ident) not in own:
+            out[kind, redacted(value)] += 1
+    return out
+
+
+def test_events_acted_on_targets_of_every_kind(spark, sf):
+    copies = table(sf, "event_lines", "source_file, line_no, batch_no, line_id, raw_line")
+    lines = {(f, n): raw for f, n, _, _, raw in sorted(copies, key=lambda r: (r[2], r[3]))}
+    got = {(r.kind, r.value): r.n for r in entry.queries()["event_targets_all"](spark, sf).collect()}
+    assert got == acted(lines) and {k for k, _ in got} == {"file", "command", "pattern", "url"}
+    rest = {(r.kind, r.value): r.n for r in entry.queries()["event_targets"](spark, sf).collect()}
+    assert rest == {k: n for k, n in got.items() if k[0] != "command"}
+
+
+def test_commands_are_redacted_and_capped(spark, monkeypatch):
+    commands = ["ls", "curl -H 'Authorization: Basic dXNlcjpwdw=='", "export API_KEY=abcdef123456", "echo " + "位" * 300, " "]
+    blocks = [{"type": "tool_use", "id": str(k), "name": "Bash", "input": {"command": c}} for k, c in enumerate(commands)]
+    raw = json.dumps({"type": "assistant", "uuid": "u", "message": {"content": blocks}})
+    df = spark.createDataFrame([("/x/a.jsonl", 1, 1, 1, raw)], "source_file string, line_no bigint, batch_no bigint, line_id bigint, raw_line string")
+    monkeypatch.setattr(reference_queries, "table", lambda *_: df)
+    got = {(r.kind, r.value): r.n for r in reference_queries.event_targets_all(spark, "").collect()}
+    assert got == acted({("/x/a.jsonl", 1): raw})
+    values = {v for _, v in got}
+    assert len(values) == 4 and "export API_KEY=[REDACTED:secret]" in values and max(len(v.encode()) for v in values) in (510, 511, 512)

@@ -483,11 +483,18 @@ WITH e AS (SELECT j->'$.message.content' AS c FROM {_EV} WHERE j->>'$.type' IN (
 t AS (SELECT b->>'$.name' AS n, b FROM b WHERE b->>'$.type' = 'tool_use'), v AS (SELECT {_TARGET} AS kind, json_extract_string(b, '$.input.' || {_FIELD}) AS value, json_type(b, '$.input.' || {_FIELD}) AS kt FROM t WHERE {_FIELD} IS NOT NULL)
 SELECT kind, value, count(*) AS n FROM v WHERE kt = 'VARCHAR' AND trim(value) <> '' AND strlen(value) <= 512 GROUP BY 1, 2""")
 def event_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Files, patterns and urls that events acted on; commands may be redacted, which SQL cannot repeat."""
+    """Files, patterns and urls that events acted on; commands may be redacted, which SQL cannot repeat: ``event_targets_all``."""
     rows = transcripts.event_messages(_events(spark, d)).where("acted_kind <> 'command' and octet_length(acted_value) <= 512")
     return rows.groupBy(F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value")).agg(F.count("*").alias("n"))
 
 
+@query("event_targets_all")
+def event_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that events acted on, commands too: redacted by shape and capped at 512 bytes."""
+    rows = transcripts.event_messages(_events(spark, d)).where("acted_kind is not null")
+    return rows.groupBy(F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value")).agg(F.count("*").alias("n"))
+
+
 @query("event_blocks", f"""
 WITH e AS (SELECT source_file, line_no, j->>'$.type' AS type, j->'$.message.content' AS c FROM {_EV} WHERE j->>'$.type' IN ('user', 'assistant')),
 b AS (SELECT source_file, line_no, 0 AS block_no, type, 'text' AS kind, c->>'$' AS t FROM e WHERE json_type(c) = 'VARCHAR'
