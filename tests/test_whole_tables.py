@@ -76,3 +76,24 @@ def test_commands_are_redacted_and_capped(spark, monkeypatch):
     assert got == acted({("/x/a.jsonl", 1): raw})
     values = {v for _, v in got}
     assert len(values) == 4 and "export API_KEY=[REDACTED:secret]" in values and max(len(v.encode()) for v in values) in (510, 511, 512)
+
+
+def test_checks_count_lines_and_files_of_every_format(spark, sf):
+    def broken(raw):
+        try:
+            json.loads(raw)
+        except (TypeError, ValueError):
+            return True
+        return False
+
+    lines = {t: table(sf, t, "source_file, raw_line") for t in ("event_lines", "rollout_lines", "chat_lines")}
+    n = entry.queries()["doctor_unparsed_all"](spark, sf).first().n
+    assert n == sum(broken(raw) for rows in lines.values() for _, raw in rows)
+    got = {r.source: r.on_disk for r in entry.queries()["doctor_coverage_all"](spark, sf).collect()}
+    assert got == {s: len({f for f, _ in lines[t]}) for s, t in (("claude-code", "event_lines"), ("codex", "rollout_lines"), ("gemini", "chat_lines"))}
+
+
+def test_broken_lines_of_each_format_are_counted(spark, monkeypatch):
+    frames = {t: spark.createDataFrame([("{",), ("{}",), (None,)][: k + 1], "raw_line string") for k, t in enumerate(("event_lines", "rollout_lines", "chat_lines"))}
+    monkeypatch.setattr(reference_queries, "table", lambda _s, _d, name: frames[name])
+    assert reference_queries.doctor_unparsed_all(spark, "").first().n == 4

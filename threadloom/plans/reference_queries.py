@@ -6,6 +6,7 @@ Where SQL cannot express an operator there is none, and the tests compare it wit
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -839,9 +840,25 @@ def doctor_reconcile(spark: SparkSession, d: str) -> DataFrame:
     "SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM event_lines WHERE NOT json_valid(raw_line)",
 )
 def doctor_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """Broken lines of events; ``doctor_unparsed_all`` counts every format."""
     return doctor.unparsed_lines(table(spark, d, "event_lines"))
 
 
+_LANDED = ("event_lines", "rollout_lines", "chat_lines")
+
+
+def _landed(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [table(spark, d, t).select(column) for t in _LANDED])
+
+
+@query(
+    "doctor_unparsed_all",
+    f"SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT raw_line FROM {t}' for t in _LANDED)}) WHERE raw_line IS NULL OR NOT json_valid(raw_line)",
+)
+def doctor_unparsed_all(spark: SparkSession, d: str) -> DataFrame:
+    return doctor.unparsed_lines(_landed(spark, d, "raw_line"))
+
+
 @query(
     "doctor_repeated",
     "SELECT 'repeated messages' AS name, sum(k - 1) = 0 AS ok, sum(k - 1)::BIGINT AS n FROM (SELECT count(*) AS k FROM messages GROUP BY session_uuid, seq)",
@@ -855,10 +872,21 @@ WITH f AS (SELECT source_file, 0 AS t FROM event_lines UNION ALL SELECT source_f
 c AS (SELECT source_file, t, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source FROM f)
 SELECT source, count(DISTINCT source_file) FILTER (WHERE t = 0) AS on_disk, count(DISTINCT source_file) FILTER (WHERE t = 1) AS tracked, count(DISTINCT source_file) FILTER (WHERE t = 1) >= count(DISTINCT source_file) FILTER (WHERE t = 0) AS ok FROM c GROUP BY 1""")
 def doctor_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of event and rollout files by tracked event files; ``doctor_coverage_all`` lists every format."""
     events, rollouts = table(spark, d, "event_lines").select("source_file").distinct(), table(spark, d, "rollout_lines").select("source_file").distinct()
     return doctor.coverage_by_source(events.unionByName(rollouts), events)
 
 
+@query("doctor_coverage_all", r"""
+WITH f AS (SELECT source_file, 0 AS t FROM event_lines UNION ALL SELECT source_file, 0 FROM rollout_lines UNION ALL SELECT source_file, 0 FROM chat_lines UNION ALL SELECT source_file, 1 FROM event_lines),
+c AS (SELECT source_file, t, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source FROM f)
+SELECT source, count(DISTINCT source_file) FILTER (WHERE t = 0) AS on_disk, count(DISTINCT source_file) FILTER (WHERE t = 1) AS tracked, count(DISTINCT source_file) FILTER (WHERE t = 1) >= count(DISTINCT source_file) FILTER (WHERE t = 0) AS ok FROM c GROUP BY 1""")
+def doctor_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    return doctor.coverage_by_source(
+        _landed(spark, d, "source_file").distinct(), table(spark, d, "event_lines").select("source_file").distinct()
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
