@@ -9,6 +9,7 @@ import duckdb
 import __spark_entry__ as entry
 from threadloom import schema
 from threadloom.functions import redact
+from threadloom.operators.sequence import drop_repeats
 from threadloom.plans import reference_queries
 
 
@@ -97,3 +98,25 @@ def test_broken_lines_of_each_format_are_counted(spark, monkeypatch):
     frames = {t: spark.createDataFrame([("{",), ("{}",), (None,)][: k + 1], "raw_line string") for k, t in enumerate(("event_lines", "rollout_lines", "chat_lines"))}
     monkeypatch.setattr(reference_queries, "table", lambda _s, _d, name: frames[name])
     assert reference_queries.doctor_unparsed_all(spark, "").first().n == 4
+
+
+def test_repeated_lines_of_every_session_are_dropped(spark, sf):
+    sessions = {}
+    for s, seq, k, raw in table(sf, "messages", "session_uuid, seq, id, raw_json"):
+        sessions.setdefault(s, []).append((seq, k, raw or ""))
+    want = set()
+    for s, rows in sessions.items():
+        rows.sort()
+        want |= {(s, seq, k) for n, (seq, k, raw) in enumerate(rows) if n == 0 or raw != rows[n - 1][2]}
+    got = [(r.session_uuid, r.seq, r.id) for r in entry.queries()["consecutive_dedupe_all"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and len({s for s, _, _ in got}) == len(sessions) > 1
+
+
+def test_repeats_across_blocks_and_null_groups(spark):
+    rows = [(g, n, v) for g in ("a", None) for n, v in enumerate(["x", "x", None, None, "x", "y", "y", "y", "y", "y", "z"])]
+    rows += [("a", 50, "z"), ("a", None, "x"), ("a", -9, "x"), ("a", 90, None)]
+    df = spark.createDataFrame(rows, "s string, n int, v string")
+    want = [(None, 0), (None, 2), (None, 4), (None, 5), (None, 10), ("a", None), ("a", 2), ("a", 4), ("a", 5), ("a", 10), ("a", 90)]
+    for block in (1, 2, 3, 4096):
+        got = [(r.s, r.n) for r in drop_repeats(df, ["s"], ["n"], "v", block).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -25,8 +25,19 @@ def number_rows(
     ).drop("__block", "__rank", "__before")
 
 
-def drop_repeats(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose ``value`` differs from that of the row before."""
-    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
-    return df.withColumn("__keep", first | ~F.col(value).eqNullSafe(before)).where("__keep").drop("__keep")
+def drop_repeats(df: DataFrame, group: list[str], order: list[str], value: str, block: int = 4096) -> DataFrame:
+    """Rows whose ``value`` differs from that of the row before.
+
+    Rows are compared within blocks of ``order[0]``, a number; the last value of a block, a row per
+    block, stands before the first row of the next one.  A null number counts as the first.
+    """
+    placed = df.withColumn("__block", F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(2**62))))
+    last = placed.groupBy(*group, "__block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__last"))
+    following = F.lead("__block").over(Window.partitionBy(*group).orderBy("__block"))
+    carried = last.withColumn("__block", following).where("__block is not null").select(
+        *group, "__block", F.col("__last")[value].alias(value), F.lit(False).alias("__own")
+    )
+    rows = placed.withColumn("__own", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*group, "__block").orderBy("__own", *order)
+    keep = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    return rows.withColumn("__keep", keep).where("__keep and __own").select(*df.columns)

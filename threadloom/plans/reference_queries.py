@@ -545,10 +545,21 @@ def sequence_assignment(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT seq, id, role FROM (SELECT *, lag(role) OVER (ORDER BY seq, id) AS p, row_number() OVER (ORDER BY seq, id) AS rn FROM messages WHERE session_uuid = {_LONGEST}) WHERE rn = 1 OR role IS DISTINCT FROM p",
 )
 def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of role in the longest session, for the SQL; ``consecutive_dedupe_all`` takes lines and all sessions."""
     one = table(spark, d, "messages").where(F.col("session_uuid") == _longest(spark, d))
     return drop_repeats(one, ["session_uuid"], ["seq", "id"], "role").select("seq", "id", "role")
 
 
+@query(
+    "consecutive_dedupe_all",
+    "SELECT session_uuid, seq, id, raw_json FROM (SELECT *, lag(coalesce(raw_json, '')) OVER w AS p, row_number() OVER w AS rn FROM messages WINDOW w AS (PARTITION BY session_uuid ORDER BY seq NULLS FIRST, id)) WHERE rn = 1 OR coalesce(raw_json, '') <> p",
+)
+def consecutive_dedupe_all(spark: SparkSession, d: str) -> DataFrame:
+    """The raw lines of every session without consecutive repeats; a missing line is an empty one."""
+    rows = table(spark, d, "messages").select("session_uuid", "seq", "id", "raw_json", F.coalesce("raw_json", F.lit("")).alias("line"))
+    return drop_repeats(rows, ["session_uuid"], ["seq", "id"], "line").drop("line")
+
+
 @query(
     "route_sources",
     r"SELECT source_file, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source, count(*) AS n FROM (SELECT source_file FROM event_lines UNION ALL SELECT source_file FROM rollout_lines UNION ALL SELECT source_file FROM chat_lines) GROUP BY 1, 2",
