@@ -8,7 +8,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from threadloom import schema
-from threadloom.functions import redact
+from threadloom.functions import expr, redact
 from threadloom.operators.sequence import drop_repeats
 from threadloom.plans import reference_queries
 
@@ -120,3 +120,46 @@ def test_repeats_across_blocks_and_null_groups(spark):
     for block in (1, 2, 3, 4096):
         got = [(r.s, r.n) for r in drop_repeats(df, ["s"], ["n"], "v", block).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def title(text):
+    text = text.strip(expr.WHITE_SPACE)
+    if text.startswith("<command-") and "</command-name>" in text.partition("<command-name>")[2]:
+        return text.partition("<command-name>")[2].partition("</command-name>")[0].strip(expr.WHITE_SPACE)
+    for opening, closing in (("<local-command-caveat", "</local-command-caveat>"), ("<task-notification", "</task-notification>"), ("[Request interrupted", "]")):
+        if text.startswith(opening):
+            text = text.partition(closing)[2].strip(expr.WHITE_SPACE)
+            break
+    return text[:100]
+
+
+def test_titles_of_all_user_texts(spark, sf):
+    got = {r.id: r.title for r in entry.queries()["title_from_all"](spark, sf).collect()}
+    rows = table(sf, "messages", "id, role, content")
+    assert got == {k: title(c) for k, role, c in rows if role == "user" and c is not None}
+    assert any(role == "user" and c and c != c.strip() for _, role, c in rows)
+
+
+def test_wrapped_titles(spark, monkeypatch):
+    texts = {
+        "<command-name>/init</command-name>": "/init",
+        "\n\t<command-message>m</command-message>\n<command-name>\n/go </command-name> x": "/go",
+        "<command-name>open": "<command-name>open",
+        "\u3000<task-notification>a</task-notification>\n real\u00a0": "real",
+        "[Request interrupted by user]\n": "",
+        "<local-command-caveat>only": "",
+        "\n" + "位" * 150 + "\n": "位" * 100,
+        " \t\n": "",
+    }
+    df = spark.createDataFrame([(k, "user", t) for k, t in enumerate(texts)], "id int, role string, content string")
+    monkeypatch.setattr(reference_queries, "table", lambda *_: df)
+    got = [r.title for r in reference_queries.title_from_all(spark, "").orderBy("id").collect()]
+    assert got == list(texts.values()) == [title(t) for t in texts]
+
+
+def test_categories_of_several_names_are_sorted(spark, monkeypatch):
+    maps = ['{"z":1, "a" :2,"B":3}', '{"one":1}', "{}", None, "{cut"]
+    df = spark.createDataFrame([(str(k), "m", c) for k, c in enumerate(maps)], "session_uuid string, model string, categories_json string")
+    monkeypatch.setattr(reference_queries, "table", lambda *_: df)
+    got = {r.session_uuid: r.categories_json for r in reference_queries.canonical_categories_all(spark, "").collect()}
+    assert got == {str(k): json.dumps(json.loads(maps[k]), sort_keys=True, separators=(",", ":")) for k in (0, 1, 2)}

@@ -19,6 +19,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROLE_WEIGHTS = {"user": 1.0, "assistant": 1.0, "thinking": 0.6, "tool_use": 0.5, "tool_result": 0.4}
 OTHER_WEIGHT = 0.7
 K1, B = 1.2, 0.75
+#: White space as Unicode has it.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -176,6 +178,10 @@ def clip_middle(c: Column, most: int = 65_536) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(cap_bytes(c, half), F.lit("\n…[truncated]…\n"), tail))
 
 
+def trim_space(c: Column) -> Column:
+    return F.trim(c, F.lit(WHITE_SPACE))
+
+
 def strip_context(c: Column) -> Column:
     """Without blocks of injected session context; an unclosed one reaches to the end."""
     return F.trim(F.regexp_replace(c, r"(?s)<session_context>.*?(</session_context>|$)", ""))
@@ -188,11 +194,11 @@ def is_wrapper(c: Column) -> Column:
 
 def title(c: Column, most: int = 100) -> Column:
     """A user text as a session title: a command's name, or the text behind harness boilerplate; '' if that is all."""
-    t = F.trim(c)
-    command = F.trim(F.regexp_extract(t, r"(?s)^<command-.*?<command-name>(.*?)</command-name>", 1))
-    is_command = t.rlike(r"(?s)^<command-.*?<command-name>.*?</command-name>")
+    t = trim_space(c)
+    command = trim_space(F.regexp_extract(t, r"(?s)^(?=<command-).*?<command-name>(.*?)</command-name>", 1))
+    is_command = t.rlike(r"(?s)^(?=<command-).*?<command-name>.*?</command-name>")
     wrapped = t.rlike(r"^(<local-command-caveat|<task-notification|\[Request interrupted)")
-    behind = F.trim(
+    behind = trim_space(
         F.regexp_extract(t, r"(?s)^(?:<(local-command-caveat|task-notification).*?</\1>|\[Request interrupted[^\]]*\])(.*)$", 2)
     )
     return F.when(is_command, command).otherwise(F.substring(F.when(wrapped, behind).otherwise(t), 1, most))

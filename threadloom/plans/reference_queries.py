@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import catalog, schema
@@ -742,12 +742,19 @@ def truncate_excerpt(spark: SparkSession, d: str) -> DataFrame:
     "SELECT id, substr(trim(content), 1, 100) AS title FROM messages WHERE role = 'user' AND content IS NOT NULL AND NOT starts_with(trim(content), '<') AND NOT starts_with(trim(content), '[') AND NOT regexp_matches(content, '^[\\s\\x{00A0}\\x{200B}\\x{3000}]|[\\s\\x{00A0}\\x{200B}\\x{3000}]$')",
 )
 def title_from(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that need neither stripping nor trimming, for the SQL; ``title_from_all`` has every user text."""
     m = table(spark, d, "messages").where(
         "role = 'user' and content is not null and not startswith(trim(content), '<') and not startswith(trim(content), '[')"
     ).where(~F.col("content").rlike("^[\\s\u00a0\u200b\u3000]|[\\s\u00a0\u200b\u3000]$"))
     return m.select("id", expr.title(F.col("content")).alias("title"))
 
 
+@query("title_from_all")
+def title_from_all(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "messages").where("role = 'user' and content is not null")
+    return m.select("id", expr.title(F.col("content")).alias("title"))
+
+
 @query(
     "first_line",
     "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200",
@@ -804,9 +811,19 @@ def redact_json_structural(spark: SparkSession, d: str) -> DataFrame:
     "SELECT session_uuid, model, categories_json FROM session_usage WHERE categories_json IS NOT NULL AND json_valid(categories_json) AND length(json_keys(categories_json)) = 1",
 )
 def canonical_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of one name, for the SQL; ``canonical_categories_all`` has every map."""
+    return _categories(spark, d, F.size("m") == 1)
+
+
+@query("canonical_categories_all")
+def canonical_categories_all(spark: SparkSession, d: str) -> DataFrame:
+    return _categories(spark, d, F.col("m").isNotNull())
+
+
+def _categories(spark: SparkSession, d: str, wanted: Column) -> DataFrame:
     u = table(spark, d, "session_usage").where("categories_json is not null").withColumn(
         "m", F.from_json("categories_json", "map<string,bigint>")
-    ).where("size(m) = 1")
+    ).where(wanted)
     return u.select(
         "session_uuid", "model", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("m")))).alias("categories_json")
     )
