@@ -108,3 +108,181 @@ def test_no_training_data_still_finds_formats():
 def test_sample_is_bounded(spark):
     df = spark.range(5000).selectExpr("id", "concat('text ', id) AS content")
     assert 0 < len(sc.sample_of(df, "id", {"content": "content"}, 500)) <= 563
+
+
+#: Written by hand; the sample has no value like these.
+ANNOUNCED = [
+    ('password = "hunter2"', 'hunter2'),
+    ('password: swordfish', 'swordfish'),
+    ('DB_PASSWORD=correcthorsebatterystaple', 'correcthorsebatterystaple'),
+    ('passwd=ab12cd', 'ab12cd'),
+    ('export TOKEN="letmein2024"', 'letmein2024'),
+    ('redis-cli -a s3cret7', 's3cret7'),
+    ('password: swordfish99', 'swordfish99'),
+    ('api_key = "abcdefghijklmnop"', 'abcdefghijklmnop'),
+    ('{"password":"qwertyuiop"}', 'qwertyuiop'),
+    ('pwd = "Tr0ub4dor&3"', 'Tr0ub4dor&3'),
+    ("const dbPassword = 'moonlight';", 'moonlight'),
+    ('mysql -u root -ptiger db', 'tiger'),
+    ('mysqldump --password=Winter2023 shop', 'Winter2023'),
+    ('curl -u admin:geheim https://x.invalid/api', 'geheim'),
+    ('postgres://app:sunshine@db.invalid/app', 'sunshine'),
+    ('amqp://svc:p@ss:w0rd@mq.invalid:5672/', 'p@ss:w0rd'),
+    ('smtp_pass: k1tt3n', 'k1tt3n'),
+    ('client_secret: zGk3-aa', 'zGk3-aa'),
+    ('the root password is monkey77, rotate it', 'monkey77'),
+    ('spring.datasource.password=dragonfly', 'dragonfly'),
+    ('<add key="x" password="Baseball1" />', 'Baseball1'),
+    ('GET /cb?access_token=ya29abcd&state=3', 'ya29abcd'),
+    ('X-Api-Key: 9f8e7d6c5b4a', '9f8e7d6c5b4a'),
+    ('Authorization: token 6fbc1d2e', '6fbc1d2e'),
+    ('Cookie: session=abc123def456; theme=dark', 'abc123def456'),
+    ('sshpass -p raspberry ssh pi@host', 'raspberry'),
+    ('docker login -u me -p whale99 reg.invalid', 'whale99'),
+    ('"refresh_token": "1//0gLkq"', '1//0gLkq'),
+    ('ENV REDIS_PASSWORD=foobared', 'foobared'),
+    ("SECRET_KEY = 'django-insecure-abc#1'", 'django-insecure-abc#1'),
+    ('signing_key: 00112233', '00112233'),
+    ('auth_token => "s.Ab3d"', 's.Ab3d'),
+    ("ADMIN_PASS='letmein!'", 'letmein!'),
+    ('passphrase: correct-horse-battery', 'correct-horse-battery'),
+    ('--token=tk_9aa1 --verbose', 'tk_9aa1'),
+    ('password=123456', '123456'),
+    ('machine x login me password rosebud', 'rosebud'),
+    ('ACCESS_KEY=minioadmin', 'minioadmin'),
+]
+NOT_LITERAL = [
+    'password: ********',
+    'password: ${DB_PASSWORD}',
+    'token = os.environ["X"]',
+    'password: required',
+    'token: string',
+    'cookie: enabled',
+    'api_key: YOUR_API_KEY',
+    'secret: null',
+    'max_tokens: 4096',
+    'token_count = 12',
+    'the password is required for login',
+    'password = getpass.getpass()',
+    'secretKeyRef:\n  name: db-creds\n  key: password',
+    'passwords must have 12 characters',
+    'Authorization: Bearer <token>',
+    'token: ""',
+    'primary_key: id',
+    'key: value',
+    'const token = await getToken();',
+    'password = input("Password: ")',
+    'password_field = "Enter password"',
+    'tokens: 5321',
+    'cache_key = "user:42"',
+    'public_key: ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIJq',
+    'token: ***',
+    'PASS: 12, FAIL: 0',
+    'password: changeme',
+    '"password": "<redacted>"',
+    'secret = vault.read("kv/app")',
+    'DATABASE_PASSWORD=$(cat /run/secrets/db)',
+    'tokenizer: bpe-68',
+    'password=%s',
+    'passwd: files systemd',
+    'keyboard: us',
+    'sha256:ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12ab12',
+    'commit 9fceb02d0ae598e95dc970b74767f19372d61af8',
+]
+
+#: Written by hand after the operator and not used to mend its features' design.
+HELD_OUT = [
+    ('DB_PASS: olympus', 'olympus'),
+    ("password => 'gardenia'", 'gardenia'),
+    ('export MYSQL_PWD=tulip9', 'tulip9'),
+    ('{"apiKey": "k-77ab"}', 'k-77ab'),
+    ('wifi passphrase is "blue-lagoon-42"', 'blue-lagoon-42'),
+    ('ftp://backup:velvet@nas.invalid/', 'velvet'),
+    ('--api-key 5d41402a', '5d41402a'),
+    ('--db-password s3same', 's3same'),
+    ("access_token: 'xyz.987'", 'xyz.987'),
+    ('redis-cli -h cache.invalid -a Pepper!', 'Pepper!'),
+    ('curl --user jo:sesame99 https://h.invalid', 'sesame99'),
+    ('Set-Cookie: auth=deadbeef01; HttpOnly', 'deadbeef01'),
+    ('authorization: Bearer abc123DEF', 'abc123DEF'),
+    ('jdbc.password=lemonade', 'lemonade'),
+    ('AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY', 'wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY'),
+    ('webhook_secret: whsec_11', 'whsec_11'),
+    ("os.environ['ADMIN_TOKEN'] = 'tok-5'", 'tok-5'),
+    ('let password = "pa55,word";', 'pa55,word'),
+    ('client_secret=GOCSPX-abc', 'GOCSPX-abc'),
+    ('master_password: "open sesame"', 'open sesame'),
+    ('login: bob password: builder7', 'builder7'),
+    ('https://user:pa%24%24@h.invalid', 'pa%24%24'),
+    ('pwd=Admin@123;database=x', 'Admin@123'),
+    ('our token was 9f9f-ab, revoke it', '9f9f-ab'),
+    ('config.set("jwt_secret", "shhh1")', 'shhh1'),
+    ('the API key is AbC-123-xYz', 'AbC-123-xYz'),
+    ('git clone https://oauth2:glft99@git.invalid/x.git', 'glft99'),
+]
+HELD_OUT_HARMLESS = [
+    'password: {{ vault_db_password }}',
+    '"password": {"type": "string"}',
+    'token: null',
+    'reset your password here',
+    'password policy: strict',
+    'The token is refreshed hourly',
+    'secret = os.getenv("S")',
+    'api_key=<API_KEY>',
+    'apiKey: process.env.API_KEY',
+    'password: !vault |',
+    'tokens_used: 88',
+    'token_type: bearer',
+    'secret_name: db-main',
+    'password_hash: $2b$12$abcdefghijk',
+    'key: id',
+    'bearer of news',
+    'cookie policy updated',
+    'pass: 3',
+    'password = None',
+    'credentials: include',
+    'auth: basic',
+    'login(user, password)',
+    'def check(password: str) -> bool:',
+    'password: Optional[str] = None',
+    'type Password = string',
+    'id_token_signed_response_alg: RS256',
+    'sort_key: created_at',
+    'etag: "33a64df551425fcc55e4d42a148795d9f25f89d4"',
+    'version: 1.2.3-beta4',
+    'trace_id=4bf92f3577b34da6a3ce929d0e0e4736',
+]
+
+
+@pytest.fixture(scope="module")
+def own_model(spark):
+    """Trained on the test tables as the queries do."""
+    from threadloom.llm import queries
+
+    sample = []
+    for rows, _, row_id, fields, *path in queries._secret_tables(spark, "/root/testdata/sf0.01"):
+        sample += sc.sample_of(rows, row_id, fields, sc.SAMPLE_ROWS // 2, *path)
+    return sc.train(sorted(sample))
+
+
+@pytest.mark.parametrize("around", ["{}", "After 8 runs the prompt in src/tok.ts was stale.\n{}\nmore"])
+def test_hand_labelled_texts(own_model, around):
+    """Literals in announced places are found whole, whatever they look like."""
+    found = whole = wrong = 0
+    cases, harmless = ANNOUNCED + HELD_OUT, NOT_LITERAL + HELD_OUT_HARMLESS
+    for value, text in [(v, around.replace("{}", t)) for t, v in cases]:
+        spans = sc.find([text], ["content"], own_model)[0]
+        found += bool(spans)
+        whole += value in [text[a:b] for a, b in spans]
+    for text in harmless:
+        wrong += bool(sc.find([around.replace("{}", text)], ["content"], own_model)[0])
+    print(found, whole, wrong)
+    assert found >= 0.95 * len(cases) and whole >= 0.95 * len(cases)
+    assert wrong <= 0.05 * len(harmless)
+
+
+def test_features_hold_no_label_rule():
+    """A value of an issuer's format counts by its characters and place, not because a pattern knows it."""
+    names = sc._names(sc.candidates("x = 'ghp_" + "a1B2" * 9 + "'")[0], "content", 0.0, "")
+    assert not [n for n in names if "label" in n or "format" in n]
+    assert len(names) <= sc.N_SLOTS

@@ -12,12 +12,13 @@ from threadloom.tables import table
 
 
 def _secret_tables(spark: SparkSession, sf_dir: str) -> list:
-    outputs = table(spark, sf_dir, "rollout_lines").where("contains(raw_line, '\"output\"')").select(
-        "line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.payload.output', 'string')").alias("output")
+    # a name may be written with escapes
+    outputs = table(spark, sf_dir, "rollout_lines").where("contains(raw_line, '\"output\"') or contains(raw_line, '\\\\u00')").select(
+        "line_id", "source_file", F.expr("try_variant_get(try_parse_json(raw_line), '$.payload.output', 'string')").alias("output")
     ).where("output is not null")
     return [
         (table(spark, sf_dir, "messages"), "messages", "id", {"content": "content", "raw_json": "raw_json"}),
-        (outputs, "rollout_lines", "line_id", {"payload.output": "output"}),
+        (outputs, "rollout_lines", "line_id", {"payload.output": "output"}, "source_file"),
     ]
 
 
