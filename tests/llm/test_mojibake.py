@@ -12,7 +12,7 @@ CLEAN = [
 @pytest.fixture(scope="module")
 def stats(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN * 6)], "doc_id bigint, text string")
-    return mb.character_statistics(df)
+    return (mb.Judge(*mb.character_statistics(df)),)
 
 
 def test_clean_texts_are_left_alone(stats):
@@ -77,3 +77,30 @@ def test_repair_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, how string, row_id int")
     assert sorted(tuple(r) for r in mb.repair(df).collect()) == [(1, "été", "utf-8 as cp1252")] * 2
     assert mb.repair(df.limit(0)).count() == 0
+
+
+SCRIPTS = {"he": "שלום עולם זה טקסט", "th": "สวัสดีชาวโลก", "hi": "नमस्ते दुनिया", "vi": "Tiếng Việt rất đẹp và phức tạp", "ar": "مرحبا بالعالم", "el": "Καλημέρα κόσμε", "ko": "안녕하세요 세계"}
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "cp850", "cp437", "mac_roman"])
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_scripts_that_the_corpus_lacks_are_restored(stats, script, codec):
+    text = SCRIPTS[script]
+    holes = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
+    broken = "".join(chr(b) if codec == "cp1252" and b in holes else bytes([b]).decode(codec) for b in text.encode())
+    assert mb.restore(broken, *stats)[0] == text
+
+
+def test_a_span_counts_whatever_else_its_line_holds(stats):
+    out, found = mb.restore("Ein Fehler für alle 日本語日本語 caf" + "é".encode().decode("cp1252"), *stats)
+    assert out == "Ein Fehler für alle 日本語日本語 café" and found == ["utf-8 as cp1252"]
+
+
+def test_rare_but_clean_lines_are_left_alone(stats):
+    for t in ["noms: éèêëàâ fin", "так что чай шли", "«группаВ» и «В»", "“École” — À bientôt", "Ångström ÄÖÜ äöü ß"]:
+        assert mb.restore(t, *stats) == (t, []), t
+
+
+def test_dense_bytes_that_no_page_explains_are_reported_as_not_restored(stats):
+    out, found = mb.restore("²Ä\x81¦¸\x8f°õ\x90¦æ¥¢±Ñ\x9d¡A¦]¬", *stats)
+    assert found and out
