@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import schema
 from threadloom.operators import ingest
-from threadloom.operators.sequence import drop_repeats, number_rows
+from threadloom.operators.sequence import drop_repeats, number_in_runs, number_rows
 from threadloom.plans import doctor
 from threadloom.sources import files, transcripts
 
@@ -321,6 +323,32 @@ def test_backfill_aligns_calls(spark):
     assert got == {(1, "tool", "Read"), (1, "file", "a"), (2, "tool", "Bash"), (2, "command", "b")}
 
 
+def test_backfill_restarts_at_each_run_and_keeps_to_its_source(spark):
+    """A line that comes again after another one starts with its first call; own tools' calls and other sources don't count."""
+    line = lambda *names: json.dumps({"message": {"content": [{"type": "tool_use", "name": n, "input": {"file_path": n.lower()}} for n in names]}})
+    a, b = line("Read", schema.OWN_TOOLS + "search", "Edit"), line("Write")
+    rows = [(k, s, q, 1, "tool_use", raw) for k, (s, q, raw) in enumerate([("s", 0, a), ("s", 1, b), ("s", 2, a), ("s", 3, a), ("s", 4, a), ("x", 0, a), ("n", 0, b)])]
+    m = spark.createDataFrame(rows, "id bigint, session_uuid string, seq int, ts bigint, role string, raw_json string")
+    s = spark.createDataFrame([("s", "claude-code"), ("x", "codex"), ("n", None)], "uuid string, source string")
+    none = spark.createDataFrame([], "message_id bigint")
+    got = {r.message_id: r.value for r in ingest.backfill_targets(m, none, s).where("kind = 'tool'").collect()}
+    assert got == {0: "Read", 1: "Write", 2: "Read", 3: "Edit", 4: "Read", 6: "Write"}
+
+
+def test_numbers_in_runs_over_blocks_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), k if rng.random() > 0.05 else None, k, rng.choice(["x", "x", "x", "y", None])) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, n int, id int, v string")
+    want, last, at = {}, {}, {}
+    for g, n, i, v in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2])):
+        at[g] = at[g] + 1 if g in last and last[g] == v else 0
+        last[g] = v
+        want[i] = at[g]
+    for block in (3, 50, 4096):
+        assert {r.id: r["at"] for r in number_in_runs(df, ["g"], ["n", "id"], "v", block=block).collect()} == want
+    assert number_in_runs(df.limit(0), ["g"], ["n", "id"], "v").count() == 0
+
+
 def test_checks(spark):
     listing = spark.createDataFrame([("/r/a", 10), ("/r/b", 5), ("/r/c", 30), ("/r/d", 10)], "source_file string, size bigint")
     st = state(

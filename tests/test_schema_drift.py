@@ -14,7 +14,7 @@ def test_parse_schema_reads_nesting_and_odd_names():
         "OBJECT<a: BIGINT, `b c:<`: STRING, d: OBJECT<x: ARRAY<OBJECT<y: VOID, z: DECIMAL(3,1)>>, w: BOOLEAN>, e: VOID, f: ARRAY<STRING>, g: DECIMAL(2,0)>",
     )
     assert got == {
-        "a": ("number", []), "b c:<": ("string", []), "d": ("object", ["w", "x"]), "f": ("array", []), "g": ("number", [])
+        "a": ("number", [], "BIGINT"), "b c:<": ("string", [], "STRING"), "d": ("object", ["w", "x"], "OBJECT"), "f": ("array", [], "ARRAY"), "g": ("number", [], "DECIMAL(2,0)")
     }
     assert sd.parse_schema("OBJECT<>") == {}
 
@@ -89,3 +89,40 @@ def test_version_text_in_any_form(spark):
         [("v1.2.3",), ("1.2.3+abc",), ('{"build":"x","semver":"0.30.1+1f"}',), ("none",), (None,)], "v string"
     )
     assert [r[0] for r in df.select(sd.version_text(F.col("v"))).collect()] == ["1.2.3", "1.2.3", "0.30.1", None, None]
+
+
+def field(kind, *children):
+    return (frozenset([kind]), frozenset(children))
+
+
+def test_settled_scores_choose_among_several_pairs(monkeypatch):
+    """Names alone mislead here: what the objects hold flows to their pairs."""
+    old = {"a": {"meta_info": field("object", "sha", "branch"), "data": field("object", "width", "height"), "keep": field("string")}}
+    new = {"b": {"meta_data": field("object", "width", "height"), "git": field("object", "sha", "branch"), "keep": field("string")}}
+    want = {("meta_info", "git", "renamed", "b"), ("data", "meta_data", "renamed", "b")}
+    assert set(sd.diff_versions(old | new, ["a", "b"], single_pairs=False)) == want
+    assert {c for _, _, c, _ in sd.diff_versions(old | new, ["a", "b"])} == {"added", "removed"}
+    monkeypatch.setattr(sd, "flood", lambda old, new, kept: {(a, b): float(a[0] == b[0]) for a in old for b in new})
+    assert set(sd.diff_versions(old | new, ["a", "b"], single_pairs=False)) != want
+
+
+def test_unlike_names_are_no_rename_by_score():
+    both = {k: field("string") for k in ("k", "uuid", "text")}
+    old, new = {"a": {"userType": field("string"), **both}}, {"b": {"zz9": field("string"), **both}}
+    assert {c for _, _, c, _ in sd.diff_versions(old | new, ["a", "b"], single_pairs=False)} == {"added", "removed"}
+    assert {c for _, _, c, _ in sd.diff_versions(old | new, ["a", "b"])} == {"renamed"}
+
+
+def test_unified_table_loses_no_value(spark):
+    records = [
+        ("s", "t", "1.0", {"n": "abc", "big": 9007199254740993, "part": 1}),
+        ("s", "t", "1.0", {"n": "12", "big": 5, "part": 2}),
+        ("s", "t", "2.0", {"n": 7, "big": -9007199254740993, "part": 2.25, "f_n": True, "uncast": "x"}),
+    ]
+    rows, schemas = frames(spark, records)
+    got = sorted(sd.unify(rows, schemas).collect(), key=lambda r: r.row_id)
+    assert [r.f_n for r in got] == [None, 12, 7] and got[0].uncast == {"n": "abc"} and got[1].uncast == {}
+    assert [r.f_big for r in got] == [9007199254740993, 5, -9007199254740993]
+    assert [float(r.f_part) for r in got] == [1, 2, 2.25] and got[2].f_f_n is True and got[2].f_uncast == "x"
+    few = sorted(sd.unify(rows, schemas, most_columns=1).collect(), key=lambda r: r.row_id)
+    assert few[0].f_big == 9007199254740993 and few[0].more == {"n": "abc", "part": "1"} and "f_n" not in few[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import schema
 from threadloom.functions import expr
+from threadloom.operators.sequence import number_in_runs
 
 STATE = ("source_file", "last_size", "last_mtime", "last_byte_offset", "head_fingerprint", "tail_fingerprint", "last_ingested_at", "unparsed_lines", "usage_skipped", "usage_unmapped", "usage_stale")
 
@@ -173,33 +174,34 @@ def default_source(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("source", F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit(schema.DEFAULT_SOURCE)))
 
 
-def backfill_targets(messages: DataFrame, targets: DataFrame) -> DataFrame:
+def backfill_targets(messages: DataFrame, targets: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Facts of tool_use messages of the default format that have none, derived from their raw lines.
 
-    The i-th message of those with equal raw lines stands for the line's (i mod n)-th call of a tool.
+    A line with n calls made n messages in a row: the i-th message of a run of equal raw lines stands for the
+    line's (i mod n)-th call.  Messages that have facts, and lines that are no JSON, count in their run all the
+    same; a null line is an empty one.  With ``sessions`` only those of the default source (or none) are filled.
     """
-    from pyspark.sql import Window
+    from threadloom.sources.transcripts import _acted
 
-    calls = messages.where(
-        (F.col("role") == "tool_use") & F.col("raw_json").isNotNull()
-    ).select("id", "session_uuid", "seq", "ts", "raw_json")
-    # a raw line has a few calls: the groups stay small in sessions of any length
-    at = F.row_number().over(Window.partitionBy("session_uuid", F.md5("raw_json")).orderBy("seq", "id")) - 1
+    calls = messages.where((F.col("role") == "tool_use") & F.col("session_uuid").isNotNull())
+    if sessions is not None:
+        own = sessions.where(F.col("source").isNull() | (F.col("source") == schema.DEFAULT_SOURCE))
+        calls = calls.join(own.select(F.col("uuid").alias("session_uuid")), "session_uuid", "left_semi")
+    line = F.coalesce("raw_json", F.lit(""))
+    marked = calls.select("id", "session_uuid", "seq", F.struct(F.xxhash64(line), F.md5(line)).alias("line"))
+    places = number_in_runs(marked, ["session_uuid"], ["seq", "id"], "line").select("id", "at")
+    lacking = calls.where("raw_json is not null").join(targets.select(F.col("message_id").alias("id")).distinct(), "id", "left_anti")
     blocks = F.expr(
-        "filter(try_variant_get(try_parse_json(raw_json), '$.message.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_use')",
-    )
-    rows = calls.withColumns({"at": at, "blocks": blocks}).where("size(blocks) > 0").join(
-        targets.select(F.col("message_id").alias("id")).distinct(), "id", "left_anti"
+        "filter(try_variant_get(try_parse_json(raw_json), '$.message.content', 'array<variant>'), b -> try_variant_get(b, '$.type', 'string') = 'tool_use' "
+        f"and not startswith(coalesce(try_variant_get(b, '$.name', 'string'), ''), '{schema.OWN_TOOLS}'))",
     )
-    rows = rows.withColumn("b", F.get("blocks", F.pmod("at", F.size("blocks"))))
+    rows = lacking.select("id", "session_uuid", "ts", blocks.alias("blocks")).where("size(blocks) > 0").join(places, "id")
+    rows = rows.withColumn("b", F.get("blocks", F.pmod("at", F.size("blocks")).cast("int")))
     name = F.expr("try_variant_get(b, '$.name', 'string')")
-    from threadloom.sources.transcripts import _acted
-
     facts = F.filter(
         F.array(F.struct(F.lit("tool").alias("kind"), name.alias("value")), _acted("variant_get(b, '$.input', 'variant')", name)),
         lambda x: x["kind"].isNotNull() & (x["value"] != ""),
     )
-    rows = rows.where((name != "") & ~name.startswith(schema.OWN_TOOLS))
-    return rows.select(
+    return rows.where(name != "").select(
         F.col("id").alias("message_id"), "session_uuid", "ts", F.inline(facts)
     ).withColumn("value", expr.cap_bytes(F.col("value"), schema.TARGET_BYTES))

@@ -6,12 +6,15 @@ records.  For each two successive versions the fields that vanished and those th
 form the nodes of a pairwise graph together with their types, child names and parents; match
 scores start from name similarity and flow along its edges until they settle (similarity
 flooding), and consistent one-to-one correspondences are selected from the settled scores.
-The report follows the stated rule: a rename needs a single vanished/new pair of one type in
-the step.  Records are then renamed to the last names, cast and unioned.
+Renames are the correspondences whose settled score is high enough.  Under the stated rule of the
+report (``single_pairs``) a rename is the one vanished/new pair of one type in a step, whatever its score:
+there the rule is an exact check behind the matching.  Records are then renamed to the last names, as the
+settled scores have them, cast and unioned.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -44,8 +47,8 @@ def version_key(version: str) -> tuple[int, ...]:
     return tuple(int(x) for x in version.split("."))
 
 
-def parse_schema(text: str) -> dict[str, tuple[str, list[str]]]:
-    """Fields of a schema text ``OBJECT<name: TYPE, ...>`` as {name: (type, child names)}; nulls are left out."""
+def parse_schema(text: str) -> dict[str, tuple[str, list[str], str]]:
+    """Fields of a schema text ``OBJECT<name: TYPE, ...>`` as {name: (type, child names, type as written)}; nulls are left out."""
     end = len(text)
 
     def word(at: int) -> tuple[str, int]:
@@ -58,7 +61,8 @@ def parse_schema(text: str) -> dict[str, tuple[str, list[str]]]:
         name, at = word(at)
         fields: dict = {}
         if at < end and text[at] == "(":  # precision
-            at = text.index(")", at) + 1
+            stop = text.index(")", at) + 1
+            name, at = name + text[at:stop], stop
         if at < end and text[at] == "<":
             at += 1
             if name == "OBJECT":
@@ -84,16 +88,17 @@ def parse_schema(text: str) -> dict[str, tuple[str, list[str]]]:
         return name, fields, at
 
     _, fields, _ = kind(0)
-    return {k: (KIND[t], sorted(sub)) for k, (t, sub) in fields.items() if t in KIND}
+    plain = {k: t.partition("(")[0] for k, (t, _) in fields.items()}
+    return {k: (KIND[plain[k]], sorted(sub), t) for k, (t, sub) in fields.items() if plain[k] in KIND}
 
 
 def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for src, record, version, text in zip(pdf["src"], pdf["record"], pdf["version"], pdf["schema"]):
-            rows.append((src, record, version, None, None, None))
-            rows += [(src, record, version, name, kind, ",".join(children)) for name, (kind, children) in parse_schema(text).items()]
-        yield pd.DataFrame(rows, columns=["src", "record", "version", "field", "kind", "children"])
+            rows.append((src, record, version, None, None, None, None))
+            rows += [(src, record, version, name, kind, ",".join(children), written) for name, (kind, children, written) in parse_schema(text).items()]
+        yield pd.DataFrame(rows, columns=["src", "record", "version", "field", "kind", "children", "written"])
 
 
 def flood(
@@ -103,7 +108,7 @@ def flood(
     rounds: int = 50,
     eps: float = 1e-4,
 ) -> dict[tuple[str, str], float]:
-    """Settled match scores of (vanished, new) fields.
+    """Settled match scores of (vanished, new) fields, relative to those of fields that both versions have.
 
     A pair node is linked with the pair of its types, with the pairs of its child names and with
     the pair of the two records that hold it; so are the pairs of fields that both versions keep,
@@ -135,7 +140,13 @@ def flood(
         score = fresh
         if moved < eps:
             break
-    return {(a, b): score[("field", a, b)] for a in old for b in new}
+    # what fields that both versions have reach in this graph is the measure
+    scale = sum(score["field", k, k] for k in kept) / len(kept) if kept else max(score.values())
+    return {(a, b): score["field", a, b] / (scale or 1.0) for a in old for b in new}
+
+
+#: Least settled score of a rename; fields that both versions have reach 1 on the average.
+LEAST_SCORE = 0.68
 
 
 def correspondences(old: dict, new: dict, kept: set[str]) -> list[tuple[str, str, float]]:
@@ -151,9 +162,13 @@ def correspondences(old: dict, new: dict, kept: set[str]) -> list[tuple[str, str
 
 
 def diff_versions(
-    seen: dict[str, dict[str, tuple[frozenset, frozenset]] | None], versions: list[str]
+    seen: dict[str, dict[str, tuple[frozenset, frozenset]] | None], versions: list[str], single_pairs: bool = True
 ) -> list[tuple[str, str, str, str]]:
-    """(field, new_field, change, version) of one record type; ``seen``: fields by version, missing where the type is absent."""
+    """(field, new_field, change, version) of one record type; ``seen``: fields by version, missing where the type is absent.
+
+    With ``single_pairs`` a step's only pair of one type is a rename and steps with several have none; without,
+    every correspondence of at least ``LEAST_SCORE`` is.
+    """
     out = []
     for before, after in pairwise(versions):
         a, b = seen.get(before), seen.get(after)
@@ -163,8 +178,11 @@ def diff_versions(
             continue
         gone, new, both = {k: a[k] for k in a.keys() - b.keys()}, {k: b[k] for k in b.keys() - a.keys()}, a.keys() & b.keys()
         matched = correspondences(gone, new, set(both)) if gone and new else []
-        single = sum(x[0] == y[0] for x in gone.values() for y in new.values()) == 1
-        renamed = [(x, y) for x, y, _ in matched] if single else []
+        if single_pairs:
+            single = sum(x[0] == y[0] for x in gone.values() for y in new.values()) == 1
+            renamed = [(x, y) for x, y, _ in matched] if single else []
+        else:
+            renamed = [(x, y) for x, y, score in matched if score >= LEAST_SCORE]
         out += [(x, y, "renamed", after) for x, y in renamed]
         out += [(k, "", "removed", after) for k in sorted(gone.keys() - {x for x, _ in renamed})]
         out += [(k, "", "added", after) for k in sorted(new.keys() - {y for _, y in renamed})]
@@ -173,14 +191,14 @@ def diff_versions(
 
 
 def field_table(schemas: DataFrame) -> DataFrame:
-    """(src, record, version, field, kind, children), distinct, of (src, record, version, schema)."""
+    """(src, record, version, field, kind, children, written), distinct, of (src, record, version, schema)."""
     small = schemas.where("version is not null and schema is not null").distinct()
     return small.mapInPandas(
-        _fields, "src string, record string, version string, field string, kind string, children string"
+        _fields, "src string, record string, version string, field string, kind string, children string, written string"
     ).distinct()
 
 
-def _drift_of_source(ignore: tuple[str, ...]):
+def _drift_of_source(ignore: tuple[str, ...], single_pairs: bool):
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         versions = sorted(pdf["version"].unique(), key=version_key)
         out = []
@@ -193,13 +211,13 @@ def _drift_of_source(ignore: tuple[str, ...]):
                         fields[name][0].add(kind)
                         fields[name][1].update(filter(None, (children or "").split(",")))
                 seen[version] = {k: (frozenset(a), frozenset(b)) for k, (a, b) in fields.items()}
-            out += [(pdf["src"].iloc[0], record, *x) for x in diff_versions(seen, versions)]
+            out += [(pdf["src"].iloc[0], record, *x) for x in diff_versions(seen, versions, single_pairs)]
         return pd.DataFrame(out, columns=["src", "record", "field", "new_field", "change", "version"])
 
     return report
 
 
-def drift_report(schemas: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+def drift_report(schemas: DataFrame, ignore: tuple[str, ...] = (), single_pairs: bool = True) -> DataFrame:
     """Every change between successive versions of each source.
 
     ``schemas``: (src, record, version, schema) with schema texts of records; rows with a null
@@ -208,7 +226,7 @@ def drift_report(schemas: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     never its records.
     """
     fields = field_table(schemas.where("record is not null"))
-    return fields.groupBy("src").applyInPandas(_drift_of_source(ignore), CHANGES)
+    return fields.groupBy("src").applyInPandas(_drift_of_source(ignore, single_pairs), CHANGES)
 
 
 def canonical_names(
@@ -230,47 +248,72 @@ def canonical_names(
     return out
 
 
-#: Bound of the schema kept on the driver: distinct (source, record type, version, field).
-MOST_FIELDS = 100_000
+#: Most fields that become columns; the rarer ones stay together in a map.
+MOST_COLUMNS = 2_000
+
 
+def number_type(written: set[str]) -> str:
+    """A type that holds all numbers of a field without rounding; decimal text beyond 38 digits, double only for doubles."""
+    whole, parts = 0, 0
+    for t in written:
+        m = re.match(r"DECIMAL\((\d+),\s*(\d+)\)", t)
+        if m:
+            whole, parts = max(whole, int(m.group(1)) - int(m.group(2))), max(parts, int(m.group(2)))
+        elif t == "BIGINT":
+            whole = max(whole, 19)
+        elif KIND.get(t.partition("(")[0]) == "number":
+            return "double"
+    if parts == 0 and whole <= 19 and written <= {"BIGINT"}:
+        return "bigint"
+    return f"decimal(38,{parts})" if whole + parts <= 38 else "string"
 
-def unify(records: DataFrame, schemas: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+
+def unify(records: DataFrame, schemas: DataFrame, ignore: tuple[str, ...] = (), most_columns: int = MOST_COLUMNS) -> DataFrame:
     """All records as one table with the last names and types.
 
     ``records``: (src, record, row_id, version, fields) with ``fields`` a map of name to variant;
-    ``schemas`` as in ``drift_report``.  One column ``f_<name>`` per field: numbers as double,
-    booleans and strings as such, objects and arrays as JSON text; a name whose last types differ
-    between sources or record types is a string.  Fields that a record lacks are null; records
-    without a version keep their own names.  Only the schema is brought to the driver, never rows;
-    its size is checked against ``MOST_FIELDS``.
+    ``schemas`` as in ``drift_report``.  One column ``f_<name>`` per field: whole numbers as bigint, others
+    as decimal (double where a record has doubles), booleans and strings as such, objects and arrays as JSON
+    text; a name whose last types differ between sources or record types is a string.  Nothing is lost:
+    values that the last type cannot hold are in ``uncast`` as text, by name; fields beyond the ``most_columns``
+    commonest ones are in ``more``.  Fields that a record lacks are null; records without a version keep
+    their own names.  The driver gets the names of the columns, the renames and the versions, never rows.
     """
     known = field_table(schemas).where("field is not null")
-    rows = known.limit(MOST_FIELDS + 1).collect()
-    if len(rows) > MOST_FIELDS:
-        raise ValueError(f"more than {MOST_FIELDS} fields: names are data here, not a schema")
-    renames = [tuple(r) for r in drift_report(schemas, ignore).where("change = 'renamed'").select("src", "record", "field", "new_field", "version").collect()]
-    names = canonical_names(sorted({(r.src, r.record, r.version, r.field) for r in rows}), renames)
-    last: dict[tuple[str, str, str], tuple] = {}
-    for r in rows:
-        slot = (r.src, r.record, names.get((r.src, r.record, r.version, r.field), r.field))
-        last[slot] = max(last.get(slot, ((), "")), (version_key(r.version), r.kind))
-    kinds: dict[str, set[str]] = defaultdict(set)
-    for (_, _, name), (_, kind) in last.items():
-        kinds[name].add(kind)
+    renames = [tuple(r) for r in drift_report(schemas, ignore, single_pairs=False).where("change = 'renamed'").select("src", "record", "field", "new_field", "version").collect()]
     fields = F.col("fields")
-    if names:
+    named = known.withColumn("name", F.col("field"))
+    if renames:
+        versions = known.select("src", "version").distinct().where(F.col("src").isin(sorted({r[0] for r in renames}))).collect()
+        held = sorted({(s, r, v.version, old) for s, r, old, _, _ in renames for v in versions if v.src == s})
+        names = canonical_names(held, renames)
         lookup = F.create_map(*[F.lit(x) for k, v in sorted(names.items()) for x in ("\u0001".join(k), v)])
-        named = F.transform_keys(
-            "fields", lambda k, _: F.coalesce(F.try_element_at(lookup, F.concat_ws("\u0001", "src", "record", "version", k)), k)
-        )
-        fields = named
+        key = lambda k: F.concat_ws("\u0001", "src", "record", "version", k)
+        fields = F.transform_keys("fields", lambda k, _: F.coalesce(F.try_element_at(lookup, key(k)), k))
+        named = known.withColumn("name", F.coalesce(F.try_element_at(lookup, key(F.col("field"))), F.col("field")))
+    order = F.struct(F.split("version", r"\.").cast("array<bigint>"), "kind")
+    last = named.groupBy("src", "record", "name").agg(F.max_by("kind", order).alias("kind"), F.collect_set("written").alias("written"))
+    columns = last.groupBy("name").agg(
+        F.collect_set("kind").alias("kinds"), F.array_distinct(F.flatten(F.collect_list("written"))).alias("written"), F.count("*").alias("n")
+    ).orderBy(F.desc("n"), "name").limit(most_columns).collect()
+    typed, kept = [], []
+    for c in sorted(columns, key=lambda c: c.name):
+        value = F.try_element_at(F.col("fields"), F.lit(c.name))
+        kind = c.kinds[0] if len(c.kinds) == 1 else "string"
+        target = number_type({w for w in c.written if KIND[w.partition("(")[0]] == "number"}) if kind == "number" else "boolean" if kind == "boolean" else "string"
+        typed.append(F.try_variant_get(value, "$", target).alias(f"f_{c.name}"))
+        if target != "string":
+            text = F.try_variant_get(value, "$", "string")
+            # a cast that changes the value is none
+            same = F.try_variant_get(value, "$", target).isNotNull()
+            if target == "bigint":
+                same &= F.coalesce(~text.contains("."), F.lit(False))
+            kept.append(F.struct(F.lit(c.name).alias("name"), F.when(~same, text).alias("text")))
+    named_columns = {c.name for c in columns}
     table = records.withColumn("fields", fields)
-    columns = []
-    for name in sorted(kinds):
-        value = F.try_element_at(F.col("fields"), F.lit(name))
-        kind = next(iter(kinds[name])) if len(kinds[name]) == 1 else "string"
-        if kind in ("number", "boolean"):
-            columns.append(F.try_variant_get(value, "$", "double" if kind == "number" else "boolean").alias(f"f_{name}"))
-        else:
-            columns.append(F.try_variant_get(value, "$", "string").alias(f"f_{name}"))
-    return table.select("src", "record", "row_id", "version", *columns)
+    present = lambda entries: F.map_from_entries(F.filter(entries, lambda e: e["text"].isNotNull()))
+    uncast = present(F.array(*kept)) if kept else F.lit(None).cast("map<string,string>")
+    more = F.map_filter(
+        F.transform_values("fields", lambda _, v: F.try_variant_get(v, "$", "string")), lambda k, v: v.isNotNull() & ~k.isin(*sorted(named_columns) or [""])
+    )
+    return table.select("src", "record", "row_id", "version", *typed, uncast.alias("uncast"), more.alias("more"))

@@ -41,3 +41,29 @@ def drop_repeats(df: DataFrame, group: list[str], order: list[str], value: str,
     w = Window.partitionBy(*group, "__block").orderBy("__own", *order)
     keep = (F.row_number().over(w) == 1) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
     return rows.withColumn("__keep", keep).where("__keep and __own").select(*df.columns)
+
+
+def number_in_runs(df: DataFrame, group: list[str], order: list[str], value: str, name: str = "at", block: int = 4096) -> DataFrame:
+    """``name`` counts from 0 the rows of each run of equal neighbouring ``value``s in a group.
+
+    Runs may go on over blocks of ``order[0]``, a number: what moves between blocks is a row per block,
+    its last value, its rows and where its last run starts.  A null number counts as the first,
+    null values are equal to each other.
+    """
+    placed = df.withColumn("__block", F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(2**62))))
+    ends = placed.groupBy(*group, "__block").agg(F.max_by(F.struct(value), F.struct(*order)).alias("__end"), F.count("*").alias("__n"))
+    w = Window.partitionBy(*group).orderBy("__block")
+    ends = ends.select(*group, "__block", F.lag("__end").over(w).alias("__prior"), (F.sum("__n").over(w) - F.col("__n")).alias("__before"))
+    own = Window.partitionBy(*group, "__block").orderBy(*order)
+    rows = placed.join(ends, [*group, "__block"])
+    place = F.row_number().over(own) - 1
+    last = F.when(place == 0, F.col("__prior")).otherwise(F.lag(F.struct(value)).over(own))
+    rows = rows.withColumn("__place", F.col("__before") + place).withColumn(
+        "__start", F.when(last.isNull() | ~last[value].eqNullSafe(F.col(value)), F.col("__place"))
+    )
+    rows = rows.withColumn("__open", F.max("__start").over(own))
+    starts = rows.groupBy(*group, "__block").agg(F.max("__start").alias("__open"))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*group, "__block", F.max("__open").over(earlier).alias("__earlier"))
+    at = (F.col("__place") - F.coalesce("__open", "__earlier")).cast("bigint")
+    return rows.join(starts, [*group, "__block"]).select(*df.columns, at.alias(name))

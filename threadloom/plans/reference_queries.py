@@ -652,10 +652,24 @@ def merge_sessions_incremental(spark: SparkSession, d: str) -> DataFrame:
     return ingest.merge_sessions(s, new, full=False).select("uuid", "ended_at", "turn_count", "title", "source")
 
 
-@query("backfill_targets")
+_BLOCK_FIELD = "CASE name " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, (_, f) in schema.TOOL_FIELDS.items()) + " END"
+_BLOCK_KIND = "CASE name " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, (k, _) in schema.TOOL_FIELDS.items()) + " END"
+
+
+@query("backfill_targets", f"""
+WITH c AS (SELECT id, session_uuid, seq, ts, coalesce(raw_json, '') AS raw FROM messages WHERE role = 'tool_use' AND session_uuid IN (SELECT uuid FROM sessions WHERE source IS NULL OR source = 'claude-code')),
+s AS (SELECT *, CASE WHEN raw IS DISTINCT FROM lag(raw) OVER w THEN 1 ELSE 0 END AS start FROM c WINDOW w AS (PARTITION BY session_uuid ORDER BY seq NULLS FIRST, id)),
+r AS (SELECT *, sum(start) OVER (PARTITION BY session_uuid ORDER BY seq NULLS FIRST, id ROWS UNBOUNDED PRECEDING) AS run FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_uuid, run ORDER BY seq NULLS FIRST, id) - 1 AS place, CASE WHEN json_valid(raw) THEN raw::JSON->'$.message.content' END AS content FROM r),
+b AS (SELECT id, session_uuid, ts, place, list_filter(json_extract(content, '$[*]'), lambda x: x->>'$.type' = 'tool_use' AND NOT starts_with(coalesce(x->>'$.name', ''), '{schema.OWN_TOOLS}')) AS blocks FROM p WHERE json_type(content) = 'ARRAY'),
+k AS (SELECT id, session_uuid, ts, blocks[place % len(blocks) + 1] AS b FROM b WHERE len(blocks) > 0 AND id NOT IN (SELECT message_id FROM tool_calls JOIN messages m ON m.id = message_id WHERE message_id % 2 = 0)),
+n AS (SELECT *, b->>'$.name' AS name FROM k WHERE b->>'$.name' <> ''),
+v AS (SELECT id, session_uuid, ts, {_BLOCK_KIND} AS kind, CASE WHEN json_type(b, '$.input.' || {_BLOCK_FIELD}) IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string(b, '$.input.' || {_BLOCK_FIELD}) END AS value FROM n)
+SELECT id AS message_id, session_uuid, ts, 'tool' AS kind, name AS value FROM n UNION ALL SELECT id, session_uuid, ts, kind, value FROM v WHERE kind IS NOT NULL AND trim(value) <> ''""")
 def backfill_targets(spark: SparkSession, d: str) -> DataFrame:
-    data = _data(spark, d)
-    return ingest.backfill_targets(data.messages, data.tool_targets.where("kind = 'file'"))
+    """Facts for every message of the default source whose call isn't recorded; here those with an even id are."""
+    data, recorded = _data(spark, d), table(spark, d, "tool_calls").where("message_id % 2 = 0").select("message_id")
+    return ingest.backfill_targets(data.messages, recorded, data.sessions)
 
 
 @query("reset_subagents", "SELECT DISTINCT source_file FROM event_lines WHERE NOT contains(source_file, '/subagents/')")
