@@ -5,12 +5,13 @@ import pytest
 
 from threadloom.operators import timestamps as ts
 
-STATED = {"slash": "mdy", "dot": "dmy", "overlap": "earlier"}
+STATED = {"slash": "mdy", "dot": "dmy", "overlap": "earlier", "unit": "size"}
 
 
 def one(value, zone="Europe/Berlin", conventions=STATED):
     got = ts.interpretations(value, zone, conventions)
-    return min(got, key=lambda x: x[2])[0] if got else None
+    best = min(got, key=lambda x: x[2]) if got else None
+    return best[0] if best and best[2] < ts.AGAINST else None
 
 
 @pytest.mark.parametrize(
@@ -119,3 +120,29 @@ def test_plain_null_and_repeated_rows(spark):
         1: (1756720800000000, "plain"), 4: (1756720800000000, "epoch_s"), 5: (1756720800000000, "epoch_s")
     }
     assert resolve(spark, [], STATED) == {}
+
+
+def test_readings_that_no_path_could_choose_are_left_out():
+    rng = random.Random(11)
+    for _ in range(60):
+        chain = [[{"us": rng.randrange(50), "fmt": rng.choice("ab"), "cost": float(rng.choice([0, 1, 4, 6, 9]))} for _ in range(3)] for _ in range(rng.randrange(1, 6))]
+        kept = [[x for x in c if (x["us"], x["fmt"], x["cost"]) in ts.choosable([(y["us"], y["fmt"], y["cost"]) for y in c])] for c in chain]
+        assert cost(chain, ts.best_path(chain)) == cost(kept, ts.best_path(kept))
+
+
+def test_the_order_of_the_source_settles_units_and_the_path_matters(spark, monkeypatch):
+    """Numbers beside records of 1970 are milliseconds although their size implies seconds; without the path they are not."""
+    rows = [(k, "s", k, str(10_000_000_000 + k * 1000) if k % 2 else None, None, None if k % 2 else 10_000_000_000_000 + k * 1_000_000, "") for k in range(20)]
+    got = resolve(spark, rows, {})
+    assert {f for k, (_, f) in got.items() if k % 2} == {"epoch_ms"} and got[3][0] == 10_000_003_000_000
+    assert {f for k, (_, f) in resolve(spark, rows, STATED).items() if k % 2} == {"epoch_s"}
+
+
+def test_lone_rows_and_copies(spark):
+    """Rows without a source or place have no neighbours; copies of a record share what is chosen."""
+    march = [(k, "d", k, f"{k:02d}/03/2025 10:00:00 AM", "UTC", None, "") for k in range(1, 29)]
+    copies = [(100 + k, "d", 5, "05/03/2025 10:00:00 AM", "UTC", None, "") for k in range(50)]
+    lone = [(200, None, 5, "05/03/2025 10:00:00 AM", "UTC", None, ""), (201, "d", None, "05/03/2025 10:00:00 AM", "UTC", None, "")]
+    got = resolve(spark, march + copies + lone, {})
+    assert {got[k] for k in range(100, 150)} == {got[5]} and got[5][1] == "dmy/"
+    assert got[200] == got[201] == (1746266400000000, "mdy/")

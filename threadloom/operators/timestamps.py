@@ -2,9 +2,12 @@
 
 Every value gets the array of all its valid interpretations (format, instant, cost).  Where
 a source has values with more than one, a Viterbi path over the source's record order picks
-among them: format switches and backward jumps in time cost, and an interpretation against a
-stated convention costs more than any path can win back.  A source without an ambiguous value
-has a single path and is not moved.
+among them: format switches and backward jumps in time cost, readings that are unlikely by
+themselves (a number in another unit than its size implies) cost a little, readings against a
+stated convention more than any path can win back.  Readings that cost more than the cheapest one
+by what a path can win at most are left out of it: no path could choose them.  A source without
+a value that is then ambiguous has a single path and is not moved.  A row whose chosen reading is
+against a stated convention has no time.
 
 Sources are cut into blocks of ``BLOCK`` records.  Where a source has several blocks, each
 block is first reduced to the least costs from every interpretation of its first record to
@@ -31,6 +34,13 @@ PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 BLOCK = 4096
 #: Costs of the path; AGAINST exceeds what a whole block's path can win.
 SWITCH, BACKWARD, AGAINST = 1.0, 1.5, 1e7
+#: Cost of a unit for each step from the one that the size of a number implies, and what choosing one reading instead of another can win at most: two steps of the path.
+UNIT = 1.25
+MOST_WON = 2 * (SWITCH + BACKWARD)
+#: Units of numbers with the digits that they add to those of whole seconds.
+UNITS = (("s", 0), ("ms", 3), ("us", 6), ("ns", 9))
+#: End of the time that numbers may mean: the year 10000.
+LATEST = 253_402_300_800_000_000
 MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -113,8 +123,8 @@ def _zone(name: str) -> ZoneInfo | None:
 def interpretations(value: str | None, zone: str | None, conventions: dict[str, str]) -> list[tuple[int, str, float]]:
     """All valid readings (microseconds since 1970 UTC, format, cost) of ``value``; none if it is no time.
 
-    ``conventions``: ``slash`` and ``dot`` ("mdy" or "dmy") and ``overlap`` ("earlier" or "later")
-    state how such values are meant; without an entry every reading costs the same.  A time that
+    ``conventions``: ``slash`` and ``dot`` ("mdy" or "dmy"), ``overlap`` ("earlier" or "later") and ``unit``
+    ("size") state how such values are meant; without an entry the readings cost the same (units: nearly).  A time that
     the clock skipped is read with the offset before the jump.
     """
     s = (value or "").strip()
@@ -131,13 +141,13 @@ def interpretations(value: str | None, zone: str | None, conventions: dict[str,
         whole, _, frac = s.partition(".")
         if int(whole) == 0:
             return out
-        # 1970 plus this many units must fall between 1980 and 2200: one unit fits at most
-        for unit, scale in (("s", 10**6), ("ms", 10**3), ("us", 1)):
-            us = int(whole) * scale + int(frac[: len(str(scale)) - 1].ljust(len(str(scale)) - 1, "0") or 0)
-            if 315_532_800_000_000 <= us < 7_258_118_400_000_000:
-                return [(us, f"epoch_{unit}", 0.0)]
-        us = int(whole) // 1000
-        return [(us, "epoch_ns", 0.0)] if 315_532_800_000_000 <= us < 7_258_118_400_000_000 else out
+        # up to 11 digits imply seconds, each three more the next unit
+        implied = max(0, min(3, (len(whole.lstrip("0")) - 9) // 3))
+        for k, (unit, digits) in enumerate(UNITS):
+            us = int(whole) * 10 ** (6 - digits) + int(frac[: 6 - digits].ljust(6 - digits, "0") or 0) if digits <= 6 else int(whole) // 1000
+            if 0 < us < LATEST:
+                out.append((us, f"epoch_{unit}", (AGAINST if "unit" in conventions else UNIT * abs(k - implied)) if k != implied else 0.0))
+        return out
     if m := _ISO.fullmatch(s):
         y, mo, d, h, mi, sec, frac, off, name = m.groups()
         if int(y):
@@ -178,15 +188,19 @@ def interpretations(value: str | None, zone: str | None, conventions: dict[str,
         name, d, y, h, mi, sec, off = m.groups()
         if name.lower() in MONTHS and int(y):
             add((int(y), MONTHS[name.lower()], int(d), int(h), int(mi), int(sec)), 0, off, zone, "clock")
-    if out and all(cost >= AGAINST for *_, cost in out) and any(f[:3] in ("mdy", "dmy") for _, f, _ in out):
-        return []  # only a reading against the stated order exists: not a time
     return out
 
 
+def choosable(readings: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
+    """The readings that some path could choose."""
+    least = min((cost for *_, cost in readings), default=0.0)
+    return [r for r in readings if r[2] <= least + MOST_WON]
+
+
 def _reader(conventions: dict[str, str]):
     @F.pandas_udf(CANDIDATES)
     def read(value: pd.Series, zone: pd.Series) -> pd.Series:
-        return pd.Series([interpretations(v, z, conventions) for v, z in zip(value, zone)])
+        return pd.Series([choosable(interpretations(v, z, conventions)) for v, z in zip(value, zone)])
 
     return read
 
@@ -301,8 +315,8 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in _runs(batches, ["chain", "block"]):
         start, end = pdf.start.iloc[0], pdf.end.iloc[0]
         path = best_path(list(pdf.cands), None if pd.isna(start) else int(start), None if pd.isna(end) else int(end))
-        chosen = [(row, c[k]["us"], c[k]["fmt"]) for row, c, k in zip(pdf.row_id, pdf.cands, path) if len(c) > 1]
-        yield pd.DataFrame(chosen, columns=["row_id", "us", "fmt"])
+        chosen = [(key, c[k]["us"], c[k]["fmt"], c[k]["cost"]) for key, c, k in zip(pdf.key, pdf.cands, path) if len(c) > 1]
+        yield pd.DataFrame(chosen, columns=["key", "us", "fmt", "cost"])
 
 
 def resolve(rows: DataFrame, conventions: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
@@ -312,12 +326,14 @@ def resolve(rows: DataFrame, conventions: dict[str, str] | None = None, block: i
     order), ``value`` (string, numbers as text), ``zone`` (IANA name or null) and ``plain_us``
     (the instant of a value in the plain form, else null); other columns are ignored.  Returns
     ``row_id, us, fmt, plain``.  Null, empty and unreadable values give no row; a wall clock time
-    without a known zone neither.  Records with equal ``pos`` are taken by ``row_id``; rows with a
-    null chain form one source.
+    without a known zone neither.  Rows with equal ``pos`` and equal readings (copies of a record) count
+    once in the path and share what is chosen; different ones are taken by ``row_id``.  A row with a null
+    chain or ``pos`` has no neighbours: its cheapest reading counts, of several the earliest.
     """
+    lone = F.col("chain").isNull() | F.col("pos").isNull()
     base = rows.select(
         "row_id",
-        F.coalesce(F.col("chain").cast("string"), F.lit("")).alias("chain"),
+        F.when(lone, F.concat(F.lit("\u0000"), F.col("row_id").cast("string"))).otherwise(F.col("chain").cast("string")).alias("chain"),
         F.coalesce(F.col("pos"), F.lit(0)).cast("bigint").alias("pos"),
         "value",
         "zone",
@@ -331,30 +347,39 @@ def resolve(rows: DataFrame, conventions: dict[str, str] | None = None, block: i
         "cands", _reader(conventions or {})("value", "zone")
     ).select("row_id", "chain", "pos", "cands").where("size(cands) > 0")
     other = materialise(other, "readings")
-    single = other.where("size(cands) = 1").select(
+    single = other.where("size(cands) = 1").where(F.col("cands")[0]["cost"] < AGAINST).select(
         "row_id", "chain", "pos", F.col("cands")[0]["us"].alias("us"), F.col("cands")[0]["fmt"].alias("fmt")
     )
     known = plain.withColumn("plain", F.lit(True)).unionByName(
         single.withColumn("plain", F.lit(False))
     ).select("row_id", "us", "fmt", "plain")
-    unclear = other.where("size(cands) > 1").select("chain").distinct()
+    several = F.size("cands") > 1
+    unclear = other.where(several).select("chain").distinct()
     if unclear.isEmpty():
         return known
+    # copies are told apart by a key of place and readings, and join what was chosen for it
+    key = F.struct("chain", "pos", F.xxhash64(F.to_json("cands")).alias("readings"))
+    keyed = other.withColumn("key", key)
     one = plain.select("row_id", "chain", "pos", F.array(F.struct("us", "fmt", F.lit(0.0).alias("cost"))).alias("cands"))
-    chained = one.unionByName(other).join(unclear, "chain", "left_semi").withColumn("block", F.floor(F.col("pos") / block))
-    several = chained.groupBy("chain").agg((F.max("block") > F.min("block")).alias("several")).where("several").select("chain")
-    if several.isEmpty():
+    chained = one.withColumn("key", key).unionByName(keyed).join(unclear, "chain", "left_semi").groupBy("key").agg(
+        F.first("cands").alias("cands"), F.min("row_id").alias("row_id")
+    )
+    chained = chained.select("key", "key.chain", "key.pos", "row_id", "cands").withColumn("block", F.floor(F.col("pos") / block))
+    chained = materialise(chained, "chains")
+    longer = chained.groupBy("chain").agg((F.max("block") > F.min("block")).alias("longer")).where("longer").select("chain")
+    if longer.isEmpty():
         ends = None
     else:
-        summed = _sorted(chained.join(several, "chain", "left_semi")).mapInPandas(_summaries, SUMMARY)
+        summed = _sorted(chained.join(longer, "chain", "left_semi")).mapInPandas(_summaries, SUMMARY)
         ends = summed.repartition("chain").sortWithinPartitions("chain", "block").mapInPandas(
             _join_blocks, "chain string, block long, start int, end int"
         )
     chained = chained.join(ends, ["chain", "block"], "left") if ends is not None else chained.withColumns(
         {"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")}
     )
-    decided = _sorted(chained).mapInPandas(_decide, "row_id bigint, us bigint, fmt string")
-    return known.unionByName(decided.withColumn("plain", F.lit(False)))
+    decided = _sorted(chained).withColumn("key", F.to_json("key")).mapInPandas(_decide, "key string, us bigint, fmt string, cost double")
+    rows = keyed.where(several).select("row_id", F.to_json("key").alias("key")).join(decided.where(F.col("cost") < AGAINST), "key")
+    return known.unionByName(rows.select("row_id", "us", "fmt", F.lit(False).alias("plain")))
 
 
 def _sorted(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import change_feed, delivery, nested, schema_drift, timestamps
 from threadloom.tables import table
 
-CONVENTIONS = {"slash": "mdy", "dot": "dmy", "overlap": "earlier"}
+CONVENTIONS = {"slash": "mdy", "dot": "dmy", "overlap": "earlier", "unit": "size"}
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _message_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "messages").select("id", "session_uuid", "seq", "ts")
-    whole = F.col("ts").between(315_532_800, 7_258_118_399)
+    whole = F.col("ts").between(1, 99_999_999_999)
     return rows.select(
         F.col("id").alias("row_id"),
         F.col("session_uuid").alias("chain"),
@@ -217,14 +217,14 @@ def _message_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = timestamps.resolve(_times(spark, sf_dir), CONVENTIONS)
+def _resolved(spark: SparkSession, sf_dir: str, conventions: dict[str, str] = CONVENTIONS) -> DataFrame:
+    lines = timestamps.resolve(_times(spark, sf_dir), conventions)
     src = F.element_at(
         F.array(F.lit("event_lines"), F.lit("rollout_lines"), F.lit("chat_lines")),
         (F.col("row_id") / 1_000_000_000_000).cast("int"),
     )
     return lines.withColumn("src", src).unionByName(
-        timestamps.resolve(_message_times(spark, sf_dir), CONVENTIONS).withColumn("src", F.lit("messages"))
+        timestamps.resolve(_message_times(spark, sf_dir), conventions).withColumn("src", F.lit("messages"))
     )
 
 
@@ -237,8 +237,13 @@ def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).select("src", "row_id", F.col("us").alias("utc_us"), "fmt")
 
 
+def p7_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that aren't plain, read without any stated convention: the order of the source alone decides."""
+    return _resolved(spark, sf_dir, {}).where("not plain").select("src", "row_id", F.col("us").alias("utc_us"), "fmt")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_delivered_once, p3_found, p3_unified, p4_found, p5_found, p5_bridge, p5_nodes, p7_found, p7_normalised)
+    own = (p1_found, p1_delivered_once, p3_found, p3_unified, p4_found, p5_found, p5_bridge, p5_nodes, p7_found, p7_normalised, p7_by_order)
     return {f.__name__: f for f in own}
 
 
@@ -273,10 +278,10 @@ def _p7_sql() -> str:
 WITH l AS ({line('event_lines', 'timestamp', 'true')} UNION ALL {line('rollout_lines', 'timestamp', 'true')} UNION ALL {line('chat_lines', 'startTime', 'line_no = 1')}),
 w AS (SELECT src, row_id, v, {zone} AS off, try_strptime({wall}, '%Y-%m-%d %H:%M:%S') AS wall, CASE WHEN regexp_matches(v, {_ISO}) THEN rpad(left({g(_ISO, 7)}, 6), 6, '0')::BIGINT ELSE 0 END AS frac, m.time_zone AS tz
   FROM l LEFT JOIN machines m ON m.machine = l.machine WHERE NOT regexp_matches(raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z$')),
-n AS (SELECT src, row_id, v FROM w UNION ALL SELECT 'messages', id, cast(ts AS VARCHAR) FROM messages WHERE ts > 0 AND ts NOT BETWEEN 315532800 AND 7258118399),
+n AS (SELECT src, row_id, v FROM w UNION ALL SELECT 'messages', id, cast(ts AS VARCHAR) FROM messages WHERE ts > 99999999999),
 k AS (SELECT src, row_id, split_part(v, '.', 1) AS a, rpad(left(split_part(v, '.', 2), 6), 6, '0')::BIGINT AS b FROM n WHERE regexp_matches(v, '^[1-9][0-9]*([.][0-9]+)?$')),
 x AS (SELECT *, epoch_us(timezone(tz, wall)) AS c FROM w WHERE wall IS NOT NULL AND year(wall) > 0)
-SELECT src, row_id, CASE length(a) WHEN 10 THEN a::BIGINT * 1000000 + b WHEN 13 THEN a::BIGINT * 1000 WHEN 16 THEN a::BIGINT WHEN 19 THEN a::BIGINT // 1000 END AS utc_us FROM k WHERE length(a) IN (10, 13, 16, 19)
+SELECT src, row_id, CASE WHEN length(a) <= 11 THEN a::BIGINT * 1000000 + b WHEN length(a) <= 14 THEN a::BIGINT * 1000 WHEN length(a) <= 17 THEN a::BIGINT ELSE a::BIGINT // 1000 END AS utc_us FROM k WHERE length(a) <= 19
 UNION ALL SELECT src, row_id, frac + CASE WHEN upper(off) IN ('Z', 'UTC') THEN epoch_us(wall)
   WHEN off <> '' THEN epoch_us(wall) - (CASE left(off, 1) WHEN '-' THEN -1 ELSE 1 END) * (left(right(off, length(off) - 1), 2)::BIGINT * 3600 + right(off, 2)::BIGINT * 60) * 1000000
   WHEN timezone(tz, make_timestamptz(c - 3600000000)) = wall THEN c - 3600000000 ELSE c END FROM x"""
