@@ -130,9 +130,9 @@ def test_readings_that_no_path_could_choose_are_left_out():
         assert cost(chain, ts.best_path(chain)) == cost(kept, ts.best_path(kept))
 
 
-def test_the_order_of_the_source_settles_units_and_the_path_matters(spark, monkeypatch):
+def test_the_order_of_the_source_settles_units_and_the_path_matters(spark):
     """Numbers beside records of 1970 are milliseconds although their size implies seconds; without the path they are not."""
-    rows = [(k, "s", k, str(10_000_000_000 + k * 1000) if k % 2 else None, None, None if k % 2 else 10_000_000_000_000 + k * 1_000_000, "") for k in range(20)]
+    rows = [(k, "s", k, str(10_000_000_000 + k * 1000) if k % 2 else None, None, None if k % 2 else 10_000_000_000_000 + k * 1_000_000, "") for k in range(21)]
     got = resolve(spark, rows, {})
     assert {f for k, (_, f) in got.items() if k % 2} == {"epoch_ms"} and got[3][0] == 10_000_003_000_000
     assert {f for k, (_, f) in resolve(spark, rows, STATED).items() if k % 2} == {"epoch_s"}
