@@ -62,10 +62,38 @@ def test_tree_splits_exactly():
     assert abs(spread - 1000 / 1042).max() < 0.1
 
 
-def test_plan():
-    assert mixing.plan({}, {"a": (1.0, 1)}) == {}
-    share, passes, rest = mixing.plan({"a": 100, "b": 100}, {"a": (0.5, 3), "b": (0.5, 1)})["a"]
-    assert (share, passes, rest) == (0.5, 1, 0.0)
+def planned(spark, totals, targets):
+    t = spark.createDataFrame(totals, "source string, tokens bigint")
+    rows = mixing.plan(t, spark.createDataFrame([(*x, 0) for x in targets], TARGETS)).collect()
+    return {r.source: (r.share, r.passes, r.rest) for r in rows}
+
+
+def test_plan(spark):
+    assert planned(spark, [], [("a", 1.0, 1)]) == {}
+    got = planned(spark, [("a", 100), ("b", 100), ("z", 5)], [("a", 0.5, 3), ("b", 0.5, 1), (None, 0.2, 1), ("gone", 0.4, 2), ("z", 0.0, 1)])
+    assert got == {"a": (0.5, 1, 0.0), "b": (0.5, 1, 0.0)}
+    assert planned(spark, [("a", 100), ("b", 10)], [("a", 0.5, 1), ("b", 0.5, 4)]) == {"a": (0.5, 0, 40.0), "b": (0.5, 4, 0.0)}
+
+
+def test_many_sources_and_a_finer_tree(spark, docs, monkeypatch):
+    """Levels that the driver may not hold are split node by node; each shard is still a fair sample."""
+    monkeypatch.setattr(mixing, "MOST_CELLS", 8)
+    targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)] + [(f"x{k}", 0.0, 1) for k in range(300)]
+    m, s = mix(spark, docs, targets, shard_tokens=1500)
+    sizes = {r.shard: r["count"] for r in m.groupBy("shard").count().collect()}
+    total = m.agg(F.sum("n_tokens")).first()[0]
+    assert len(sizes) == 2 ** math.ceil(math.log2(total / 1500)) and max(sizes) == len(sizes) - 1
+    assert m.count() == m.select("source", "doc_id", "turn").distinct().count()
+    assert sum(r.actual_share for r in s.collect()) == pytest.approx(1)
+
+
+def test_running_sums_over_hash_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGES_BITS", 3)
+    df = spark.range(500).selectExpr("id", "id % 2 as g", "id % 7 as v")
+    rows = mixing.ranked(df, ["g"], F.xxhash64("id"), ["id"], F.col("v"), "upto").collect()
+    for g in (0, 1):
+        own = sorted((r for r in rows if r.g == g), key=lambda r: r.upto)
+        assert own[-1].upto == sum(r.v for r in own) and all(b.upto - a.upto in (b.v, 0) or b.v == 0 or a.v == 0 for a, b in zip(own, own[1:]))
 
 
 def test_empty(spark, docs):
