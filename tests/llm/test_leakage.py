@@ -103,3 +103,16 @@ def test_blocks_of_items_give_the_same_pairs(spark, items, monkeypatch):
     whole = sorted(tuple(r) for r in lk.find_leaks(docs, held).collect())
     monkeypatch.setattr(lk, "ITEMS_PER_INDEX", 5)
     assert sorted(tuple(r) for r in lk.find_leaks(docs, held).collect()) == whole == [(k, k) for k, _ in items]
+
+
+def test_overlaps_of_question_and_rest(spark):
+    rng = random.Random(21)
+    body, asked = " ".join(words(rng, 60)) + ".", "Which " + " ".join(words(rng, 11)) + "?"
+    rows = [(1, f"{' '.join(words(rng, 50))} {body} {asked}"), (2, f"intro {body} tail"), (3, None), (4, ""), (2, f"intro {body} tail")]
+    docs = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id bigint, text string, n_words int")
+    others = [(k, " ".join(words(rng, 70)), 0) for k in range(20, 40)]
+    items = spark.createDataFrame([(7, f"{body} {asked}", 0), (8, None, 0), *others], "item_id bigint, text string, rest int")
+    got = sorted(tuple(r) for r in lk.overlap_report(docs, items).collect())
+    assert [(r[0], r[1]) for r in got] == [(7, 1), (7, 2), (7, 2)]
+    assert got[0][3] > 0.9 and got[0][4] == 1.0 and got[1][3] < 0.2 and got[1][4] == 1.0 and got[0][2] > got[1][2] >= 58
+    assert lk.overlap_report(docs, items.limit(0)).count() == 0 and lk.overlap_report(docs.limit(0), items).count() == 0

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,7 @@ class ItemIndex:
         self.weights = [[0.1 + math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) for w in x] for x in self.words]
         self.threshold = [self._least(k, lists[k]) for k in range(n)]
         self.least = min(self.threshold, default=math.inf)
+        self.asked = [question_words(t or "") for _, t in items]
 
     def _least(self, k: int, own: list[str]) -> float:
         """``KEPT`` times the least score of the item's own passages of the least length."""
@@ -87,49 +90,52 @@ class ItemIndex:
 
     def retrieve(self, query: set[str]) -> list[int]:
         """All items whose score reaches their threshold."""
-        cursors = [[t, 0] for t in query if t in self.postings]
-        out: list[int] = []
+        # a cursor: its item, its number, its place in its list, the list, its impacts, last items and largest impacts of its blocks, its bound
+        cursors = []
+        for t in query:
+            if t in self.postings:
+                docs, impacts, ends, tops = self.postings[t]
+                cursors.append([docs[0], len(cursors), 0, docs, impacts, ends, tops, self.bound[t]])
+        least, out = self.least, []
         while cursors:
-            cursors.sort(key=lambda c: self.postings[c[0]][0][c[1]])
+            cursors.sort()
             bound, pivot = 0.0, -1
-            for j, (t, _) in enumerate(cursors):
-                bound += self.bound[t]
-                if bound >= self.least:
+            for j, c in enumerate(cursors):
+                bound += c[7]
+                if bound >= least:
                     pivot = j
                     break
             if pivot < 0:
                 break
-            item = self.postings[cursors[pivot][0]][0][cursors[pivot][1]]
-            while pivot + 1 < len(cursors) and self.postings[cursors[pivot + 1][0]][0][cursors[pivot + 1][1]] == item:
+            item, n = cursors[pivot][0], len(cursors)
+            while pivot + 1 < n and cursors[pivot + 1][0] == item:
                 pivot += 1
             # block bounds of the lists up to the pivot: the item is skipped if they stay below
-            blocks, ends = 0.0, math.inf
-            for t, _ in cursors[: pivot + 1]:
-                at = bisect_left(self.postings[t][2], item)
-                if at < len(self.postings[t][2]):
-                    blocks += self.postings[t][3][at]
-                    ends = min(ends, self.postings[t][2][at])
-            if blocks >= self.least:
-                if self.postings[cursors[0][0]][0][cursors[0][1]] == item:
-                    score = sum(self.postings[t][1][at] for t, at in cursors[: pivot + 1])
-                    if score >= self.threshold[item]:
+            blocks, last = 0.0, math.inf
+            for c in cursors[: pivot + 1]:
+                at = bisect_left(c[5], item)
+                if at < len(c[5]):
+                    blocks += c[6][at]
+                    last = min(last, c[5][at])
+            target = item + 1
+            if blocks >= least:
+                if cursors[0][0] == item:
+                    if sum(c[4][c[2]] for c in cursors[: pivot + 1]) >= self.threshold[item]:
                         out.append(item)
-                    target = item + 1
                 else:
                     target = item
-            else:
-                target = item + 1
-                if ends != math.inf:
-                    after = self.postings[cursors[pivot + 1][0]][0][cursors[pivot + 1][1]] if pivot + 1 < len(cursors) else math.inf
-                    target = max(target, int(min(ends + 1, after)))
-            moved = []
-            for j, (t, at) in enumerate(cursors):
-                docs = self.postings[t][0]
-                if j <= pivot:
-                    at = bisect_left(docs, target, at)
-                if at < len(docs):
-                    moved.append([t, at])
-            cursors = moved
+            elif last != math.inf:
+                after = cursors[pivot + 1][0] if pivot + 1 < n else math.inf
+                target = max(target, int(min(last + 1, after)))
+            spent = False
+            for c in cursors[: pivot + 1]:
+                at = c[2] = bisect_left(c[3], target, c[2])
+                if at < len(c[3]):
+                    c[0] = c[3][at]
+                else:
+                    c[0], spent = -1, True
+            if spent:
+                cursors = [c for c in cursors if c[0] >= 0]
         return out
 
 
@@ -175,27 +181,29 @@ def repeated_part(found: list[bool], weight: list[float]) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def repeats(doc: list[str], index: ItemIndex, k: int) -> tuple[int, int, list[bool]] | None:
+    """(first, after last, matched words) of the item's part that the text repeats; null if it is too short for a leak."""
+    item = index.words[k]
+    found = matched_words(doc, item)
+    first, after = repeated_part(found, index.weights[k])
+    long = sum(map(len, item[first:after])) >= LEAST_CHARS - 2 * EDGE if index.wide[k] else after - first >= LEAST_WORDS - EDGE
+    return (first, after, found) if long else None
+
+
 def is_leak(doc: list[str], index: ItemIndex, k: int) -> bool:
-    item, weight = index.words[k], index.weights[k]
-    if index.wide[k]:
-        first, after = repeated_part(matched_words(doc, item), weight)
-        return sum(map(len, item[first:after])) >= LEAST_CHARS - 2 * EDGE
-    first, after = repeated_part(matched_words(doc, item), weight)
-    return after - first >= LEAST_WORDS - EDGE
+    return repeats(doc, index, k) is not None
 
 
-def leaks_of(text: str | None, index: ItemIndex) -> list[int]:
-    """Items (their places) of which the text repeats a passage."""
-    words = tokens(text or "")
+def regions_of(words: list[str], index: ItemIndex) -> dict[int, list[tuple[int, int]]]:
+    """{item: parts of the text} whose passages retrieve the item, neighbouring passages joined."""
+    regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
     if len(words) < LEAST_WORDS - EDGE:
-        return []
+        return regions
     own = terms(words)
-    bounds = np.fromiter(map(index.bound.get, own, [0.0] * len(own)), dtype=float, count=len(own))
+    bounds = np.fromiter(map(index.bound.get, own, repeat(0.0)), dtype=float, count=len(own))
     # passages whose bounds, repeats included, stay below every threshold cannot retrieve anything
     total = np.concatenate([[0.0], np.cumsum(bounds)])
-    starts = range(0, max(1, len(words) - WINDOW + STEP), STEP)
-    regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for a in starts:
+    for a in range(0, max(1, len(words) - WINDOW + STEP), STEP):
         b = min(len(words), a + WINDOW)
         if total[min(b, len(own))] - total[min(a, len(own))] < index.least:
             continue
@@ -205,38 +213,90 @@ def leaks_of(text: str | None, index: ItemIndex) -> list[int]:
                 spans[-1] = (spans[-1][0], b)
             else:
                 spans.append((a, b))
-    return [k for k, spans in regions.items() if any(is_leak(words[a:b], index, k) for a, b in spans)]
+    return regions
+
+
+def leaks_of(text: str | None, index: ItemIndex) -> list[int]:
+    """Items (their places) of which the text repeats a passage."""
+    words = tokens(text or "")
+    return [k for k, spans in regions_of(words, index).items() if any(is_leak(words[a:b], index, k) for a, b in spans)]
+
+
+def overlaps_of(text: str | None, index: ItemIndex) -> list[tuple[int, int, float, float]]:
+    """(item, words repeated, share of its question's words, share of its other words) of each leak."""
+    words, out = tokens(text or ""), []
+    for k, spans in regions_of(words, index).items():
+        got = [x for a, b in spans if (x := repeats(words[a:b], index, k)) is not None]
+        if got:
+            found = [any(x[2][q] and x[0] <= q < x[1] for x in got) for q in range(len(index.words[k]))]
+            asked = index.asked[k]
+            ask, rest = [f for f, q in zip(found, asked) if q], [f for f, q in zip(found, asked) if not q]
+            out.append((k, sum(found), sum(ask) / max(1, len(ask)), sum(rest) / max(1, len(rest))))
+    return out
+
+
+def question_words(text: str) -> list[bool]:
+    """For each word whether it stands in a sentence that asks."""
+    out: list[bool] = []
+    for sentence in re.split(r"(?<=[.!?。！？])", text):
+        out += [sentence.rstrip().endswith(("?", "？"))] * len(tokens(sentence))
+    return out
+
 
+#: The index of the pass that this Python worker is on, under the pass's key.
+_HELD: dict[str, ItemIndex] = {}
 
-def _search(items):
+
+def _index_of(key: str, items) -> ItemIndex:
+    """The index is built once per worker and pass, not in each task."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = ItemIndex(items.value)
+    return _HELD[key]
+
+
+LEAKS = "item_id bigint, doc_id bigint, n_words bigint, question double, rest double"
+
+
+def _search(key: str, items, overlaps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items.value)
+        index = _index_of(key, items)
         for batch in batches:
-            found, docs = [], []
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = leaks_of(text, index)
-                found += [index.ids[k] for k in got]
-                docs += [doc_id] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(docs, pa.int64())], ["item_id", "doc_id"])
+                got = overlaps_of(text, index) if overlaps else [(k, 0, 0.0, 0.0) for k in leaks_of(text, index)]
+                rows += [(index.ids[k], doc_id, *x) for k, *x in got]
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["item_id", "doc_id", "n_words", "question", "rest"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that repeat a passage of a test item.
+def overlap_report(docs: DataFrame, items: DataFrame, overlaps: bool = True) -> DataFrame:
+    """(item_id, doc_id, n_words, question, rest): what each leak repeats of its item.
 
-    ``docs``: doc_id, text; ``items``: item_id, text; other columns are not read.  Items are
-    indexed in blocks of ``ITEMS_PER_INDEX`` and ``CHARS_PER_INDEX``, each its own pass, so what is sent to the executors is
-    bounded.  Null and empty texts match nothing; repeated documents give a row each, repeated items
-    one per item id.  Without items there are no rows.
+    ``n_words`` of the item stand in the document (characters in scripts without spaces); ``question`` and ``rest`` are
+    the shares of the words in its sentences that ask, and of its other words.  Without ``overlaps`` these stay 0.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    out = spark.createDataFrame([], "item_id bigint, doc_id bigint")
+    out = spark.createDataFrame([], LEAKS)
     blocks = max(math.ceil(n / ITEMS_PER_INDEX), math.ceil(chars / CHARS_PER_INDEX))
     for k in range(blocks):
         part = items.select(F.col("item_id").cast("bigint"), "text").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(sorted((i, t) for i, t in part.collect() if t))
-        out = out.unionByName(rows.mapInArrow(_search(held), "item_id bigint, doc_id bigint"))
+        out = out.unionByName(rows.mapInArrow(_search(uuid.uuid4().hex, held, overlaps), LEAKS))
     return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents that repeat a passage of a test item.
+
+    ``docs``: doc_id, text; ``items``: item_id, text; other columns are not read.  Items are
+    indexed in blocks of ``ITEMS_PER_INDEX`` and ``CHARS_PER_INDEX``, each its own pass, so what is sent to the executors is
+    bounded.  Null and empty texts match nothing; repeated documents give a row each, repeated items
+    one per item id.  Without items there are no rows.
+    """
+    return overlap_report(docs, items, overlaps=False).select("item_id", "doc_id")

@@ -43,6 +43,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each leak repeats: words of the item, shares of its question and of the rest."""
+    got = leakage.overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.withColumns({c: F.round(c, 4) for c in ("question", "rest")})
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -61,7 +67,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_redacted, p6_found, p6_conversations, p8_found, p9_mix, p9_shares, p10_found, p10_restored)
+    own = (p2_found, p2_redacted, p6_found, p6_conversations, p8_found, p8_overlap, p9_mix, p9_shares, p10_found, p10_restored)
     return {f.__name__: f for f in own}
 
 
