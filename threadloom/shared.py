@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="threadloom-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -48,7 +50,44 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """A small file beside the tables; it appears whole or not at all, and is never overwritten unless asked."""
+    fs, target = _file_system(spark, path)
+    if not overwrite and fs.exists(target):
+        raise FileExistsError(path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if overwrite:
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, null if there is none."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    text = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return text
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it is missing."""
+    fs, target = _file_system(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
