@@ -82,3 +82,58 @@ def test_units_of_time(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(cv.epoch_seconds(F.col("ts"))).collect()] == [None, None, *[1756720800] * 4]
+
+
+def brute_segments(messages):
+    first = {}
+    for i, u, q, ts, r, t, *_ in messages:
+        key = (u, q, i if q is None else None)
+        if u is not None and (key not in first or i < first[key][0]):
+            first[key] = (i, ts, r, t)
+    per = {}
+    for (u, q, _), (i, ts, r, t) in first.items():
+        if ts and ts > 0:
+            per.setdefault(u, []).append((ts, -1 if q is None else q, i, cv.ROLES.get((r or "").strip().lower()), bool((t or "").replace("​", "").strip())))
+    gaps = sorted(b[0] - a[0] for rows in per.values() for a, b in zip(sorted(rows), sorted(rows)[1:]) if b[0] > a[0])
+    limit = gaps[max(0, -(-len(gaps) * 99 // 100) - 1)] * cv.GAP_FACTOR if gaps else 2**62
+    out = {}
+    for u, rows in per.items():
+        rows.sort()
+        segment = turns = replies = n = 0
+        last = before = known = block = None
+        for ts, _, _, role, said in rows:
+            cut = before is not None and ts - before > limit
+            if cut:
+                out[u, segment] = (n, turns, replies)
+                segment, n, turns, replies = segment + 1, 0, 0, 0
+            if ts // cv.SPAN != block:
+                block, known = ts // cv.SPAN, None
+            n, before = n + 1, ts
+            user = None
+            if said and role in ("user", "assistant"):
+                user = role == "user"
+            elif said and role is None:
+                user = True if known is None else not known
+            if user is not None:
+                turns, known = turns + 1, user
+                replies += not user and last is True and not cut
+                last = user
+        out[u, segment] = (n, turns, replies)
+    return out
+
+
+def test_sessions_by_time_against_brute_force(spark):
+    rng = random.Random(4)
+    rows, i = [], 0
+    for s in range(60):
+        at = 1_700_000_000
+        for q in range(rng.randrange(0, 30)):
+            i += 1
+            at += rng.choice([5, 20, 60, 0]) if q != 12 or s % 7 else 400_000
+            rows.append((i, f"s{s}", q if rng.random() > 0.1 else None, at if rng.random() > 0.05 else 0, rng.choice(["user", "Assistant", "model", None, "tool_use", "?"]), rng.choice(["x", "x", "x", " ", None]), None, None))
+    rows += [(5000, None, 1, 5, "user", "x", None, None), (1, "s0", 0, 1_700_000_000, "user", "x", None, None)]
+    df = spark.createDataFrame(rows, MESSAGES)
+    got = {(r.session_uuid, r.segment): (r.n_rows, r.n_turns, r.n_replies) for r in cv.sessionise(df.dropDuplicates(["id"])).collect()}
+    seen = {r.id: tuple(r) for r in df.dropDuplicates(["id"]).collect()}
+    assert got == brute_segments(list(seen.values()))
+    assert max(k for _, k in got) > 0 and cv.sessionise(df.limit(0)).count() == 0

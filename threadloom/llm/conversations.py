@@ -153,3 +153,55 @@ def rebuild(messages: DataFrame, sessions: DataFrame) -> DataFrame:
         "id", "session_uuid", "seq", "role", (F.col("before") + F.sum("cut").over(inner)).alias("segment")
     )
     return placed.join(messages.select("id", "content"), "id").select("session_uuid", "seq", "segment", "role", "content")
+
+
+#: Seconds of a block of a channel's rows in the order of their times.
+SPAN = 3600
+
+
+def sessionise(messages: DataFrame) -> DataFrame:
+    """(session_uuid, segment, n_rows, n_turns, n_replies, first_at, last_at, kept): sessions by time alone.
+
+    The rows of a channel are sorted by their times (in whatever unit; ties by ``seq`` and ``id``) and split where
+    the time since the row before exceeds the calibrated gap.  A row that says something but has no known role is
+    given the speaker who didn't speak last in its block; the first is a user.  A segment is kept if some turn of the assistant
+    directly follows one of the user.  Nothing is asked of ``seq``.  Repeated (session, seq) count once, rows without
+    ``seq`` each; null uuids and rows without a time are left out, blank rows are no turns.  Channels are cut into
+    blocks of ``SPAN`` seconds, of which only the last row's time and speaker are chained.
+    """
+    role = known_role(F.col("role"))
+    at = epoch_seconds(F.col("ts"))
+    said = ~is_blank(F.col("content"))
+    rows = messages.where("session_uuid is not null").select(
+        "session_uuid", "id", "seq", F.struct(at.alias("at"), role.alias("role"), said.alias("said")).alias("v")
+    )
+    copy = F.when(F.col("seq").isNull(), F.col("id"))
+    rows = rows.groupBy("session_uuid", "seq", copy.alias("copy")).agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
+    rows = rows.select("session_uuid", "id", "seq", "v.*").where("at is not null").withColumn("block", F.floor(F.col("at") / SPAN))
+    inner, outer = Window.partitionBy("session_uuid", "block").orderBy("at", "seq", "id"), Window.partitionBy("session_uuid").orderBy("block")
+    # whether the speaker is the user; unknown ones alternate from the last known one of the block
+    known = F.when(F.col("said") & F.col("role").isin("user", "assistant"), F.col("role") == "user")
+    open_ = F.col("said") & F.col("role").isNull()
+    rows = rows.withColumn("known", known).withColumn("part", F.count("known").over(inner))
+    part = Window.partitionBy("session_uuid", "block", "part").orderBy("at", "seq", "id")
+    turn = F.sum(open_.cast("int")).over(part)
+    start = F.first("known").over(part)
+    user = F.when(F.col("known").isNotNull(), F.col("known")).when(open_, F.coalesce(start, F.lit(False)) == (turn % 2 == 0))
+    rows = rows.withColumn("user", user)
+    ends = rows.groupBy("session_uuid", "block").agg(
+        F.max("at").alias("end"), F.max_by(F.col("user"), F.when(F.col("user").isNotNull(), F.struct("at", "seq", "id"))).alias("last")
+    ).select("session_uuid", "block", F.lag("end").over(outer).alias("carried"), F.last("last", True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("before_user"))
+    rows = rows.join(ends, ["session_uuid", "block"])
+    gap = F.col("at") - F.coalesce(F.lag("at").over(inner), F.col("carried"))
+    prior = F.coalesce(F.last("user", True).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("before_user"))
+    rows = rows.withColumns({"gap": gap, "prior": prior})
+    limit = rows.where("gap > 0").agg(F.coalesce(F.percentile_approx("gap", GAP_QUANTILE) * GAP_FACTOR, F.lit(2**62)).alias("limit"))
+    rows = rows.withColumn("cut", F.coalesce((F.col("gap") > limit.scalar()).cast("int"), F.lit(0)))
+    cuts = rows.groupBy("session_uuid", "block").agg(F.sum("cut").alias("cuts"))
+    cuts = cuts.select("session_uuid", "block", (F.sum("cuts").over(outer) - F.col("cuts")).alias("before"))
+    rows = rows.join(cuts, ["session_uuid", "block"]).withColumn("segment", F.col("before") + F.sum("cut").over(inner))
+    reply = ~F.col("user") & F.col("prior") & (F.col("cut") == 0)
+    got = rows.groupBy("session_uuid", "segment").agg(
+        F.count("*").alias("n_rows"), F.count("user").alias("n_turns"), F.count(F.when(reply, 1)).alias("n_replies"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
+    )
+    return got.withColumn("kept", F.col("n_replies") > 0)

@@ -39,6 +39,11 @@ def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(table(spark, sf_dir, "messages"), table(spark, sf_dir, "sessions"))
 
 
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as the times of the rows alone give them, and whether they hold a reply."""
+    return conversations.sessionise(table(spark, sf_dir, "messages"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -67,7 +72,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_redacted, p6_found, p6_conversations, p8_found, p8_overlap, p9_mix, p9_shares, p10_found, p10_restored)
+    own = (p2_found, p2_redacted, p6_found, p6_conversations, p6_segments, p8_found, p8_overlap, p9_mix, p9_shares, p10_found, p10_restored)
     return {f.__name__: f for f in own}
 
 
