@@ -124,3 +124,20 @@ def test_hot_key(spark):
     rows = [(0, n, "update", f"v{n}" if n % 7 else None, None, 0) for n in range(3000)]
     df = spark.createDataFrame(rows, "k int, n int, op string, u string, v string, extra int").repartition(8)
     assert [tuple(r) for r in cf.apply_changes(df, ["k"], ["n"], "op", ["u"]).collect()] == [(0, "v2999")]
+
+
+def test_message_columns_are_those_of_the_last_version(spark):
+    put = lambda i, **more: json.dumps({"id": i, **more})
+    lines = [
+        ("f", 1, 1, 1, "{}"), ("f", 2, 2, 1, put("a", type="user", content="one", model="m")), ("f", 3, 3, 1, put("b", type="gemini", content="two")),
+        ("f", 4, 4, 1, put("a", type="user", content="three")), ("f", 4, 5, 0, put("a", type="user", content="stale copy")),
+        ("f", 5, 6, 1, json.dumps({"$rewindTo": "b"})), ("f", 6, 7, 1, put("b", type="info", content=[{"text": "four"}])),
+        ("g", 2, 8, 1, json.dumps({"$set": {"messages": [{"id": "x", "type": "user"}, {"type": "noid"}, {"id": "y", "tokens": {"input": 1}}]}})), ("g", 3, 9, 1, "broken"), ("g", 4, 10, None, None),
+    ]
+    df = spark.createDataFrame(lines, "source_file string, line_no bigint, line_id bigint, batch_no int, raw_line string")
+    got = {(r.source_file, r.pos): (r.msg_id, r.type, r.model, r.content, r.tokens) for r in cf.message_rows(df).collect()}
+    assert got == {
+        ("f", 0): ("a", "user", None, '"three"', None), ("f", 1): ("b", "info", None, '[{"text":"four"}]', None),
+        ("g", 0): ("x", "user", None, None, None), ("g", 1): (None, None, None, None, None), ("g", 2): ("y", None, None, None, '{"input":1}'),
+    }
+    assert cf.message_rows(df.limit(0)).count() == 0

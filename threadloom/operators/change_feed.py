@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from threadloom.shared import materialise
+
 
 def apply_changes(
     changes: DataFrame,
@@ -126,7 +128,8 @@ GROUP BY source_file, stretch
 
 #: The birth of a live message is its first change that no rewind removed, its content that of its last change.
 LIVE = """
-SELECT source_file, id, min(CASE WHEN NOT lost THEN struct(line_no, ord) END) AS birth, max(struct(line_no, ord)) AS last
+SELECT source_file, id, min(CASE WHEN NOT lost THEN struct(line_no, ord) END) AS birth,
+  max_by(line_no, struct(line_no, ord)) AS last_line, max_by(ord, struct(line_no, ord)) AS last_ord
 FROM (
   SELECT t.source_file, t.id, t.line_no, t.ord,
     coalesce(exists(c.gone, g -> (g.line_no < t.line_no OR (g.line_no = t.line_no AND g.ord <= t.ord)) AND t.line_no < g.until), false) AS lost
@@ -136,7 +139,7 @@ GROUP BY source_file, id HAVING birth IS NOT NULL
 
 #: Places by counts of earlier blocks and the place within the block: no file is sorted in one task.
 PLACES = """
-SELECT l.source_file, cast(b.before + row_number() OVER (PARTITION BY l.source_file, l.block ORDER BY l.birth) - 1 AS bigint) AS pos, l.id, l.last
+SELECT l.source_file, cast(b.before + row_number() OVER (PARTITION BY l.source_file, l.block ORDER BY l.birth) - 1 AS bigint) AS pos, l.id, l.last_line, l.last_ord
 FROM (SELECT *, struct(birth.line_no DIV 4096 AS a, birth.ord DIV 4096 AS b) AS block FROM {live}) l
 JOIN (SELECT source_file, block, sum(n) OVER (PARTITION BY source_file ORDER BY block) - n AS before
       FROM (SELECT source_file, struct(birth.line_no DIV 4096 AS a, birth.ord DIV 4096 AS b) AS block, count(*) AS n FROM {live} GROUP BY 1, 2)) b
@@ -156,22 +159,55 @@ def live_messages(lines: DataFrame) -> DataFrame:
     """
     spark = lines.sparkSession
     ops = spark.sql(OPS, lines=lines)
-    current = spark.sql(CURRENT, ops=ops)
+    # what the later steps read several times is written once: operations and changes are a few short columns
+    current = materialise(spark.sql(CURRENT, ops=ops), "chat-current")
     since = spark.sql(SINCE, current=current)
-    touches = spark.sql(TOUCHES, current=current, since=since)
+    touches = materialise(spark.sql(TOUCHES, current=current, since=since), "chat-touches")
     intervals = spark.sql(INTERVALS, touches=touches)
     cover = spark.sql(COVER, intervals=intervals)
-    live = spark.sql(LIVE, touches=touches, cover=cover)
+    live = materialise(spark.sql(LIVE, touches=touches, cover=cover), "chat-live")
     placed = spark.sql(PLACES, live=live)
     return placed.selectExpr(
         "source_file",
         "pos",
         "CASE WHEN id NOT LIKE '\\u0000%' THEN id END AS msg_id",
-        "last.line_no AS line_no",
-        "cast(last.ord AS bigint) AS ord",
+        "last_line AS line_no",
+        "cast(last_ord AS bigint) AS ord",
     )
 
 
+#: Every message of every line as a change of its columns: a put replaces the message, whether alone or in a list.
+MESSAGES = """
+SELECT source_file, line_no, ord, try_variant_get(m, '$.id', 'string') AS id, 'replace' AS op,
+  try_variant_get(m, '$.type', 'string') AS type, try_variant_get(m, '$.timestamp', 'string') AS timestamp, try_variant_get(m, '$.model', 'string') AS model,
+  to_json(try_variant_get(m, '$.content', 'variant')) AS content, to_json(try_variant_get(m, '$.tokens', 'variant')) AS tokens
+FROM (
+  SELECT source_file, line_no, posexplode(CASE
+      WHEN variant_get(v, '$["$set"]', 'variant') IS NULL THEN array(v) ELSE try_variant_get(v, '$["$set"].messages', 'array<variant>') END) AS (ord, m)
+  FROM (SELECT source_file, line_no, try_parse_json(raw_line) AS v FROM {lines}) WHERE v IS NOT NULL)
+WHERE try_variant_get(m, '$.id', 'string') <> ''
+"""
+LAST_COPIES = """
+SELECT source_file, line_no, max_by(raw_line, struct(batch_no, line_id)) AS raw_line FROM {lines} WHERE line_no >= 2 GROUP BY source_file, line_no
+"""
+COLUMNS = ("type", "timestamp", "model", "content", "tokens")
+
+
+def message_rows(lines: DataFrame) -> DataFrame:
+    """(source_file, pos, msg_id, type, timestamp, model, content, tokens): the columns of each live message.
+
+    The columns are rebuilt by ``apply_changes``, each by its own ``max_by`` over the changes since the message's last
+    replacement, for the messages that ``live_messages`` finds; live messages without an id have no columns.
+    """
+    live = materialise(live_messages(lines), "chat-messages")
+    named = live.where("msg_id is not null").selectExpr("source_file", "msg_id AS id")
+    # of one line's copies the last delivered counts
+    current = lines.sparkSession.sql(LAST_COPIES, lines=lines)
+    changes = lines.sparkSession.sql(MESSAGES, lines=current).join(named, ["source_file", "id"], "left_semi")
+    rows = apply_changes(changes, ["source_file", "id"], ["line_no", "ord"], "op", list(COLUMNS))
+    return live.selectExpr("source_file", "pos", "msg_id").join(rows.withColumnRenamed("id", "msg_id"), ["source_file", "msg_id"], "left")
+
+
 def unusable_files(lines: DataFrame) -> DataFrame:
     """Files with a replacement whose messages are no array: nothing of them may be taken."""
     spark = lines.sparkSession

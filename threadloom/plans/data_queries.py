@@ -146,6 +146,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_feed.live_messages(table(spark, sf_dir, "chat_lines")).select("source_file", "pos", "msg_id", "line_no")
 
 
+def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live messages with their columns, each column by its own last change."""
+    return change_feed.message_rows(table(spark, sf_dir, "chat_lines"))
+
+
 # --- 5: nested records --------------------------------------------------------------------------
 
 
@@ -243,7 +248,7 @@ def p7_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_delivered_once, p3_found, p3_unified, p4_found, p5_found, p5_bridge, p5_nodes, p7_found, p7_normalised, p7_by_order)
+    own = (p1_found, p1_delivered_once, p3_found, p3_unified, p4_found, p4_messages, p5_found, p5_bridge, p5_nodes, p7_found, p7_normalised, p7_by_order)
     return {f.__name__: f for f in own}
 
 
