@@ -15,7 +15,7 @@ def frame(spark, *bodies):
 
 
 def rows(df):
-    return sorted((r.line_id, r["child"], r.parent_ord, r["ord"]) for r in nested.bridge(df).collect())
+    return sorted((r.line_id, r["child"], r.parent_ord, r["ord"]) for r in nested.elements(df).collect())
 
 
 def test_event_shapes(spark):
@@ -42,7 +42,7 @@ def test_event_shapes(spark):
         {"message": {"content": 3}},
     )
     none = frame(spark)
-    got = rows(nested.shred(events, none, none))
+    got = rows(nested.holders(events, none, none))
     assert got == sorted(
         [
             *[(0, "message_block", -1, k) for k in (0, 1, 4, 5, 6, 7, 8)],
@@ -70,7 +70,7 @@ def test_rollouts_and_chats(spark):
         {"$set": {"messages": [{"thoughts": [{"a": 1}]}, None, {"toolCalls": {"n": 2}}]}},
         {"id": 2, "toolCalls": "text", "thoughts": None},
     )
-    got = rows(nested.shred(frame(spark), rollouts, chats))
+    got = rows(nested.holders(frame(spark), rollouts, chats))
     assert got == sorted(
         [
             (0, "content_block", -1, 0),
@@ -84,32 +84,41 @@ def test_rollouts_and_chats(spark):
     )
 
 
+def events_of(spark, *raw):
+    df = spark.createDataFrame([(k, r, 0, "", "") for k, r in enumerate(raw)], SCHEMA)
+    return nested.holders(df, frame(spark), frame(spark))
+
+
 def test_identity_ignores_spelling_and_is_shared(spark):
-    raw = [
+    held = events_of(
+        spark,
         '{"message":{"content":[{"b":[1,{"c":"x"}],"a":2}]}}',
         '{ "message" : {"content": [ {"a" :2, "b":[ 1, {"c":"x"} ] } ] } }',
         '{"message":{"content":[{"b":[{"c":"x"},1],"a":2}]}}',
-    ]
-    df = spark.createDataFrame([(k, r, 0, "", "") for k, r in enumerate(raw)], SCHEMA)
-    all_rows = nested.shred_events(df)
-    ids = [r.node for r in nested.bridge(all_rows).orderBy("line_id").collect()]
+    )
+    ids = [r.node for r in nested.elements(held).orderBy("line_id").collect()]
     assert ids[0] == ids[1] != ids[2]
-    stored = {r.node: (r.n, r.body) for r in nested.nodes(all_rows).collect()}
-    assert stored[ids[0]] == (2, '{"a":2,"b":[1,{"c":"x"}]}') and len(stored) == 2
+    stored = {r.node: (r.n, r.body) for r in nested.stored(nested.descend(held, bodies=True)).collect()}
+    assert stored[ids[0]] == (2, '{"a":2,"b":[1,{"c":"x"}]}') and len(stored) == 5
+    assert {n for n, body in stored.values() if body == '{"c":"x"}'} == {3}
 
 
 def test_parents_are_linked_by_identity(spark):
-    df = frame(spark, {"message": {"content": [{"type": "tool_result", "content": [{"k": 1}]}]}})
-    got = {r["child"]: r for r in nested.bridge(nested.shred_events(df)).collect()}
-    assert got["result_block"].parent == got["message_block"].node and got["message_block"].parent is None
+    got = nested.descend(events_of(spark, '{"message":{"role":"user","usage":{"k":{"n":1}},"content":[{"type":"tool_result","content":[{"k":1},"s"]},"t"]}}')).collect()
+    node = {(r["child"], r["ord"], r.path): r.node for r in got}
+    parent = {(r["child"], r["ord"], r.path): r.parent for r in got}
+    record, block = node["record", -1, ""], node["message_block", 0, ""]
+    assert parent["message_block", 0, ""] == parent["message_block", 1, ""] == parent["object", -1, "/usage"] == record
+    assert parent["result_block", 0, ""] == parent["result_block", 1, ""] == block
+    assert parent["object", -1, "/usage/k"] == node["object", -1, "/usage"]
+    assert [k for k, p in parent.items() if p is None] == [("record", -1, "")]
 
 
-def test_identity_beyond_depth_and_long_texts(spark):
+def test_identity_at_any_depth_and_of_long_texts(spark):
     deep = {"a": {"b": {"c": {"d": {"e": "x" * 300_000}}}}}
-    df = spark.createDataFrame(
-        [(json.dumps(deep),), (json.dumps(deep, indent=1),), (json.dumps({"a": {"b": {"c": {"d": {"e": "y"}}}}}),)], "j string"
-    )
-    ids = [r[0] for r in df.select(nested.identity(F.expr("parse_json(j)"))).collect()]
+    other = {"a": {"b": {"c": {"d": {"e": "y"}}}}}
+    held = events_of(spark, *[f'{{"message":{{"content":{t}}}}}' for t in (json.dumps(deep), json.dumps(deep, indent=1), json.dumps(other))])
+    ids = [r.node for r in nested.elements(held).orderBy("line_id").collect()]
     assert ids[0] == ids[1] != ids[2]
 
 
@@ -129,7 +138,7 @@ def test_objects_of_every_depth_are_linked_and_stored_once(spark):
     result = {"type": "tool_result", "content": ["s", {"x": {"c": None}}, [{"y": 1}], None], "more": {"c": None}}
     events = frame(spark, {"message": {"content": [use, result, "s"]}})
     chats = frame(spark, {"toolCalls": [{"args": {"c": None}, "result": [{"r": {"c": None}}]}]})
-    occurrences = nested.shred(events, frame(spark), chats)
+    occurrences = nested.holders(events, frame(spark), chats)
     got = nested.descend(occurrences, bodies=True).collect()
     paths = lambda root, at: sorted(r.path for r in got if (r.root, r.parent_ord, r["ord"]) == (root, *at))
     assert paths("message_block", (-1, 0)) == sorted(below(use))
@@ -141,27 +150,24 @@ def test_objects_of_every_depth_are_linked_and_stored_once(spark):
     assert parent["message_block", -1, 0, "/input/edits/2/b"] == node["message_block", -1, 0, "/input/edits/2"]
     assert parent["message_block", -1, 0, "/input/edits/2"] == node["message_block", -1, 0, "/input"]
     assert parent["result_block", 1, 1, ""] == parent["result_block", 1, 0, ""] == node["message_block", -1, 1, ""]
-    assert parent["tool_call", -1, 0, "/result/0"] == node["tool_call", -1, 0, ""] and parent["tool_call", -1, 0, ""] is None
+    assert parent["tool_call", -1, 0, "/result/0"] == node["tool_call", -1, 0, ""]
+    assert parent["tool_call", -1, 0, ""] in {r.node for r in got if r["child"] == "record"}
     same = {r.node for r in got if r.body == '{"c":null}'}
     assert len(same) == 1 and {r.n for r in nested.stored(nested.descend(occurrences, bodies=True)).collect() if r.node in same} == {5}
     assert len({r.node for r in got}) == len({r.body for r in got})
 
 
-def test_deep_bridge_has_the_elements_and_the_objects_of_the_tables(spark, sf):
+def test_deep_bridge_has_every_object_of_the_tables(spark, sf):
     from threadloom.plans import data_queries as q
 
-    kept = q.p5_bridge(spark, sf).where("child <> 'object'").select("line_id", "child", "parent_ord", "ord")
+    got = q.p5_bridge(spark, sf)
+    kept = got.where(got["child"].isin(*nested.ELEMENTS)).select("line_id", "child", "parent_ord", "ord")
     flat = q.p5_found(spark, sf)
     assert kept.exceptAll(flat).isEmpty() and flat.exceptAll(kept).isEmpty()
-    inner = q.p5_bridge(spark, sf).where("child = 'object'")
-    want = 0
-    for r in nested.shred(*[spark.read.parquet(f"{sf}/{t}.parquet") for t in ("event_lines", "rollout_lines", "chat_lines")]).selectExpr("child", "to_json(e) e").collect():
-        if r["child"] == "result_block" or not r["e"].startswith("{"):
-            want += len(below(json.loads(r["e"]))) if r["child"] == "result_block" else 0
-            want -= r["child"] == "result_block" and r["e"].startswith("{")
-            continue
-        v = json.loads(r["e"])
-        c = v.pop("content", None) if r["child"] == "message_block" and v.get("type") == "tool_result" else None
-        want += len(below(v)) - 1
-        want += sum(len(below(e)) for e in c if isinstance(e, list)) if isinstance(c, list) else 0
-    assert inner.count() == want > 0
+    held = q._held(spark, sf).collect()
+    want = sum(len(below(json.loads(r.text))) for r in held)
+    texts = got.where("path = ''").where(got["child"].isin("message_block", "result_block", "content_block")).count()
+    objects = got.count() - sum(
+        isinstance(e, str) for r in held for *_, e in nested._elements(r.holder, r["at"], json.loads(r.text))
+    )
+    assert objects == want > 0 and texts > 0

@@ -1,12 +1,12 @@
 """Deeply nested records as flat tables with Merkle subtree identities.
 
 Every object gets the identity of its subtree: hashes are formed bottom-up over sorted names
-and the hashes of their values, so two objects have one identity wherever and with whatever
-spacing and key order they occur.  Identical objects are stored once (``nodes``); every
-occurrence stays as a row of the bridge with its parent and its ordinals (``bridge``).
+and their values, in which an object counts as its hash, so two objects have one identity wherever and with whatever
+spacing and key order they occur.  Identical objects are stored once (``stored``); every
+occurrence stays as a row of the bridge with its parent's identity and its ordinals (``descend``).
 
-The bridge needs no shuffle: it is computed line by line, the elements inside the JVM and the
-objects below them (``descend``) in Arrow batches, because columns cannot recurse without bound.
+The bridge needs no shuffle: it is computed record by record in Arrow batches, because columns cannot recurse
+without bound.  What goes there is the object that holds the elements, as canonical text.
 """
 
 from __future__ import annotations
@@ -21,134 +21,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that are hashed name by name; what lies deeper is hashed as its canonical text.
-DEPTH = 3
-
-
-def is_object(v: Column) -> Column:
-    return F.substring(F.schema_of_variant(v), 1, 6) == "OBJECT"
-
-
-def is_text(v: Column) -> Column:
-    return F.schema_of_variant(v) == "STRING"
+PLACES = "line_id bigint, child string, root string, parent_ord bigint, ord bigint, path string, node string, parent string"
+#: The kinds of child elements, and what is none of them: the object that holds elements, and objects in either.
+ELEMENTS = ("message_block", "result_block", "content_block", "tool_call", "thought")
+#: More levels than a variant can have, with two frames for each.
+FRAMES = 10_000
+ROWS_PER_BATCH = 4096
+#: Parts of the path of the innermost element: content, number, content, number.
+DEEPEST_ELEMENT = 5
 
 
 def get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def identity(v: Column, depth: int = DEPTH) -> Column:
-    """Merkle hash of a variant: equal for equal JSON values whatever their key order and spacing.
-
-    ``to_json`` of a variant writes names in sorted order without spaces, which serves as the
-    canonical form of leaves and of subtrees below ``depth``.
-    """
-    leaf = F.md5(F.to_json(v))
-    if depth == 0:
-        return leaf
-    names = get(v, "$", "map<string,variant>")
-    items = get(v, "$", "array<variant>")
-    inner = F.transform(
-        F.array_sort(F.map_keys(names)), lambda k: F.concat(F.md5(k), identity(F.element_at(names, k), depth - 1))
-    )
-    return (
-        F.when(names.isNotNull(), F.md5(F.concat(F.lit("{"), F.array_join(inner, ","))))
-        .when(
-            items.isNotNull(),
-            F.md5(F.concat(F.lit("["), F.array_join(F.transform(items, lambda e: identity(e, depth - 1)), ","))),
-        )
-        .otherwise(leaf)
-    )
-
-
-def elements(v: Column, text: bool) -> Column:
-    """The array itself; one object (with ``text`` also a non-empty string) as an array of one; else null."""
-    one = is_object(v)
-    if text:
-        one = one | (is_text(v) & (get(v, "$", "string") != ""))
-    return F.coalesce(get(v, "$", "array<variant>"), F.when(one, F.array(v)))
-
-
-def _child(kind: str, parent_ord: Column, ord_: Column, e: Column, parent: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("child"),
-        parent_ord.cast("bigint").alias("parent_ord"),
-        ord_.cast("bigint").alias("ord"),
-        parent.cast("string").alias("parent"),
-        e.alias("e"),
-    )
-
-
-def _children(kind: str, items: Column, parent_ord: Column, parent: Column) -> Column:
-    return F.coalesce(
-        F.transform(items, lambda e, i: _child(kind, parent_ord, i, e, parent)),
-        F.array().cast(f"array<struct<child:string,parent_ord:bigint,ord:bigint,parent:string,e:variant>>"),
-    )
-
-
-def _rows(df: DataFrame, children: Column) -> DataFrame:
-    """One bridge row per child that is an element: objects, in contents also strings."""
-    rows = df.select("line_id", F.inline(children))
-    wanted = is_object(F.col("e")) | (is_text(F.col("e")) & ~F.col("child").isin("tool_call", "thought"))
-    return rows.where(wanted).withColumn("node", identity(F.col("e")))
-
-
-def shred_events(lines: DataFrame) -> DataFrame:
-    none = F.lit(None)
-    v = lines.select(
-        "line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.message.content', 'variant')").alias("c")
-    ).where("c is not null")
-    blocks = v.select("line_id", F.posexplode(elements(F.col("c"), True)).alias("at", "block"))
-    block = F.col("block")
-    is_result = is_object(block) & (get(block, "$.type", "string") == "tool_result")
-    inner = F.when(is_result, elements(get(block, "$.content"), True))
-    owner = F.when(is_result, identity(block))
-    return _rows(
-        blocks,
-        F.concat(
-            F.array(_child("message_block", F.lit(-1), F.col("at"), block, none)),
-            _children("result_block", inner, F.col("at"), owner),
-        ),
-    )
+def _holder(kind: str, at: Column, v: Column) -> list[Column]:
+    return ["line_id", F.lit(kind).alias("holder"), at.cast("bigint").alias("at"), F.to_json(v).alias("text")]
 
 
-def shred_rollouts(lines: DataFrame) -> DataFrame:
-    v = lines.select("line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.payload', 'variant')").alias("p"))
-    v = v.where(get(F.col("p"), "$.type", "string") == "message").select("line_id", get(F.col("p"), "$.content").alias("c"))
-    return _rows(v, _children("content_block", elements(F.col("c"), True), F.lit(-1), F.lit(None)))
+def holders(events: DataFrame, rollouts: DataFrame, chats: DataFrame) -> DataFrame:
+    """(line_id, holder, at, text): the object of every physical line that can hold child elements.
 
-
-def shred_chats(lines: DataFrame) -> DataFrame:
-    v = lines.select("line_id", F.expr("try_parse_json(raw_line)").alias("v")).where("v is not null")
+    ``message`` of events, ``payload`` of rollout messages, and chat messages with their index ``at`` in a list (-1 for a
+    single one).  Each table needs ``line_id`` and ``raw_line``; other columns are not read.  Lines that are null
+    or no JSON give no rows.  Repeated lines give rows for each.
+    """
+    e = events.select("line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.message', 'variant')").alias("v"))
+    e = e.where(get(F.col("v"), "$.content").isNotNull()).select(*_holder("message", F.lit(-1), F.col("v")))
+    r = rollouts.select("line_id", F.expr("try_variant_get(try_parse_json(raw_line), '$.payload', 'variant')").alias("v"))
+    r = r.where((get(F.col("v"), "$.type", "string") == "message") & get(F.col("v"), "$.content").isNotNull())
+    r = r.select(*_holder("payload", F.lit(-1), F.col("v")))
+    c = chats.select("line_id", F.expr("try_parse_json(raw_line)").alias("v")).where("v is not null")
     listed = F.transform(
         get(F.col("v"), '$["$set"].messages', "array<variant>"), lambda m, i: F.struct(i.alias("at"), m.alias("m"))
     )
-    messages = F.when(
-        get(F.col("v"), '$["$set"]').isNull(), F.array(F.struct(F.lit(-1).alias("at"), F.col("v").alias("m")))
-    ).otherwise(listed)
-    m = v.select("line_id", F.inline(messages))
-    calls, thoughts = get(F.col("m"), "$.toolCalls"), get(F.col("m"), "$.thoughts")
-    m = m.select("line_id", "at", calls.alias("calls"), thoughts.alias("thoughts"))
-    kids = [_children(kind, elements(F.col(c), False), F.col("at"), F.lit(None)) for kind, c in (("tool_call", "calls"), ("thought", "thoughts"))]
-    return _rows(m, F.concat(*kids))
-
-
-def shred(events: DataFrame, rollouts: DataFrame, chats: DataFrame) -> DataFrame:
-    """(line_id, child, parent_ord, ord, parent, e, node): every occurrence of a child element.
-
-    Each table needs ``line_id`` and ``raw_line``; other columns are not read.  Lines that are null
-    or no JSON give no rows, nor do missing, null or empty arrays and elements of other types;
-    ordinals count all elements.  Repeated lines give rows for each.
-    """
-    return shred_events(events).unionByName(shred_rollouts(rollouts)).unionByName(shred_chats(chats))
-
-
-# --- every depth --------------------------------------------------------------------------------
-
-PLACES = "line_id bigint, child string, root string, parent_ord bigint, ord bigint, path string, node string, parent string"
-#: More levels than a variant can have, with two frames for each.
-FRAMES = 10_000
-ROWS_PER_BATCH = 4096
+    one = F.array(F.struct(F.lit(-1).alias("at"), F.col("v").alias("m")))
+    c = c.select("line_id", F.inline(F.when(get(F.col("v"), '$["$set"]').isNull(), one).otherwise(listed)))
+    some = get(F.col("m"), "$.toolCalls").isNotNull() | get(F.col("m"), "$.thoughts").isNotNull()
+    c = c.where(some).select(*_holder("chat", F.col("at"), F.col("m")))
+    return e.unionByName(r).unionByName(c)
 
 
 class _Number(str):
@@ -159,16 +70,16 @@ def _hash(text: str) -> str:
     return md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _seal(v: object, path: str, rows: list[list], loose: list[int]) -> tuple[str, str]:
-    """Canonical text of a value, and the same with its objects as their hashes.
+def _seal(v: object, path: str, rows: list[list], loose: list[int], bodies: bool) -> tuple[str, str]:
+    """Canonical text of a value (with ``bodies``), and the same with its objects as their hashes.
 
     Objects are added to ``rows`` as [path, node, parent, text], inner ones first; ``loose`` has the
     numbers of those that no object encloses yet.
     """
     if isinstance(v, dict):
         inside: list[int] = []
-        parts = [(quote(k), *_seal(v[k], f"{path}/{k.replace('~', '~0').replace('/', '~1')}", rows, inside)) for k in sorted(v)]
-        text = "{" + ",".join([f"{k}:{t}" for k, t, _ in parts]) + "}"
+        parts = [(quote(k), *_seal(v[k], f"{path}/{k.replace('~', '~0').replace('/', '~1')}", rows, inside, bodies)) for k in sorted(v)]
+        text = "{" + ",".join([f"{k}:{t}" for k, t, _ in parts]) + "}" if bodies else ""
         node = _hash("{" + ",".join([f"{k}:{s}" for k, _, s in parts]) + "}")
         for k in inside:
             rows[k][2] = node
@@ -176,8 +87,8 @@ def _seal(v: object, path: str, rows: list[list], loose: list[int]) -> tuple[str
         rows.append([path, node, None, text])
         return text, "#" + node
     if isinstance(v, list):
-        parts = [_seal(e, f"{path}/{k}", rows, loose) for k, e in enumerate(v)]
-        return "[" + ",".join([t for t, _ in parts]) + "]", "[" + ",".join([s for _, s in parts]) + "]"
+        parts = [_seal(e, f"{path}/{k}", rows, loose, bodies) for k, e in enumerate(v)]
+        return "[" + ",".join([t for t, _ in parts]) + "]" if bodies else "", "[" + ",".join([s for _, s in parts]) + "]"
     if isinstance(v, str) and not isinstance(v, _Number):
         text = quote(v)
     else:
@@ -185,27 +96,61 @@ def _seal(v: object, path: str, rows: list[list], loose: list[int]) -> tuple[str
     return text, text
 
 
-def _element(kind: str, at: tuple[int, int], text: str) -> Iterator[tuple]:
-    """(child, root, parent_ord, ord, path, node, parent, body) of an element and of every object in it."""
+def _is_text(v: object) -> bool:
+    return isinstance(v, str) and not isinstance(v, _Number)
+
+
+def _items(v: object, path: str, text: bool) -> Iterator[tuple[str, int, object]]:
+    """(path, ordinal, element): of an array, or of an object (with ``text`` also a non-empty string) in its place."""
+    if isinstance(v, list):
+        for k, e in enumerate(v):
+            if isinstance(e, dict) or text and _is_text(e):
+                yield f"{path}/{k}", k, e
+    elif isinstance(v, dict) or text and _is_text(v) and v != "":
+        yield path, 0, v
+
+
+def _elements(holder: str, at: int, v: dict) -> Iterator[tuple[str, str, int, int, str, object]]:
+    """(kind, path, parent_ord, ord, path of the object around it, element) of the elements that a holder has."""
+    if holder == "chat":
+        for kind, name in (("tool_call", "toolCalls"), ("thought", "thoughts")):
+            for path, k, e in _items(v.get(name), f"/{name}", False):
+                yield kind, path, at, k, "", e
+    elif holder == "payload":
+        for path, k, e in _items(v.get("content"), "/content", True):
+            yield "content_block", path, -1, k, "", e
+    else:
+        for path, k, e in _items(v.get("content"), "/content", True):
+            yield "message_block", path, -1, k, "", e
+            if isinstance(e, dict) and e.get("type") == "tool_result":
+                for inner, j, x in _items(e.get("content"), f"{path}/content", True):
+                    yield "result_block", inner, k, j, path, x
+
+
+def _rows_of(holder: str, at: int, text: str, bodies: bool) -> Iterator[tuple]:
+    """(child, root, parent_ord, ord, path, node, parent, body) of a holder, its elements and every object in them."""
     v = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)
-    if isinstance(v, str):
-        yield (kind, kind, *at, "", _hash(quote(v)), None, quote(v))
+    if not isinstance(v, dict):
         return
     rows: list[list] = []
-    _seal(v, "", rows, [])
-    content = v.get("content") if kind == "message_block" and v.get("type") == "tool_result" else None
-    one = isinstance(content, dict) or isinstance(content, str) and not isinstance(content, _Number) and content != ""
-    items = content if isinstance(content, list) else [content] if one else []
-    for k, e in enumerate(items):
-        if isinstance(e, str) and not isinstance(e, _Number):
-            yield ("result_block", "result_block", at[1], k, "", _hash(quote(e)), rows[-1][1], quote(e))
+    _seal(v, "", rows, [], bodies)
+    found = list(_elements(holder, at, v))
+    places = {path: (kind, parent_ord, k) for kind, path, parent_ord, k, _, e in found if isinstance(e, dict)}
+    nodes = {row[0]: row[1] for row in rows}
+    for kind, _, parent_ord, k, around, e in found:
+        if not isinstance(e, dict):
+            yield kind, kind, parent_ord, k, "", _hash(quote(e)), nodes[around], quote(e)
     for path, node, parent, body in rows:
-        root, place, below = kind, at, path
-        if items and path.startswith("/content") and path[8:9] in ("", "/"):
-            number, rest = (0, path[8:]) if one else (int(path[9:].split("/", 1)[0]), path[9:].partition("/")[2])
-            if isinstance(items[number], dict):
-                root, place, below = "result_block", (at[1], number), rest if one or not rest else "/" + rest
-        yield (root if below == "" else "object", root, *place, below, node, parent, body)
+        parts = path.split("/")
+        for cut in range(min(len(parts), DEEPEST_ELEMENT), 0, -1):
+            base = "/".join(parts[:cut])
+            if base in places:
+                root, parent_ord, k = places[base]
+                below = path[len(base) :]
+                yield ("object" if below else root), root, parent_ord, k, below, node, parent, body
+                break
+        else:
+            yield ("object" if path else "record"), "record", -1, at, path, node, parent, body
 
 
 def _descend(bodies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -220,8 +165,8 @@ def _descend(bodies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
         rows: list[tuple] = []
         for b in batches:
-            for line, kind, parent_ord, ord_, text in zip(*[c.to_pylist() for c in b.columns]):
-                rows += [(line, *r) for r in _element(kind, (parent_ord, ord_), text)]
+            for line, holder, at, text in zip(*[c.to_pylist() for c in b.columns]):
+                rows += [(line, *r) for r in _rows_of(holder, at, text, bodies)]
                 if len(rows) >= ROWS_PER_BATCH:
                     yield batch(rows)
                     rows = []
@@ -231,28 +176,23 @@ def _descend(bodies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def descend(occurrences: DataFrame, bodies: bool = False) -> DataFrame:
-    """Elements and every object below them at any depth: ``PLACES``, with ``bodies`` also the canonical text.
+def descend(held: DataFrame, bodies: bool = False) -> DataFrame:
+    """The bridge of ``holders``: ``PLACES``, with ``bodies`` also the canonical text.
 
-    ``child`` is the kind of an element or ``object`` for what lies in one; ``root``, ``parent_ord``
-    and ``ord`` name that element, ``path`` (a JSON pointer with names and ordinals, empty for the
-    element itself) the place in it.  ``parent`` is the hash of the nearest object around, null for
-    elements that stand in no other element.  An object has one hash at whatever depth it occurs.
+    ``child`` is the kind of an element, ``record`` for the object that holds elements, or ``object`` for what lies in
+    one of them; ``root``, ``parent_ord`` and ``ord`` name that element (for a record its index), ``path`` (a JSON pointer with
+    names and ordinals, empty for the element itself) the place in it.  ``parent`` is the hash of the nearest object
+    around, null for records alone.  An object has one hash at whatever depth it occurs.  Missing, null or empty arrays
+    and elements of other types than objects (in contents also strings) have no rows; ordinals count all elements.
     """
-    elements_ = occurrences.where("child <> 'result_block'").select("line_id", "child", "parent_ord", "ord", F.to_json("e").alias("text"))
-    return elements_.mapInArrow(_descend(bodies), PLACES + (", body string" if bodies else ""))
+    return held.mapInArrow(_descend(bodies), PLACES + (", body string" if bodies else ""))
+
+
+def elements(held: DataFrame) -> DataFrame:
+    """(line_id, child, parent_ord, ord, node, parent): the rows of the bridge that are elements."""
+    return descend(held).where(F.col("child").isin(*ELEMENTS)).select("line_id", "child", "parent_ord", "ord", "node", "parent")
 
 
 def stored(objects: DataFrame) -> DataFrame:
     """Each distinct element or object of ``descend`` once: (node, n, body)."""
     return objects.groupBy("node").agg(F.count("*").alias("n"), F.min("body").alias("body"))
-
-
-def bridge(occurrences: DataFrame) -> DataFrame:
-    """Parent-child rows: where each element stands, the identity of its object and of its parent's."""
-    return occurrences.where("node is not null").select("line_id", "child", "parent_ord", "ord", "node", "parent")
-
-
-def nodes(occurrences: DataFrame) -> DataFrame:
-    """Each distinct object once: (node, n, body), the canonical JSON text and its number of occurrences."""
-    return occurrences.groupBy("node").agg(F.count("*").alias("n"), F.min(F.to_json("e")).alias("body"))

@@ -154,22 +154,22 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: nested records --------------------------------------------------------------------------
 
 
-def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.shred(
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.holders(
         *[table(spark, sf_dir, t).select("line_id", "raw_line") for t in ("event_lines", "rollout_lines", "chat_lines")]
     )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.bridge(_occurrences(spark, sf_dir)).select("line_id", "child", "parent_ord", "ord")
+    return nested.elements(_held(spark, sf_dir)).select("line_id", "child", "parent_ord", "ord")
 
 
 def p5_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.descend(_occurrences(spark, sf_dir))
+    return nested.descend(_held(spark, sf_dir))
 
 
 def p5_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.stored(nested.descend(_occurrences(spark, sf_dir), bodies=True))
+    return nested.stored(nested.descend(_held(spark, sf_dir), bodies=True))
 
 
 # --- 7: timestamps ------------------------------------------------------------------------------
