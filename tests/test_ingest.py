@@ -94,7 +94,7 @@ def root(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def scanned(spark, root):
-    return files.scan(spark, [str(root)])
+    return files.listing(spark, [str(root)])
 
 
 @pytest.fixture(scope="module")

@@ -15,7 +15,7 @@ from threadloom.plans import sessions as session_plan
 from threadloom.plans import usage as usage_plan
 from threadloom.plans.search import SearchFilter
 from threadloom.plans.sessions import SessionFilter
-from threadloom.store import Store, ingest_all, purge_missing
+from threadloom.store import Busy, Store, ingest_all, purge_missing, store_checks
 
 
 class Engine:
@@ -26,9 +26,12 @@ class Engine:
 
     @classmethod
     def fresh(cls, store: Store, roots: list[str], as_of: int, zone: str = "UTC") -> Engine:
-        """Over a store that is brought up to date first."""
-        ingest_all(store, roots, as_of)
-        purge_missing(store, roots)
+        """Over a store that is brought up to date first; if another writer is at work, over what it has committed."""
+        try:
+            ingest_all(store, roots, as_of)
+            purge_missing(store, roots)
+        except Busy:
+            pass
         return cls(store.dataset(), as_of, zone)
 
     def _since(self, text: str) -> int:
@@ -164,8 +167,10 @@ class Engine:
     def quota(self, snapshots: DataFrame) -> DataFrame:
         return usage_plan.with_quota_age(snapshots, self.as_of).orderBy(F.desc("observed_at"), "source", "limit_id")
 
-    def recall(self, project: str, since: str = "14d", limit: int = 5) -> dict[str, DataFrame]:
-        return session_plan.recall(self.data, project, self._since(since), limit, limit)
+    def recall(self, project: str, since: str = "14d", limit: int = 5, no_commands: bool = False) -> dict[str, DataFrame]:
+        return session_plan.recall(self.data, project, self._since(since), limit, limit, no_commands)
 
-    def doctor(self) -> DataFrame:
-        return doctor_plan.checks(self.data)
+    def doctor(self, store: Store | None = None, roots: list[str] | None = None) -> DataFrame:
+        """(name, ok, n) of every check; those of files, state and conflicts need the store and the roots."""
+        rows = doctor_plan.checks(self.data)
+        return rows if store is None else rows.unionByName(store_checks(store, roots or []))

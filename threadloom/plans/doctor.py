@@ -87,3 +87,17 @@ def checks(data: Dataset) -> DataFrame:
     return reduce(
         DataFrame.unionByName, [orphan_sessions(data), usage_coverage(data), stale_usage(data), repeated_messages(data)]
     )
+
+
+def state_checks(state: DataFrame) -> DataFrame:
+    """What the passes have counted: unparsed lines, usage that lacks, counters of unknown names (these alone are fine)."""
+    sums = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("unparsed_lines", "usage_skipped", "usage_unmapped")])
+    named = (("unparsed lines", "unparsed_lines", False), ("usage skipped", "usage_skipped", False), ("usage unmapped", "usage_unmapped", True))
+    return reduce(DataFrame.unionByName, [_row(sums, n, F.col(c), F.lit(True) if fine else F.col(c) == 0) for n, c, fine in named])
+
+
+def file_checks(listing: DataFrame, state: DataFrame, roots: list[str]) -> DataFrame:
+    """Files on disk against the state: (name, ok, n) of each status and of the coverage of each format."""
+    status = reconcile(listing, state, roots).select(F.concat(F.lit("files "), "status").alias("name"), F.col("status").isin("current", "preserved").alias("ok"), "n")
+    cover = coverage_by_source(listing, state).select(F.concat(F.lit("coverage of "), "source").alias("name"), "ok", (F.col("on_disk") - F.col("tracked")).alias("n"))
+    return status.unionByName(cover)

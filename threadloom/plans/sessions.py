@@ -198,10 +198,14 @@ def activity_summary(data: Dataset, group_by: str = "day", since: int = 0, proje
     ).orderBy(F.desc("key"))
 
 
-def recall(data: Dataset, project: str, since: int, sessions: int = 5, activity: int = 5) -> dict[str, DataFrame]:
-    """A project's recent sessions, files and commands, of the default source."""
-    return {
+def recall(
+    data: Dataset, project: str, since: int, sessions: int = 5, activity: int = 5, no_commands: bool = False
+) -> dict[str, DataFrame]:
+    """A project's recent sessions, files and (unless left out) commands, of the default source."""
+    out = {
         "sessions": list_sessions(data, SessionFilter(since=since, project=project, limit=sessions)),
         "files": activity_by_kind(data, "file", since, project, "", activity),
-        "commands": activity_by_kind(data, "command", since, project, "", activity),
     }
+    if not no_commands:
+        out["commands"] = activity_by_kind(data, "command", since, project, "", activity)
+    return out

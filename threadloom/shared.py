@@ -88,6 +88,11 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    fs, target = _file_system(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, target = _file_system(spark, path)
     fs.delete(target, True)

@@ -449,6 +449,45 @@ def chat_usage(landed: DataFrame) -> DataFrame:
     return _usage_rows(rows.select("source_file", "model", "numbers"), CHAT_COUNTERS, False)
 
 
+def _unmapped(numbers: Column, canon: dict[str, str]) -> Column:
+    return F.size(F.map_filter(numbers, lambda k, _: ~k.isin(list(canon))))
+
+
+def event_counters(lines: DataFrame) -> DataFrame:
+    """(source_file, usage_skipped, usage_unmapped): assistant events without usage or uuid, and counters of unknown name that were summed."""
+    v = parsed(lines.where("raw_line like '%assistant%'")).where(text_at("v", "$.type") == "assistant")
+    v = v.select(
+        "source_file", "line_no", F.nullif(text_at("v", "$.uuid"), F.lit("")).alias("uuid"),
+        F.expr("try_variant_get(v, '$.message', 'map<string,variant>')").alias("message"),
+        F.expr("try_variant_get(v, '$.message.usage', 'map<string,variant>')").alias("usage"), _numbers("try_variant_get(v, '$.message.usage', 'variant')").alias("numbers"),
+    ).where("message is not null")
+    lacks = F.col("usage").isNull() | (F.size("usage") == 0) | F.col("uuid").isNull()
+    skipped = v.groupBy("source_file").agg(F.count(F.when(lacks, 1)).alias("usage_skipped"))
+    last = v.where("uuid is not null").groupBy("source_file", "uuid").agg(F.max_by("numbers", "line_no").alias("numbers"))
+    unmapped = last.groupBy("source_file").agg(F.coalesce(F.sum(_unmapped(F.col("numbers"), EVENT_COUNTERS)), F.lit(0)).alias("usage_unmapped"))
+    return skipped.join(unmapped, "source_file", "full_outer").select("source_file", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("usage_skipped", "usage_unmapped")])
+
+
+def rollout_counters(lines: DataFrame) -> DataFrame:
+    """The same of rollouts: token counts without a total, and the names of the last one that are unknown."""
+    v = _token_counts(lines).withColumn("numbers", _numbers("usage"))
+    total = F.coalesce(F.map_contains_key("numbers", "total_tokens"), F.lit(False))
+    per = v.groupBy("source_file").agg(F.count(F.when(~total, 1)).alias("usage_skipped"), F.max_by("numbers", F.when(total, F.col("line_no"))).alias("numbers"))
+    return per.select("source_file", "usage_skipped", F.coalesce(_unmapped(F.col("numbers"), ROLLOUT_COUNTERS), F.lit(0)).cast("bigint").alias("usage_unmapped"))
+
+
+def chat_counters(landed: DataFrame) -> DataFrame:
+    """The same of chats: live messages whose tokens have no total, or of the model without any."""
+    rows = chat_state(landed).withColumn("numbers", _numbers("tokens"))
+    total = F.coalesce(F.map_contains_key("numbers", "total"), F.lit(False))
+    given = F.col("tokens").isNotNull() & ~F.coalesce(F.expr("is_variant_null(tokens)"), F.lit(False))
+    skipped = F.when(given, ~total).otherwise(F.coalesce(F.col("type") == "gemini", F.lit(False)))
+    return rows.groupBy("source_file").agg(
+        F.count(F.when(skipped, 1)).alias("usage_skipped"),
+        F.coalesce(F.sum(F.when(given & total, _unmapped(F.col("numbers"), CHAT_COUNTERS))), F.lit(0)).alias("usage_unmapped"),
+    )
+
+
 def quota_snapshots(lines: DataFrame) -> DataFrame:
     """The latest observation of each limit's windows; of those at one time the first in order of file and line."""
     v = _token_counts(lines).withColumn("limit", text_at("limits", "$.limit_id")).where("ts > 0 and limit <> ''")
@@ -479,6 +518,11 @@ def quota_snapshots(lines: DataFrame) -> DataFrame:
 # --- registry -----------------------------------------------------------------------------------
 
 
+def no_counters(lines: DataFrame) -> DataFrame:
+    """Of a format that doesn't say what its usage lacks."""
+    return lines.select("source_file", F.lit(0).cast("bigint").alias("usage_skipped"), F.lit(0).cast("bigint").alias("usage_unmapped")).distinct()
+
+
 @dataclass(frozen=True)
 class Source:
     """A format: which files it owns and how their lines are read."""
@@ -487,13 +531,14 @@ class Source:
     messages: Callable[[DataFrame], DataFrame]
     sessions: Callable[[DataFrame], DataFrame]
     usage: Callable[[DataFrame], DataFrame]
+    counters: Callable[[DataFrame], DataFrame] = no_counters
     whole_file: bool = False
 
 
 REGISTRY: dict[str, Source] = {
-    "codex": Source("codex", rollout_messages, rollout_sessions, rollout_usage),
-    "gemini": Source("gemini", chat_messages, chat_sessions, chat_usage, whole_file=True),
-    "claude-code": Source("claude-code", event_messages, event_sessions, event_usage),
+    "codex": Source("codex", rollout_messages, rollout_sessions, rollout_usage, rollout_counters),
+    "gemini": Source("gemini", chat_messages, chat_sessions, chat_usage, chat_counters, whole_file=True),
+    "claude-code": Source("claude-code", event_messages, event_sessions, event_usage, event_counters),
 }
 
 
