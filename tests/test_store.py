@@ -88,6 +88,7 @@ def test_ingest_query_change_and_purge(spark, root, tmp_path):
     assert store.read("ingest_state").agg(F.sum("unparsed_lines")).first()[0] == 1
 
     engine = Engine(store.dataset(), NOW)
+    assert engine.data.text.n == 7 and "is the" in store.text().hits(["is the"]).select("id").join(store.read("messages"), "id").first().content
     assert {r.session_uuid for r in engine.search("lockfile").collect()} == {A, "agent-1"}
     assert {r.session_uuid for r in engine.search("lockfile", source="all").collect()} == {A, "agent-1", R, B}
     assert [r.content for r in engine.show(A[:8]).collect()] == ["where is the lockfile", "in the cache"]
@@ -197,6 +198,8 @@ def test_a_grown_file_appends_and_a_pass_is_one_commit(spark, root, tmp_path):
     ingest_all(store, [str(root)], NOW + 3)
     assert [r.content for r in store.read("messages").where(F.col("session_uuid") == A).collect()] == ["rewritten"]
     assert store.read("tool_targets").count() == 0 and store.read("messages").where(F.col("session_uuid") != A).count() == 4
+    text = store.text()
+    assert text.n == 5 and text.hits(["rewritten"]).count() == 1 and text.hits(["told anew"]).count() == text.hits(["xxxx"]).count() == 0
 
 
 def test_one_writer_and_a_lost_race(spark, root, tmp_path, monkeypatch):

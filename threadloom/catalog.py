@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import schema
 from threadloom.functions import expr
+from threadloom.operators.text_index import TextIndex
 from threadloom.tables import table
 
 
@@ -19,6 +20,8 @@ class Dataset:
     tool_targets: DataFrame
     session_usage: DataFrame
     ingest_state: DataFrame
+    #: The full-text index of the messages, if there is one; without it search reads their text.
+    text: TextIndex | None = None
 
 
 def tool_targets(tool_calls: DataFrame, messages: DataFrame) -> DataFrame:

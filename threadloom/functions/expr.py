@@ -95,13 +95,16 @@ def trigrams(c: Column) -> Column:
 
 def bm25(c: Column, terms: list[str], n: Column, average: Column, df: list[Column]) -> Column:
     """Negative score of the terms, summed left to right; lower is better."""
+    return bm25_of([occurrences(c, t).cast("double") for t in terms], trigrams(c), n, average, df)
+
+
+def bm25_of(frequencies: list[Column], trigrams_: Column, n: Column, average: Column, df: list[Column]) -> Column:
+    """The same from the terms' frequencies and the trigrams of a message."""
     total = F.lit(0.0)
-    size = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * trigrams(c) / average)
-    for term, have in zip(terms, df):
+    size = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * trigrams_ / average)
+    for f, have in zip(frequencies, df):
         raw = F.log((n - have + 0.5) / (have + 0.5))
-        idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-        f = occurrences(c, term).cast("double")
-        total = total + idf * f * (K1 + 1) / (f + size)
+        total = total + F.when(raw <= 0, 1e-6).otherwise(raw) * f * (K1 + 1) / (f + size)
     return -total
 
 

@@ -6,6 +6,7 @@ Where SQL cannot express an operator there is none, and the tests compare it wit
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from threadloom import catalog, schema
 from threadloom.functions import display, expr, redact, text
 from threadloom.operators import ingest
 from threadloom.operators.sequence import drop_repeats, number_rows
+from threadloom.operators.text_index import TextIndex, scored
 from threadloom.plans import ask, doctor, search, sessions, usage
 from threadloom.plans.search import SearchFilter
 from threadloom.plans.sessions import SessionFilter
@@ -63,6 +65,23 @@ def _data(spark: SparkSession, sf_dir: str) -> catalog.Dataset:
     return catalog.load(spark, sf_dir)
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the messages of a folder, made by the first search of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        index = TextIndex(spark)
+        index.add(table(spark, sf_dir, "messages").select("id", "content"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> catalog.Dataset:
+    return replace(_data(spark, sf_dir), text=text_index(spark, sf_dir))
+
+
 # --- activity -----------------------------------------------------------------------------------
 
 
@@ -312,7 +331,7 @@ def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = ""
       scored AS (SELECT *, -bm * ({_weight('role')}) + {_RECENCY} AS score FROM pool)
       SELECT id, seq, session_uuid, role, ts0 AS ts, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, bm, id LIMIT {limit}"""
     query(name, sql)(
-        lambda spark, d: search.search(_data(spark, d), q, AS_OF, f, limit).select(
+        lambda spark, d: search.search(_searched(spark, d), q, AS_OF, f, limit).select(
             "id", "seq", "session_uuid", "role", "ts", F.round("score", 6).alias("score")
         ),
     )
@@ -338,9 +357,7 @@ _search("search_wide", WIDE, SearchFilter(source="all"))
     f"WITH {_bm25_ctes([WORD, PHRASE])} SELECT id, round({_bm25([WORD, PHRASE])}, 6) AS bm25 FROM messages, stats WHERE contains(lower(content), '{WORD}') OR contains(lower(content), '{PHRASE}')",
 )
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "messages").select("id", "content")
-    rows = m.where(expr.contains_long(F.col("content"), WORD) | expr.contains_long(F.col("content"), PHRASE))
-    return search._scored(rows, m, [WORD, PHRASE]).select("id", F.round("bm25", 6).alias("bm25"))
+    return scored(text_index(spark, d), [WORD, PHRASE], False).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("snippet_window", f"""
@@ -377,10 +394,17 @@ _COLS = 'session_uuid, seq, id, role, ts, c2."full" AS "full", round(score, 6) A
 for _name, _cap in (("retrieve_any_term", 0), ("retrieve_capped", 3)):
     query(_name, f"""WITH {_retrieve_ctes(_TERMS, 60)} SELECT {_COLS} FROM (SELECT * FROM capped {f'WHERE rs <= {_cap}' if _cap else ''} ORDER BY capped."full" DESC, score DESC, session_uuid, seq LIMIT 60) c2""")(
         lambda spark, d, cap=_cap: search.retrieve(
-            _data(spark, d), _TERMS, AS_OF, SearchFilter(), 60, cap
+            _searched(spark, d), _TERMS, AS_OF, SearchFilter(), 60, cap
         ).withColumn("score", F.round("score", 6))
     )
 
+@query("candidate_snippets", f"""WITH {_retrieve_ctes(_TERMS, 60)} SELECT c2.id, c2.session_uuid, c2.seq, substr(coalesce(m.content, ''), 1, 160) AS snippet FROM (SELECT * FROM capped ORDER BY capped."full" DESC, score DESC, session_uuid, seq LIMIT 60) c2 JOIN messages m ON m.id = c2.id""")
+def candidate_snippets(spark: SparkSession, d: str) -> DataFrame:
+    data = _searched(spark, d)
+    got = search.retrieve(data, _TERMS, AS_OF, SearchFilter(), 60)
+    return search.with_snippets(data, got).select("id", "session_uuid", "seq", "snippet")
+
+
 _ASKED = text.question_terms(QUESTION)
 
 
@@ -389,12 +413,12 @@ g AS (SELECT session_uuid, bool_or(hits."full") AS strong, coalesce(list_sum(lis
 s AS (SELECT session_uuid, strong, CASE WHEN strong THEN f + least(short, 3) * 0.5 ELSE w END AS score FROM g)
 SELECT session_uuid, strong AS "full", round(score, 6) AS score, row_number() OVER (ORDER BY strong DESC, s.score DESC, session_uuid) - 1 AS rank FROM s ORDER BY strong DESC, s.score DESC, session_uuid LIMIT 6""")
 def ask_groups(spark: SparkSession, d: str) -> DataFrame:
-    return ask.groups(_data(spark, d), QUESTION, AS_OF).select("session_uuid", "full", F.round("score", 6).alias("score"), "rank")
+    return ask.groups(_searched(spark, d), QUESTION, AS_OF).select("session_uuid", "full", F.round("score", 6).alias("score"), "rank")
 
 
 @query("ask_excerpts")
 def ask_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    return ask.ask(_data(spark, d), QUESTION, AS_OF).withColumn("score", F.round("score", 6))
+    return ask.ask(_searched(spark, d), QUESTION, AS_OF).withColumn("score", F.round("score", 6))
 
 
 # --- ingestion ----------------------------------------------------------------------------------

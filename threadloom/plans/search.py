@@ -1,7 +1,9 @@
 """Ranked full-text search and retrieval of candidates.
 
 Long terms (three characters or more) match with Unicode case folding and score by BM25 over
-character trigrams; short terms match with ASCII case folding and only filter.  The corpus
+character trigrams; short terms match with ASCII case folding and only filter.  With an index
+of the messages long terms are looked up there: matches, scores and statistics come from its places, and text is
+read of the rows that are shown, or that short terms filter.  Without one the corpus
 statistics (rows, average length, document frequency of each term) come from one aggregation
 over all messages, whatever the filters, as a scalar subquery.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.catalog import Dataset
 from threadloom.functions import expr, text
+from threadloom.operators.text_index import scored
 from threadloom.plans.sessions import acted_sessions
 
 RESULT = "id bigint, seq int, session_uuid string, project_path string, parent_session string, agent_type string, source string, role string, ts bigint, snippet string, score double"
@@ -81,10 +84,18 @@ def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter
         return data.messages.sparkSession.createDataFrame([], RESULT)
     long, short = text.by_length(terms)
     c = F.col("content")
-    rows = _scoped(data, f).where(
-        expr.all_of([expr.contains_long(c, t) for t in long] + [expr.contains_short(c, t) for t in short])
-    )
-    if long:
+    indexed = bool(long) and data.text is not None
+    rows = _scoped(data, f)
+    if indexed:
+        rows = rows.join(scored(data.text, long, True), "id")
+        if short:
+            rows = rows.where(expr.all_of([expr.contains_short(c, t) for t in short]))
+    else:
+        rows = rows.where(expr.all_of([expr.contains_long(c, t) for t in long] + [expr.contains_short(c, t) for t in short]))
+    if indexed:
+        pool = rows.drop("content", "raw_json").orderBy("bm25", "id").limit(limit * schema.OVERSCAN)
+        snippet = expr.marked_snippet(c, long)
+    elif long:
         pool = _scored(rows, data.messages, long).orderBy("bm25", "id").limit(limit * schema.OVERSCAN)
         snippet = expr.marked_snippet(c, long)
     else:
@@ -93,6 +104,9 @@ def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter
     pool = pool.withColumn(
         "score", expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of)
     ).orderBy(F.desc("score"), "bm25", "id").limit(limit)
+    if indexed:  # the text of what is shown, at most ``limit`` rows
+        shown = F.broadcast(pool)
+        pool = data.messages.select("id", "content").join(shown, "id").orderBy(F.desc("score"), "bm25", "id")
     texts = [F.coalesce(k, F.lit("")).alias(k) for k in ("project_path", "parent_session", "agent_type")]
     return pool.select(
         "id",
@@ -107,6 +121,16 @@ def search(data: Dataset, query: str, as_of: int, f: SearchFilter = SearchFilter
     )
 
 
+#: Characters of a candidate's snippet.
+CANDIDATE_CHARS = 160
+
+
+def with_snippets(data: Dataset, candidates: DataFrame) -> DataFrame:
+    """Candidates (a bounded list) with the start of their text as ``snippet``."""
+    own = data.messages.select("id", F.substring(F.coalesce("content", F.lit("")), 1, CANDIDATE_CHARS).alias("snippet"))
+    return own.join(F.broadcast(candidates), "id").select(*candidates.columns, "snippet")
+
+
 def retrieve(
     data: Dataset, terms: list[str], as_of: int, f: SearchFilter = SearchFilter(), limit: int = 60, per_session: int = 0
 ) -> DataFrame:
@@ -123,7 +147,10 @@ def retrieve(
     keep = ["session_uuid", "seq", "id", "role", "ts"]
     pools = []
     if long:
-        hits = _scored(scoped.where(expr.any_of([expr.contains_long(c, t) for t in long])), data.messages, long)
+        if data.text is not None:
+            hits = scoped.join(scored(data.text, long, False), "id")
+        else:
+            hits = _scored(scoped.where(expr.any_of([expr.contains_long(c, t) for t in long])), data.messages, long)
         pools.append(
             hits.orderBy("bm25", "id").limit(limit * schema.OVERSCAN).select(
                 *keep, F.lit(True).alias("full"), expr.relevance(F.col("bm25"), F.col("role"), F.col("ts"), as_of).alias("score")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from threadloom.catalog import Dataset
 from threadloom.functions import expr
 from threadloom.operators import change_feed, ingest
+from threadloom.operators.text_index import TextIndex
 from threadloom.plans import doctor
 from threadloom.shared import drop_path, materialise, names_in, read_text, size_of, write_text
 from threadloom.sources import files, transcripts
@@ -59,8 +60,8 @@ class Busy(RuntimeError):
 class Store:
     """Tables below one folder, all of one version: that of the newest manifest."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, indexed: bool = True):
+        self.spark, self.path, self.buckets, self.indexed = spark, path.rstrip("/"), buckets, indexed
 
     # --- versions
 
@@ -87,7 +88,24 @@ class Store:
 
     def dataset(self) -> Dataset:
         m = self.manifest()
-        return Dataset(*[self.read(n, m) for n in ("sessions", "messages", "tool_targets", "session_usage", "ingest_state")])
+        tables = [self.read(n, m) for n in ("sessions", "messages", "tool_targets", "session_usage", "ingest_state")]
+        return Dataset(*tables, self.text() if self.indexed else None)
+
+    def text(self) -> TextIndex:
+        """The full-text index of the messages."""
+        return TextIndex(self.spark, f"{self.path}/text")
+
+    def follow_text(self, changed: DataFrame | None = None) -> None:
+        """Bring the full-text index to the messages: those in ``changed`` (id) are taken anew, then what is missing or too much is mended."""
+        if not self.indexed:
+            return
+        text, messages = self.text(), self.read("messages").select("id", "content")
+        if changed is not None:
+            text.remove(changed)
+        if text.n != messages.count() or changed is not None:
+            have = materialise(text.ids(), "indexed")
+            text.remove(have.join(messages.select("id"), "id", "left_anti"))
+            text.add(messages.join(have, "id", "left_anti"))
 
     # --- writing
 
@@ -316,6 +334,7 @@ def _ingest(store: Store, roots: list[str], now: int, full: bool, projects: Data
         {"messages": replaced, "tool_targets": replaced, "session_usage": owner.select("session_uuid")},
     )
     store.compact()
+    store.follow_text(added.select("id"))
     return Stats(scanned, changed, scanned - changed, sessions.count())
 
 
@@ -365,6 +384,7 @@ def purge_missing(store: Store, roots: list[str]) -> int:
             {},
             {name: gone for name in OWNED},
         )
+        store.follow_text()
         return n
 
 
