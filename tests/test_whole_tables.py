@@ -18,7 +18,7 @@ def table(sf, name, columns):
 
 
 def test_first_lines_of_all_messages_are_capped(spark, sf):
-    got = {r.id: r["line"] for r in entry.queries()["first_line_all"](spark, sf).collect()}
+    got = {r.id: r["line"] for r in entry.queries()["first_line"](spark, sf).collect()}
     want = {}
     for k, content in table(sf, "messages", "id, content"):
         line = content.split("\n", 1)[0].encode() if content is not None else None
@@ -61,10 +61,8 @@ def acted(lines):
 def test_events_acted_on_targets_of_every_kind(spark, sf):
     copies = table(sf, "event_lines", "source_file, line_no, batch_no, line_id, raw_line")
     lines = {(f, n): raw for f, n, _, _, raw in sorted(copies, key=lambda r: (r[2], r[3]))}
-    got = {(r.kind, r.value): r.n for r in entry.queries()["event_targets_all"](spark, sf).collect()}
+    got = {(r.kind, r.value): r.n for r in entry.queries()["event_targets"](spark, sf).collect()}
     assert got == acted(lines) and {k for k, _ in got} == {"file", "command", "pattern", "url"}
-    rest = {(r.kind, r.value): r.n for r in entry.queries()["event_targets"](spark, sf).collect()}
-    assert rest == {k: n for k, n in got.items() if k[0] != "command"}
 
 
 def test_commands_are_redacted_and_capped(spark, monkeypatch):
@@ -73,7 +71,7 @@ def test_commands_are_redacted_and_capped(spark, monkeypatch):
     raw = json.dumps({"type": "assistant", "uuid": "u", "message": {"content": blocks}})
     df = spark.createDataFrame([("/x/a.jsonl", 1, 1, 1, raw)], "source_file string, line_no bigint, batch_no bigint, line_id bigint, raw_line string")
     monkeypatch.setattr(reference_queries, "table", lambda *_: df)
-    got = {(r.kind, r.value): r.n for r in reference_queries.event_targets_all(spark, "").collect()}
+    got = {(r.kind, r.value): r.n for r in reference_queries.event_targets(spark, "").collect()}
     assert got == acted({("/x/a.jsonl", 1): raw})
     values = {v for _, v in got}
     assert len(values) == 4 and "export API_KEY=[REDACTED:secret]" in values and max(len(v.encode()) for v in values) in (510, 511, 512)
@@ -88,16 +86,16 @@ def test_checks_count_lines_and_files_of_every_format(spark, sf):
         return False
 
     lines = {t: table(sf, t, "source_file, raw_line") for t in ("event_lines", "rollout_lines", "chat_lines")}
-    n = entry.queries()["doctor_unparsed_all"](spark, sf).first().n
+    n = entry.queries()["doctor_unparsed"](spark, sf).first().n
     assert n == sum(broken(raw) for rows in lines.values() for _, raw in rows)
-    got = {r.source: r.on_disk for r in entry.queries()["doctor_coverage_all"](spark, sf).collect()}
+    got = {r.source: r.on_disk for r in entry.queries()["doctor_coverage"](spark, sf).collect()}
     assert got == {s: len({f for f, _ in lines[t]}) for s, t in (("claude-code", "event_lines"), ("codex", "rollout_lines"), ("gemini", "chat_lines"))}
 
 
 def test_broken_lines_of_each_format_are_counted(spark, monkeypatch):
     frames = {t: spark.createDataFrame([("{",), ("{}",), (None,)][: k + 1], "raw_line string") for k, t in enumerate(("event_lines", "rollout_lines", "chat_lines"))}
     monkeypatch.setattr(reference_queries, "table", lambda _s, _d, name: frames[name])
-    assert reference_queries.doctor_unparsed_all(spark, "").first().n == 4
+    assert reference_queries.doctor_unparsed(spark, "").first().n == 4
 
 
 def test_repeated_lines_of_every_session_are_dropped(spark, sf):
@@ -108,7 +106,7 @@ def test_repeated_lines_of_every_session_are_dropped(spark, sf):
     for s, rows in sessions.items():
         rows.sort()
         want |= {(s, seq, k) for n, (seq, k, raw) in enumerate(rows) if n == 0 or raw != rows[n - 1][2]}
-    got = [(r.session_uuid, r.seq, r.id) for r in entry.queries()["consecutive_dedupe_all"](spark, sf).collect()]
+    got = [(r.session_uuid, r.seq, r.id) for r in entry.queries()["consecutive_dedupe"](spark, sf).collect()]
     assert len(got) == len(want) and set(got) == want and len({s for s, _, _ in got}) == len(sessions) > 1
 
 
@@ -134,7 +132,7 @@ def title(text):
 
 
 def test_titles_of_all_user_texts(spark, sf):
-    got = {r.id: r.title for r in entry.queries()["title_from_all"](spark, sf).collect()}
+    got = {r.id: r.title for r in entry.queries()["title_from"](spark, sf).collect()}
     rows = table(sf, "messages", "id, role, content")
     assert got == {k: title(c) for k, role, c in rows if role == "user" and c is not None}
     assert any(role == "user" and c and c != c.strip() for _, role, c in rows)
@@ -153,7 +151,7 @@ def test_wrapped_titles(spark, monkeypatch):
     }
     df = spark.createDataFrame([(k, "user", t) for k, t in enumerate(texts)], "id int, role string, content string")
     monkeypatch.setattr(reference_queries, "table", lambda *_: df)
-    got = [r.title for r in reference_queries.title_from_all(spark, "").orderBy("id").collect()]
+    got = [r.title for r in reference_queries.title_from(spark, "").orderBy("id").collect()]
     assert got == list(texts.values()) == [title(t) for t in texts]
 
 
@@ -161,5 +159,5 @@ def test_categories_of_several_names_are_sorted(spark, monkeypatch):
     maps = ['{"z":1, "a" :2,"B":3}', '{"one":1}', "{}", None, "{cut"]
     df = spark.createDataFrame([(str(k), "m", c) for k, c in enumerate(maps)], "session_uuid string, model string, categories_json string")
     monkeypatch.setattr(reference_queries, "table", lambda *_: df)
-    got = {r.session_uuid: r.categories_json for r in reference_queries.canonical_categories_all(spark, "").collect()}
+    got = {r.session_uuid: r.categories_json for r in reference_queries.canonical_categories(spark, "").collect()}
     assert got == {str(k): json.dumps(json.loads(maps[k]), sort_keys=True, separators=(",", ":")) for k in (0, 1, 2)}

@@ -26,6 +26,8 @@ from threadloom.tables import table
 #: The point in time that ages are counted from.
 AS_OF = 1_782_864_000
 SINCE = text.parse_since("60d", AS_OF)
+#: The same as the SQL has it.
+SINCE_SQL = 1_777_680_000
 PROJECT = "/home/"
 WORD, PHRASE, SHORT, WIDE = "lockfile", "permission denied", "ms", "位移值"
 QUESTION = "why did the tokenizer fail with permission denied 位移值"
@@ -51,6 +53,19 @@ LISTED = """coalesce(project_path, '') AS project_path, coalesce(title, '') AS t
   (SELECT count(*) FROM sessions sub WHERE sub.parent_session = s.uuid) AS subagents"""
 
 
+def _redacted(value: str) -> str:
+    """The chain of shapes in SQL, whose pattern engine has word boundaries of ASCII."""
+    for pattern, mark in redact.RULES:
+        plain = pattern.replace(redact._Z, r"\b").replace(redact._A, r"\b").replace("'", "''")
+        value = f"regexp_replace({value}, '{plain}', '{mark.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    return value
+
+
+def _capped(value: str, size: int) -> str:
+    """At most so many bytes of UTF-8 in SQL: the longest prefix of whole characters."""
+    return f"CASE WHEN strlen({value}) <= {size} THEN {value} ELSE substr({value}, 1, list_aggregate(list_filter(range(0, {size + 1}), lambda k: strlen(substr({value}, 1, k)) <= {size}), 'max')) END"
+
+
 def query(name: str, sql: str = "") -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -87,7 +102,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> catalog.Dataset:
 
 def _activity(name: str, kind: str, since: int = 0, project: str = "", source: str = "", limit: int = 50) -> None:
     joined = bool(project) or source != "all"
-    where = f"tt.kind = '{kind}'" + (f" AND tt.ts >= {since}" if since else "") + (f" AND starts_with({ASCII.format('s.project_path')}, '{project.lower()}')" if project else "")
+    where = f"tt.kind = '{kind}'" + (f" AND tt.ts >= {SINCE_SQL}" if since else "") + (f" AND starts_with({ASCII.format('s.project_path')}, '{project.lower()}')" if project else "")
     where += f" AND {DEFAULT.replace('source', 's.source')}" if source == "" else f" AND s.source = '{source}'" if source != "all" else ""
     sql = f"WITH {TARGETS} SELECT tt.value, count(*) AS n FROM tt {'JOIN sessions s ON s.uuid = tt.session_uuid' if joined else ''} WHERE {where} GROUP BY tt.value ORDER BY n DESC, tt.value LIMIT {limit}"
     query(name, sql)(lambda spark, d: sessions.activity_by_kind(_data(spark, d), kind, since, project, source, limit))
@@ -105,7 +120,7 @@ def _summary(name: str, group_by: str, since: int, source: str = "", project: st
     scope = "" if source == "all" else f" AND {DEFAULT.replace('source', 's.source')}"
     scope += f" AND starts_with({ASCII.format('s.project_path')}, '{project}')" if project else ""
     sql = f"""SELECT {key} AS key, count(DISTINCT coalesce(p.uuid, s.uuid)) AS sessions, count(m.id) AS messages FROM sessions s
-      LEFT JOIN messages m ON m.session_uuid = s.uuid LEFT JOIN sessions p ON p.uuid = s.parent_session WHERE s.ended_at >= {since}{scope} GROUP BY 1 ORDER BY 1 DESC"""
+      LEFT JOIN messages m ON m.session_uuid = s.uuid LEFT JOIN sessions p ON p.uuid = s.parent_session WHERE s.ended_at >= {SINCE_SQL if since else 0}{scope} GROUP BY 1 ORDER BY 1 DESC"""
     query(name, sql)(lambda spark, d: sessions.activity_summary(_data(spark, d), group_by, since, project, source))
 
 
@@ -119,7 +134,7 @@ _summary("activity_summary_day_all", "day", SINCE, "all", PROJECT)
 
 def _listing(name: str, f: SessionFilter, where: str = "") -> None:
     base = f"{DEFAULT}" if f.source == "" else "true" if f.source == "all" else f"source = '{f.source}'"
-    base += f" AND ended_at >= {f.since}" * (f.since > 0) + f" AND turn_count >= {f.min_turns}" * (f.min_turns > 0) + f" AND starts_with({ASCII.format('project_path')}, '{f.project}')" * bool(f.project) + where
+    base += f" AND ended_at >= {SINCE_SQL}" * (f.since > 0) + f" AND turn_count >= {f.min_turns}" * (f.min_turns > 0) + f" AND starts_with({ASCII.format('project_path')}, '{f.project}')" * bool(f.project) + where
     nest = "" if f.include_subagents else f" AND (parent_session IS NULL OR parent_session = '' OR parent_session NOT IN (SELECT uuid FROM sessions s WHERE {base} ORDER BY ended_at DESC NULLS LAST, uuid DESC LIMIT {f.limit}))"
     sql = f"WITH {TARGETS} SELECT uuid, {LISTED} FROM sessions s WHERE {base}{nest} ORDER BY s.ended_at DESC NULLS LAST, uuid DESC LIMIT {f.limit}"
     query(name, sql)(lambda spark, d: sessions.list_sessions(_data(spark, d), f))
@@ -152,16 +167,14 @@ _listing(
 )
 
 
-@query(
-    "list_sessions_children",
-    f"SELECT c.uuid, c.parent_session, p.title AS parent_title FROM sessions c JOIN sessions p ON p.uuid = c.parent_session WHERE {DEFAULT.replace('source', 'c.source')}",
-)
+_MOST_CHILDREN = "(SELECT parent_session FROM sessions WHERE parent_session <> '' GROUP BY 1 ORDER BY count(*) DESC, parent_session LIMIT 1)"
+
+
+@query("list_sessions_children", f"SELECT uuid, {LISTED} FROM sessions s WHERE parent_session = {_MOST_CHILDREN} ORDER BY s.ended_at DESC NULLS LAST, uuid DESC LIMIT 1000")
 def list_children(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sessions")
-    parents = s.select(F.col("uuid").alias("parent_session"), F.col("title").alias("parent_title"))
-    return s.where(expr.of_source(F.col("source"), "")).select("uuid", "parent_session").join(parents, "parent_session").select(
-        "uuid", "parent_session", "parent_title"
-    )
+    """The children of the session that has most."""
+    most = table(spark, d, "sessions").where("parent_session <> ''").groupBy("parent_session").count().orderBy(F.desc("count"), "parent_session").first()
+    return sessions.list_sessions(_data(spark, d), SessionFilter(parent=most[0], source="all", limit=1000))
 
 
 _LONGEST = "(SELECT session_uuid FROM messages WHERE session_uuid IN (SELECT uuid FROM sessions) GROUP BY 1 ORDER BY count(*) DESC, session_uuid LIMIT 1)"
@@ -222,7 +235,7 @@ _COUNTS = "count(DISTINCT u.session_uuid) AS sessions, cast(sum(u.total_tokens)
 
 
 def _usage_sessions(name: str, since: int = 0, model: str = "", limit: int = 20) -> None:
-    where = (f" AND coalesce(s.ended_at, s.started_at, 0) >= {since}" if since else "") + (f" AND u.model = '{model}'" if model else "")
+    where = (f" AND coalesce(s.ended_at, s.started_at, 0) >= {SINCE_SQL}" if since else "") + (f" AND u.model = '{model}'" if model else "")
     sums = ", ".join(f"cast(sum(u.{c}) AS BIGINT) AS {c}" for c in usage.TOKENS)
     sql = f"""WITH {STATE}, p AS (SELECT u.session_uuid, coalesce(s.source, 'claude-code') AS source, coalesce(s.project_path, '') AS project_path, coalesce(s.title, '') AS title, coalesce(s.agent_type, '') AS agent_type,
         coalesce(st.usage_stale, 0) <> 0 AS stale, string_agg(DISTINCT u.model, ',' ORDER BY u.model) AS models, {sums} {_SCOPE} WHERE true{where} GROUP BY 1, 2, 3, 4, 5, 6)
@@ -316,11 +329,11 @@ def _bm25(terms: list[str]) -> str:
 _MS = "(SELECT m.*, s.uuid AS suid, s.project_path, s.parent_session, s.agent_type, s.source FROM messages m LEFT JOIN sessions s ON s.uuid = m.session_uuid)"
 
 
-def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = "", limit: int = 20) -> None:
-    long, short = text.by_length(text.search_terms(q))
+def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = "", limit: int = 20, long: tuple[str, ...] = (WORD,), short: tuple[str, ...] = ()) -> None:
+    """``long`` and ``short``: the terms of ``q`` as the SQL has them."""
     conds = [f"contains(lower(content), '{t.lower()}')" for t in long] + [f"contains({ASCII.format('content')}, '{t.lower()}')" for t in short]
     conds.append(f"role = '{f.role}'" if f.role else "true" if f.tool_output else "role IN ('user', 'assistant')")
-    conds += [f"ts >= {f.since}"] * (f.since > 0) + [
+    conds += [f"ts >= {SINCE_SQL}"] * (f.since > 0) + [
         f"starts_with({ASCII.format('project_path')}, '{f.project}')"
     ] * bool(f.project)
     conds.append(DEFAULT if f.source == "" else "true" if f.source == "all" else f"source = '{f.source}'")
@@ -337,9 +350,9 @@ def _search(name: str, q: str, f: SearchFilter = SearchFilter(), where: str = ""
     )
 
 
-_search("search_long_and", f'{WORD} "{PHRASE}"')
-_search("search_short_only", f"{SHORT} 10")
-_search("search_hybrid", f"{WORD} {SHORT}")
+_search("search_long_and", f'{WORD} "{PHRASE}"', long=("lockfile", "permission denied"))
+_search("search_short_only", f"{SHORT} 10", long=(), short=("ms", "10"))
+_search("search_hybrid", f"{WORD} {SHORT}", short=("ms",))
 _search("search_role", WORD, SearchFilter(role="thinking"))
 _search("search_tool_output", WORD, SearchFilter(tool_output=True, source="all"))
 _search("search_project_since", WORD, SearchFilter(project=PROJECT, since=SINCE))
@@ -349,7 +362,7 @@ _search(
     SearchFilter(touched="src/"),
     f" AND session_uuid IN (SELECT session_uuid FROM tt WHERE kind = 'file' AND starts_with({ASCII.format('value')}, 'src/'))",
 )
-_search("search_wide", WIDE, SearchFilter(source="all"))
+_search("search_wide", WIDE, SearchFilter(source="all"), long=("位移值",))
 
 
 @query(
@@ -405,7 +418,8 @@ def candidate_snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.with_snippets(data, got).select("id", "session_uuid", "seq", "snippet")
 
 
-_ASKED = text.question_terms(QUESTION)
+#: The terms of the question as the SQL has them.
+_ASKED = ['tokenizer', 'fail', 'permission', 'denied', '位移值', '位移', '移值']
 
 
 @query("ask_groups", f"""WITH {_retrieve_ctes(_ASKED, 240)}, hits AS (SELECT * FROM capped WHERE rs <= 3 ORDER BY capped."full" DESC, score DESC, session_uuid, seq LIMIT 240),
@@ -499,22 +513,16 @@ def rollout_messages(spark: SparkSession, d: str) -> DataFrame:
     return transcripts.rollout_messages(_rollouts(spark, d)).drop("raw_line")
 
 
-_FIELD = "CASE n " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, (k, f) in schema.TOOL_FIELDS.items() if k != "command") + " END"
+_FIELD = "CASE n " + " ".join(f"WHEN '{t}' THEN '{f}'" for t, (_, f) in schema.TOOL_FIELDS.items()) + " END"
 _TARGET = "CASE n " + " ".join(f"WHEN '{t}' THEN '{k}'" for t, (k, _) in schema.TOOL_FIELDS.items()) + " END"
 
 
 @query("event_targets", f"""
 WITH e AS (SELECT j->'$.message.content' AS c FROM {_EV} WHERE j->>'$.type' IN ('user', 'assistant')), b AS (SELECT json_extract(c, '$[' || k || ']') AS b FROM (SELECT c, unnest(range(json_array_length(c)::BIGINT)) AS k FROM e WHERE json_type(c) = 'ARRAY')),
-t AS (SELECT b->>'$.name' AS n, b FROM b WHERE b->>'$.type' = 'tool_use'), v AS (SELECT {_TARGET} AS kind, json_extract_string(b, '$.input.' || {_FIELD}) AS value, json_type(b, '$.input.' || {_FIELD}) AS kt FROM t WHERE {_FIELD} IS NOT NULL)
-SELECT kind, value, count(*) AS n FROM v WHERE kt = 'VARCHAR' AND trim(value) <> '' AND strlen(value) <= 512 GROUP BY 1, 2""")
+t AS (SELECT b->>'$.name' AS n, b FROM b WHERE b->>'$.type' = 'tool_use'), v AS (SELECT {_TARGET} AS kind, json_extract_string(b, '$.input.' || {_FIELD}) AS value, json_type(b, '$.input.' || {_FIELD}) AS kt FROM t WHERE {_FIELD} IS NOT NULL),
+r AS (SELECT kind, {_redacted("value")} AS value FROM v WHERE kt = 'VARCHAR' AND trim(value) <> '')
+SELECT kind, {_capped("value", 512)} AS value, count(*) AS n FROM r GROUP BY 1, 2""")
 def event_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Files, patterns and urls that events acted on; commands may be redacted, which SQL cannot repeat: ``event_targets_all``."""
-    rows = transcripts.event_messages(_events(spark, d)).where("acted_kind <> 'command' and octet_length(acted_value) <= 512")
-    return rows.groupBy(F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value")).agg(F.count("*").alias("n"))
-
-
-@query("event_targets_all")
-def event_targets_all(spark: SparkSession, d: str) -> DataFrame:
     """Everything that events acted on, commands too: redacted by shape and capped at 512 bytes."""
     rows = transcripts.event_messages(_events(spark, d)).where("acted_kind is not null")
     return rows.groupBy(F.col("acted_kind").alias("kind"), F.col("acted_value").alias("value")).agg(F.count("*").alias("n"))
@@ -566,19 +574,9 @@ def sequence_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "consecutive_dedupe",
-    f"SELECT seq, id, role FROM (SELECT *, lag(role) OVER (ORDER BY seq, id) AS p, row_number() OVER (ORDER BY seq, id) AS rn FROM messages WHERE session_uuid = {_LONGEST}) WHERE rn = 1 OR role IS DISTINCT FROM p",
-)
-def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of role in the longest session, for the SQL; ``consecutive_dedupe_all`` takes lines and all sessions."""
-    one = table(spark, d, "messages").where(F.col("session_uuid") == _longest(spark, d))
-    return drop_repeats(one, ["session_uuid"], ["seq", "id"], "role").select("seq", "id", "role")
-
-
-@query(
-    "consecutive_dedupe_all",
     "SELECT session_uuid, seq, id, raw_json FROM (SELECT *, lag(coalesce(raw_json, '')) OVER w AS p, row_number() OVER w AS rn FROM messages WINDOW w AS (PARTITION BY session_uuid ORDER BY seq NULLS FIRST, id)) WHERE rn = 1 OR coalesce(raw_json, '') <> p",
 )
-def consecutive_dedupe_all(spark: SparkSession, d: str) -> DataFrame:
+def consecutive_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """The raw lines of every session without consecutive repeats; a missing line is an empty one."""
     rows = table(spark, d, "messages").select("session_uuid", "seq", "id", "raw_json", F.coalesce("raw_json", F.lit("")).alias("line"))
     return drop_repeats(rows, ["session_uuid"], ["seq", "id"], "line").drop("line")
@@ -751,9 +749,9 @@ def drill_down_sessions(spark: SparkSession, d: str) -> DataFrame:
     ).select("uuid", "title").distinct()
 
 
-@query("tool_targets_all", f"WITH {TARGETS} SELECT message_id, session_uuid, kind, value FROM tt WHERE strlen(value) <= 512")
+@query("tool_targets_all", f"WITH {TARGETS} SELECT message_id, session_uuid, kind, {_capped('value', 512)} AS value FROM tt")
 def tool_targets_all(spark: SparkSession, d: str) -> DataFrame:
-    return _data(spark, d).tool_targets.where("octet_length(value) <= 512").select("message_id", "session_uuid", "kind", "value")
+    return _data(spark, d).tool_targets.select("message_id", "session_uuid", "kind", "value")
 
 
 # --- functions ----------------------------------------------------------------------------------
@@ -775,49 +773,45 @@ def truncate_excerpt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", expr.truncate(F.col("content"), schema.EXCERPT_CHARS).alias("excerpt"))
 
 
-@query(
-    "title_from",
-    "SELECT id, substr(trim(content), 1, 100) AS title FROM messages WHERE role = 'user' AND content IS NOT NULL AND NOT starts_with(trim(content), '<') AND NOT starts_with(trim(content), '[') AND NOT regexp_matches(content, '^[\\s\\x{00A0}\\x{200B}\\x{3000}]|[\\s\\x{00A0}\\x{200B}\\x{3000}]$')",
-)
-def title_from(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that need neither stripping nor trimming, for the SQL; ``title_from_all`` has every user text."""
-    m = table(spark, d, "messages").where(
-        "role = 'user' and content is not null and not startswith(trim(content), '<') and not startswith(trim(content), '[')"
-    ).where(~F.col("content").rlike("^[\\s\u00a0\u200b\u3000]|[\\s\u00a0\u200b\u3000]$"))
-    return m.select("id", expr.title(F.col("content")).alias("title"))
+_T = f"trim(content, '{expr.WHITE_SPACE}')"
+
+
+def _behind(opening: str, closing: str) -> str:
+    return f"WHEN starts_with(t, '{opening}') THEN substr(CASE WHEN strpos(t, '{closing}') > 0 THEN trim(substr(t, strpos(t, '{closing}') + {len(closing)}), '{expr.WHITE_SPACE}') ELSE '' END, 1, 100)"
 
 
-@query("title_from_all")
-def title_from_all(spark: SparkSession, d: str) -> DataFrame:
+@query("title_from", f"""
+WITH u AS (SELECT id, {_T} AS t FROM messages WHERE role = 'user' AND content IS NOT NULL)
+SELECT id, CASE WHEN starts_with(t, '<command-') AND regexp_matches(t, '(?s)<command-name>.*?</command-name>') THEN trim(regexp_extract(t, '(?s)<command-name>(.*?)</command-name>', 1), '{expr.WHITE_SPACE}')
+  {_behind('<local-command-caveat', '</local-command-caveat>')} {_behind('<task-notification', '</task-notification>')} {_behind('[Request interrupted', ']')} ELSE substr(t, 1, 100) END AS title FROM u""")
+def title_from(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").where("role = 'user' and content is not null")
     return m.select("id", expr.title(F.col("content")).alias("title"))
 
 
-@query(
-    "first_line",
-    "SELECT id, split_part(content, chr(10), 1) AS line FROM messages WHERE strlen(split_part(content, chr(10), 1)) <= 200",
-)
+@query("first_line", f"WITH l AS (SELECT id, split_part(content, chr(10), 1) AS l FROM messages) SELECT id, {_capped('l', 200)} AS line FROM l")
 def first_line(spark: SparkSession, d: str) -> DataFrame:
-    """The messages whose first line needs no cap, for the SQL; ``first_line_all`` has every message."""
-    m = table(spark, d, "messages").where("octet_length(substring_index(content, '\n', 1)) <= 200")
-    return m.select("id", expr.first_line(F.col("content")).alias("line"))
-
-
-@query("first_line_all")
-def first_line_all(spark: SparkSession, d: str) -> DataFrame:
     """The first line of every message, at most 200 bytes of UTF-8."""
     return table(spark, d, "messages").select("id", expr.first_line(F.col("content")).alias("line"))
 
 
-@query("display_forms", """SELECT uuid, substr(uuid, 1, 8) AS short, CASE WHEN coalesce(project_path, '') = '' THEN '(unknown)' ELSE regexp_extract(project_path, '([^/]+)$', 1) END AS project,
-CASE WHEN coalesce(ended_at, 0) = 0 THEN '' ELSE strftime(to_timestamp(ended_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS ended FROM sessions WHERE NOT coalesce(project_path, '') LIKE '%/'""")
+_SPAN = "(ended_at - started_at)"
+
+
+@query("display_forms", f"""SELECT uuid, substr(uuid, 1, 8) AS short, CASE WHEN coalesce(project_path, '') = '' THEN '(unknown)' WHEN regexp_extract(project_path, '/([^/]+)$', 1) <> '' THEN regexp_extract(project_path, '/([^/]+)$', 1) ELSE project_path END AS project,
+CASE WHEN coalesce(ended_at, 0) = 0 THEN '' ELSE strftime(to_timestamp(ended_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS ended,
+CASE WHEN length(replace(trim(title), chr(10), ' ')) > 40 THEN substr(replace(trim(title), chr(10), ' '), 1, 40) || '…' ELSE replace(trim(title), chr(10), ' ') END AS line,
+CASE WHEN {_SPAN} < 3600 THEN floor({_SPAN} / 60)::BIGINT || 'm' WHEN {_SPAN} < 172800 THEN floor({_SPAN} / 3600)::BIGINT || 'h' ELSE floor({_SPAN} / 86400)::BIGINT || 'd' END AS span,
+CASE WHEN regexp_matches(source_file, '^[A-Za-z0-9_./:=@%+,-]+$') THEN source_file ELSE chr(39) || replace(source_file, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) END AS quoted FROM sessions""")
 def display_forms(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sessions").where("not coalesce(project_path, '') like '%/'")
-    return s.select(
+    return table(spark, d, "sessions").select(
         "uuid",
         display.short_id(F.col("uuid")).alias("short"),
         display.project_name(F.col("project_path")).alias("project"),
         display.minute_of(F.col("ended_at")).alias("ended"),
+        display.one_line(F.col("title"), 40).alias("line"),
+        display.human_span(F.col("ended_at") - F.col("started_at")).alias("span"),
+        display.shell_quoted(F.col("source_file")).alias("quoted"),
     )
 
 
@@ -826,12 +820,12 @@ def recency_bonus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("id", F.round(expr.recency(F.col("ts"), AS_OF), 9).alias("bonus"))
 
 
-@query("since_window", f"SELECT id FROM messages WHERE ts >= {SINCE} AND role IN ('user', 'assistant')")
+@query("since_window", f"SELECT id FROM messages WHERE ts >= {SINCE_SQL} AND role IN ('user', 'assistant')")
 def since_window(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").where((F.col("ts") >= SINCE) & F.col("role").isin(*schema.DIALOGUE)).select("id")
+    return search._scoped(_data(spark, d), SearchFilter(since=SINCE, source="all")).select("id")
 
 
-@query("redact_shapes")
+@query("redact_shapes", f"SELECT id, redacted FROM (SELECT id, content, {_redacted('content')} AS redacted FROM messages) WHERE content <> redacted")
 def redact_shapes(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").select("id", "content", redact.redact_shapes(F.col("content")).alias("redacted"))
     return m.where("content <> redacted").select("id", "redacted")
@@ -844,17 +838,10 @@ def redact_json_structural(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    "canonical_categories",
-    "SELECT session_uuid, model, categories_json FROM session_usage WHERE categories_json IS NOT NULL AND json_valid(categories_json) AND length(json_keys(categories_json)) = 1",
-)
+@query("canonical_categories", """
+SELECT session_uuid, model, '{' || coalesce(array_to_string(list_transform(list_sort(json_keys(categories_json)), lambda k: to_json(k)::VARCHAR || ':' || json_extract_string(categories_json, '$."' || k || '"')), ','), '') || '}' AS categories_json
+FROM session_usage WHERE categories_json IS NOT NULL AND json_valid(categories_json) AND json_type(categories_json) = 'OBJECT'""")
 def canonical_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Maps of one name, for the SQL; ``canonical_categories_all`` has every map."""
-    return _categories(spark, d, F.size("m") == 1)
-
-
-@query("canonical_categories_all")
-def canonical_categories_all(spark: SparkSession, d: str) -> DataFrame:
     return _categories(spark, d, F.col("m").isNotNull())
 
 
@@ -901,15 +888,6 @@ def doctor_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return doctor.reconcile(new.select("source_file", F.col("last_size").alias("size")), old, ["/var"])
 
 
-@query(
-    "doctor_unparsed",
-    "SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM event_lines WHERE NOT json_valid(raw_line)",
-)
-def doctor_unparsed(spark: SparkSession, d: str) -> DataFrame:
-    """Broken lines of events; ``doctor_unparsed_all`` counts every format."""
-    return doctor.unparsed_lines(table(spark, d, "event_lines"))
-
-
 _LANDED = ("event_lines", "rollout_lines", "chat_lines")
 
 
@@ -918,10 +896,10 @@ def _landed(spark: SparkSession, d: str, column: str) -> DataFrame:
 
 
 @query(
-    "doctor_unparsed_all",
+    "doctor_unparsed",
     f"SELECT 'unparsed lines' AS name, count(*) = 0 AS ok, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT raw_line FROM {t}' for t in _LANDED)}) WHERE raw_line IS NULL OR NOT json_valid(raw_line)",
 )
-def doctor_unparsed_all(spark: SparkSession, d: str) -> DataFrame:
+def doctor_unparsed(spark: SparkSession, d: str) -> DataFrame:
     return doctor.unparsed_lines(_landed(spark, d, "raw_line"))
 
 
@@ -934,20 +912,10 @@ def doctor_repeated(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("doctor_coverage", r"""
-WITH f AS (SELECT source_file, 0 AS t FROM event_lines UNION ALL SELECT source_file, 0 FROM rollout_lines UNION ALL SELECT source_file, 1 FROM event_lines),
-c AS (SELECT source_file, t, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source FROM f)
-SELECT source, count(DISTINCT source_file) FILTER (WHERE t = 0) AS on_disk, count(DISTINCT source_file) FILTER (WHERE t = 1) AS tracked, count(DISTINCT source_file) FILTER (WHERE t = 1) >= count(DISTINCT source_file) FILTER (WHERE t = 0) AS ok FROM c GROUP BY 1""")
-def doctor_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of event and rollout files by tracked event files; ``doctor_coverage_all`` lists every format."""
-    events, rollouts = table(spark, d, "event_lines").select("source_file").distinct(), table(spark, d, "rollout_lines").select("source_file").distinct()
-    return doctor.coverage_by_source(events.unionByName(rollouts), events)
-
-
-@query("doctor_coverage_all", r"""
 WITH f AS (SELECT source_file, 0 AS t FROM event_lines UNION ALL SELECT source_file, 0 FROM rollout_lines UNION ALL SELECT source_file, 0 FROM chat_lines UNION ALL SELECT source_file, 1 FROM event_lines),
 c AS (SELECT source_file, t, CASE WHEN regexp_matches(source_file, '(^|/)rollout-[^/]*\.jsonl$') THEN 'codex' WHEN regexp_matches(source_file, '/chats/session-[^/]*\.jsonl$') THEN 'gemini' ELSE 'claude-code' END AS source FROM f)
 SELECT source, count(DISTINCT source_file) FILTER (WHERE t = 0) AS on_disk, count(DISTINCT source_file) FILTER (WHERE t = 1) AS tracked, count(DISTINCT source_file) FILTER (WHERE t = 1) >= count(DISTINCT source_file) FILTER (WHERE t = 0) AS ok FROM c GROUP BY 1""")
-def doctor_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+def doctor_coverage(spark: SparkSession, d: str) -> DataFrame:
     return doctor.coverage_by_source(
         _landed(spark, d, "source_file").distinct(), table(spark, d, "event_lines").select("source_file").distinct()
     )
