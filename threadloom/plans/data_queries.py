@@ -239,7 +239,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One UTC instant of every readable row, plain or not."""
-    return _resolved(spark, sf_dir).select("src", "row_id", F.col("us").alias("utc_us"), "fmt")
+    return _resolved(spark, sf_dir).select("src", "row_id", F.col("us").alias("utc_us"))
 
 
 def p7_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,4 +362,8 @@ UNION ALL SELECT line_id, child, idx, ord FROM tb WHERE json_type(x) = 'OBJECT'"
 
 def oracle_sql() -> dict[str, str]:
     once = f"SELECT src, line_id FROM (SELECT 'event_lines' AS src, line_id FROM event_lines UNION ALL SELECT 'rollout_lines', line_id FROM rollout_lines) WHERE line_id NOT IN ({ORACLES['p1_found']})"
-    return ORACLES | {"p7_found": _p7_sql(), "p1_delivered_once": once}
+    line = lambda t, f, w: f"SELECT '{t}' AS src, line_id AS row_id, j->>'$.{f}' AS raw FROM {_VALID.format(t)} WHERE json_type(j, '$.{f}') = 'VARCHAR' AND {w}"
+    plain = f"""SELECT src, row_id, epoch_us(try_strptime(raw, '%Y-%m-%dT%H:%M:%S.%gZ')) AS utc_us FROM ({line('event_lines', 'timestamp', 'true')} UNION ALL {line('rollout_lines', 'timestamp', 'true')} UNION ALL {line('chat_lines', 'startTime', 'line_no = 1')})
+WHERE regexp_matches(raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{3}}Z$') AND NOT starts_with(raw, '0000') AND try_strptime(raw, '%Y-%m-%dT%H:%M:%S.%gZ') IS NOT NULL"""
+    every = f"SELECT * FROM ({_p7_sql()}) UNION ALL {plain} UNION ALL SELECT 'messages', id, ts * 1000000 FROM messages WHERE ts BETWEEN 1 AND 99999999999"
+    return ORACLES | {"p7_found": _p7_sql(), "p7_normalised": every, "p1_delivered_once": once}
