@@ -83,7 +83,7 @@ def _blocks(copies: DataFrame) -> DataFrame:
     )
 
 
-def judge(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+def judge(messages: DataFrame, sessions: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(session_uuid, broken, empty, unanswered) for every uuid in ``sessions`` or ``messages``.
 
     broken: sequence numbers that are not exactly 0..n-1, or a row without a known role; empty: no
@@ -91,7 +91,7 @@ def judge(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     assistant, or a user turn is not directly followed by one of the assistant.  Null uuids are no
     conversation; repeated (session, seq) count once, by the smallest id; a null seq is broken.
     """
-    blocks = _blocks(first_copies(messages))
+    blocks = _blocks(first_copies(messages) if copies is None else copies)
     # across blocks without turns: the next block that has some
     order = Window.partitionBy("session_uuid").orderBy("block")
     spoken = blocks.where("first is not null").select(
@@ -124,8 +124,9 @@ def judge(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def to_drop(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    return judge(messages, sessions).where("broken or empty or unanswered").select("session_uuid")
+def to_drop(messages: DataFrame, sessions: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """The conversations to drop; ``copies``: ``first_copies`` of the messages, if they are there already."""
+    return judge(messages, sessions, copies).where("broken or empty or unanswered").select("session_uuid")
 
 
 def rebuild(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -134,14 +135,17 @@ def rebuild(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     ``segment`` counts from 0 and grows where the time since the previous row exceeds the
     calibrated gap; rows without a time never start a segment.
     """
-    copies = first_copies(messages).join(
-        to_drop(messages, sessions), "session_uuid", "left_anti"
-    ).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    from threadloom.shared import materialise
+
+    # read by several steps each: short codes without the texts
+    every = materialise(first_copies(messages), "copies")
+    copies = every.join(to_drop(messages, sessions, every), "session_uuid", "left_anti").withColumn("block", F.floor(F.col("seq") / BLOCK))
     inner, outer = Window.partitionBy("session_uuid", "block").orderBy("seq"), Window.partitionBy("session_uuid").orderBy("block")
     ends = copies.groupBy("session_uuid", "block").agg(F.max_by("at", "seq").alias("end")).withColumn("carried", F.lag("end").over(outer)).drop("end")
     timed = copies.join(ends, ["session_uuid", "block"]).withColumn(
         "gap", F.col("at") - F.coalesce(F.lag("at").over(inner), F.when(F.row_number().over(inner) == 1, F.col("carried")))
     )
+    timed = materialise(timed.select("session_uuid", "block", "seq", "id", "role", "gap"), "gaps")
     limit = timed.where("gap > 0").agg(
         F.coalesce(F.percentile_approx("gap", GAP_QUANTILE) * GAP_FACTOR, F.lit(2**62)).alias("limit")
     )
