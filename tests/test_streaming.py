@@ -40,3 +40,37 @@ def test_windows_over_tables_and_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("windows").collect()} == want and want
+
+
+def test_growing_files_are_followed_and_reconciled(spark, tmp_path):
+    import os
+    import time
+
+    from threadloom.store import Store
+    from threadloom.streaming.refresh import pass_over, watch
+
+    line = '{"type":"user","uuid":"u%d","timestamp":"2025-09-01T10:00:00Z","message":{"role":"user","content":"number %d"}}\n'
+    folder = tmp_path / "projects" / "-p"
+    folder.mkdir(parents=True)
+    path, other = folder / "11111111-2222-3333-4444-555555555555.jsonl", folder / "22222222-2222-3333-4444-555555555555.jsonl"
+    path.write_text(line % (1, 1))
+    other.write_text(line % (2, 2))
+    store = Store(spark, f"file://{tmp_path}/store", buckets=2, indexed=False)
+    query = watch(store, [str(tmp_path / "projects")], f"file://{tmp_path}/checkpoint", lambda: 7, every="1 second", backstop=1000)
+    try:
+        for _ in range(120):
+            if store.read("messages").count() == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert store.read("messages").count() == 2
+    tick = pass_over(store, [str(tmp_path / "projects")], lambda: 8, backstop=2)
+    path.write_text(path.read_text() + line % (3, 3))
+    os.remove(other)
+    tick(None, 1)
+    assert store.read("messages").count() == 3
+    tick(None, 2)
+    assert sorted(r.content for r in store.read("messages").collect()) == ["number 1", "number 3"]
+    with store.lease():
+        tick(None, 3)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.operators.ingest import replace_sessions
+from threadloom.store import Busy, Store, ingest_all, reconcile
 
 
 class VersionedTable:
@@ -57,7 +58,7 @@ def merge_batch(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("source_file").distinct()
-        lines = landed().join(F.broadcast(touched), "source_file", "left_semi")  # the files of one bounded trigger
+        lines = landed().join(touched, "source_file", "left_semi")
         done = [v for v in target.versions() if v < batch_id]
         base = target.spark.read.schema(target.schema).parquet(f"{target.path}/v={done[-1]}") if done else target.spark.createDataFrame([], target.schema)
         target.write(replace_sessions(base, adapt(lines)), batch_id)
@@ -86,3 +87,27 @@ def activity_windows(events: DataFrame, width: str = "1 hour", late: str = "1 da
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("start"), "event_type", "n"
     )
+
+
+def pass_over(store: Store, roots: list[str], clock: Callable[[], int], backstop: int = 20) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a clock: each tick takes in the files that are new or grew, every ``backstop``-th one
+    reconciles with all files, those that are gone too.  A tick while another writer is at work does nothing.
+    """
+
+    def run(_: DataFrame, batch_id: int) -> None:
+        try:
+            if batch_id % backstop == 0:
+                reconcile(store, roots, clock())
+            else:
+                ingest_all(store, roots, clock())
+        except Busy:
+            pass
+
+    return run
+
+
+def watch(store: Store, roots: list[str], checkpoint: str, clock: Callable[[], int], every: str = "5 seconds", backstop: int = 20) -> StreamingQuery:
+    """Growing transcript files as a stream: offsets are those that the store keeps, so a restart goes on where it was."""
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(pass_over(store, roots, clock, backstop)).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every).start()
