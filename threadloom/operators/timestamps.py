@@ -209,15 +209,28 @@ def _step(us_a: np.ndarray, fmt_a: list[str], us_b: np.ndarray, fmt_b: list[str]
     return SWITCH * np.array([[x != y for y in fmt_b] for x in fmt_a]) + BACKWARD * (us_a[:, None] > us_b[None, :])
 
 
-def _forward(cands: list[list[dict]], start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Least costs to each reading of the last record from ``start`` (costs of those of the first), and the way back."""
-    cost, back = start, []
-    for a, b in zip(cands, cands[1:]):
-        step = _step(np.array([x["us"] for x in a]), [x["fmt"] for x in a], np.array([x["us"] for x in b]), [x["fmt"] for x in b])
-        total = cost[:, None] + step + np.array([x["cost"] for x in b])[None, :]
-        back.append(total.argmin(axis=0))
-        cost = total.min(axis=0)
-    return cost, back
+def _forward(cands: list[list[dict]], start: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """Least costs to each reading of the last record from ``start`` (costs of those of the first), and the way back.
+
+    Records have a few readings, most have one: plain loops are faster than arrays here.
+    """
+    cost, back = [float(c) for c in start], []
+    before = [(x["us"], x["fmt"]) for x in cands[0]]
+    for record in cands[1:]:
+        after, total, pointers = [], [], []
+        for x in record:
+            us, fmt = x["us"], x["fmt"]
+            best, at = np.inf, 0
+            for k, (u, f) in enumerate(before):
+                c = cost[k] + (SWITCH if f != fmt else 0.0) + (BACKWARD if u > us else 0.0)
+                if c < best:
+                    best, at = c, k
+            after.append((us, fmt))
+            total.append(best + x["cost"])
+            pointers.append(at)
+        back.append(pointers)
+        cost, before = total, after
+    return np.array(cost), back
 
 
 def best_path(cands: list[list[dict]], first: int | None = None, last: int | None = None) -> list[int]:
@@ -228,7 +241,7 @@ def best_path(cands: list[list[dict]], first: int | None = None, last: int | Non
     cost, back = _forward(cands, start)
     at = [int(cost.argmin()) if last is None else last]
     for pointers in reversed(back):
-        at.append(int(pointers[at[-1]]))
+        at.append(pointers[at[-1]])
     return at[::-1]
 
 
