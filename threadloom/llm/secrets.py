@@ -71,8 +71,10 @@ STANDINS = frozenset(
     "user username name value changeme change me example sample dummy fake test todo tbd placeholder redacted masked hidden removed omitted your here my insert replace with the a an bearer basic digest "
     "default empty unset missing invalid valid expired wrong incorrect yes no on off field input prompt stdin file env".split()
 )
-#: Names in front of ``key`` that make it no secret, attributes of cookies.
+#: Names in front of ``key`` that make it no secret, schemes of headers, attributes of cookies.
 OPEN_KEYS = frozenset("public primary foreign sort partition cache map hash dict lookup index row group routing object idempotency config ssh host translation label i18n column".split())
+SCHEMES = frozenset("bearer basic digest negotiate".split())
+SCHEMES = frozenset("bearer basic digest negotiate".split())
 ATTRIBUTES = frozenset("path domain max-age expires samesite version comment priority".split())
 #: issuers' formats.
 FORMATS = re.compile(
@@ -163,7 +165,7 @@ def _literal(seen: str, at: int, in_url: bool = False, spaces: bool = False) ->
         for mark in ("，", "。", "；", "、"):
             value = value.split(mark)[0]
         end = start + len(value)
-    if not value or _NO_LITERAL.match(value):
+    if not value or _NO_LITERAL.match(value) or value.lower() in SCHEMES:
         return None
     return start, end
 
