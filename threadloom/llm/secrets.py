@@ -74,7 +74,6 @@ STANDINS = frozenset(
 #: Names in front of ``key`` that make it no secret, schemes of headers, attributes of cookies.
 OPEN_KEYS = frozenset("public primary foreign sort partition cache map hash dict lookup index row group routing object idempotency config ssh host translation label i18n column".split())
 SCHEMES = frozenset("bearer basic digest negotiate".split())
-SCHEMES = frozenset("bearer basic digest negotiate".split())
 ATTRIBUTES = frozenset("path domain max-age expires samesite version comment priority".split())
 #: issuers' formats.
 FORMATS = re.compile(
