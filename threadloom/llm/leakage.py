@@ -16,9 +16,8 @@ import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +73,11 @@ class ItemIndex:
             cuts = range(0, len(docs), BLOCK)
             self.postings[t] = (docs, impacts, [docs[min(c + BLOCK, len(docs)) - 1] for c in cuts], [max(impacts[c : c + BLOCK]) for c in cuts])
         self.bound = {t: max(p[1]) for t, p in self.postings.items()}
+        self.pairs: dict[str, dict[str, float]] = defaultdict(dict)
+        for t, most in self.bound.items():
+            a, _, b = t.partition(" ")
+            self.pairs[a][b] = most
+        self.pairs = dict(self.pairs)
         # words that nearly all items share (of their common templates) say little about a copy
         seen = Counter(w for x in self.words for w in set(x))
         self.weights = [[0.1 + math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) for w in x] for x in self.words]
@@ -199,15 +203,17 @@ def regions_of(words: list[str], index: ItemIndex) -> dict[int, list[tuple[int,
     regions: dict[int, list[tuple[int, int]]] = defaultdict(list)
     if len(words) < LEAST_WORDS - EDGE:
         return regions
-    own = terms(words)
-    bounds = np.fromiter(map(index.bound.get, own, repeat(0.0)), dtype=float, count=len(own))
+    pairs, none = index.pairs, {}
     # passages whose bounds, repeats included, stay below every threshold cannot retrieve anything
-    total = np.concatenate([[0.0], np.cumsum(bounds)])
+    total = list(accumulate([pairs.get(a, none).get(b, 0.0) for a, b in zip(words, words[1:])], initial=0.0))
+    if total[-1] < index.least:
+        return regions
+    last = len(total) - 1
     for a in range(0, max(1, len(words) - WINDOW + STEP), STEP):
         b = min(len(words), a + WINDOW)
-        if total[min(b, len(own))] - total[min(a, len(own))] < index.least:
+        if total[min(b, last)] - total[min(a, last)] < index.least - 1e-9:
             continue
-        for item in index.retrieve(set(own[a:b])):
+        for item in index.retrieve({f"{x} {y}" for x, y in zip(words[a:b], words[a + 1 : b + 1])}):
             spans = regions[item]
             if spans and spans[-1][1] >= a:
                 spans[-1] = (spans[-1][0], b)
