@@ -493,9 +493,23 @@ def rollout_usage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("chat_usage")
+def _chat_usage_sql() -> str:
+    from threadloom.plans.data_queries import ORACLES as data
+
+    n = lambda k: f"coalesce(sum(CASE WHEN json_type(u, '$.{k}') IN ('UBIGINT', 'BIGINT') THEN cast(u->>'$.{k}' AS BIGINT) END), 0)::BIGINT"
+    return f"""
+WITH live AS ({data['p4_found']}), c AS (SELECT source_file, line_no, arg_max(raw_line, (batch_no, line_id)) AS raw FROM chat_lines WHERE line_no >= 2 GROUP BY 1, 2),
+b AS (SELECT live.source_file, msg_id, raw::JSON AS j FROM live JOIN c ON c.source_file = live.source_file AND c.line_no = live.line_no),
+m AS (SELECT source_file, CASE WHEN json_type(j, '$."$set"') IS NOT NULL THEN list_filter(json_extract(j, '$."$set".messages[*]'), lambda x: x->>'$.id' = msg_id)[-1] ELSE j END AS m FROM b),
+t AS (SELECT source_file, coalesce(nullif(m->>'$.model', ''), '(unknown)') AS model, m->'$.tokens' AS u FROM m WHERE json_type(m, '$.tokens.total') IN ('UBIGINT', 'BIGINT', 'NULL'))
+SELECT source_file, model, {n('input')} AS input_tokens, {n('output')} AS output_tokens, {n('cached')} AS cache_read, {n('thoughts')} AS reasoning, {n('tool')} AS tool, {n('total')} AS total_tokens FROM t GROUP BY 1, 2
+HAVING greatest({n('input')}, {n('output')}, {n('cached')}, {n('thoughts')}, {n('tool')}, {n('total')}) > 0"""
+
+
+@query("chat_usage", _chat_usage_sql())
 def chat_usage(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.chat_usage(table(spark, d, "chat_lines"))
+    got = transcripts.chat_usage(table(spark, d, "chat_lines"))
+    return got.select("source_file", "model", "input_tokens", "output_tokens", "cache_read", "reasoning", "tool", "total_tokens")
 
 
 @query("chat_messages")
