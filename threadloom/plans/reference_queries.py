@@ -382,7 +382,10 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", expr.window_snippet(F.col("content"), [WORD]).alias("snippet"))
 
 
-@query("snippet_marked")
+@query("snippet_marked", f"""
+WITH p AS (SELECT id, content AS c, length(content) AS n, strpos({ASCII.format('content')}, '{WORD}') AS pos FROM messages WHERE contains(lower(content), '{WORD}')),
+w AS (SELECT *, greatest(pos - 22, 1) AS st, least(greatest(pos - 22, 1) + 66, n + 1) AS en FROM p)
+SELECT id, (CASE WHEN st > 1 THEN '…' ELSE '' END) || substr(c, st, pos - st) || '[' || substr(c, pos, {len(WORD)}) || ']' || substr(c, pos + {len(WORD)}, greatest(en - pos - {len(WORD)}, 0)) || (CASE WHEN en <= n THEN '…' ELSE '' END) AS snippet FROM w""")
 def snippet_marked(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "messages").where(expr.contains_long(F.col("content"), WORD))
     return m.select("id", expr.marked_snippet(F.col("content"), [WORD]).alias("snippet"))
