@@ -92,13 +92,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _open(uri: str):
+def _system(uri: str):
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri.split("/", 1)[0] else f"file://{uri}")
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if ":" in uri.split("/", 1)[0] else f"file://{uri}")
+
+
+def _open(uri: str):
+    system, path = _system(uri)
     return system.open_input_file(path)
 
 
+def _stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, times = [], []
+        for uri in batch.column(1).to_pylist():
+            system, path = _system(uri)
+            info = system.get_file_info(path)
+            sizes.append(info.size)
+            times.append(None if info.mtime_ns is None else info.mtime_ns // 1_000_000)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(times, pa.int64())], ["source_file", "size_now", "ms_now"])
+
+
+def unchanged(files: DataFrame) -> DataFrame:
+    """Those of some listed files that still have the size and time (to the millisecond) of the listing; only they are looked at."""
+    now = files.select("source_file", "uri").mapInArrow(_stat, "source_file string, size_now bigint, ms_now bigint")
+    same = (F.col("size") == F.col("size_now")) & (F.expr("modified_ns div 1000000") == F.col("ms_now"))
+    return files.join(now, "source_file").where(same).drop("size_now", "ms_now")
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of the first and of the last bytes before an offset; null for a file that can't be read."""
     for batch in batches:

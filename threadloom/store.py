@@ -265,12 +265,11 @@ def _ingest(store: Store, roots: list[str], now: int, full: bool, projects: Data
     broken = materialise(
         change_feed.unusable_files(_landed(lines.where(files.source_of(F.col("source_file")) == "gemini"))), "broken"
     )
-    # the listing again: what changed meanwhile waits for the next pass
-    still = files.listing(spark, roots).select("source_file", F.col("size").alias("size_now"), F.col("modified_ns").alias("modified_now"))
-    todo = todo.join(still, "source_file").where("size = size_now and modified_ns = modified_now").join(broken, "source_file", "left_anti")
-    todo = materialise(todo.drop("size_now", "modified_now"), "todo")
+    # looked at again: what changed meanwhile waits for the next pass
+    todo = materialise(files.unchanged(todo).join(broken, "source_file", "left_anti"), "todo")
     lines = materialise(lines.join(todo.select("source_file"), "source_file", "left_semi"), "lines")
-    parsed = [_parse(lines, name, projects) for name in transcripts.REGISTRY]
+    there = {r.source for r in todo.select(files.source_of(F.col("source_file")).alias("source")).distinct().collect()}
+    parsed = [_parse(lines, name, projects) for name in transcripts.REGISTRY if name in there or not there]
     columns = [
         "source_file", "session_uuid", "seq", "ts", "role", "content", "raw_line", "tool_name", "acted_kind", "acted_value"
     ]
